@@ -15,13 +15,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP
-from .textfeat import hashes, owners, slices, tokens
+from .textfeat import owners, slices, tokens
 
 GRADES = 3
+#: A word's features are itself and its beginnings of these lengths, which inflected and compound words share.
+PREFIXES = (4, 5, 6)
+
+
+def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, codes, bounds): feature hashes of each distinct word, 0 for none; the words of all texts; where each text's begin and end."""
+    flat, bounds = tokens(texts, WORD_GAP)
+    coded = flat.dictionary_encode()
+    table = np.zeros((len(coded.dictionary), 1 + len(PREFIXES)), np.uint64)
+    for i, w in enumerate(coded.dictionary.to_pylist()):
+        table[i, 0] = xxhash.xxh3_64_intdigest(w)
+        for j, n in enumerate(PREFIXES, 1):
+            if len(w) > n:
+                table[i, j] = xxhash.xxh3_64_intdigest(w[:n], seed=n)
+    return table, np.asarray(coded.indices, dtype=np.int64), bounds
 
 
 @dataclass(frozen=True)
@@ -33,21 +49,28 @@ class OrdinalModel:
     thresholds: np.ndarray
     cut: float
 
-    def expected(self, flat_hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Expected grade: the sum of P(grade > k). A word counts once in a text."""
-        n = len(bounds) - 1
-        total = np.zeros(n)
-        if len(self.vocabulary) and len(flat_hashes):
-            at = np.minimum(np.searchsorted(self.vocabulary, flat_hashes), len(self.vocabulary) - 1)
-            known = self.vocabulary[at] == flat_hashes
-            pairs = np.unique(np.stack([owners(bounds)[known], at[known]]), axis=1)
-            total = np.bincount(pairs[0], self.weights[pairs[1]], minlength=n)
+    def expected(self, table: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Expected grade: the sum of P(grade > k). A feature counts once in a text."""
+        total = np.zeros(len(bounds) - 1)
+        if len(self.vocabulary) and len(codes):
+            at = np.minimum(np.searchsorted(self.vocabulary, table), len(self.vocabulary) - 1)
+            at[self.vocabulary[at] != table] = -1
+            known = (at >= 0).any(axis=1)[codes]
+            places = at[codes[known]]
+            of = np.repeat(owners(bounds)[known], places.shape[1])
+            of, place = of[places.ravel() >= 0], places.ravel()[places.ravel() >= 0]
+            pairs = np.unique(of * len(self.vocabulary) + place)
+            total = np.bincount(pairs // len(self.vocabulary), self.weights[pairs % len(self.vocabulary)], minlength=len(total))
+        return self.severity(total)
+
+    def severity(self, total: np.ndarray) -> np.ndarray:
         return (1 / (1 + np.exp(-np.clip(total[:, None] - self.thresholds[None, :], -30, 30)))).sum(axis=1)
 
 
-def _distinct(bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, word hash) pairs without repeats."""
-    of = owners(bounds)
+def _distinct(table: np.ndarray, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature hash) pairs without repeats."""
+    of, h = np.repeat(owners(bounds), table.shape[1]), table[codes].ravel()
+    of, h = of[h != 0], h[h != 0]
     order = np.lexsort((h, of))
     of, h = of[order], h[order]
     new = np.ones(len(h), bool)
@@ -55,8 +78,8 @@ def _distinct(bounds: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of[new], h[new]
 
 
-def fit_ordinal(of: np.ndarray, word: np.ndarray, n_words: int, grade: np.ndarray, ridge: float = 1.0, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds by accelerated gradient descent on the cumulative-link likelihood. of, word: which text has which word."""
+def fit_ordinal(of: np.ndarray, word: np.ndarray, n_words: int, grade: np.ndarray, ridge: float = 0.3, lasso: float = 3.0, steps: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds by accelerated proximal descent on the cumulative-link likelihood; weights are not negative, and few. of, word: which text has which word."""
     n, ks = len(grade), np.arange(GRADES)
     over = (grade[:, None] > ks[None, :]).astype(float)
     w = np.zeros(n_words)
@@ -69,17 +92,19 @@ def fit_ordinal(of: np.ndarray, word: np.ndarray, n_words: int, grade: np.ndarra
         p = 1 / (1 + np.exp(-np.clip(s[:, None] - vt[None, :], -30, 30)))
         g = p - over
         gw = np.bincount(word, g.sum(axis=1)[of], minlength=n_words) + ridge * v
-        nw = v - gw / (df * GRADES * 0.25 * 12 + ridge)  # a text shares its error among few typical words
+        step = 1 / (df * GRADES * 0.25 * 12 + ridge)  # a text shares its error among few typical words
+        nw = np.maximum(v - step * (gw + lasso), 0.0)
         nt = np.maximum.accumulate(vt + g.sum(axis=0) / (0.25 * n * 4))  # thresholds stay in order
         m = k / (k + 3)
         v, vt, pw, pt = nw + m * (nw - pw), nt + m * (nt - pt), nw, nt
     return pw, np.maximum.accumulate(pt)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_labelled: int = 12000, min_docs: int = 3, false_rate: float = 0.0005) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_labelled: int = 12000, min_docs: int = 4, evidence: float = 25.0, clean_weight: float = 10.0) -> OrdinalModel:
     """Fits on at most max_labelled labelled documents, chosen by the hash of their ids, half of them toxic at most.
 
-    Executors send word hashes, not texts. A fifth of the documents only sets the cut: at most false_rate of clean ones lie above.
+    Executors send feature hashes, not texts. A fifth of the documents only helps to set the cut, where the share of toxic
+    documents below and clean_weight times that of clean ones above are least together.
     """
     h = F.xxhash64(F.col(label_id).cast("string"))
     own = labels.filter(F.col(label_col).isNotNull()).select(F.col(label_id).alias("_lid"), (F.col(label_col) > 0).cast("int").alias("_y"), h.alias("_h")).dropDuplicates(["_lid"])
@@ -94,8 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def send(batches):
         for batch in batches:
             for piece, texts in slices(batch, "_t"):
-                flat, bounds = tokens(texts, WORD_GAP)
-                of, word = _distinct(bounds, hashes(flat))
+                table, codes, bounds = word_features(texts)
+                of, word = _distinct(table, codes, bounds)
                 ends = np.searchsorted(of, np.arange(piece.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([pa.array([word[ends[i] : ends[i + 1]].tobytes() for i in range(piece.num_rows)], pa.binary()), pa.array(np.diff(bounds)), piece.column("_y"), piece.column("_h")], names=["w", "n", "y", "h"])
 
@@ -108,9 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     of, h_ = np.repeat(np.arange(len(rows)), [len(x) for x in each]), np.concatenate(each)
     vocab, word, df = np.unique(h_, return_inverse=True, return_counts=True)
     bad = np.bincount(word, y[of], minlength=len(vocab))
-    # words that tell the classes apart; all others would only fit noise
-    odds = np.log((bad + 0.5) / (y.sum() + 1)) - np.log((df - bad + 0.5) / ((1 - y).sum() + 1))
-    keep = (df >= min_docs) & (np.abs(odds) * np.sqrt(df) >= 3.0)
+    # features whose share of toxic documents is far above chance, by likelihood ratio; others would only fit noise
+    n1, n0 = y.sum(), (1 - y).sum()
+    odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((df - bad + 0.5) / (n0 + 1))
+    p1, p = (bad + 1e-9) / df, n1 / len(y)
+    ratio = 2 * (bad * np.log(p1 / p) + (df - bad) * np.log(np.maximum(1 - p1, 1e-9) / (1 - p)))
+    keep = (df >= min_docs) & (odds > 0) & (ratio >= evidence)
     place = np.cumsum(keep) - 1
     use = keep[word]
     of, word, vocab, odds = of[use], place[word[use]], vocab[keep], odds[keep]
@@ -125,16 +153,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     place = np.cumsum(~held) - 1
     w, t = fit_ordinal(place[of[~held[of]]], word[~held[of]], len(vocab), grade[~held])
     model = OrdinalModel(vocab, w, t, float("inf"))
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(rows)))])
-    e = model.expected(vocab[word], bounds)
-    clean_e = np.sort(e[held & (y == 0)])
-    worst = float(clean_e[min(len(clean_e) - 1, int(len(clean_e) * (1 - false_rate)))]) if len(clean_e) else 0.0
-    return OrdinalModel(vocab, w, t, max(0.5, worst + 1e-9))
+    e = model.severity(np.bincount(of, w[word], minlength=len(rows)))
+    cuts = np.linspace(0.15, 1.5, 136)
+    cost = [(e[y > 0] < c).mean() + clean_weight * (e[y == 0] >= c).mean() for c in cuts]
+    return OrdinalModel(vocab, w, t, float(cuts[int(np.argmin(cost))]))
 
 
 def _severity(texts: pa.Array, model: OrdinalModel) -> np.ndarray:
-    flat, bounds = tokens(texts, WORD_GAP)
-    return model.expected(hashes(flat), bounds)
+    return model.expected(*word_features(texts))
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
