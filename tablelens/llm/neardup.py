@@ -6,8 +6,9 @@ Registers are banded to find candidates; a joint likelihood of equal, larger and
 sizes, estimates the similarity and drops hopeless ones; the rest is verified on the full sets.
 
 Documents of equal sets form one class, and only classes are compared. In each band a class meets the band's smallest
-class first. Only classes that this leaves outside the component of their band's smallest meet the band's other members,
-so that a group of thousands of copies gives as many links as members, and no link between components is lost.
+class, its head. Where that leaves classes outside the head's component, all members of the head are compared in blocks of
+bounded size, which give only the links that join components: a group of thousands of near copies makes no more rows than
+it has members, and no link between components is lost.
 
 Edge cases: a null or empty text has no shingles, is linked with nothing and stays; fewer than k words make one shingle;
 repeated rows with one id share a class, and all of them stay if that id is the component's smallest; other columns are
@@ -36,6 +37,9 @@ SLACK = 0.18
 #: A list of ids is broadcast up to this many, else joined by a shuffle.
 IDS = 200_000
 
+#: Members of a head that are compared in one task are at most twice this many; elements of a 0/1 matrix's row.
+BLOCK, COLUMNS = 256, 8192
+
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**63, M, dtype=np.uint64)
@@ -156,10 +160,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFra
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, id_col: str, text_col: str, num: int, den: int, path: str) -> DataFrame:
-    """(a, b) that are linked: by their whole shingle sets."""
-    need = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().join(classes.select(F.col("node").alias("a"), "rep"), "a").select("a", F.col("rep._id").alias("_rid"), F.col("rep.tkey").alias("_rkey"))
-    need = materialize(need, f"{path}-need")
+def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame, k: int, id_col: str, text_col: str, path: str) -> DataFrame:
+    """(a, s): the sorted shingle hashes of each node in nodes.a, from the text of its class."""
+    need = materialize(nodes.distinct().join(classes.select(F.col("node").alias("a"), "rep"), "a").select("a", F.col("rep._id").alias("_rid"), F.col("rep.tkey").alias("_rkey")), f"{path}-need")
     rows = docs.select(F.col(id_col).alias("_rid"), row_key(text_of(text_col)).alias("_rkey"), F.col(text_col).alias("_t"))
     found = rows.join(F.broadcast(need) if need.count() <= IDS else need, rows["_rid"].eqNullSafe(need["_rid"]) & (rows["_rkey"] == need["_rkey"])).select("a", "_t")
 
@@ -170,7 +173,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, id_
                 yield pa.RecordBatch.from_arrays([piece.column("a"), pa.array([s[bounds[i] : bounds[i + 1]].tobytes() for i in range(piece.num_rows)], pa.binary())], names=["a", "s"])
 
     # repeated rows of one id and text would give a set twice
-    texts = materialize(found.mapInArrow(sets, "a binary, s binary").dropDuplicates(["a"]), f"{path}-sets", "lz4")
+    return materialize(found.mapInArrow(sets, "a binary, s binary").dropDuplicates(["a"]), f"{path}-sets", "lz4")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) that are linked: by their whole shingle sets."""
     both = pairs.join(texts.withColumnRenamed("s", "sa"), "a").join(texts.select(F.col("a").alias("b"), F.col("s").alias("sb")), "b")
 
     def run(batches):
@@ -186,6 +193,72 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, id_
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices over the elements that both sides have."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
+    both = np.intersect1d(flat[0], flat[1])
+    out = np.zeros((len(left), len(right)), np.float32)
+    place = []
+    for sets, f in zip((left, right), flat, strict=True):
+        at = np.minimum(np.searchsorted(both, f), max(len(both) - 1, 0))
+        hit = both[at] == f if len(both) else np.zeros(len(f), bool)
+        place.append((np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit], at[hit]))
+    for start in range(0, len(both), COLUMNS):
+        m = []
+        for sets, (row, col) in zip((left, right), place, strict=True):
+            one = np.zeros((len(sets), min(COLUMNS, len(both) - start)), np.float32)
+            now = (col >= start) & (col < start + COLUMNS)
+            one[row[now], col[now] - start] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(num: int, den: int):
+    """Of two blocks of one head's members: links between components, no more than join them."""
+
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        nodes, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
+        block = np.asarray(table.column("block"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
+        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        n = np.array([len(x) for x in sets])
+        inter = common_counts([sets[r] for r in rows], [sets[c] for c in cols])
+        linked = den * inter >= num * (n[rows][:, None] + n[cols][None, :] - inter)
+        up = {r: r for r in roots}
+
+        def find(x):
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for r, c in zip(*np.nonzero(linked), strict=True):
+            x, y = find(roots[rows[r]]), find(roots[cols[c]])
+            if x != y:
+                up[x] = y
+                out.append((nodes[rows[r]], nodes[cols[c]]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+
+    return run
+
+
+def _links_of_strays(known: DataFrame, docs: DataFrame, classes: DataFrame, k: int, id_col: str, text_col: str, num: int, den: int, path: str) -> DataFrame:
+    """Links that the heads did not show. Classes that share a band share its head, so the members of each head that has
+    strays are compared with each other: in blocks of BLOCK, each pair of blocks a group of its own."""
+    members = known.groupBy("head", "node").agg(F.first("root").alias("root"), F.first("hroot").alias("hroot"))
+    heads = members.groupBy("head").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("root") != F.col("hroot")).alias("open")).filter("open and k > 1").select("head", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    members = materialize(members.join(heads, "head").select("head", "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), f"{path}-members")
+    if not members.take(1):
+        return known.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    sets = _sets(members.select(F.col("node").alias("a")), docs, classes, k, id_col, text_col, path)
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
+    rows = members.join(sets.withColumnRenamed("a", "node"), "node").select("head", "node", "root", "block", "s", pair.alias("p")).select("head", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "root", "block", "s")
+    return rows.groupBy("head", "i", "j").applyInArrow(_block_links(num, den), "a binary, b binary")
+
+
 def connected(edges: DataFrame, path: str, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component with an edge. Alternates large and small stars; each round is joins and minima on disk in the shared folder."""
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{path}-0")
@@ -216,21 +289,15 @@ def components(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: st
     heads = rows.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     shared = materialize(rows.join(heads, "band"), f"{path}/shared")
     first = materialize(_likely(shared.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), classes, num, den), f"{path}/first")
-    links = materialize(_verified(first, docs, classes, k, id_col, text_col, num, den, f"{path}/v1"), f"{path}/links1")
-    # what is still apart from its band's head meets the band's other members
-    root = connected(links, f"{path}/c1") if links.take(1) else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    known = shared.filter("k > 2").join(root, "node", "left").select("band", "node", "head", F.coalesce("root", "node").alias("root"))
-    known = known.join(root.select(F.col("node").alias("head"), F.col("root").alias("hroot")), "head", "left").select("band", "node", "head", "root", F.coalesce("hroot", "head").alias("hroot"))
-    known = materialize(known, f"{path}/known")
-    stray = known.filter("root <> hroot").select("band", F.col("node").alias("a"), F.col("root").alias("ra"))
-    mates = known.filter("node <> head").select("band", F.col("node").alias("b"), F.col("root").alias("rb"), (F.col("root") != F.col("hroot")).alias("sb"))
-    more = stray.join(mates, "band").filter((F.col("ra") != F.col("rb")) & (~F.col("sb") | (F.col("a") < F.col("b")))).select("a", "b").distinct()
-    second = materialize(_likely(more, classes, num, den), f"{path}/second")
-    if second.take(1):
-        found = materialize(_verified(second, docs, classes, k, id_col, text_col, num, den, f"{path}/v2"), f"{path}/links2")
-        if found.take(1):
-            links = links.unionByName(found)
-            root = connected(links, f"{path}/c2")
+    first_nodes = first.select("a").union(first.select(F.col("b").alias("a")))
+    links = materialize(_verified(first, _sets(first_nodes, docs, classes, k, id_col, text_col, f"{path}/v1"), num, den), f"{path}/links1")
+    # what is still apart from its band's head meets the head's other members
+    root = connected(links, f"{path}/c1")
+    known = shared.filter("k > 2").join(root, "node", "left").select("node", "head", F.coalesce("root", "node").alias("root"))
+    known = known.join(root.select(F.col("node").alias("head"), F.col("root").alias("hroot")), "head", "left").select("node", "head", "root", F.coalesce("hroot", "head").alias("hroot"))
+    found = materialize(_links_of_strays(known, docs, classes, k, id_col, text_col, num, den, f"{path}/v2"), f"{path}/links2")
+    if found.take(1):
+        root = connected(links.unionByName(found), f"{path}/c2")
     own = classes.select("node", F.col("rep._id").alias("rep")).join(root, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     ids = root.select("node", "root").join(classes.select("node", F.col("rep._id").alias("rep")), "node").groupBy("root").agg(F.min("rep").alias("low"))
     named = own.join(ids, "root", "left").select("node", F.coalesce("low", "rep").alias("component_id"))
