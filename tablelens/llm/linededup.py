@@ -21,29 +21,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, text_of, words, work_dir
+from .common import WORD_GAP, ascii_lower, fresh, materialize, text_of, work_dir
 
 MIN_WORDS = 5
 NUM, DEN = 4, 5
 #: This many of the most frequent words are told apart by count; the order is total in any case, so results do not depend on it.
 FREQUENT = 2048
+#: A list of lines is broadcast up to this many, else joined by a shuffle.
+MEMBERS = 200_000
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(_id, _pos, _norm): the words of each line that has enough of them, joined by blanks."""
-    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode(F.split(text_of(text_col), "\n", -1)).alias("_pos", "_line"))
-    return lines.select("_id", "_pos", words(F.col("_line")).alias("_w")).filter(F.size(F.array_distinct("_w")) >= min_words).select("_id", "_pos", F.array_join("_w", " ").alias("_norm"))
+    """(_id, _pos, _h1, _h2, _norm): the words of each line that has enough of them, joined by blanks, and two hashes of that.
 
+    Words are split once a document, ahead of the explode, so that no later expression repeats it.
+    """
+    each = F.transform(F.split(ascii_lower(text_of(text_col)), "\n", -1), lambda line: F.array_remove(F.split(line, WORD_GAP, -1), ""))
+    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode(each).alias("_pos", "_w")).filter(F.size("_w") >= min_words)
+    lines = lines.select("_id", "_pos", F.array_join("_w", " ").alias("_norm"))
+    return lines.select("_id", "_pos", F.xxhash64("_norm").alias("_h1"), F.xxhash64(F.lit(1), "_norm").alias("_h2"), "_norm")
 
-def _keys() -> list[Column]:
-    return [F.xxhash64("_norm").alias("_h1"), F.xxhash64(F.lit(1), F.reverse("_norm")).alias("_h2")]
 
-
-def _tiers(docs: DataFrame, text_col: str, frequent: int) -> list[list[int]]:
-    """Hashes of the most frequent words, those of like counts together, rarest first. Counts cover all documents; frequent rows reach the driver."""
-    counts = docs.select(F.explode(F.transform(words(text_of(text_col)), lambda w: F.xxhash64(w))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+def _tiers(classes: DataFrame, frequent: int) -> list[list[int]]:
+    """Hashes of the most frequent words, those of like counts together, rarest first. Counts cover all classes of lines; frequent rows reach the driver."""
+    counts = classes.select(F.explode(F.split("_norm", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
     tiers: dict[int, list[int]] = {}
-    for r in counts.orderBy(F.desc("k"), "h").limit(frequent).collect():
+    for r in counts.orderBy(F.desc("k"), "w").limit(frequent).select("k", F.xxhash64("w").alias("h")).collect():
         tiers.setdefault(r["k"].bit_length(), []).append(r["h"])
     return [tiers[t] for t in sorted(tiers)]
 
@@ -51,20 +54,18 @@ def _tiers(docs: DataFrame, text_col: str, frequent: int) -> list[list[int]]:
 def _ordered(norm: Column, tiers: list[list[int]]) -> Column:
     """The line's distinct words as numbers in rarity order: 56 bits of hash below the tier."""
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        tier = F.lit(0)
-        for i, hashes in enumerate(tiers, 1):
-            tier = F.when(h.isin(hashes), F.lit(i)).otherwise(tier)
+    def code(h: Column) -> Column:
+        tier = F.when(~h.isin([x for t in tiers for x in t]), F.lit(0)) if tiers else F.when(F.lit(True), F.lit(0))
+        for i in range(len(tiers), 0, -1):
+            tier = tier.when(h.isin(tiers[i - 1]), F.lit(i))
         return F.shiftleft(tier.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    return F.sort_array(F.transform(F.array_distinct(F.split(norm, " ")), code))
+    return F.sort_array(F.transform(F.transform(F.array_distinct(F.split(norm, " ")), lambda w: F.xxhash64(w)), code))
 
 
 def _prefix(s: Column) -> Column:
-    """(place, pair) of the neighbour pairs in the prefix; before the first and after the last word stands null."""
-    n = F.size(s)
-    return F.transform(F.sequence(F.lit(0), F.floor(n * 2 / 5).cast("int")), lambda i: F.struct(i.alias("i"), F.xxhash64(F.get(s, i - 1), F.get(s, i)).alias("pair")))
+    """(place, pair) of the neighbour pairs in the prefix."""
+    return F.transform(F.sequence(F.lit(1), F.floor(F.size(s) * 2 / 5).cast("int") + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.get(s, i - 1), F.get(s, i)).alias("pair")))
 
 
 def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
@@ -76,9 +77,10 @@ def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a_id, a_pos) of pairs that match."""
-    a = texts.select(F.col("f._id").alias("a_id"), F.col("f._pos").alias("a_pos"), F.array_distinct(F.split("_norm", " ")).alias("a_w"))
-    b = texts.select(F.col("f._id").alias("b_id"), F.col("f._pos").alias("b_pos"), F.array_distinct(F.split("_norm", " ")).alias("b_w"))
+    a = texts.select(F.col("f._id").alias("a_id"), F.col("f._pos").alias("a_pos"), F.col("_norm").alias("a_t"))
+    b = texts.select(F.col("f._id").alias("b_id"), F.col("f._pos").alias("b_pos"), F.col("_norm").alias("b_t"))
     both = pairs.join(a, pairs["x_id"].eqNullSafe(a["a_id"]) & (pairs["x_pos"] == a["a_pos"])).join(b, F.col("y_id").eqNullSafe(F.col("b_id")) & (F.col("y_pos") == F.col("b_pos")))
+    both = both.select("a_id", "a_pos", F.array_distinct(F.split("a_t", " ")).alias("a_w"), F.array_distinct(F.split("b_t", " ")).alias("b_w"))
     common = F.size(F.array_intersect("a_w", "b_w"))
     return both.filter(common * DEN >= (F.size("a_w") + F.size("b_w") - common) * NUM).select("a_id", "a_pos").distinct()
 
@@ -86,19 +88,23 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, frequent: int = FREQUENT) -> DataFrame:
     """(_id, _gone): for each document that loses lines, their positions, sorted."""
     path = work_dir(docs.sparkSession)
-    lines = lines_of(docs, id_col, text_col, min_words)
-    keyed = lines.select("_id", "_pos", *_keys(), "_norm")
-    classes = materialize(keyed.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_pos")).alias("f"), F.first("_norm").alias("_norm"), F.count(F.lit(1)).alias("k")), f"{path}/classes")
-    tiers = _tiers(docs, text_col, frequent)
-    sets = classes.select("f", _ordered(F.col("_norm"), tiers).alias("s"))
-    marks = sets.select("f", F.size("s").alias("n"), F.explode(_prefix(F.col("s"))).alias("p")).select(F.col("p.pair").alias("pair"), F.struct(F.col("f._id").alias("id"), F.col("f._pos").alias("pos"), "n", F.col("p.i").alias("i")).alias("x"))
+    lines = materialize(lines_of(docs, id_col, text_col, min_words), f"{path}/lines")
+    classes = materialize(lines.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_pos")).alias("f"), F.first("_norm").alias("_norm"), F.count(F.lit(1)).alias("k")), f"{path}/classes")
+    tiers = _tiers(classes, frequent)
+    sets = classes.select("f", _ordered(F.col("_norm"), tiers).alias("s")).filter(F.size("s") >= min_words)
+    # place, size and position share a number: a mark is an id and two numbers
+    marks = sets.select("f", F.size("s").alias("n"), F.explode(_prefix(F.col("s"))).alias("p"))
+    marks = marks.select(F.col("p.pair").alias("pair"), F.col("f._id").alias("id"), F.shiftleft(F.col("f._pos").cast("long"), 42).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 21)).bitwiseOR(F.col("p.i").cast("long")).alias("at"))
     by = W.partitionBy("pair")
-    shared = materialize(marks.withColumns({"y": F.min("x").over(by), "k": F.count(F.lit(1)).over(by)}).filter("k > 1"), f"{path}/shared")
+    mark = lambda c: F.struct(F.col(f"{c}.id").alias("id"), F.shiftright(F.col(f"{c}.at"), 42).cast("int").alias("pos"), F.shiftright(F.col(f"{c}.at"), 21).bitwiseAND(F.lit(2**21 - 1)).cast("int").alias("n"), F.col(f"{c}.at").bitwiseAND(F.lit(2**21 - 1)).cast("int").alias("i"))
+    shared = marks.select("pair", "id", "at").withColumns({"y": F.min(F.struct("id", "at")).over(by), "k": F.count(F.lit(1)).over(by)}).filter("k > 1")
+    shared = materialize(shared.select("pair", "k", F.struct("id", "at").alias("x"), "y").select("pair", "k", mark("x").alias("x"), mark("y").alias("y")), f"{path}/shared")
     key = lambda c, x: [F.col(f"{c}.id").alias(f"{x}_id"), F.col(f"{c}.pos").alias(f"{x}_pos")]
-    members = shared.select(*key("x", "m")).distinct()
-    texts = materialize(classes.join(members, F.col("f._id").eqNullSafe(F.col("m_id")) & (F.col("f._pos") == F.col("m_pos")), "left_semi").select("f", "_norm"), f"{path}/texts")
     fits = _may_match(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"))
     other = ~(F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.pos") == F.col("y.pos")))
+    members = materialize(shared.select(*key("x", "m")).distinct(), f"{path}/members")
+    few = F.broadcast(members) if members.count() <= MEMBERS else members
+    texts = materialize(classes.join(few, F.col("f._id").eqNullSafe(F.col("m_id")) & (F.col("f._pos") == F.col("m_pos")), "left_semi").select("f", "_norm"), f"{path}/texts")
     gone = materialize(_similar(shared.filter(other & fits).select(*key("x", "x"), *key("y", "y")).distinct(), texts), f"{path}/gone1")
     # lines that stay so far meet every line before them in their groups but the first
     apart = shared.filter("k > 2").join(gone, F.col("x.id").eqNullSafe(F.col("a_id")) & (F.col("x.pos") == F.col("a_pos")), "left_anti").filter(other).select("pair", "x")
@@ -107,9 +113,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     more = apart.join(before, "pair").filter(late).select(*key("x", "x"), *key("y", "y")).distinct()
     gone = materialize(gone.unionByName(_similar(more, texts)).distinct(), f"{path}/gone")
     # of each class: is its first line gone too? Only classes of several lines or with a match matter.
-    fate = classes.select("_h1", "_h2", "f", "k").join(gone, F.col("f._id").eqNullSafe(F.col("a_id")) & (F.col("f._pos") == F.col("a_pos")), "left").filter((F.col("k") > 1) | F.col("a_pos").isNotNull()).select("_h1", "_h2", "f", F.col("a_pos").isNotNull().alias("all"))
-    fate = materialize(fate, f"{path}/fate")
-    lost = keyed.select("_id", "_pos", "_h1", "_h2").join(F.broadcast(fate) if fate.count() <= 100_000 else fate, ["_h1", "_h2"]).filter(F.col("all") | ~(F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("_pos") == F.col("f._pos"))))
+    whole = classes.filter(F.size(F.array_distinct(F.split("_norm", " "))) >= min_words)
+    fate = whole.select("_h1", "_h2", "f", "k").join(gone, F.col("f._id").eqNullSafe(F.col("a_id")) & (F.col("f._pos") == F.col("a_pos")), "left").withColumn("all", F.col("a_pos").isNotNull())
+    fate = materialize(fate.filter("k > 1 or all").select("_h1", "_h2", "f", "all"), f"{path}/fate")
+    lost = lines.select("_id", "_pos", "_h1", "_h2").join(F.broadcast(fate) if fate.count() <= MEMBERS else fate, ["_h1", "_h2"]).filter(F.col("all") | ~(F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("_pos") == F.col("f._pos"))))
     return lost.groupBy("_id").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
 
 
