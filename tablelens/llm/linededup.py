@@ -5,7 +5,7 @@ their counts. A later line goes if an earlier one has a Jaccard similarity of at
 words are one class, found by key. Classes are joined by a prefix filter over pairs of neighbours in the rarity
 order: each word that only one of two lines has breaks at most two of the pairs of its own line and one of the other's, so
 lines of n words as similar as that share one of their first floor(0.4 n) + 1 pairs. Neighbour pairs stay rare as
-the corpus grows, where single words do not. Length and positional filters, then the words themselves, decide.
+the corpus grows, where single words do not. Length and positional filters and a bound from 64 parity bits of the words, then the words themselves, decide.
 
 In each pair's group a class meets the group's earliest first; only classes that do not match it meet the
 others before them. A group of thousands of variants of one line thus costs as many comparisons as members.
@@ -28,7 +28,7 @@ NUM, DEN = 4, 5
 #: This many of the most frequent words are told apart by count; the order is total in any case, so results do not depend on it.
 FREQUENT = 2048
 #: A list of lines is broadcast up to this many, else joined by a shuffle.
-MEMBERS = 200_000
+MEMBERS = 500_000
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -47,7 +47,7 @@ def _tiers(classes: DataFrame, frequent: int) -> list[list[int]]:
     counts = classes.select(F.explode(F.split("_norm", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
     tiers: dict[int, list[int]] = {}
     for r in counts.orderBy(F.desc("k"), "w").limit(frequent).select("k", F.xxhash64("w").alias("h")).collect():
-        tiers.setdefault(r["k"].bit_length(), []).append(r["h"])
+        tiers.setdefault(r["k"].bit_length() // 2, []).append(r["h"])
     return [tiers[t] for t in sorted(tiers)]
 
 
@@ -77,47 +77,72 @@ def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a_id, a_pos) of pairs that match."""
-    a = texts.select(F.col("f._id").alias("a_id"), F.col("f._pos").alias("a_pos"), F.col("_norm").alias("a_t"))
-    b = texts.select(F.col("f._id").alias("b_id"), F.col("f._pos").alias("b_pos"), F.col("_norm").alias("b_t"))
+    a = texts.select(F.col("_id").alias("a_id"), F.col("_pos").alias("a_pos"), F.col("_norm").alias("a_t"))
+    b = texts.select(F.col("_id").alias("b_id"), F.col("_pos").alias("b_pos"), F.col("_norm").alias("b_t"))
     both = pairs.join(a, pairs["x_id"].eqNullSafe(a["a_id"]) & (pairs["x_pos"] == a["a_pos"])).join(b, F.col("y_id").eqNullSafe(F.col("b_id")) & (F.col("y_pos") == F.col("b_pos")))
     both = both.select("a_id", "a_pos", F.array_distinct(F.split("a_t", " ")).alias("a_w"), F.array_distinct(F.split("b_t", " ")).alias("b_w"))
     common = F.size(F.array_intersect("a_w", "b_w"))
     return both.filter(common * DEN >= (F.size("a_w") + F.size("b_w") - common) * NUM).select("a_id", "a_pos").distinct()
 
 
+def _parity(s: Column) -> Column:
+    """64 bits: whether each bit is named by an odd number of the words' hashes. Two lines differ in at least as many words as bits."""
+    return F.aggregate(s, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, frequent: int = FREQUENT) -> DataFrame:
-    """(_id, _gone): for each document that loses lines, their positions, sorted."""
+    """(_id, _gone): for each document that loses lines, their positions, sorted.
+
+    Texts of lines are written once and shuffled only for lines that filters leave as candidates; else keys and marks
+    of fixed width move. Lists of repeated or matching lines are broadcast if counted to be short, else shuffled.
+    """
     path = work_dir(docs.sparkSession)
     lines = materialize(lines_of(docs, id_col, text_col, min_words), f"{path}/lines")
-    classes = materialize(lines.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_pos")).alias("f"), F.first("_norm").alias("_norm"), F.count(F.lit(1)).alias("k")), f"{path}/classes")
+    repeated = lines.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_pos")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("_h1", "_h2", "f")
+    repeated = materialize(repeated, f"{path}/repeated")
+    short_list = lambda df, n: F.broadcast(df) if n <= MEMBERS else df
+    first = F.col("f").isNull() | (F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("_pos") == F.col("f._pos")))
+    classes = lines.join(short_list(repeated, repeated.count()), ["_h1", "_h2"], "left").filter(first)
     tiers = _tiers(classes, frequent)
-    sets = classes.select("f", _ordered(F.col("_norm"), tiers).alias("s")).filter(F.size("s") >= min_words)
-    # place, size and position share a number: a mark is an id and two numbers
-    marks = sets.select("f", F.size("s").alias("n"), F.explode(_prefix(F.col("s"))).alias("p"))
-    marks = marks.select(F.col("p.pair").alias("pair"), F.col("f._id").alias("id"), F.shiftleft(F.col("f._pos").cast("long"), 42).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 21)).bitwiseOR(F.col("p.i").cast("long")).alias("at"))
+    # one lambda over a one-element array, so that the ordered words are made once for all that needs them
+    facts = F.get(F.transform(F.array(_ordered(F.col("_norm"), tiers)), lambda s: F.struct(F.size(s).alias("n"), _parity(s).alias("bits"), F.when(F.size(s) >= min_words, _prefix(s)).alias("pairs"))), F.lit(0))
+    marks = classes.select("_id", "_pos", facts.alias("s")).select("_id", "_pos", F.col("s.n").alias("n"), F.col("s.bits").alias("bits"), F.explode("s.pairs").alias("p"))
+    # position, size and place share a number: a mark is an id and three numbers
+    packed = F.shiftleft(F.col("_pos").cast("long"), 42).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 21)).bitwiseOR(F.col("p.i").cast("long"))
+    marks = marks.select(F.col("p.pair").alias("pair"), F.col("_id").alias("id"), packed.alias("at"), "bits")
     by = W.partitionBy("pair")
-    mark = lambda c: F.struct(F.col(f"{c}.id").alias("id"), F.shiftright(F.col(f"{c}.at"), 42).cast("int").alias("pos"), F.shiftright(F.col(f"{c}.at"), 21).bitwiseAND(F.lit(2**21 - 1)).cast("int").alias("n"), F.col(f"{c}.at").bitwiseAND(F.lit(2**21 - 1)).cast("int").alias("i"))
-    shared = marks.select("pair", "id", "at").withColumns({"y": F.min(F.struct("id", "at")).over(by), "k": F.count(F.lit(1)).over(by)}).filter("k > 1")
-    shared = materialize(shared.select("pair", "k", F.struct("id", "at").alias("x"), "y").select("pair", "k", mark("x").alias("x"), mark("y").alias("y")), f"{path}/shared")
-    key = lambda c, x: [F.col(f"{c}.id").alias(f"{x}_id"), F.col(f"{c}.pos").alias(f"{x}_pos")]
-    fits = _may_match(F.col("x.n"), F.col("x.i"), F.col("y.n"), F.col("y.i"))
-    other = ~(F.col("x.id").eqNullSafe(F.col("y.id")) & (F.col("x.pos") == F.col("y.pos")))
-    members = materialize(shared.select(*key("x", "m")).distinct(), f"{path}/members")
-    few = F.broadcast(members) if members.count() <= MEMBERS else members
-    texts = materialize(classes.join(few, F.col("f._id").eqNullSafe(F.col("m_id")) & (F.col("f._pos") == F.col("m_pos")), "left_semi").select("f", "_norm"), f"{path}/texts")
-    gone = materialize(_similar(shared.filter(other & fits).select(*key("x", "x"), *key("y", "y")).distinct(), texts), f"{path}/gone1")
+    shared = marks.withColumns({"y": F.min(F.struct("id", "at", "bits")).over(by), "k": F.count(F.lit(1)).over(by)}).filter("k > 1")
+    shared = materialize(shared.select("pair", "k", F.struct("id", "at", "bits").alias("x"), "y"), f"{path}/shared")
+    pos = lambda c: F.shiftright(F.col(f"{c}.at"), 42).cast("int")
+    size = lambda c: F.shiftright(F.col(f"{c}.at"), 21).bitwiseAND(F.lit(2**21 - 1))
+    place = lambda c: F.col(f"{c}.at").bitwiseAND(F.lit(2**21 - 1))
+    key = lambda c, x: [F.col(f"{c}.id").alias(f"{x}_id"), pos(c).alias(f"{x}_pos")]
+    differ = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    fits = _may_match(size("x"), place("x"), size("y"), place("y")) & (differ * (NUM + DEN) <= (size("x") + size("y")) * (DEN - NUM))
+    other = ~(F.col("x.id").eqNullSafe(F.col("y.id")) & (pos("x") == pos("y")))
+    pairs = materialize(shared.filter(other & fits).select(*key("x", "x"), *key("y", "y")).distinct(), f"{path}/pairs1")
+    gone = materialize(_similar(pairs, _texts(pairs, lines, f"{path}/1")), f"{path}/gone1")
     # lines that stay so far meet every line before them in their groups but the first
-    apart = shared.filter("k > 2").join(gone, F.col("x.id").eqNullSafe(F.col("a_id")) & (F.col("x.pos") == F.col("a_pos")), "left_anti").filter(other).select("pair", "x")
+    apart = shared.filter("k > 2").join(gone, F.col("x.id").eqNullSafe(F.col("a_id")) & (pos("x") == F.col("a_pos")), "left_anti").filter(other).select("pair", "x")
     before = shared.filter("k > 2").filter(other).select("pair", F.col("x").alias("y"))
-    late = (F.struct("x.id", "x.pos") > F.struct("y.id", "y.pos")) & fits
-    more = apart.join(before, "pair").filter(late).select(*key("x", "x"), *key("y", "y")).distinct()
-    gone = materialize(gone.unionByName(_similar(more, texts)).distinct(), f"{path}/gone")
-    # of each class: is its first line gone too? Only classes of several lines or with a match matter.
-    whole = classes.filter(F.size(F.array_distinct(F.split("_norm", " "))) >= min_words)
-    fate = whole.select("_h1", "_h2", "f", "k").join(gone, F.col("f._id").eqNullSafe(F.col("a_id")) & (F.col("f._pos") == F.col("a_pos")), "left").withColumn("all", F.col("a_pos").isNotNull())
-    fate = materialize(fate.filter("k > 1 or all").select("_h1", "_h2", "f", "all"), f"{path}/fate")
-    lost = lines.select("_id", "_pos", "_h1", "_h2").join(F.broadcast(fate) if fate.count() <= MEMBERS else fate, ["_h1", "_h2"]).filter(F.col("all") | ~(F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("_pos") == F.col("f._pos"))))
-    return lost.groupBy("_id").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
+    late = F.struct(F.col("x.id"), pos("x")) > F.struct(F.col("y.id"), pos("y"))
+    pairs = materialize(apart.join(before, "pair").filter(late & fits).select(*key("x", "x"), *key("y", "y")).distinct(), f"{path}/pairs2")
+    gone = materialize(gone.unionByName(_similar(pairs, _texts(pairs, lines, f"{path}/2"))).distinct(), f"{path}/gone")
+    # a line is lost if its class's first line is, or if it is not the first
+    lost_first = lines.select("_id", "_pos", "_h1", "_h2").join(short_list(gone, gone.count()), F.col("_id").eqNullSafe(F.col("a_id")) & (F.col("_pos") == F.col("a_pos")), "left_semi").select("_h1", "_h2").distinct()
+    lost_first = materialize(lost_first, f"{path}/lost")
+    whole = F.size(F.array_distinct(F.split("_norm", " "))) >= min_words
+    # the words are counted after the join: the test names its right side, so that it is not pushed below
+    again = lines.join(short_list(repeated, repeated.count()), ["_h1", "_h2"]).filter(~first & (whole | F.col("f").isNull())).select("_id", "_pos")
+    with_first = lines.join(short_list(lost_first, lost_first.count()), ["_h1", "_h2"], "left_semi").select("_id", "_pos")
+    return again.unionByName(with_first).groupBy("_id").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
+
+
+def _texts(pairs: DataFrame, lines: DataFrame, path: str) -> DataFrame:
+    """The lines that occur in pairs."""
+    members = materialize(pairs.select(F.col("x_id").alias("m_id"), F.col("x_pos").alias("m_pos")).union(pairs.select("y_id", "y_pos")).distinct(), f"{path}-members")
+    few = F.broadcast(members) if members.count() <= MEMBERS else members
+    return materialize(lines.select("_id", "_pos", "_norm").join(few, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_pos") == F.col("m_pos")), "left_semi"), f"{path}-texts")
 
 
 def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
