@@ -100,7 +100,7 @@ def fit_ordinal(of: np.ndarray, word: np.ndarray, n_words: int, grade: np.ndarra
     return pw, np.maximum.accumulate(pt)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_labelled: int = 8000, min_docs: int = 4, evidence: float = 25.0, clean_weight: float = 10.0) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_labelled: int = 5000, min_docs: int = 4, evidence: float = 25.0, clean_weight: float = 10.0) -> OrdinalModel:
     """Fits on at most max_labelled labelled documents, chosen by the hash of their ids, half of them toxic at most.
 
     Executors send feature hashes, not texts. A fifth of the documents only helps to set the cut, where the share of toxic
