@@ -82,6 +82,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a folder of materialize() that nothing reads any more."""
+    _remove(spark, path)
+
+
 def materialize(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """Cuts the lineage by way of Parquet in the shared folder; a lost executor takes nothing with it."""
     df.write.mode("overwrite").option("compression", compression).parquet(path)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, ascii_lower, fresh, materialize, text_of, work_dir
+from .common import WORD_GAP, ascii_lower, drop, fresh, materialize, text_of, work_dir
 
 MIN_WORDS = 5
 NUM, DEN = 4, 5
@@ -91,12 +91,19 @@ def _parity(s: Column) -> Column:
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, frequent: int = FREQUENT) -> DataFrame:
+    """_removals(), written once; what led to it is deleted."""
+    path, out = work_dir(docs.sparkSession), work_dir(docs.sparkSession)
+    gone = materialize(_removals(docs, path, id_col, text_col, min_words, frequent), out)
+    drop(docs.sparkSession, path)
+    return gone
+
+
+def _removals(docs: DataFrame, path: str, id_col: str, text_col: str, min_words: int, frequent: int) -> DataFrame:
     """(_id, _gone): for each document that loses lines, their positions, sorted.
 
     Texts of lines are written once and shuffled only for lines that filters leave as candidates; else keys and marks
     of fixed width move. Lists of repeated or matching lines are broadcast if counted to be short, else shuffled.
     """
-    path = work_dir(docs.sparkSession)
     lines = materialize(lines_of(docs, id_col, text_col, min_words), f"{path}/lines")
     repeated = lines.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_pos")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("_h1", "_h2", "f")
     repeated = materialize(repeated, f"{path}/repeated")
@@ -158,7 +165,7 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without the lines that repeat earlier ones, with the columns of docs."""
     gone_id, gone_at = fresh(docs, "_gone_id", "_gone_at")
-    gone = materialize(removals(docs, id_col, text_col, **options).select(F.col("_id").alias(gone_id), F.col("_gone").alias(gone_at)), f"{work_dir(docs.sparkSession)}/gone")
+    gone = removals(docs, id_col, text_col, **options).select(F.col("_id").alias(gone_id), F.col("_gone").alias(gone_at))
     joined = docs.join(F.broadcast(gone) if gone.count() <= 100_000 else gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone_at, i)), "\n")

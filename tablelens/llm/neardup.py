@@ -282,7 +282,10 @@ def connected(edges: DataFrame, path: str, most_rounds: int = 60) -> DataFrame:
 
 def components(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """Per document: the id, n_shingles, component_id, kept, text_key."""
-    path = work_dir(docs.sparkSession)
+    return _components(docs, work_dir(docs.sparkSession), k, id_col, text_col, num, den)
+
+
+def _components(docs: DataFrame, path: str, k: int, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
     sig = materialize(sketches(docs, k, id_col, text_col), f"{path}/sig")
     classes = materialize(sig.filter("n > 0").groupBy("node", "n").agg(F.min(F.struct("_id", "tkey")).alias("rep"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), f"{path}/classes")
     rows = classes.select("node", F.explode("bands").alias("band"))
@@ -308,6 +311,7 @@ def components(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: st
 
 def clean(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """The documents but for all of each component that are not its smallest id, with the columns of docs."""
-    path = work_dir(docs.sparkSession)
-    gone = materialize(components(docs, k, id_col, text_col, num, den).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_key").alias("_gkey")).distinct(), f"{path}/gone")
+    path, out = work_dir(docs.sparkSession), work_dir(docs.sparkSession)
+    gone = materialize(_components(docs, path, k, id_col, text_col, num, den).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_key").alias("_gkey")).distinct(), out)
+    drop(docs.sparkSession, path)
     return docs.join(F.broadcast(gone) if gone.count() <= IDS else gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (row_key(text_of(text_col)) == F.col("_gkey")), "left_anti")
