@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, text_of, work_dir
+from .common import drop, materialize, row_key, text_of, work_dir
 from .textfeat import hashes, owners, slices, tokens
 
 K = 5
