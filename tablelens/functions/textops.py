@@ -11,6 +11,11 @@ WIDE_BLANK = r"[\p{Z}\x{85}&&[^\x00-\x7f]]"
 EDGES = rf"^{BLANK}+|{BLANK}+\z"
 
 
+def named(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def cut(c: Column) -> Column:
     """The text without blanks at its edges."""
     return F.regexp_replace(c, EDGES, "")

@@ -52,7 +52,7 @@ def numbers(r: dict) -> Numbers:
 
 
 def stamp_facts(c: Column) -> dict[str, Column]:
-    return {"total": F.count(c), "first": F.min(c), "fine": F.max((F.call_function("unix_micros", c.cast("timestamp")) % 1000).cast("int")), "timed": F.count_if(infer.has_time(c))}
+    return {"total": F.count(c), "first": F.min(c), "fine": F.max((F.call_function("unix_micros", c.cast("timestamp_ltz")) % 1000).cast("int")), "timed": F.count_if(infer.has_time(c))}
 
 
 def stamps(r: dict) -> Stamps:
@@ -63,7 +63,7 @@ def stamps(r: dict) -> Stamps:
 
 def _plan(field: T.StructField, analysis: infer.Analysis | None, trim: bool) -> tuple[str, dict[str, Column]]:
     """What to measure of a column: a kind and its facts."""
-    c, t = F.col(field.name), field.dataType
+    c, t = textops.named(field.name), field.dataType
     if isinstance(t, T.BooleanType):
         return "boolean", {}
     if isinstance(t, T.DateType):
@@ -116,12 +116,12 @@ def column_types(df: DataFrame, to: str = "sqlserver", trim_strings: bool = Fals
     """A type for each column but the source row number, from the analysis of text columns and one aggregate for all."""
     d = dialect(to)
     fields = [f for f in df.schema.fields if f.name != ROW]
-    found = infer.analyze(df.select(*[f.name for f in fields]), strip_blanks=trim_strings)
+    found = infer.analyze(df.select(*[textops.named(f.name) for f in fields]), strip_blanks=trim_strings)
     plans = [_plan(f, found.get(f.name), trim_strings) for f in fields]
     row: dict = {}
     for i in range(0, len(fields), infer.CHUNK):
         part = range(i, min(i + infer.CHUNK, len(fields)))
-        wanted = [F.count(F.lit(1)).alias("n"), *[F.count(textops.strip(F.col(fields[j].name)) if trim_strings and isinstance(fields[j].dataType, T.StringType) else F.col(fields[j].name)).alias(f"{j}|full") for j in part], *[x.alias(f"{j}|{k}") for j in part for k, x in plans[j][1].items()]]
+        wanted = [F.count(F.lit(1)).alias("n"), *[F.count(textops.strip(textops.named(fields[j].name)) if trim_strings and isinstance(fields[j].dataType, T.StringType) else textops.named(fields[j].name)).alias(f"{j}|full") for j in part], *[x.alias(f"{j}|{k}") for j in part for k, x in plans[j][1].items()]]
         row |= df.agg(*wanted).first().asDict()
     out: list[ColumnType] = []
     for j, f in enumerate(fields):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import casts
+from ..functions import casts, textops
 from . import infer
 from .profile import ROW
 
@@ -45,9 +45,9 @@ def suggest_casts(df: DataFrame, threshold: float = infer.SUGGEST, with_samples:
             continue
         samples: tuple[str, ...] = ()
         if with_samples:
-            some = df.filter(F.col(f.name).isNotNull())
+            some = df.filter(textops.named(f.name).isNotNull())
             some = some.orderBy(ROW) if ROW in df.columns else some
-            samples = tuple(r[0] for r in some.select(F.col(f.name).cast("string")).limit(3).collect())
+            samples = tuple(r[0] for r in some.select(textops.named(f.name).cast("string")).limit(3).collect())
         if f.name not in found:
             out.append(Suggestion(f.name, f.dataType.simpleString(), None, samples=samples))
             continue
@@ -63,9 +63,9 @@ def apply(df: DataFrame, specs: list[CastSpec], where: str | None = None) -> Dat
     cols = [F.col(ROW)] if ROW in df.columns and all(s.source != ROW for s in specs) else []
     for s in specs:
         if s.source in text:
-            c = casts.typed(F.col(s.source), s.cast_to, s.date_format, s.via_timestamp, s.strip_blanks, s.strict)
+            c = casts.typed(textops.named(s.source), s.cast_to, s.date_format, s.via_timestamp, s.strip_blanks, s.strict)
         else:
-            c = F.col(s.source) if not s.cast_to else F.col(s.source).cast(s.cast_to) if s.strict else F.col(s.source).try_cast(s.cast_to.replace("VARCHAR", "string").replace("TIMESTAMP", "timestamp_ntz"))
+            c = textops.named(s.source) if not s.cast_to else textops.named(s.source).cast(s.cast_to) if s.strict else textops.named(s.source).try_cast(s.cast_to.replace("VARCHAR", "string").replace("TIMESTAMP", "timestamp_ntz"))
         cols.append(c.alias(s.target))
     return source.select(*cols)
 

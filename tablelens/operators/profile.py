@@ -58,12 +58,12 @@ def temporal_facts(c: Column, as_of: Column) -> dict[str, Column]:
 
 def top_values(df: DataFrame, column: str, n: int = 3) -> DataFrame:
     """(value, count): the most frequent values as text, ties by text."""
-    return df.filter(F.col(column).isNotNull()).groupBy(as_text(F.col(column), df.schema[column].dataType).alias("value")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.asc("value")).limit(n)
+    return df.filter(textops.named(column).isNotNull()).groupBy(as_text(textops.named(column), df.schema[column].dataType).alias("value")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.asc("value")).limit(n)
 
 
 def facts(df: DataFrame, column: str, as_of: Column | None = None) -> DataFrame:
     """One row: every metric of the column's kind that a single pass gives."""
-    c, kind = F.col(column), kind_of(df.schema[column].dataType)
+    c, kind = textops.named(column), kind_of(df.schema[column].dataType)
     wanted = common_facts(c)
     if kind == "numeric":
         wanted |= numeric_facts(c)
@@ -77,12 +77,12 @@ def facts(df: DataFrame, column: str, as_of: Column | None = None) -> DataFrame:
 def outliers(df: DataFrame, column: str, q1: float, q3: float) -> DataFrame:
     """Rows outside 1.5 interquartile ranges beyond the quartiles."""
     spread = 1.5 * (q3 - q1)
-    return df.filter((F.col(column) < q1 - spread) | (F.col(column) > q3 + spread))
+    return df.filter((textops.named(column) < q1 - spread) | (textops.named(column) > q3 + spread))
 
 
 def first_rows(df: DataFrame, column: str, lengths: dict[str, int]) -> dict[str, int | None]:
     """The smallest source row whose text has each of the lengths."""
-    row = df.agg(*[F.min(F.when(F.length(column) == n, F.col(ROW))).alias(k) for k, n in lengths.items()]).first()
+    row = df.agg(*[F.min(F.when(F.length(textops.named(column)) == n, F.col(ROW))).alias(k) for k, n in lengths.items()]).first()
     return row.asDict()
 
 
@@ -96,7 +96,7 @@ def profile(df: DataFrame, column: str, as_of: dt.datetime | None = None) -> dic
     kind = kind_of(t)
     row = facts(df, column, None if as_of is None else F.lit(as_of)).first().asDict()
     n, full = row["row_count"], row["non_null_count"]
-    ends = df.agg(as_text(F.min(column), t).alias("a"), as_text(F.max(column), t).alias("b")).first() if kind != "other" else (None, None)
+    ends = df.agg(as_text(F.min(textops.named(column)), t).alias("a"), as_text(F.max(textops.named(column)), t).alias("b")).first() if kind != "other" else (None, None)
     out: dict[str, Any] = {"column": column, "kind": kind, "type": t.simpleString(), "row_count": n, "non_null_count": full, "null_count": n - full, "distinct_count": row["distinct_count"], "min": ends[0], "max": ends[1], "fill_pct": _share(full, n), "cardinality_pct": _share(row["distinct_count"], n)}
     out["top_values"] = [{"value": r["value"], "count": r["count"], "pct": _share(r["count"], full)} for r in top_values(df, column).collect()]
     if kind == "numeric":
@@ -117,6 +117,6 @@ def profile(df: DataFrame, column: str, as_of: dt.datetime | None = None) -> dic
 def summarize(df: DataFrame) -> DataFrame:
     """(column_name, column_type, row_count, null_count, distinct_count, min, max): a row per column, one pass."""
     cols = [c for c in df.columns if kind_of(df.schema[c].dataType) != "other"]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[x for c in cols for x in (F.count(c).alias(f"{c}|k"), F.count_distinct(c).alias(f"{c}|d"), as_text(F.min(c), df.schema[c].dataType).alias(f"{c}|a"), as_text(F.max(c), df.schema[c].dataType).alias(f"{c}|b"))]).first()
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[x for c in cols for x in (F.count(textops.named(c)).alias(f"{c}|k"), F.count_distinct(textops.named(c)).alias(f"{c}|d"), as_text(F.min(textops.named(c)), df.schema[c].dataType).alias(f"{c}|a"), as_text(F.max(textops.named(c)), df.schema[c].dataType).alias(f"{c}|b"))]).first()
     rows = [(c, df.schema[c].dataType.simpleString(), row["n"], row["n"] - row[f"{c}|k"], row[f"{c}|d"], row[f"{c}|a"], row[f"{c}|b"]) for c in cols]
     return df.sparkSession.createDataFrame(rows, "column_name string, column_type string, row_count long, null_count long, distinct_count long, min string, max string")
