@@ -7,8 +7,8 @@ order: each word that only one of two lines has breaks at most two of the pairs
 lines of n words as similar as that share one of their first floor(0.4 n) + 1 pairs. Neighbour pairs stay rare as
 the corpus grows, where single words do not. Length and positional filters and a bound from 64 parity bits of the words, then the words themselves, decide.
 
-In each pair's group a class meets the group's earliest first; only classes that do not match it meet the
-others before them. A group of thousands of variants of one line thus costs as many comparisons as members.
+In each pair's group a class meets the group's earliest first; only classes that do not match it meet the next few, and
+only what then stays meets all before it. A group of thousands of variants of one line thus costs few comparisons a member.
 
 Edge cases: lines of fewer than ``min_words`` distinct words are never removed and remove nothing; a null text
 stays null; an emptied text is the empty string; lines are ordered by (id, position); rows that repeat an id are versions
@@ -29,6 +29,8 @@ NUM, DEN = 4, 5
 FREQUENT = 2048
 #: A list of lines is broadcast up to this many, else joined by a shuffle.
 MEMBERS = 500_000
+#: A line that its group's first does not match meets this many of the group before it meets all.
+HEADS = 16
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -118,8 +120,8 @@ def _removals(docs: DataFrame, path: str, id_col: str, text_col: str, min_words:
     packed = F.shiftleft(F.col("_pos").cast("long"), 42).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 21)).bitwiseOR(F.col("p.i").cast("long"))
     marks = marks.select(F.col("p.pair").alias("pair"), F.col("_id").alias("id"), packed.alias("at"), "bits")
     by = W.partitionBy("pair")
-    shared = marks.withColumns({"y": F.min(F.struct("id", "at", "bits")).over(by), "k": F.count(F.lit(1)).over(by)}).filter("k > 1")
-    shared = materialize(shared.select("pair", "k", F.struct("id", "at", "bits").alias("x"), "y"), f"{path}/shared")
+    shared = marks.withColumns({"y": F.min(F.struct("id", "at", "bits")).over(by), "k": F.count(F.lit(1)).over(by), "rank": F.row_number().over(by.orderBy("id", "at"))}).filter("k > 1")
+    shared = materialize(shared.select("pair", "k", "rank", F.struct("id", "at", "bits").alias("x"), "y"), f"{path}/shared")
     pos = lambda c: F.shiftright(F.col(f"{c}.at"), 42).cast("int")
     size = lambda c: F.shiftright(F.col(f"{c}.at"), 21).bitwiseAND(F.lit(2**21 - 1))
     place = lambda c: F.col(f"{c}.at").bitwiseAND(F.lit(2**21 - 1))
@@ -129,12 +131,14 @@ def _removals(docs: DataFrame, path: str, id_col: str, text_col: str, min_words:
     other = ~(F.col("x.id").eqNullSafe(F.col("y.id")) & (pos("x") == pos("y")))
     pairs = materialize(shared.filter(other & fits).select(*key("x", "x"), *key("y", "y")).distinct(), f"{path}/pairs1")
     gone = materialize(_similar(pairs, _texts(pairs, lines, f"{path}/1")), f"{path}/gone1")
-    # lines that stay so far meet every line before them in their groups but the first
-    apart = shared.filter("k > 2").join(gone, F.col("x.id").eqNullSafe(F.col("a_id")) & (pos("x") == F.col("a_pos")), "left_anti").filter(other).select("pair", "x")
-    before = shared.filter("k > 2").filter(other).select("pair", F.col("x").alias("y"))
+    # lines that stay so far meet the next HEADS lines of their groups, and what then stays all lines before it
     late = F.struct(F.col("x.id"), pos("x")) > F.struct(F.col("y.id"), pos("y"))
-    pairs = materialize(apart.join(before, "pair").filter(late & fits).select(*key("x", "x"), *key("y", "y")).distinct(), f"{path}/pairs2")
-    gone = materialize(gone.unionByName(_similar(pairs, _texts(pairs, lines, f"{path}/2"))).distinct(), f"{path}/gone")
+    for turn, (groups, ranks) in enumerate((("k > 2", f"rank between 2 and {HEADS}"), (f"k > {HEADS}", f"rank > {HEADS}")), 2):
+        rest = shared.filter(groups)
+        apart = rest.join(gone, F.col("x.id").eqNullSafe(F.col("a_id")) & (pos("x") == F.col("a_pos")), "left_anti").filter("rank > 2").select("pair", "x")
+        before = rest.filter(ranks).select("pair", F.col("x").alias("y"))
+        pairs = materialize(apart.join(before, "pair").filter(late & fits).select(*key("x", "x"), *key("y", "y")).distinct(), f"{path}/pairs{turn}")
+        gone = materialize(gone.unionByName(_similar(pairs, _texts(pairs, lines, f"{path}/{turn}"))).distinct(), f"{path}/gone{turn}")
     # a line is lost if its class's first line is, or if it is not the first
     lost_first = lines.select("_id", "_pos", "_h1", "_h2").join(short_list(gone, gone.count()), F.col("_id").eqNullSafe(F.col("a_id")) & (F.col("_pos") == F.col("a_pos")), "left_semi").select("_h1", "_h2").distinct()
     lost_first = materialize(lost_first, f"{path}/lost")
