@@ -149,11 +149,11 @@ def derive_roundtrip_events(spark, sf_dir):
     return derive.auto_derive(_as_texts(_t(spark, sf_dir, "events"))).withColumn("value", F.col("value").cast("double"))
 
 
-@query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_totalprice AS price FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_totalprice AS price FROM orders WHERE o_totalprice > 250000 AND o_orderstatus <> 'P'")
 def derive_apply_where(spark, sf_dir):
     df = _as_texts(_t(spark, sf_dir, "orders"))
     specs = [derive.CastSpec("o_orderkey", "id", "BIGINT"), derive.CastSpec("o_orderdate", "day", "DATE", via_timestamp=True), derive.CastSpec("o_totalprice", "price", "DOUBLE")]
-    return derive.apply(df, specs, "cast(o_orderkey as int) < 500")
+    return derive.apply(df, specs, "cast(o_totalprice as double) > 250000 and o_orderstatus <> 'P'")
 
 
 @query("SELECT event_id, ts::TIMESTAMP AS stamp FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
@@ -186,10 +186,13 @@ def ddl_stamp_facts(spark, sf_dir):
     return _t(spark, sf_dir, "events").agg(*[facts[k].alias(k) for k in ("total", "first", "timed")])
 
 
-@query("SELECT * FROM (VALUES ('p_partkey', 'smallint', false), ('p_name', 'varchar', false), ('p_size', 'tinyint', false)) t(source, sql_type, nullable)")
+_FIT = "CASE WHEN min({c}) >= 0 AND max({c}) <= 255 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint' WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'integer' ELSE 'bigint' END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS source, {t} AS sql_type, count(*) <> count({c}) AS nullable FROM part" for c, t in (("p_partkey", _FIT.format(c="p_partkey")), ("p_name", "'varchar'"), ("p_size", _FIT.format(c="p_size")))))
 def ddl_types_part(spark, sf_dir):
-    df = _t(spark, sf_dir, "part").filter("p_partkey < 2000").select("p_partkey", "p_name", "p_size")
-    return spark.createDataFrame([(c.source, c.sql_type, c.nullable) for c in ddl.column_types(df, "duckdb")], "source string, sql_type string, nullable boolean")
+    found = ddl.column_types(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "duckdb")
+    return spark.createDataFrame([(c.source, c.sql_type, c.nullable) for c in found], "source string, sql_type string, nullable boolean")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE CAST(o_totalprice AS VARCHAR) END AS amount, CASE WHEN o_orderkey % 10 = 0 THEN 'NA' ELSE o_orderstatus END AS status FROM orders")
@@ -212,10 +215,10 @@ def row_window(spark, sf_dir):
     return df.withColumn(ROW, F.col(ROW) + first).filter((F.col(ROW) > 100) & (F.col(ROW) <= 150))
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 100")
+@query("SELECT c_custkey, c_acctbal FROM customer")
 def sort_numeric_aware(spark, sf_dir):
     df = _t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").withColumn("t", casts.number_text(F.col("c_acctbal")))
-    return df.orderBy(F.col("t").try_cast("double").desc_nulls_last(), "c_custkey").limit(100).drop("t")
+    return df.orderBy(F.col("t").try_cast("double").desc_nulls_last(), "c_custkey").drop("t")
 
 
 @query("SELECT n_nationkey, unnest(['n_name', 'n_regionkey']) AS name, unnest([n_name, CAST(n_regionkey AS VARCHAR)]) AS value FROM nation")
@@ -224,11 +227,11 @@ def row_pivot(spark, sf_dir):
     return df.unpivot(["n_nationkey"], ["n_name", "n_regionkey"], "name", "value")
 
 
-@query("SELECT e.event_id, e.user_id, e.ts, p.value AS last_value FROM (SELECT * FROM events WHERE event_id % 2 = 0) e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_id % 2 = 1 GROUP BY ALL) p ON e.user_id = p.user_id AND e.ts >= p.ts")
+@query("SELECT e.event_id, e.user_id, e.ts, p.value AS last_purchase FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY ALL) p ON e.user_id = p.user_id AND e.ts >= p.ts")
 def sql_asof_join(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
-    right = e.filter("event_id % 2 = 1").groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
-    return shims.asof_join(e.filter("event_id % 2 = 0").select("event_id", "user_id", "ts"), right, "user_id", "ts", ["last_value"])
+    right = e.filter("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_purchase"))
+    return shims.asof_join(e.select("event_id", "user_id", "ts"), right, "user_id", "ts", ["last_purchase"])
 
 
 @query("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_orderdate FROM orders ORDER BY o_custkey, o_orderdate DESC, o_orderkey")
