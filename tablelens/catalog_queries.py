@@ -13,6 +13,7 @@ from .functions import casts, textops
 from .operators import ddl, derive, infer, profile
 from .operators.profile import ROW
 from .plans import shims
+from .plans.sqlrun import Runner
 from .sources import parquet, tokens
 from .streaming import windows
 
@@ -48,6 +49,18 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
     _SQL[name] = oracle or plain
 
 
+def same_text(name: str, text: str) -> None:
+    """A query whose text both engines get, here by way of the rewrites of user SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Runner(spark).query(text, **{n: _t(spark, sf_dir, n) for n in NAMES if "{" + n + "}" in text})
+
+    _QUERIES[name] = run
+    _SQL[name] = text
+    for n in NAMES:
+        _SQL[name] = _SQL[name].replace("{" + n + "}", n)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
@@ -295,3 +308,19 @@ sql_query("sql_unnest", "SELECT vec_id, posexplode.pos + 1 AS i, round(CAST(pose
 sql_query("sql_conditional", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'P'), '-') AS st FROM {orders}")
 sql_query("sql_struct", "SELECT n_nationkey, s.a AS a, s.b AS b FROM (SELECT n_nationkey, named_struct('a', n_name, 'b', n_regionkey) AS s FROM {nation})", "SELECT n_nationkey, s.a AS a, s.b AS b FROM (SELECT n_nationkey, {'a': n_name, 'b': n_regionkey} AS s FROM nation)")
 sql_query("sql_values_distinct", "SELECT DISTINCT a, b FROM VALUES (1, 'x'), (1, 'x'), (2, 'y') AS t(a, b)", "SELECT DISTINCT a, b FROM (VALUES (1, 'x'), (1, 'x'), (2, 'y')) AS t(a, b)")
+
+
+# user SQL in the workbench's own dialect
+same_text("surface_qualify", "SELECT o_orderkey, o_custkey FROM {orders} WHERE o_totalprice > 1000 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+same_text("surface_qualify_grouped", "SELECT o_custkey, o_orderpriority, count(*) AS n FROM {orders} GROUP BY o_custkey, o_orderpriority QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC) = 1")
+same_text("surface_distinct_on", "SELECT k, day FROM (SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey AS k, o_orderdate AS day FROM {orders} ORDER BY o_custkey, o_orderdate DESC, o_orderkey) t")
+same_text("surface_exclude", 'SELECT * EXCLUDE (c_acctbal), c_custkey // 7 AS "week of" FROM {customer} -- a comment')
+same_text("surface_regexp", r"SELECT p_partkey, regexp_replace(p_name, '[aeiou]', '<\0>') AS one, regexp_replace(p_name, '([a-z])([a-z])', '\2\1', 'g') AS every, regexp_extract(p_type, '\w+') AS first_word, regexp_matches(p_brand, '\d') AS digit, regexp_full_match(p_brand, '\w+#\d+') AS whole FROM {part}")
+same_text("surface_strings", "SELECT p_partkey, CAST(strlen(p_name) AS BIGINT) AS bytes, CAST(strpos(p_name, 'a') AS BIGINT) AS at, starts_with(p_type, 'S') AS s, array_to_string(string_split(p_name, ' '), '|') AS parts, sha256(p_name) AS h, CAST(unicode(p_name) AS BIGINT) AS u, round(jaccard(p_name, p_type), 6) AS j, CAST(levenshtein(p_name, p_type) AS BIGINT) AS lev, 'it''s' AS quoted FROM {part}")
+same_text("surface_dates", "SELECT event_id, strftime(ts, '%Y/%m/%d %H:%M:%S at %j') AS text, date_diff('hour', TIMESTAMP '2024-01-01 00:30:00', ts) AS hours, date_diff('week', TIMESTAMP '2024-01-03 00:30:00', ts) AS weeks, CAST(dayofweek(ts) AS BIGINT) AS dow, CAST(isodow(ts) AS BIGINT) AS iso, CAST(yearweek(ts) AS BIGINT) AS yw, epoch_ms(ts) AS ms, CAST(century(ts) AS BIGINT) AS c FROM {events}")
+same_text("surface_buckets", "SELECT time_bucket(INTERVAL '7' DAY, ts) AS week, time_bucket(INTERVAL '25' MINUTE, ts) AS part, count(*) AS n FROM {events} GROUP BY ALL")
+same_text("surface_math", "SELECT p_partkey, CAST(gcd(p_partkey, p_size) AS BIGINT) AS g, CAST(lcm(p_partkey, p_size) AS BIGINT) AS l, even(p_retailprice) AS e, isfinite(p_retailprice) AS f FROM {part}")
+same_text("surface_lists", "SELECT vec_id, round(list_cosine_similarity(embedding, list_transform(embedding, lambda x: x + 1)), 4) AS cos, round(list_distance(embedding, embedding), 4) AS zero, CAST(list_position(list_sort([3, 1, 2]), 2) AS BIGINT) AS at, round(CAST(embedding[1] AS DOUBLE), 5) AS first, round(list_sum(embedding[2:4]), 4) AS some, list_contains([1, 2], label) AS has FROM {embeddings}")
+same_text("surface_structs", "SELECT n_nationkey, s.a AS a, s.b[2] AS b FROM (SELECT n_nationkey, {'a': n_name, 'b': [n_regionkey, n_nationkey]} AS s FROM {nation}) t")
+same_text("surface_aggregates", "SELECT l_returnflag, arg_max(l_orderkey * 10 + l_linenumber, l_orderkey * 10 + l_linenumber) AS a, round(quantile_cont(l_quantity, 0.3), 4) AS q, quantile_disc(l_quantity, 0.3) AS qd, round(skewness(l_extendedprice), 5) AS sk, round(kurtosis(l_extendedprice), 5) AS ku, round(sem(l_tax), 8) AS e, countif(l_tax > 0.05) AS n FROM {lineitem} GROUP BY l_returnflag")
+same_text("surface_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS ok FROM {events}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.profile import summarize
+from .dialect import SKIP, install, translate
 
 WINDOW = 500
 RESULT_WORDS = ("SELECT", "WITH", "FROM", "VALUES", "TABLE", "DESCRIBE", "SUMMARIZE")
-_SKIP = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
 
 
 def bare(sql: str) -> str:
@@ -29,7 +30,7 @@ def gives_rows(sql: str) -> bool:
 
 def statements(sql: str) -> list[str]:
     """The text cut at semicolons outside quotes and comments."""
-    masked = _SKIP.sub(lambda m: "x" * len(m[0]) if m[0][0] in "'\"`" else " " * len(m[0]), sql)
+    masked = SKIP.sub(lambda m: "x" * len(m[0]) if m[0][0] in "'\"`" else " " * len(m[0]), sql)
     out, start = [], 0
     for m in re.finditer(";", masked + ";"):
         if masked[start : m.start()].strip():
@@ -38,25 +39,6 @@ def statements(sql: str) -> list[str]:
     return out
 
 
-def translate(sql: str) -> str:
-    """Outside quotes: * exclude becomes * except, // becomes div, double-quoted names backticks, try_strptime stays for macros."""
-    out, last = [], 0
-    for m in _SKIP.finditer(sql):
-        out += [_code(sql[last : m.start()]), f"`{m[0][1:-1]}`" if m[0][0] == '"' else m[0]]
-        last = m.end()
-    return "".join([*out, _code(sql[last:])])
-
-
-def _code(s: str) -> str:
-    s = re.sub(r"\*\s*exclude\b", "* except", s, flags=re.IGNORECASE)
-    s = re.sub(r"//", " div ", s)
-    s = re.sub(r"\bstrlen\s*\(", "octet_length(", s, flags=re.IGNORECASE)
-    s = re.sub(r"\bregexp_matches\s*\(", "regexp_like(", s, flags=re.IGNORECASE)
-    for a, b in (("list_transform", "transform"), ("list_filter", "filter"), ("list_contains", "array_contains"), ("list_sort", "array_sort"), ("list_distinct", "array_distinct"), ("arg_max", "max_by"), ("arg_min", "min_by"), ("quantile_cont", "percentile"), ("group_concat", "listagg"), ("string_agg", "listagg"), ("strpos", "instr"), ("starts_with", "startswith"), ("ends_with", "endswith")):
-        s = re.sub(rf"\b{a}\s*\(", f"{b}(", s, flags=re.IGNORECASE)
-    return s
-
-
 def _typed(t: T.DataType) -> T.DataType:
     if isinstance(t, T.NullType):
         return T.StringType()
@@ -89,22 +71,28 @@ class Runner:
     result: DataFrame | None = None
     tag: str = field(default_factory=lambda: f"sql-{uuid.uuid4().hex}")
 
-    def query(self, sql: str) -> DataFrame:
+    def query(self, sql: str, **tables: DataFrame) -> DataFrame:
+        """A statement that gives rows; tables stand in it as {name}."""
         text = translate(sql.strip().rstrip(";"))
+        install(self.spark, text)
         if m := re.match(r"summarize\s+(.*)", bare(text), re.IGNORECASE | re.DOTALL):
             source = m[1].strip()
             return summarize(self.spark.sql(source) if gives_rows(source) else self.spark.table(source))
-        return without_nulls_type(self.spark.sql(text))
+        return without_nulls_type(self.spark.sql(text, **tables))
 
-    def run(self, sql: str, window: int = WINDOW) -> dict:
-        """ok, columns, the first rows, row_count, truncated, elapsed_ms; or ok false and the error."""
+    def run(self, sql: str, window: int = WINDOW, change: Callable[[str], bool] | None = None) -> dict:
+        """Statements that give no rows are offered to change first. ok, columns, the first rows, row_count, truncated, elapsed_ms; or ok false and the error."""
         began = time.monotonic()
         self.drop()
         self.spark.addTag(self.tag)
         try:
             if not gives_rows(sql):
                 for one in statements(sql):
-                    self.spark.sql(translate(one)).collect()
+                    if change is not None and change(one):
+                        continue
+                    text = translate(one)
+                    install(self.spark, text)
+                    self.spark.sql(text).collect()
                 return {"ok": True, "columns": [], "rows": [], "row_count": 0, "truncated": False, "elapsed_ms": int(1000 * (time.monotonic() - began))}
             self.result = self.query(sql).persist()
             n = self.result.count()

@@ -12,6 +12,7 @@ from ..operators.naming import unique_name
 from ..operators.profile import ROW
 from ..sources import delimited, excel, parquet
 from ..sources.options import Load, Options, cleaned
+from . import dml
 from .sqlrun import Runner, json_safe, without_nulls_type
 
 
@@ -100,7 +101,31 @@ class Workspace:
         return True
 
     def run_sql(self, sql: str) -> dict:
-        return self.runner.run(sql)
+        """One query, or statements that change tables of the workspace; others go to the session."""
+        return self.runner.run(sql, change=self._change)
+
+    def _change(self, sql: str) -> bool:
+        """Tables are immutable DataFrames, so a change registers a new one under the name. False if the statement is none of these."""
+        change = dml.parse(sql)
+        if change is None:
+            return False
+        if change.verb == "create":
+            if change.name in self.tables and not change.replace:
+                if change.lenient:
+                    return True
+                raise ValueError(f"{change.name} exists")
+            self.register(change.name, self.runner.query(change.query), persist=change.table)
+        elif change.verb == "drop":
+            if not self.drop(change.name) and not change.lenient:
+                raise ValueError(f"{change.name} is unknown")
+        elif change.name not in self.tables:
+            return False
+        elif change.verb == "rename":
+            if not self.rename(change.name, change.query):
+                raise ValueError(f"{change.query} exists")
+        else:
+            self.register(change.name, dml.changed(self.tables[change.name], change, self.runner.query))
+        return True
 
     def cancel_sql(self) -> int:
         return self.runner.cancel()
