@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
 import uuid
@@ -12,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.profile import summarize
-from .dialect import SKIP, install, translate
+from ..operators.derive import auto_derive
+from ..operators.profile import ROW, summarize
+from ..sources import delimited, excel
+from .dialect import SKIP, by_name, files, install, translate
 
 WINDOW = 500
 RESULT_WORDS = ("SELECT", "WITH", "FROM", "VALUES", "TABLE", "DESCRIBE", "SUMMARIZE")
@@ -73,13 +76,37 @@ class Runner:
 
     def query(self, sql: str, **tables: DataFrame) -> DataFrame:
         """A statement that gives rows; tables stand in it as {name}."""
-        text = translate(sql.strip().rstrip(";"))
+        sql = sql.strip().rstrip(";")
+        first, *others = by_name(sql)
+        if others:
+            out = self.query(first[0], **tables)
+            for branch, keep in others:
+                out = out.unionByName(self.query(branch, **tables), allowMissingColumns=True)
+                out = out if keep else out.distinct()
+            return out
+        text = translate(self._with_files(sql))
         install(self.spark, text)
         if m := re.match(r"summarize\s+(.*)", bare(text), re.IGNORECASE | re.DOTALL):
             source = m[1].strip()
             return summarize(self.spark.sql(source) if gives_rows(source) else self.spark.table(source))
         return without_nulls_type(self.spark.sql(text, **tables))
 
+    def _with_files(self, sql: str) -> str:
+        """Files named in the statement become views. Columns of text files get types, as the dialect's reader gives them."""
+        for (start, end), kind, path in reversed(files(sql)):
+            if kind == "csv":
+                df = auto_derive(delimited.load(self.spark, path).df.drop(ROW))
+            elif kind == "xlsx":
+                df = auto_derive(excel.load_sheet(self.spark, path).df.drop(ROW))
+            elif kind in ("parquet", "json"):
+                df = self.spark.read.format(kind).load(path)
+            else:
+                raise ValueError(f"{path}: no reader for {kind}")
+            view = f"__file_{hashlib.md5(f'{kind}:{path}'.encode()).hexdigest()}"
+            df.createOrReplaceTempView(view)
+            sql = f"{sql[:start]} {view} {sql[end:]}"
+        return sql
+
     def run(self, sql: str, window: int = WINDOW, change: Callable[[str], bool] | None = None) -> dict:
         """Statements that give no rows are offered to change first. ok, columns, the first rows, row_count, truncated, elapsed_ms; or ok false and the error."""
         began = time.monotonic()

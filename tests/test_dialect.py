@@ -23,6 +23,7 @@ SAME = [
     "with q as (select a, b from (values (1, 2), (1, 3), (2, 5)) t(a, b) qualify rank() over (order by b desc) < 3) select sum(b) as s from q",
     "select distinct on (a) a, b from (values (1, 2), (1, 3), (2, 5)) t(a, b) order by a, b desc limit 1",
     "select sha256('x') as a, unicode('é') as b, json_valid('{\"a\": 1}') as c, json_valid('{') as d",
+    "select 7::varchar as a, cast(1.5 as decimal) as b, try_cast('x' as hugeint) as c, [1, 2]::bigint[] as d, cast(['1'] as int[]) as e, 12 as text",
     "select 'qualify \\n [x]' as \"select // *\"",
 ]
 
@@ -47,9 +48,20 @@ def test_calls_and_patterns():
     assert dialect.translate("select x -- [1]\n, `y[1]`") == "select x  \n, `y[1]`"
 
 
-def test_read_parquet(spark, tmp_path):
+def test_files_in_sql(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "p"))
-    assert Runner(spark).query(f"select sum(id) as s from read_parquet('{tmp_path}/p')").first()[0] == 3
+    (tmp_path / "a.csv").write_text("id,day\n1,2024-01-02\n2,2024-01-03\n")
+    r = Runner(spark)
+    assert r.query(f"select sum(id) as s from read_parquet('{tmp_path}/p')").first()[0] == 3
+    for text in (f"read_csv('{tmp_path}/a.csv')", f"'{tmp_path}/a.csv'"):
+        got = r.query(f"select a.id, max(day) as day from {text} a join read_parquet('{tmp_path}/p') p on a.id = p.id where 'from ''x.csv' <> '' group by a.id")
+        assert [f.dataType.simpleString() for f in got.schema.fields] == ["bigint", "date"] and got.count() == 2
+    assert not r.run("select * from 'x.docx'")["ok"]
+
+
+def test_union_by_name(spark):
+    got = Runner(spark).query("select 1 as a, 2 as b union all by name select 3 as b union by name select 1 as a, 2 as b")
+    assert sorted(got.collect(), key=str) == [(1, 2), (None, 3)] and got.columns == ["a", "b"]
 
 
 def test_parse_changes():
