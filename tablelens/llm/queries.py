@@ -111,5 +111,34 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 """
 
 
+OP9_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 3), lambda i: array_to_string(w[i + 1 : i + 4], ' ')) END)) AS sh FROM w),
+c AS (SELECT sh, CASE WHEN len(sh) = 0 THEN doc_id END AS alone, min(doc_id) AS class, len(sh) AS n FROM s GROUP BY ALL),
+u AS (SELECT class, n, unnest(sh) AS g FROM c),
+p AS (SELECT x.class AS a, y.class AS b FROM u x JOIN u y ON x.g = y.g AND x.class < y.class GROUP BY x.class, y.class, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT class AS d, class AS low FROM c UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.d),
+m AS (SELECT d, min(low) AS low FROM r GROUP BY d)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.low AS component_id, s.doc_id = m.low AS kept
+FROM s JOIN c ON s.sh = c.sh AND (c.alone IS NULL OR c.alone = s.doc_id) JOIN m ON m.d = c.class
+"""
+
+#: The plain prefix filter of single words; the operator's is of neighbour pairs.
+OP10_SQL = rf"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+l AS (SELECT doc_id, i AS pos, list_distinct(regexp_extract_all({_LOW.format("l[i + 1]")}, '{_WORD}')) AS w FROM t, unnest(range(len(l))) r(i)),
+c AS (SELECT list_sort(w) AS w, min((doc_id, pos)) AS low FROM l WHERE len(w) >= 5 GROUP BY 1),
+k AS (SELECT g, count(*) AS n FROM (SELECT unnest(w) AS g FROM c) GROUP BY g),
+o AS (SELECT low, w, g, row_number() OVER (PARTITION BY low ORDER BY n, g) AS place FROM (SELECT low, w, unnest(w) AS g FROM c) JOIN k USING (g)),
+x AS (SELECT low, w, g FROM o WHERE place <= len(w) - CAST(ceil(len(w) * 4 / 5) AS BIGINT) + 1),
+p AS (SELECT DISTINCT b.low AS later, a.w AS v, b.w AS w FROM x a JOIN x b ON a.g = b.g AND a.low < b.low AND len(a.w) * 5 >= len(b.w) * 4 AND len(b.w) * 5 >= len(a.w) * 4),
+h AS (SELECT DISTINCT later FROM (SELECT later, len(v) + len(w) AS n, len(list_intersect(v, w)) AS i FROM p) WHERE 5 * i >= 4 * (n - i)),
+g AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, list_sort(w) AS w FROM l) JOIN c USING (w) LEFT JOIN h ON h.later = c.low WHERE h.later IS NOT NULL OR (doc_id, pos) <> c.low),
+z AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM g GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed FROM t LEFT JOIN z USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_warc": OP5_SQL, "op6_mix": OP6_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_warc": OP5_SQL, "op6_mix": OP6_SQL, "op9_neardup": OP9_SQL, "op10_line_dedup": OP10_SQL}
