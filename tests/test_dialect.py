@@ -24,6 +24,7 @@ SAME = [
     "select distinct on (a) a, b from (values (1, 2), (1, 3), (2, 5)) t(a, b) order by a, b desc limit 1",
     "select sha256('x') as a, unicode('é') as b, json_valid('{\"a\": 1}') as c, json_valid('{') as d",
     "select 7::varchar as a, cast(1.5 as decimal) as b, try_cast('x' as hugeint) as c, [1, 2]::bigint[] as d, cast(['1'] as int[]) as e, 12 as text",
+    "select a, row_number() over () as n, count(*) over () as k from (values (5), (4), (6)) t(a)",
     "select 'qualify \\n [x]' as \"select // *\"",
 ]
 
