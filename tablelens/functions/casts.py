@@ -7,6 +7,7 @@ are safe in ANSI mode.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,8 +49,11 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 DAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
 
 
-def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(c, pattern, group).try_cast("int")
+def _read(c: Column, pattern: str, groups: list[int], body: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """What body makes of the groups of a text that matches, else null. The text is taken apart once, however often body names a group."""
+    parts = F.split(F.regexp_replace(c, pattern + r"[\s\S]*", ",".join(f"${g}" for g in groups)), ",", -1)
+    made = F.get(F.transform(F.array(parts), lambda p: body(lambda g: F.get(p, F.lit(groups.index(g))))), F.lit(0))
+    return F.when(c.rlike(pattern), made)
 
 
 def to_bigint(c: Column) -> Column:
@@ -77,20 +81,28 @@ def to_boolean(c: Column) -> Column:
 
 def to_timestamp(c: Column) -> Column:
     """The written wall time; a zone is dropped, and what follows the time after a blank is ignored."""
-    y, mo, d, h, mi, s = (_part(c, _STAMP, g) for g in (1, 3, 4, 5, 6, 7))
-    micros = F.rpad(F.substring(F.regexp_extract(c, _STAMP, 8), 1, 6), 6, "0").try_cast("int")
-    second = (F.coalesce(s, F.lit(0)) + F.coalesce(micros, F.lit(0)) / F.lit(1000000.0)).cast("decimal(16,6)")
-    hour = F.coalesce(h, F.lit(0))
-    midnight = (hour == 24) & (F.coalesce(mi, F.lit(0)) == 0) & (second == 0)
-    at = F.call_function("try_make_timestamp_ntz", y, mo, d, F.when(midnight, 0).otherwise(hour), F.coalesce(mi, F.lit(0)), second)
-    at = F.when(((hour < 24) | midnight) & (F.coalesce(mi, F.lit(0)) < 60) & (F.coalesce(s, F.lit(0)) < 60), at)
-    return F.when(c.rlike(_STAMP), F.when(midnight, at + F.expr("interval 1 day")).otherwise(at))
+
+    def made(group: Callable[[int], Column]) -> Column:
+        y, mo, d, h, mi, s = (group(g).try_cast("int") for g in (1, 3, 4, 5, 6, 7))
+        micros = F.rpad(F.substring(group(8), 1, 6), 6, "0").try_cast("int")
+        second = (F.coalesce(s, F.lit(0)) + F.coalesce(micros, F.lit(0)) / F.lit(1000000.0)).cast("decimal(16,6)")
+        hour = F.coalesce(h, F.lit(0))
+        midnight = (hour == 24) & (F.coalesce(mi, F.lit(0)) == 0) & (second == 0)
+        at = F.call_function("try_make_timestamp_ntz", y, mo, d, F.when(midnight, 0).otherwise(hour), F.coalesce(mi, F.lit(0)), second)
+        at = F.when(((hour < 24) | midnight) & (F.coalesce(mi, F.lit(0)) < 60) & (F.coalesce(s, F.lit(0)) < 60), at)
+        return F.when(midnight, at + F.expr("interval 1 day")).otherwise(at)
+
+    return _read(c, _STAMP, [1, 3, 4, 5, 6, 7, 8], made)
 
 
 def to_date(c: Column) -> Column:
-    y, mo, d = (_part(c, _DAY, g) for g in (1, 3, 4))
     zero = F.lit(0)
-    return F.when(c.rlike(_DAY), F.call_function("try_make_timestamp_ntz", y, mo, d, zero, zero, F.lit(0).cast("decimal(16,6)")).cast("date"))
+
+    def made(group: Callable[[int], Column]) -> Column:
+        y, mo, d = (group(g).try_cast("int") for g in (1, 3, 4))
+        return F.call_function("try_make_timestamp_ntz", y, mo, d, zero, zero, F.lit(0).cast("decimal(16,6)")).cast("date")
+
+    return _read(c, _DAY, [1, 3, 4], made)
 
 
 def is_iso_date(c: Column) -> Column:
@@ -118,23 +130,27 @@ def _compile(fmt: str) -> tuple[str, dict[str, int]]:
 def parse_format(c: Column, fmt: str) -> Column:
     """The text as a timestamp in a strptime-like format, or null."""
     pattern, at = _compile(fmt)
-    num = lambda t: _part(c, pattern, at[t])
-    text = lambda t: F.lower(F.regexp_extract(c, pattern, at[t]))
-    year = num("Y") if "Y" in at else num("y") + F.when(num("y") < 69, 2000).otherwise(1900)
-    if "m" in at:
-        month = num("m")
-    else:
-        month = ((F.instr(F.lit("".join(m[:3] for m in MONTHS)), F.substring(text("b" if "b" in at else "B"), 1, 3)) + 2) / 3).cast("int")
-    hour = F.lit(0)
-    if "H" in at:
-        hour = num("H")
-    if "I" in at:
-        hour = F.when(num("I").between(1, 12), num("I") % 12 + F.when(text("p") == "pm", 12).otherwise(0))
-    minute, second = (num(t) if t in at else F.lit(0) for t in "MS")
-    micros = F.rpad(F.regexp_extract(c, pattern, at["f"]), 6, "0").try_cast("int") if "f" in at else F.lit(0)
-    seconds = (second + micros / F.lit(1000000.0)).cast("decimal(16,6)")
-    stamp = F.call_function("try_make_timestamp_ntz", year, month, num("d"), hour, minute, seconds)
-    return F.when(c.rlike(pattern), F.when((hour < 24) & (minute < 60) & (second < 60), stamp))
+
+    def made(group: Callable[[int], Column]) -> Column:
+        num = lambda t: group(at[t]).try_cast("int")
+        text = lambda t: F.lower(group(at[t]))
+        year = num("Y") if "Y" in at else num("y") + F.when(num("y") < 69, 2000).otherwise(1900)
+        if "m" in at:
+            month = num("m")
+        else:
+            month = ((F.instr(F.lit("".join(m[:3] for m in MONTHS)), F.substring(text("b" if "b" in at else "B"), 1, 3)) + 2) / 3).cast("int")
+        hour = F.lit(0)
+        if "H" in at:
+            hour = num("H")
+        if "I" in at:
+            hour = F.when(num("I").between(1, 12), num("I") % 12 + F.when(text("p") == "pm", 12).otherwise(0))
+        minute, second = (num(t) if t in at else F.lit(0) for t in "MS")
+        micros = F.rpad(group(at["f"]), 6, "0").try_cast("int") if "f" in at else F.lit(0)
+        seconds = (second + micros / F.lit(1000000.0)).cast("decimal(16,6)")
+        stamp = F.call_function("try_make_timestamp_ntz", year, month, num("d"), hour, minute, seconds)
+        return F.when((hour < 24) & (minute < 60) & (second < 60), stamp)
+
+    return _read(c, pattern, sorted(at.values()), made)
 
 
 def cast_text(c: Column, type_: str) -> Column:
