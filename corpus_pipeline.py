@@ -14,8 +14,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go."""
-    return linededup.clean(docs)
+    """Lines that repeat an earlier one go, short ones too."""
+    return linededup.clean(docs, min_words=1)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ the corpus grows, where single words do not. Length and positional filters and a
 In each pair's group a class meets the group's earliest first; only classes that do not match it meet the next few, and
 only what then stays meets all before it. A group of thousands of variants of one line thus costs few comparisons a member.
 
-Edge cases: lines of fewer than ``min_words`` distinct words are never removed and remove nothing; a null text
-stays null; an emptied text is the empty string; lines are ordered by (id, position); rows that repeat an id are versions
+Edge cases: lines of fewer than ``min_words`` distinct words are never removed and remove nothing: with 1, as the pipeline
+has it, these are the lines without words; the default of 5 is what ``OP10_SQL`` says. A null text stays null; an emptied text is the empty string; lines are ordered by (id, position); rows that repeat an id are versions
 of one document: what goes at a position goes in all, and the first of equal lines stays in all; a null id comes first; other columns pass through ``clean``.
 """
 
@@ -66,7 +66,12 @@ def _ordered(norm: Column, tiers: list[list[int]]) -> Column:
 
 
 def _prefix(s: Column) -> Column:
-    """(place, pair) of the neighbour pairs in the prefix."""
+    """(place, pair) of the neighbour pairs in the prefix. Fewer than four words only match equal sets, so the whole set is their one mark."""
+    whole = F.array(F.struct(F.lit(1).alias("i"), F.xxhash64(s, F.lit("whole")).alias("pair")))
+    return F.when(F.size(s) < 4, whole).otherwise(_pairs(s))
+
+
+def _pairs(s: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.floor(F.size(s) * 2 / 5).cast("int") + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.get(s, i - 1), F.get(s, i)).alias("pair")))
 
 

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -292,6 +293,22 @@ def test_line_dedup_finds_all_similar_lines(spark):
     assert {r.doc_id: r.removed for r in linededup.line_marks(docs, frequent=8).collect() if r.removed} == want
 
 
+def test_pipeline_dedups_short_lines(spark):
+    """Lines of 1 to 6 distinct words from a small pool: equal sets, and four words within five."""
+    own = random.Random(23)
+    line = lambda: " ".join(own.choices([f"s{x}" for x in range(9)], k=own.randrange(1, 8)))
+    texts = ["\n".join(own.choice([line(), line(), line(), "", "--", "Tiny line!"]) for _ in range(4)) for _ in range(90)]
+    texts += ["s1 s2 s3 s4", "p q r t", "p q r t u", "v p q r t", None, ""]
+    docs = docs_of(spark, texts)
+    gone = brute_lines(texts, least=1)
+    assert sum(map(len, gone.values())) > sum(map(len, brute_lines(texts).values()))
+    for r in corpus_pipeline.lines(spark, docs, "").collect():
+        t = texts[r.doc_id]
+        assert r.text == (None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get(r.doc_id, []))), r.doc_id
+    for frequent in (0, 4):
+        assert {r.doc_id: r.removed for r in linededup.line_marks(docs, min_words=1, frequent=frequent).collect() if r.removed} == gone
+
+
 def test_warc_round_trip(spark):
     html = [None, "", "<p>ä</p>", "<p>ä</p>", "x" * 200000, "<p>ä</p>", "", "\x00\r\n\r\nWARC/1.1", "one\n"]
     pages = spark.createDataFrame([(9 - i, None if i == 2 else f"http://a/{i}%\n", h, "x") for i, h in enumerate(html)], "page_id long, url string, html string, payload string")
