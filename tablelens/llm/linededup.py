@@ -121,15 +121,15 @@ def _removals(docs: DataFrame, path: str, id_col: str, text_col: str, min_words:
     # one lambda over a one-element array, so that the ordered words are made once for all that needs them
     facts = F.get(F.transform(F.array(_ordered(F.col("_norm"), tiers)), lambda s: F.struct(F.size(s).alias("n"), _parity(s).alias("bits"), F.when(F.size(s) >= min_words, _prefix(s)).alias("pairs"))), F.lit(0))
     marks = classes.select("_id", "_pos", facts.alias("s")).select("_id", "_pos", F.col("s.n").alias("n"), F.col("s.bits").alias("bits"), F.explode("s.pairs").alias("p"))
-    # position, size and place share a number: a mark is an id and three numbers
-    packed = F.shiftleft(F.col("_pos").cast("long"), 42).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 21)).bitwiseOR(F.col("p.i").cast("long"))
-    marks = marks.select(F.col("p.pair").alias("pair"), F.col("_id").alias("id"), packed.alias("at"), "bits")
+    # position and size, ints of 31 bits, share a number: a mark is an id and four numbers
+    packed = F.shiftleft(F.col("_pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    marks = marks.select(F.col("p.pair").alias("pair"), F.col("_id").alias("id"), packed.alias("at"), F.col("p.i").alias("i"), "bits")
     by = W.partitionBy("pair")
-    shared = marks.withColumns({"y": F.min(F.struct("id", "at", "bits")).over(by), "k": F.count(F.lit(1)).over(by), "rank": F.row_number().over(by.orderBy("id", "at"))}).filter("k > 1")
-    shared = materialize(shared.select("pair", "k", "rank", F.struct("id", "at", "bits").alias("x"), "y"), f"{path}/shared")
-    pos = lambda c: F.shiftright(F.col(f"{c}.at"), 42).cast("int")
-    size = lambda c: F.shiftright(F.col(f"{c}.at"), 21).bitwiseAND(F.lit(2**21 - 1))
-    place = lambda c: F.col(f"{c}.at").bitwiseAND(F.lit(2**21 - 1))
+    shared = marks.withColumns({"y": F.min(F.struct("id", "at", "i", "bits")).over(by), "k": F.count(F.lit(1)).over(by), "rank": F.row_number().over(by.orderBy("id", "at", "i"))}).filter("k > 1")
+    shared = materialize(shared.select("pair", "k", "rank", F.struct("id", "at", "i", "bits").alias("x"), "y"), f"{path}/shared")
+    pos = lambda c: F.shiftright(F.col(f"{c}.at"), 32).cast("int")
+    size = lambda c: F.col(f"{c}.at").bitwiseAND(F.lit(2**32 - 1))
+    place = lambda c: F.col(f"{c}.i")
     key = lambda c, x: [F.col(f"{c}.id").alias(f"{x}_id"), pos(c).alias(f"{x}_pos")]
     differ = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     fits = _may_match(size("x"), place("x"), size("y"), place("y")) & (differ * (NUM + DEN) <= (size("x") + size("y")) * (DEN - NUM))

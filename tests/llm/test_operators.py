@@ -309,6 +309,13 @@ def test_pipeline_dedups_short_lines(spark):
         assert {r.doc_id: r.removed for r in linededup.line_marks(docs, min_words=1, frequent=frequent).collect() if r.removed} == gone
 
 
+def test_line_dedup_far_down_a_document(spark):
+    """Similar lines whose positions take more than 21 bits."""
+    at = 2**21 + 3
+    docs = docs_of(spark, ["\n" * at + "one two three four five six seven eight nine\none two three four five six seven eight nine ten"])
+    assert [r.removed for r in linededup.line_marks(docs).collect()] == [[at + 1]]
+
+
 def test_warc_round_trip(spark):
     html = [None, "", "<p>ä</p>", "<p>ä</p>", "x" * 200000, "<p>ä</p>", "", "\x00\r\n\r\nWARC/1.1", "one\n"]
     pages = spark.createDataFrame([(9 - i, None if i == 2 else f"http://a/{i}%\n", h, "x") for i, h in enumerate(html)], "page_id long, url string, html string, payload string")
