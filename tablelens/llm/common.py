@@ -87,9 +87,9 @@ def drop(spark: SparkSession, path: str) -> None:
     _remove(spark, path)
 
 
-def materialize(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, path: str, compression: str = "zstd", **options) -> DataFrame:
     """Cuts the lineage by way of Parquet in the shared folder; a lost executor takes nothing with it."""
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
+    df.write.mode("overwrite").options(compression=compression, **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

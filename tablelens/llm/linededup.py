@@ -1,18 +1,26 @@
 """Line dedup by an exact set-similarity join.
 
-A line's set is its distinct words, ordered by rarity: words outside the most frequent first, frequent ones after by
-their counts. A later line goes if an earlier one has a Jaccard similarity of at least 0.8 with it. Lines of equal
-words are one class, found by key. Classes are joined by a prefix filter over pairs of neighbours in the rarity
-order: each word that only one of two lines has breaks at most two of the pairs of its own line and one of the other's, so
-lines of n words as similar as that share one of their first floor(0.4 n) + 1 pairs. Neighbour pairs stay rare as
-the corpus grows, where single words do not. Length and positional filters and a bound from 64 parity bits of the words, then the words themselves, decide.
-
-In each pair's group a class meets the group's earliest first; only classes that do not match it meet the next few, and
-only what then stays meets all before it. A group of thousands of variants of one line thus costs few comparisons a member.
-
-Edge cases: lines of fewer than ``min_words`` distinct words are never removed and remove nothing: with 1, as the pipeline
-has it, these are the lines without words; the default of 5 is what ``OP10_SQL`` says. A null text stays null; an emptied text is the empty string; lines are ordered by (id, position); rows that repeat an id are versions
-of one document: what goes at a position goes in all, and the first of equal lines stays in all; a null id comes first; other columns pass through ``clean``.
+A line's set is its distinct words; of each word a 64-bit hash is kept. A later line goes if an earlier one, kept or not, has a
+Jaccard similarity of at least 0.8 with it. Lines are ordered by (id, position).
+
+1. Lines of equal sets are one class, found by key; only a class's first line goes on.
+2. Words are ordered by rarity: by how often words of their hash's slot occur in all lines, then by hash. Any total order
+   gives the same result.
+3. Sets of up to 7 words only match sets with one word more or less: the shorter's key is among the longer's keys of all but one word.
+4. Longer sets meet by a prefix filter over k neighbours in the rarity order, first pairs. A word that only x has breaks
+   k of x's grams, one that only y has k - 1; with 5 a + 4 b <= n at most floor(k n / 5) of the grams of x are broken, so one
+   of its first floor(k n / 5) + 1 is shared and among as many of y's. Length, position and 64 parity bits of the words
+   filter what meets, then the sets themselves decide.
+5. In a gram's group a line meets the ``GROUP`` lines before it. A gram of more lines than that is common. Common grams can be left out of
+   all sets: the bound on broken grams holds for the rest. So the lines that have some in their prefix meet again by
+   their first floor(k n / 5) + 1 other grams, and lines that have too few others, or common ones again, go on
+   to grams of three neighbours. Only what is left after that, variants of one text that share all grams, meets all before it.
+
+So rows grow with the lines, not with the square of a group, and no group is collected.
+
+Edge cases: lines without words are never removed and remove nothing, as are those of fewer than ``min_words`` distinct words. A null text
+stays null; an emptied text is the empty string; rows that repeat an id are versions of one document: what goes at a position
+goes in all, and the first of equal lines stays in all; a null id comes first; other columns pass through ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,144 +31,239 @@ from pyspark.sql import functions as F
 
 from .common import WORD_GAP, ascii_lower, drop, fresh, materialize, text_of, work_dir
 
-MIN_WORDS = 5
 NUM, DEN = 4, 5
-#: This many of the most frequent words are told apart by count; the order is total in any case, so results do not depend on it.
-FREQUENT = 2048
-#: A list of lines is broadcast up to this many, else joined by a shuffle.
+#: Sets of at most so many words match by leaving out one word; from 8 words on two words may differ.
+SHORT = 7
+#: A line meets so many lines before it in a gram's group; grams of larger groups are common.
+GROUP = 32
+#: Words are counted by this many slots of their hashes.
+SLOTS = 1 << 14
+#: Neighbours in a gram. Sets of more than SHORT words have grams enough for these.
+GRAMS = (2, 3)
+#: How often lines meet by grams of a length, after the first time without the common ones.
+TURNS = 2
+#: A list of lines or grams is broadcast up to this many rows of fixed width, else joined by a shuffle.
 MEMBERS = 500_000
-#: A line that its group's first does not match meets this many of the group before it meets all.
-HEADS = 16
+#: Sizes and places have 16 bits in marks; lines of as many words pass all filters.
+MOST = 0xFFFF
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(_id, _pos, _h1, _h2, _norm): the words of each line that has enough of them, joined by blanks, and two hashes of that.
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MEMBERS else df
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int = 1) -> DataFrame:
+    """(_id, _pos, _h1, _h2, _s): the sorted hashes of each line's distinct words, and two keys of that."""
+    # outer, as Spark would else work out each array a second time to see that it is not empty
+    each = F.transform(F.split(ascii_lower(text_of(text_col)), "\n", -1), _word_set)
+    sets = docs.select(F.col(id_col).alias("_id"), F.posexplode_outer(each).alias("_pos", "_s")).filter(F.size("_s") >= max(min_words, 1))
+    return sets.select("_id", "_pos", F.xxhash64("_s").alias("_h1"), F.xxhash64(F.lit(1), "_s").alias("_h2"), "_s")
 
-    Words are split once a document, ahead of the explode, so that no later expression repeats it.
-    """
-    each = F.transform(F.split(ascii_lower(text_of(text_col)), "\n", -1), lambda line: F.array_remove(F.split(line, WORD_GAP, -1), ""))
-    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode(each).alias("_pos", "_w")).filter(F.size("_w") >= min_words)
-    lines = lines.select("_id", "_pos", F.array_join("_w", " ").alias("_norm"))
-    return lines.select("_id", "_pos", F.xxhash64("_norm").alias("_h1"), F.xxhash64(F.lit(1), "_norm").alias("_h2"), "_norm")
 
+def _word_set(line: Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, WORD_GAP, -1), ""), lambda w: F.xxhash64(w))))
 
-def _tiers(classes: DataFrame, frequent: int) -> list[list[int]]:
-    """Hashes of the most frequent words, those of like counts together, rarest first. Counts cover all classes of lines; frequent rows reach the driver."""
-    counts = classes.select(F.explode(F.split("_norm", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("k"))
-    tiers: dict[int, list[int]] = {}
-    for r in counts.orderBy(F.desc("k"), "w").limit(frequent).select("k", F.xxhash64("w").alias("h")).collect():
-        tiers.setdefault(r["k"].bit_length() // 2, []).append(r["h"])
-    return [tiers[t] for t in sorted(tiers)]
 
+def _slot_ranks(lines: DataFrame, slots: int) -> Column:
+    """An array literal: each slot's place when slots are ordered by how often their words occur in all lines."""
+    slot = F.col("h").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")
+    counts = {r["slot"]: r["n"] for r in lines.select(F.explode("_s").alias("h")).select(slot).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rank = [0] * slots
+    for place, slot in enumerate(sorted(range(slots), key=lambda x: (counts.get(x, 0), x))):
+        rank[slot] = place
+    return F.expr(f"cast(split('{','.join(map(str, rank))}', ',') as array<int>)")
 
-def _ordered(norm: Column, tiers: list[list[int]]) -> Column:
-    """The line's distinct words as numbers in rarity order: 56 bits of hash below the tier."""
+
+def _by_rarity(s: Column, ranks: Column, slots: int) -> Column:
+    """The words as numbers in rarity order: the slot's rank above the other bits of the hash, so that words stay apart."""
+    bits = slots.bit_length() - 1
 
     def code(h: Column) -> Column:
-        tier = F.when(~h.isin([x for t in tiers for x in t]), F.lit(0)) if tiers else F.when(F.lit(True), F.lit(0))
-        for i in range(len(tiers), 0, -1):
-            tier = tier.when(h.isin(tiers[i - 1]), F.lit(i))
-        return F.shiftleft(tier.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+        rank = F.get(ranks, h.bitwiseAND(F.lit(slots - 1)).cast("int")) - F.lit(slots // 2)
+        return F.shiftleft(rank.cast("long"), 64 - bits).bitwiseOR(F.shiftrightunsigned(h, bits))
+
+    return F.sort_array(F.transform(s, code))
+
+
+def _parity(s: Column) -> Column:
+    """64 bits: whether each bit is named by an odd number of words. Two lines differ in at least as many words as bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(s, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(h, 3).bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _gram(s: Column, i: Column, k: int) -> Column:
+    return F.xxhash64(*[F.get(s, i + j) for j in range(k)])
 
-    return F.sort_array(F.transform(F.transform(F.array_distinct(F.split(norm, " ")), lambda w: F.xxhash64(w)), code))
 
+def _quota(n: Column, k: int) -> Column:
+    """How many grams that may be shared a line needs: one more than can be broken."""
+    return F.floor(n * k / DEN).cast("int") + 1
 
-def _prefix(s: Column) -> Column:
-    """(place, pair) of the neighbour pairs in the prefix. Fewer than four words only match equal sets, so the whole set is their one mark."""
-    whole = F.array(F.struct(F.lit(1).alias("i"), F.xxhash64(s, F.lit("whole")).alias("pair")))
-    return F.when(F.size(s) < 4, whole).otherwise(_pairs(s))
 
+def _at(pos: Column, n: Column, i: Column) -> Column:
+    """Position, size and place in one number. It orders by position."""
+    most = F.lit(MOST)
+    return F.shiftleft(pos.cast("long"), 32).bitwiseOR(F.shiftleft(F.least(n, most).cast("long"), 16)).bitwiseOR(F.least(i, most).cast("long"))
 
-def _pairs(s: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.floor(F.size(s) * 2 / 5).cast("int") + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.get(s, i - 1), F.get(s, i)).alias("pair")))
 
+def _pos(at: Column) -> Column:
+    return F.shiftright(at, 32).cast("int")
 
-def _may_match(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and positional filters: n, m words, a shared pair before the words at places i and j."""
-    need = F.ceil((n + m) * NUM / (NUM + DEN))
+
+def _fits(x: Column, y: Column) -> Column:
+    """Length, positional and parity filters of two marks (at, bits)."""
+    size = lambda m: F.shiftright(m["at"], 16).bitwiseAND(F.lit(0xFFFF))
+    place = lambda m: m["at"].bitwiseAND(F.lit(0xFFFF))
+    n, m, i, j = size(x), size(y), place(x), place(y)
     most = F.least(i, j) + F.least(n - i, m - j)
-    return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (most >= need)
+    differ = F.bit_count(x["bits"].bitwiseXOR(y["bits"]))
+    passes = (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (differ * (NUM + DEN) <= (n + m) * (DEN - NUM)) & (most * (NUM + DEN) >= (n + m) * NUM)
+    return (n == MOST) | (m == MOST) | passes
 
 
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a_id, a_pos) of pairs that match."""
-    a = texts.select(F.col("_id").alias("a_id"), F.col("_pos").alias("a_pos"), F.col("_norm").alias("a_t"))
-    b = texts.select(F.col("_id").alias("b_id"), F.col("_pos").alias("b_pos"), F.col("_norm").alias("b_t"))
-    both = pairs.join(a, pairs["x_id"].eqNullSafe(a["a_id"]) & (pairs["x_pos"] == a["a_pos"])).join(b, F.col("y_id").eqNullSafe(F.col("b_id")) & (F.col("y_pos") == F.col("b_pos")))
-    both = both.select("a_id", "a_pos", F.array_distinct(F.split("a_t", " ")).alias("a_w"), F.array_distinct(F.split("b_t", " ")).alias("b_w"))
-    common = F.size(F.array_intersect("a_w", "b_w"))
-    return both.filter(common * DEN >= (F.size("a_w") + F.size("b_w") - common) * NUM).select("a_id", "a_pos").distinct()
+def _first_marks(sets: DataFrame, k: int) -> DataFrame:
+    """(gram, id, at, bits): the prefix of each set (_id, _pos, _o in rarity order)."""
+    facts = sets.select("_id", "_pos", F.size("_o").alias("n"), _parity(F.col("_o")).alias("bits"), F.transform(F.sequence(F.lit(0), _quota(F.size("_o"), k) - 1), lambda i: _gram(F.col("_o"), i, k)).alias("grams"))
+    each = facts.select("_id", "_pos", "n", "bits", F.posexplode_outer("grams").alias("i", "gram"))
+    return each.select("gram", F.col("_id").alias("id"), _at(F.col("_pos"), F.col("n"), F.col("i") + 1).alias("at"), "bits")
 
 
-def _parity(s: Column) -> Column:
-    """64 bits: whether each bit is named by an odd number of the words' hashes. Two lines differ in at least as many words as bits."""
-    return F.aggregate(s, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))))
+def _other_marks(sets: DataFrame, common: DataFrame, k: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """Marks of the first grams that are not common, and the (_id, _pos) of sets that have too few of them."""
+    each = sets.select("_id", "_pos", "_h1", F.size("_o").alias("n"), _parity(F.col("_o")).alias("bits"), F.posexplode_outer(F.transform(F.sequence(F.lit(0), F.size("_o") - k), lambda i: _gram(F.col("_o"), i, k))).alias("i", "gram"))
+    left = each.join(_few(common), "gram", "left_anti")
+    # versions of a line apart, repeated ones alike
+    nth = left.withColumn("nth", F.dense_rank().over(W.partitionBy("_id", "_pos", "_h1").orderBy("i"))).filter(F.col("nth") <= _quota(F.col("n"), k))
+    nth = materialize(nth, f"{path}/others")
+    whole = nth.filter(F.col("nth") == _quota(F.col("n"), k)).select(F.col("_id").alias("w_id"), F.col("_pos").alias("w_pos"), F.col("_h1").alias("w_h1"))
+    scant = sets.select("_id", "_pos", "_h1").join(_few(whole), F.col("_id").eqNullSafe(F.col("w_id")) & (F.col("_pos") == F.col("w_pos")) & (F.col("_h1") == F.col("w_h1")), "left_anti").select("_id", "_pos")
+    marks = nth.select("gram", F.col("_id").alias("id"), _at(F.col("_pos"), F.col("n"), F.col("i") + 1).alias("at"), "bits")
+    return marks, materialize(scant, f"{path}/scant")
+
+
+def _less(df: DataFrame, lines: DataFrame, how: str = "left_anti") -> DataFrame:
+    """Rows whose (_id, _pos) is not, or by how is, among lines."""
+    other = lines.select(F.col("_id").alias("_o_id"), F.col("_pos").alias("_o_pos"))
+    return df.join(_few(other), F.col("_id").eqNullSafe(F.col("_o_id")) & (F.col("_pos") == F.col("_o_pos")), how)
+
 
+def _meet(marks: DataFrame, path: str) -> DataFrame:
+    """(gram, id, pos, common, ys) per mark that meets a line it may match or whose gram is common, written once.
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, frequent: int = FREQUENT) -> DataFrame:
+    ys are up to GROUP lines before it; of a common gram's group the first and the one before, as most variants of a text match these.
+    """
+    group = W.partitionBy("gram")
+    order = group.orderBy("id", "at")
+    shared = marks.withColumn("k", F.count(F.lit(1)).over(group)).filter("k > 1")
+    common = F.col("k") > GROUP + 1
+    y = F.struct("id", "at", "bits")
+    near = F.collect_list(F.when(~common, y)).over(order.rowsBetween(-GROUP, -1))
+    shared = shared.withColumns({"near": near, "head": F.first(y).over(order.rowsBetween(W.unboundedPreceding, 0)), "last": F.lag(y).over(order)})
+    met = F.when(common, F.array("head", "last")).otherwise(F.col("near"))
+    key = lambda c: F.struct(c["id"].alias("id"), _pos(c["at"]).alias("pos"))
+    # a mark meets lines before its own
+    earlier = lambda c: c.isNotNull() & (key(c) < F.struct(F.col("id"), _pos(F.col("at")).alias("pos")))
+    ys = F.transform(F.filter(met, lambda c: earlier(c) & _fits({"at": F.col("at"), "bits": F.col("bits")}, c)), lambda c: F.struct(F.bit_count(c["bits"].bitwiseXOR(F.col("bits"))).alias("differ"), c["id"].alias("id"), _pos(c["at"]).alias("pos")))
+    found = shared.select("gram", F.col("id").alias("_id"), _pos(F.col("at")).alias("_pos"), common.alias("common"), ys.alias("ys")).filter("common or size(ys) > 0")
+    return materialize(found, path)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(_id, _pos) of pairs (_id, _pos, y_id, y_pos) whose sets match."""
+    a = sets.select(F.col("_id").alias("a_id"), F.col("_pos").alias("a_pos"), F.col("_s").alias("a_s"))
+    b = sets.select(F.col("_id").alias("b_id"), F.col("_pos").alias("b_pos"), F.col("_s").alias("b_s"))
+    both = pairs.join(a, F.col("_id").eqNullSafe(F.col("a_id")) & (F.col("_pos") == F.col("a_pos"))).join(b, F.col("y_id").eqNullSafe(F.col("b_id")) & (F.col("y_pos") == F.col("b_pos")))
+    both = both.select("_id", "_pos", F.size("a_s").alias("n"), F.size("b_s").alias("m"), F.size(F.array_intersect("a_s", "b_s")).alias("both"))
+    return both.filter(F.col("both") * DEN >= (F.col("n") + F.col("m") - F.col("both")) * NUM).select("_id", "_pos").distinct()
+
+
+def _gone_of(met: DataFrame, sets: DataFrame, gone: DataFrame, path: str) -> DataFrame:
+    """gone and the lines that match one they met: first the one each is likeliest to match, then, for the rest, all."""
+    met = _less(met.filter("size(ys) > 0"), gone).select("_id", "_pos", "ys")
+    members = met.select("_id", "_pos").union(met.select(F.explode("ys").alias("y")).select("y.id", "y.pos")).distinct()
+    texts = materialize(_less(sets.select("_id", "_pos", "_s"), materialize(members, f"{path}/members"), "left_semi"), f"{path}/texts")
+    y = lambda df: df.select("_id", "_pos", F.col("y.id").alias("y_id"), F.col("y.pos").alias("y_pos"))
+    best = y(met.groupBy("_id", "_pos").agg(F.min(F.array_min("ys")).alias("y")))
+    sure = materialize(_similar(best, texts), f"{path}/sure")
+    rest = y(_less(met, sure).select("_id", "_pos", F.explode("ys").alias("y"))).distinct()
+    return materialize(gone.unionByName(sure).unionByName(_similar(rest, texts)), f"{path}/gone")
+
+
+def _short_gone(sets: DataFrame) -> DataFrame:
+    """(_id, _pos) of sets that have a word more or less than an earlier one of at most SHORT words has or leaves."""
+    n = F.size("_s")
+    key = lambda s: F.struct(F.xxhash64(s).alias("g1"), F.xxhash64(F.lit(1), s).alias("g2"))
+    own = sets.filter(n.between(NUM, SHORT)).select(key(F.col("_s")).alias("g"), F.col("_id").alias("y_id"), F.col("_pos").alias("y_pos"))
+    without = F.transform("_s", lambda w: key(F.array_remove("_s", w)))
+    longer = sets.filter(n.between(NUM + 1, SHORT + 1)).select(F.explode(without).alias("g"), "_id", "_pos")
+    x, y = F.struct("_id", "_pos"), F.struct(F.col("y_id").alias("_id"), F.col("y_pos").alias("_pos"))
+    both = longer.join(_few(own), "g").filter(~x.eqNullSafe(y))
+    return both.select(F.greatest(x, y).alias("late")).select("late._id", "late._pos").distinct()
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 1, slots: int = SLOTS) -> DataFrame:
     """_removals(), written once; what led to it is deleted."""
     path, out = work_dir(docs.sparkSession), work_dir(docs.sparkSession)
-    gone = materialize(_removals(docs, path, id_col, text_col, min_words, frequent), out)
+    gone = materialize(_removals(docs, path, id_col, text_col, min_words, slots), out)
     drop(docs.sparkSession, path)
     return gone
 
 
-def _removals(docs: DataFrame, path: str, id_col: str, text_col: str, min_words: int, frequent: int) -> DataFrame:
-    """(_id, _gone): for each document that loses lines, their positions, sorted.
-
-    Texts of lines are written once and shuffled only for lines that filters leave as candidates; else keys and marks
-    of fixed width move. Lists of repeated or matching lines are broadcast if counted to be short, else shuffled.
-    """
-    lines = materialize(lines_of(docs, id_col, text_col, min_words), f"{path}/lines")
-    repeated = lines.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_pos")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("_h1", "_h2", "f")
+def _all_gone(sets: DataFrame, ordered, path: str) -> DataFrame:
+    """(_id, _pos) of the class firsts (_id, _pos, _h1, _s) that match an earlier one. ordered adds _o, the words in rarity order."""
+    gone = materialize(_short_gone(sets), f"{path}/short")
+    rest = sets.filter(F.size("_s") > SHORT)
+    for k in GRAMS:
+        marks, scant, common = _first_marks(ordered(rest), k), None, None
+        for turn in range(TURNS):
+            at = f"{path}/{k}-{turn}"
+            met = _meet(marks, f"{at}/met")
+            gone = _gone_of(met, rest, gone, at)
+            often = met.filter("common")
+            again = materialize(often.select("_id", "_pos").distinct(), f"{at}/again")
+            if turn + 1 == TURNS or again.isEmpty():
+                break
+            grams = often.select("gram").distinct()
+            common = materialize(grams if common is None else common.unionByName(grams), f"{at}/common")
+            rest = materialize(_less(rest, again, "left_semi"), f"{at}/rest")
+            marks, few = _other_marks(ordered(rest), common, k, at)
+            scant = few if scant is None else scant.unionByName(few)
+        left = again if scant is None else scant.unionByName(again).distinct()
+        rest = materialize(_less(rest, left, "left_semi"), f"{path}/{k}-left")
+        if rest.isEmpty():
+            return gone
+    return _last(ordered(rest), gone, f"{path}/last")
+
+
+def _last(sets: DataFrame, gone: DataFrame, path: str) -> DataFrame:
+    """gone and the lines left that match an earlier one with which they share a pair."""
+    marks = materialize(_first_marks(sets, 2), f"{path}/marks")
+    x = _less(marks.select(F.col("id").alias("_id"), _pos(F.col("at")).alias("_pos"), "gram", "at", "bits"), gone).select("gram", F.struct(F.col("_id").alias("id"), "at", "bits").alias("x"))
+    y = marks.select("gram", F.struct("id", "at", "bits").alias("y"))
+    late = F.struct(F.col("x.id").alias("id"), _pos(F.col("x.at")).alias("pos")) > F.struct(F.col("y.id").alias("id"), _pos(F.col("y.at")).alias("pos"))
+    pairs = x.join(y, "gram").filter(late & _fits(F.col("x"), F.col("y")))
+    pairs = materialize(pairs.select(F.col("x.id").alias("_id"), _pos(F.col("x.at")).alias("_pos"), F.col("y.id").alias("y_id"), _pos(F.col("y.at")).alias("y_pos")).distinct(), f"{path}/pairs")
+    return materialize(gone.unionByName(_similar(pairs, sets.select("_id", "_pos", "_s"))), f"{path}/gone")
+
+
+def _removals(docs: DataFrame, path: str, id_col: str, text_col: str, min_words: int, slots: int) -> DataFrame:
+    """(_id, _gone): for each document that loses lines, their positions, sorted."""
+    # a file's words fit one dictionary, so that a hash takes the bits of its number
+    lines = materialize(lines_of(docs, id_col, text_col, min_words), f"{path}/lines", **{"parquet.dictionary.page.size": 16 << 20})
+    keys = lines.select("_id", "_pos", "_h1", "_h2")
+    repeated = keys.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_pos")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("_h1", "_h2", "f")
     repeated = materialize(repeated, f"{path}/repeated")
-    short_list = lambda df, n: F.broadcast(df) if n <= MEMBERS else df
     first = F.col("f").isNull() | (F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("_pos") == F.col("f._pos")))
-    classes = lines.join(short_list(repeated, repeated.count()), ["_h1", "_h2"], "left").filter(first)
-    tiers = _tiers(classes, frequent)
-    # one lambda over a one-element array, so that the ordered words are made once for all that needs them
-    facts = F.get(F.transform(F.array(_ordered(F.col("_norm"), tiers)), lambda s: F.struct(F.size(s).alias("n"), _parity(s).alias("bits"), F.when(F.size(s) >= min_words, _prefix(s)).alias("pairs"))), F.lit(0))
-    marks = classes.select("_id", "_pos", facts.alias("s")).select("_id", "_pos", F.col("s.n").alias("n"), F.col("s.bits").alias("bits"), F.explode("s.pairs").alias("p"))
-    # position and size, ints of 31 bits, share a number: a mark is an id and four numbers
-    packed = F.shiftleft(F.col("_pos").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
-    marks = marks.select(F.col("p.pair").alias("pair"), F.col("_id").alias("id"), packed.alias("at"), F.col("p.i").alias("i"), "bits")
-    by = W.partitionBy("pair")
-    shared = marks.withColumns({"y": F.min(F.struct("id", "at", "i", "bits")).over(by), "k": F.count(F.lit(1)).over(by), "rank": F.row_number().over(by.orderBy("id", "at", "i"))}).filter("k > 1")
-    shared = materialize(shared.select("pair", "k", "rank", F.struct("id", "at", "i", "bits").alias("x"), "y"), f"{path}/shared")
-    pos = lambda c: F.shiftright(F.col(f"{c}.at"), 32).cast("int")
-    size = lambda c: F.col(f"{c}.at").bitwiseAND(F.lit(2**32 - 1))
-    place = lambda c: F.col(f"{c}.i")
-    key = lambda c, x: [F.col(f"{c}.id").alias(f"{x}_id"), pos(c).alias(f"{x}_pos")]
-    differ = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
-    fits = _may_match(size("x"), place("x"), size("y"), place("y")) & (differ * (NUM + DEN) <= (size("x") + size("y")) * (DEN - NUM))
-    other = ~(F.col("x.id").eqNullSafe(F.col("y.id")) & (pos("x") == pos("y")))
-    pairs = materialize(shared.filter(other & fits).select(*key("x", "x"), *key("y", "y")).distinct(), f"{path}/pairs1")
-    gone = materialize(_similar(pairs, _texts(pairs, lines, f"{path}/1")), f"{path}/gone1")
-    # lines that stay so far meet the next HEADS lines of their groups, and what then stays all lines before it
-    late = F.struct(F.col("x.id"), pos("x")) > F.struct(F.col("y.id"), pos("y"))
-    for turn, (groups, ranks) in enumerate((("k > 2", f"rank between 2 and {HEADS}"), (f"k > {HEADS}", f"rank > {HEADS}")), 2):
-        rest = shared.filter(groups)
-        apart = rest.join(gone, F.col("x.id").eqNullSafe(F.col("a_id")) & (pos("x") == F.col("a_pos")), "left_anti").filter("rank > 2").select("pair", "x")
-        before = rest.filter(ranks).select("pair", F.col("x").alias("y"))
-        pairs = materialize(apart.join(before, "pair").filter(late & fits).select(*key("x", "x"), *key("y", "y")).distinct(), f"{path}/pairs{turn}")
-        gone = materialize(gone.unionByName(_similar(pairs, _texts(pairs, lines, f"{path}/{turn}"))).distinct(), f"{path}/gone{turn}")
+    sets = lines.join(_few(repeated), ["_h1", "_h2"], "left").filter(first).select("_id", "_pos", "_h1", "_s")
+    rare = _by_rarity(F.col("_s"), _slot_ranks(lines, slots), slots)
+    gone = _all_gone(sets, lambda df: df.withColumn("_o", rare), path)
     # a line is lost if its class's first line is, or if it is not the first
-    lost_first = lines.select("_id", "_pos", "_h1", "_h2").join(short_list(gone, gone.count()), F.col("_id").eqNullSafe(F.col("a_id")) & (F.col("_pos") == F.col("a_pos")), "left_semi").select("_h1", "_h2").distinct()
-    lost_first = materialize(lost_first, f"{path}/lost")
-    whole = F.size(F.array_distinct(F.split("_norm", " "))) >= min_words
-    # the words are counted after the join: the test names its right side, so that it is not pushed below
-    again = lines.join(short_list(repeated, repeated.count()), ["_h1", "_h2"]).filter(~first & (whole | F.col("f").isNull())).select("_id", "_pos")
-    with_first = lines.join(short_list(lost_first, lost_first.count()), ["_h1", "_h2"], "left_semi").select("_id", "_pos")
+    lost = materialize(_less(keys, gone, "left_semi").select("_h1", "_h2").distinct(), f"{path}/lost")
+    again = keys.join(_few(repeated), ["_h1", "_h2"]).filter(~first).select("_id", "_pos")
+    with_first = keys.join(_few(lost), ["_h1", "_h2"], "left_semi").select("_id", "_pos")
     return again.unionByName(with_first).groupBy("_id").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
 
 
-def _texts(pairs: DataFrame, lines: DataFrame, path: str) -> DataFrame:
-    """The lines that occur in pairs."""
-    members = materialize(pairs.select(F.col("x_id").alias("m_id"), F.col("x_pos").alias("m_pos")).union(pairs.select("y_id", "y_pos")).distinct(), f"{path}-members")
-    few = F.broadcast(members) if members.count() <= MEMBERS else members
-    return materialize(lines.select("_id", "_pos", "_norm").join(few, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_pos") == F.col("m_pos")), "left_semi"), f"{path}-texts")
-
-
 def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: the id, n_lines, n_removed, removed (positions from 0)."""
     gone = removals(docs, id_col, text_col, **options)
@@ -175,7 +278,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     """The documents without the lines that repeat earlier ones, with the columns of docs."""
     gone_id, gone_at = fresh(docs, "_gone_id", "_gone_at")
     gone = removals(docs, id_col, text_col, **options).select(F.col("_id").alias(gone_id), F.col("_gone").alias(gone_at))
-    joined = docs.join(F.broadcast(gone) if gone.count() <= 100_000 else gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone_at, i)), "\n")
     return joined.select(*[F.when(F.col(gone_at).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -128,7 +128,7 @@ FROM s JOIN c ON s.sh = c.sh AND (c.alone IS NULL OR c.alone = s.doc_id) JOIN m
 OP10_SQL = rf"""
 WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 l AS (SELECT doc_id, i AS pos, list_distinct(regexp_extract_all({_LOW.format("l[i + 1]")}, '{_WORD}')) AS w FROM t, unnest(range(len(l))) r(i)),
-c AS (SELECT list_sort(w) AS w, min((doc_id, pos)) AS low FROM l WHERE len(w) >= 5 GROUP BY 1),
+c AS (SELECT list_sort(w) AS w, min((doc_id, pos)) AS low FROM l WHERE len(w) >= 1 GROUP BY 1),
 k AS (SELECT g, count(*) AS n FROM (SELECT unnest(w) AS g FROM c) GROUP BY g),
 o AS (SELECT low, w, g, row_number() OVER (PARTITION BY low ORDER BY n, g) AS place FROM (SELECT low, w, unnest(w) AS g FROM c) JOIN k USING (g)),
 x AS (SELECT low, w, g FROM o WHERE place <= len(w) - CAST(ceil(len(w) * 4 / 5) AS BIGINT) + 1),

@@ -248,7 +248,7 @@ def test_sketch_estimates_similarity():
         assert (merged == np.maximum(*r)).all()
 
 
-def brute_lines(texts, least=5):
+def brute_lines(texts, least=1):
     seen, gone = [], {}
     for i, t in enumerate(texts):
         for p, line in enumerate((t or "").split("\n")):
@@ -290,7 +290,38 @@ def test_line_dedup_finds_all_similar_lines(spark):
     texts = [" ".join(f"v{x}" for x in rng.sample(range(14), rng.randrange(5, 12))) for _ in range(250)]
     docs = docs_of(spark, texts)
     want = brute_lines(texts)
-    assert {r.doc_id: r.removed for r in linededup.line_marks(docs, frequent=8).collect() if r.removed} == want
+    for slots in (1, 16):
+        assert {r.doc_id: r.removed for r in linededup.line_marks(docs, slots=slots).collect() if r.removed} == want
+
+
+def test_line_dedup_of_common_grams(spark, monkeypatch):
+    """Groups of variants of a few lines, larger than a line meets: all turns and the last step are needed."""
+    own = random.Random(5)
+    bases = [[f"b{k}w{x}" for x in range(n)] for k, n in enumerate((9, 12, 17, 24))]
+    texts = []
+    for _ in range(220):
+        b = list(own.choice(bases))
+        for _ in range(own.randrange(0, 1 + len(b) // 3)):
+            b[own.randrange(len(b))] = f"x{own.randrange(40)}" if own.random() < 0.8 else f"y{own.randrange(9999)}"
+        texts.append(" ".join(b))
+    want = brute_lines(texts)
+    docs = docs_of(spark, texts)
+    monkeypatch.setattr(linededup, "GROUP", 5)
+    assert {r.doc_id: r.removed for r in linededup.line_marks(docs).collect() if r.removed} == want
+    monkeypatch.setattr(linededup, "GROUP", 2)
+    monkeypatch.setattr(linededup, "MOST", 10)
+    monkeypatch.setattr(linededup, "MEMBERS", 0)
+    assert {r.doc_id: r.removed for r in linededup.line_marks(docs).collect() if r.removed} == want
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    """Versions of a document: what goes at a position goes in all; nothing goes for a version of itself."""
+    line = "one two three four five six seven eight nine"
+    rows = [(1, f"{line}\nfirst"), (1, f"{line} ten\nother"), (1, f"{line}\nfirst"), (2, f"new\n{line} ten")]
+    rows += [(None, "one two three four"), (None, "one two three four five"), (3, "one two three four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, tuple(r.removed)) for r in linededup.line_marks(docs).collect()}
+    assert got == {(1, ()), (2, (1,)), (None, ()), (3, (0,))}
 
 
 def test_pipeline_dedups_short_lines(spark):
@@ -301,12 +332,12 @@ def test_pipeline_dedups_short_lines(spark):
     texts += ["s1 s2 s3 s4", "p q r t", "p q r t u", "v p q r t", None, ""]
     docs = docs_of(spark, texts)
     gone = brute_lines(texts, least=1)
-    assert sum(map(len, gone.values())) > sum(map(len, brute_lines(texts).values()))
+    assert sum(map(len, gone.values())) > sum(map(len, brute_lines(texts, least=5).values()))
     for r in corpus_pipeline.lines(spark, docs, "").collect():
         t = texts[r.doc_id]
         assert r.text == (None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone.get(r.doc_id, []))), r.doc_id
-    for frequent in (0, 4):
-        assert {r.doc_id: r.removed for r in linededup.line_marks(docs, min_words=1, frequent=frequent).collect() if r.removed} == gone
+    assert {r.doc_id: r.removed for r in linededup.line_marks(docs, slots=4).collect() if r.removed} == gone
+    assert {r.doc_id: r.removed for r in linededup.line_marks(docs, min_words=5).collect() if r.removed} == brute_lines(texts, least=5)
 
 
 def test_line_dedup_far_down_a_document(spark):
