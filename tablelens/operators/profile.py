@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import casts, textops
 
 ROW = "_src_row_num"
+# Fixed value: what counts as an address in a profile.
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\z"
 SNIFFED = ("date", "timestamp", "bigint", "double", "boolean")
 

@@ -83,7 +83,7 @@ def load(spark: SparkSession, path: str, options: Options | dict | None = None,
     layout = sniff.detect_layout(p, encoding, delimiter, o.quote)
     first_row = layout.first_row if o.first_row is None else o.first_row
     footer = layout.footer if o.skip_footer is None else o.skip_footer
-    head, _ = sniff._head(p, encoding)
+    head, _ = sniff.head_text(p, encoding)
     recs, _ = sniff.records(head, delimiter, o.quote)
     if not any(r for _, r in recs):
         raise LoadError("the file is empty")
