@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
 #: Everything in ASCII but digits and lower-case letters parts words.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: ASCII white space parts tokens.
@@ -25,14 +25,23 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else. Pure-ASCII texts take the byte-wise built-in."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+def folded(text: Column) -> Column:
+    """The text with A-Z in lower case and nothing else changed, as far as comparing texts and parting them at ASCII characters goes.
+
+    Each byte of the UTF-8 text counts as a Latin-1 character, so that the built-in lower() takes bytes of ASCII as letters. It also
+    changes first bytes of longer characters, but no two of these become alike: how many bytes follow tells them apart.
+    """
+    return F.lower(F.decode(text.cast("binary"), "ISO-8859-1"))
 
 
 def words(text: Column) -> Column:
-    """The lower-cased words of a text, in order."""
-    return F.array_remove(F.split(ascii_lower(text), WORD_GAP, -1), "")
+    """The folded words of a text, in order."""
+    return F.array_remove(F.split(folded(text), WORD_GAP, -1), "")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def n_tokens(text: Column) -> Column:
@@ -64,8 +73,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in spark.checkpoint.dir, which the driver and all executors share; unset, as in tests, a local one. It goes when the driver ends."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "tablelens-checkpoint")
+    """A new folder in spark.checkpoint.dir, which the driver and all executors share. It goes when the driver ends.
+
+    Unset, only a local master, whose executors are the driver, gets a folder of this machine; on a cluster that is an error.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "tablelens-checkpoint")
     path = f"{base.rstrip('/')}/tablelens-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path

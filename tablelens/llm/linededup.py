@@ -4,17 +4,19 @@ A line's set is its distinct words; of each word a 64-bit hash is kept. A later
 Jaccard similarity of at least 0.8 with it. Lines are ordered by (id, position).
 
 1. Lines of equal sets are one class, found by key; only a class's first line goes on.
-2. Words are ordered by rarity: by how often words of their hash's slot occur in all lines, then by hash. Any total order
-   gives the same result.
+2. Words are ordered by rarity among the lines compared: by how often words of their hash's slot occur in them, then by hash. Any
+   total order gives the same result.
 3. Sets of up to 7 words only match sets with one word more or less: the shorter's key is among the longer's keys of all but one word.
 4. Longer sets meet by a prefix filter over k neighbours in the rarity order, first pairs. A word that only x has breaks
    k of x's grams, one that only y has k - 1; with 5 a + 4 b <= n at most floor(k n / 5) of the grams of x are broken, so one
    of its first floor(k n / 5) + 1 is shared and among as many of y's. Length, position and 64 parity bits of the words
    filter what meets, then the sets themselves decide.
-5. In a gram's group a line meets the ``GROUP`` lines before it. A gram of more lines than that is common. Common grams can be left out of
-   all sets: the bound on broken grams holds for the rest. So the lines that have some in their prefix meet again by
-   their first floor(k n / 5) + 1 other grams, and lines that have too few others, or common ones again, go on
-   to grams of three neighbours. Only what is left after that, variants of one text that share all grams, meets all before it.
+5. In a gram's group of at most ``GROUP`` lines each meets those before it. Other grams are common: there a line meets the first and the one
+   before it, and two lines whose first shared gram is common both have a common one, so all lines with one go on to grams of
+   three neighbours. What has common ones again meets by its first floor(k n / 5) + 1 grams that are not common: the bound on
+   broken grams holds for any choice of grams to leave out. Only lines with too few of these, or again with common ones, variants
+   of one text or lines around one passage, are compared with all that share one of their floor(n / 5) + 1 words rarest among themselves,
+   and what the first steps found gone asks no more.
 
 So rows grow with the lines, not with the square of a group, and no group is collected.
 
@@ -25,23 +27,24 @@ goes in all, and the first of equal lines stays in all; a null id comes first; o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, ascii_lower, drop, fresh, materialize, text_of, work_dir
+from .common import WORD_GAP, drop, folded, fresh, let, materialize, text_of, work_dir
 
 NUM, DEN = 4, 5
 #: Sets of at most so many words match by leaving out one word; from 8 words on two words may differ.
 SHORT = 7
-#: A line meets so many lines before it in a gram's group; grams of larger groups are common.
-GROUP = 32
+#: A line meets all lines before it in a gram's group of at most so many; grams of larger groups are common.
+GROUP = 64
 #: Words are counted by this many slots of their hashes.
 SLOTS = 1 << 14
-#: Neighbours in a gram. Sets of more than SHORT words have grams enough for these.
-GRAMS = (2, 3)
-#: How often lines meet by grams of a length, after the first time without the common ones.
-TURNS = 2
+#: Neighbours in a gram, and how often lines meet by such grams, after the first time without the common ones. Sets of more than
+#: SHORT words have grams enough.
+GRAMS = ((2, 1), (3, 2))
 #: A list of lines or grams is broadcast up to this many rows of fixed width, else joined by a shuffle.
 MEMBERS = 500_000
 #: Sizes and places have 16 bits in marks; lines of as many words pass all filters.
@@ -55,7 +58,7 @@ def _few(df: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int = 1) -> DataFrame:
     """(_id, _pos, _h1, _h2, _s): the sorted hashes of each line's distinct words, and two keys of that."""
     # outer, as Spark would else work out each array a second time to see that it is not empty
-    each = F.transform(F.split(ascii_lower(text_of(text_col)), "\n", -1), _word_set)
+    each = F.transform(F.split(folded(text_of(text_col)), "\n", -1), _word_set)
     sets = docs.select(F.col(id_col).alias("_id"), F.posexplode_outer(each).alias("_pos", "_s")).filter(F.size("_s") >= max(min_words, 1))
     return sets.select("_id", "_pos", F.xxhash64("_s").alias("_h1"), F.xxhash64(F.lit(1), "_s").alias("_h2"), "_s")
 
@@ -106,31 +109,36 @@ def _at(pos: Column, n: Column, i: Column) -> Column:
     return F.shiftleft(pos.cast("long"), 32).bitwiseOR(F.shiftleft(F.least(n, most).cast("long"), 16)).bitwiseOR(F.least(i, most).cast("long"))
 
 
-def _pos(at: Column) -> Column:
-    return F.shiftright(at, 32).cast("int")
+def _parts(mark: Callable[[str], Column]) -> list[Column]:
+    """id, pos, n, i and bits of a mark."""
+    at = mark("at")
+    low = at.bitwiseAND(F.lit(0xFFFFFFFF))
+    return [mark("id").alias("id"), F.shiftright(at, 32).cast("int").alias("pos"), F.shiftright(low, 16).cast("int").alias("n"), low.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("i"), mark("bits").alias("bits")]
 
 
-def _fits(x: Column, y: Column) -> Column:
-    """Length, positional and parity filters of two marks (at, bits)."""
-    size = lambda m: F.shiftright(m["at"], 16).bitwiseAND(F.lit(0xFFFF))
-    place = lambda m: m["at"].bitwiseAND(F.lit(0xFFFF))
-    n, m, i, j = size(x), size(y), place(x), place(y)
-    most = F.least(i, j) + F.least(n - i, m - j)
-    differ = F.bit_count(x["bits"].bitwiseXOR(y["bits"]))
-    passes = (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (differ * (NUM + DEN) <= (n + m) * (DEN - NUM)) & (most * (NUM + DEN) >= (n + m) * NUM)
-    return (n == MOST) | (m == MOST) | passes
+def _fits(x: Column | dict, y: Column | dict) -> Column:
+    """Parity, length and positional filters of two marks' parts, the cheapest and sharpest first."""
+    n, m, i, j = x["n"], y["n"], x["i"], y["i"]
+    huge = (n == MOST) | (m == MOST)
+    parity = F.bit_count(x["bits"].bitwiseXOR(y["bits"])) * (NUM + DEN) <= (n + m) * (DEN - NUM)
+    length = F.least(n, m) * DEN >= F.greatest(n, m) * NUM
+    place = (F.least(i, j) + F.least(n - i, m - j)) * (NUM + DEN) >= (n + m) * NUM
+    return (parity & length & place) | huge
 
 
-def _first_marks(sets: DataFrame, k: int) -> DataFrame:
-    """(gram, id, at, bits): the prefix of each set (_id, _pos, _o in rarity order)."""
-    facts = sets.select("_id", "_pos", F.size("_o").alias("n"), _parity(F.col("_o")).alias("bits"), F.transform(F.sequence(F.lit(0), _quota(F.size("_o"), k) - 1), lambda i: _gram(F.col("_o"), i, k)).alias("grams"))
-    each = facts.select("_id", "_pos", "n", "bits", F.posexplode_outer("grams").alias("i", "gram"))
-    return each.select("gram", F.col("_id").alias("id"), _at(F.col("_pos"), F.col("n"), F.col("i") + 1).alias("at"), "bits")
+def _first_marks(sets: DataFrame, rare: Callable[[Column], Column], k: int, *extra: Column) -> DataFrame:
+    """(gram, id, at, bits): the prefix of each set (_id, _pos, _s). rare puts words in rarity order."""
+    facts = lambda o: F.struct(_parity(o).alias("bits"), F.transform(F.sequence(F.lit(0), _quota(F.size(o), k) - 1), lambda i: _gram(o, i, k)).alias("grams"))
+    each = sets.select("_id", "_pos", F.size("_s").alias("n"), let(rare(F.col("_s")), facts).alias("f"), *extra)
+    each = each.select("_id", "_pos", "n", F.col("f.bits").alias("bits"), *each.columns[4:], F.posexplode_outer("f.grams").alias("i", "gram"))
+    return each.select("gram", F.col("_id").alias("id"), _at(F.col("_pos"), F.col("n"), F.col("i") + 1).alias("at"), "bits", *each.columns[4:-2])
 
 
-def _other_marks(sets: DataFrame, common: DataFrame, k: int, path: str) -> tuple[DataFrame, DataFrame]:
+def _other_marks(sets: DataFrame, rare: Callable[[Column], Column], common: DataFrame, k: int, path: str) -> tuple[DataFrame, DataFrame]:
     """Marks of the first grams that are not common, and the (_id, _pos) of sets that have too few of them."""
-    each = sets.select("_id", "_pos", "_h1", F.size("_o").alias("n"), _parity(F.col("_o")).alias("bits"), F.posexplode_outer(F.transform(F.sequence(F.lit(0), F.size("_o") - k), lambda i: _gram(F.col("_o"), i, k))).alias("i", "gram"))
+    facts = lambda o: F.struct(_parity(o).alias("bits"), F.transform(F.sequence(F.lit(0), F.size(o) - k), lambda i: _gram(o, i, k)).alias("grams"))
+    each = sets.select("_id", "_pos", "_h1", F.size("_s").alias("n"), let(rare(F.col("_s")), facts).alias("f"))
+    each = each.select("_id", "_pos", "_h1", "n", F.col("f.bits").alias("bits"), F.posexplode_outer("f.grams").alias("i", "gram"))
     left = each.join(_few(common), "gram", "left_anti")
     # versions of a line apart, repeated ones alike
     nth = left.withColumn("nth", F.dense_rank().over(W.partitionBy("_id", "_pos", "_h1").orderBy("i"))).filter(F.col("nth") <= _quota(F.col("n"), k))
@@ -148,23 +156,23 @@ def _less(df: DataFrame, lines: DataFrame, how: str = "left_anti") -> DataFrame:
 
 
 def _meet(marks: DataFrame, path: str) -> DataFrame:
-    """(gram, id, pos, common, ys) per mark that meets a line it may match or whose gram is common, written once.
+    """(gram, _id, _pos, common, ys) per mark that meets a line it may match or whose gram is common, written once.
 
-    ys are up to GROUP lines before it; of a common gram's group the first and the one before, as most variants of a text match these.
+    ys are the lines before it; of a common gram's group only the first and the one before, as most variants of a text match these.
     """
     group = W.partitionBy("gram")
     order = group.orderBy("id", "at")
     shared = marks.withColumn("k", F.count(F.lit(1)).over(group)).filter("k > 1")
-    common = F.col("k") > GROUP + 1
-    y = F.struct("id", "at", "bits")
-    near = F.collect_list(F.when(~common, y)).over(order.rowsBetween(-GROUP, -1))
-    shared = shared.withColumns({"near": near, "head": F.first(y).over(order.rowsBetween(W.unboundedPreceding, 0)), "last": F.lag(y).over(order)})
-    met = F.when(common, F.array("head", "last")).otherwise(F.col("near"))
-    key = lambda c: F.struct(c["id"].alias("id"), _pos(c["at"]).alias("pos"))
-    # a mark meets lines before its own
-    earlier = lambda c: c.isNotNull() & (key(c) < F.struct(F.col("id"), _pos(F.col("at")).alias("pos")))
-    ys = F.transform(F.filter(met, lambda c: earlier(c) & _fits({"at": F.col("at"), "bits": F.col("bits")}, c)), lambda c: F.struct(F.bit_count(c["bits"].bitwiseXOR(F.col("bits"))).alias("differ"), c["id"].alias("id"), _pos(c["at"]).alias("pos")))
-    found = shared.select("gram", F.col("id").alias("_id"), _pos(F.col("at")).alias("_pos"), common.alias("common"), ys.alias("ys")).filter("common or size(ys) > 0")
+    shared = shared.select("gram", "at", (F.col("k") > GROUP).alias("common"), *_parts(F.col))
+    y = F.struct("id", "pos", "n", "i", "bits")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    # the list of a group that is not common is short, and of one that is common empty
+    shared = shared.withColumns({"near": F.collect_list(F.when(~F.col("common"), y)).over(before), "head": F.first(y).over(before), "last": F.lag(y).over(order)})
+    met = F.when(F.col("common"), F.array_compact(F.array("head", "last"))).otherwise(F.col("near"))
+    x = {c: F.col(c) for c in ("id", "pos", "n", "i", "bits")}
+    may = F.filter(met, lambda c: _fits(x, c) & ~(c["id"].eqNullSafe(x["id"]) & (c["pos"] == x["pos"])))
+    ys = F.transform(may, lambda c: F.struct(F.bit_count(c["bits"].bitwiseXOR(x["bits"])).alias("differ"), c["id"].alias("id"), c["pos"].alias("pos")))
+    found = shared.select("gram", F.col("id").alias("_id"), F.col("pos").alias("_pos"), "common", ys.alias("ys")).filter("common or size(ys) > 0")
     return materialize(found, path)
 
 
@@ -209,54 +217,62 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return gone
 
 
-def _all_gone(sets: DataFrame, ordered, path: str) -> DataFrame:
-    """(_id, _pos) of the class firsts (_id, _pos, _h1, _s) that match an earlier one. ordered adds _o, the words in rarity order."""
+def _all_gone(sets: DataFrame, ranked: Callable[[DataFrame], Callable[[Column], Column]], path: str) -> DataFrame:
+    """(_id, _pos) of the class firsts (_id, _pos, _h1, _s) that match an earlier one. ranked gives the rarity order among some sets."""
     gone = materialize(_short_gone(sets), f"{path}/short")
     rest = sets.filter(F.size("_s") > SHORT)
-    for k in GRAMS:
-        marks, scant, common = _first_marks(ordered(rest), k), None, None
-        for turn in range(TURNS):
+    for k, turns in GRAMS:
+        rare = ranked(rest)
+        marks, scant, common = _first_marks(rest, rare, k), None, None
+        for turn in range(turns):
             at = f"{path}/{k}-{turn}"
             met = _meet(marks, f"{at}/met")
             gone = _gone_of(met, rest, gone, at)
             often = met.filter("common")
             again = materialize(often.select("_id", "_pos").distinct(), f"{at}/again")
-            if turn + 1 == TURNS or again.isEmpty():
-                break
-            grams = often.select("gram").distinct()
-            common = materialize(grams if common is None else common.unionByName(grams), f"{at}/common")
-            rest = materialize(_less(rest, again, "left_semi"), f"{at}/rest")
-            marks, few = _other_marks(ordered(rest), common, k, at)
-            scant = few if scant is None else scant.unionByName(few)
+            if turn + 1 < turns:
+                grams = often.select("gram").distinct()
+                common = materialize(grams if common is None else common.unionByName(grams), f"{at}/common")
+                rest = materialize(_less(rest, again, "left_semi"), f"{at}/rest")
+                marks, few = _other_marks(rest, rare, common, k, at)
+                scant = few if scant is None else scant.unionByName(few)
         left = again if scant is None else scant.unionByName(again).distinct()
         rest = materialize(_less(rest, left, "left_semi"), f"{path}/{k}-left")
-        if rest.isEmpty():
-            return gone
-    return _last(ordered(rest), gone, f"{path}/last")
+    return _last(rest, ranked(rest), gone, f"{path}/last")
+
 
+def _last(sets: DataFrame, rare: Callable[[Column], Column], gone: DataFrame, path: str) -> DataFrame:
+    """gone and the lines left that match an earlier one.
 
-def _last(sets: DataFrame, gone: DataFrame, path: str) -> DataFrame:
-    """gone and the lines left that match an earlier one with which they share a pair."""
-    marks = materialize(_first_marks(sets, 2), f"{path}/marks")
-    x = _less(marks.select(F.col("id").alias("_id"), _pos(F.col("at")).alias("_pos"), "gram", "at", "bits"), gone).select("gram", F.struct(F.col("_id").alias("id"), "at", "bits").alias("x"))
-    y = marks.select("gram", F.struct("id", "at", "bits").alias("y"))
-    late = F.struct(F.col("x.id").alias("id"), _pos(F.col("x.at")).alias("pos")) > F.struct(F.col("y.id").alias("id"), _pos(F.col("y.at")).alias("pos"))
-    pairs = x.join(y, "gram").filter(late & _fits(F.col("x"), F.col("y")))
-    pairs = materialize(pairs.select(F.col("x.id").alias("_id"), _pos(F.col("x.at")).alias("_pos"), F.col("y.id").alias("y_id"), _pos(F.col("y.at")).alias("y_pos")).distinct(), f"{path}/pairs")
-    return materialize(gone.unionByName(_similar(pairs, sets.select("_id", "_pos", "_s"))), f"{path}/gone")
+    Among themselves what they have in common is frequent, so that single words in their own rarity order tell them apart best.
+    Lines that share one and pass the filters are compared in the join itself, so that only matches become rows.
+    """
+    marks = _first_marks(sets, rare, 1, F.col("_s").alias("s"))
+    marks = materialize(marks.select("gram", F.struct(*_parts(F.col), "s").alias("y")), f"{path}/marks")
+    x = _less(marks.select(F.col("y.id").alias("_id"), F.col("y.pos").alias("_pos"), "gram", F.col("y").alias("x")), gone).select("gram", "x")
+    a, b = F.col("x"), F.col("y")
+    late = F.struct(a["id"].alias("id"), a["pos"].alias("pos")) > F.struct(b["id"].alias("id"), b["pos"].alias("pos"))
+    both = F.size(F.array_intersect(a["s"], b["s"]))
+    match = both * DEN >= (F.size(a["s"]) + F.size(b["s"]) - both) * NUM
+    found = x.join(marks, "gram").filter(_fits(a, b) & late & match).select(a["id"].alias("_id"), a["pos"].alias("_pos"))
+    return materialize(gone.unionByName(found.distinct()), f"{path}/gone")
 
 
 def _removals(docs: DataFrame, path: str, id_col: str, text_col: str, min_words: int, slots: int) -> DataFrame:
     """(_id, _gone): for each document that loses lines, their positions, sorted."""
     # a file's words fit one dictionary, so that a hash takes the bits of its number
-    lines = materialize(lines_of(docs, id_col, text_col, min_words), f"{path}/lines", **{"parquet.dictionary.page.size": 16 << 20})
+    lines = materialize(lines_of(docs, id_col, text_col, min_words), f"{path}/lines", "lz4", **{"parquet.dictionary.page.size": 16 << 20})
     keys = lines.select("_id", "_pos", "_h1", "_h2")
     repeated = keys.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_pos")).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("_h1", "_h2", "f")
     repeated = materialize(repeated, f"{path}/repeated")
     first = F.col("f").isNull() | (F.col("_id").eqNullSafe(F.col("f._id")) & (F.col("_pos") == F.col("f._pos")))
     sets = lines.join(_few(repeated), ["_h1", "_h2"], "left").filter(first).select("_id", "_pos", "_h1", "_s")
-    rare = _by_rarity(F.col("_s"), _slot_ranks(lines, slots), slots)
-    gone = _all_gone(sets, lambda df: df.withColumn("_o", rare), path)
+
+    def ranked(some: DataFrame) -> Callable[[Column], Column]:
+        ranks = _slot_ranks(some, slots)
+        return lambda s: _by_rarity(s, ranks, slots)
+
+    gone = _all_gone(sets, ranked, path)
     # a line is lost if its class's first line is, or if it is not the first
     lost = materialize(_less(keys, gone, "left_semi").select("_h1", "_h2").distinct(), f"{path}/lost")
     again = keys.join(_few(repeated), ["_h1", "_h2"]).filter(~first).select("_id", "_pos")
