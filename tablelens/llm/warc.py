@@ -3,7 +3,10 @@
 Writing: a gzip member per record, whose extra field holds its length, in one file per task; a file gets its final name
 only when the job commits, so lost or repeated tasks leave nothing behind. Reading: files are planned into partitions,
 predicates on the record type and other headers are pushed down, headers are parsed first, and the payload of a record
-that is not wanted is skipped unread.
+that is not wanted is skipped unread where the archive allows a seek, else unpacked and dropped piece by piece.
+
+Archives of other writers: plain ones, a gzip member for each record, or several records to a member. The record's and the
+original's WARC ids stand for ids; the HTTP headers of a captured message are no payload; their digests are given as they stand.
 
 Edge cases: a null payload is empty; a null url or id leaves out the header; ids come back as strings, extra columns are
 refused by the writer; an empty table writes no file and reads back as no rows; rows that repeat the smallest id of a
@@ -14,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import struct
 import uuid
 import zlib
@@ -32,9 +34,13 @@ from .common import materialize, text_of, work_dir
 SCHEMA = "record_id string, record_type string, url string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 #: Column and header of what a record says of itself; X- headers are this writer's own.
 HEADERS = {"record_id": "X-Record-Key", "record_type": "WARC-Type", "url": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length", "refers_to": "X-Refers-To-Key"}
+#: Where other writers' archives say it.
+FOREIGN = {"record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To"}
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_BYTES = 8 << 20
+#: Archives are read and unpacked by pieces of this size; headers are at most so long.
+CHUNK, HEADER_BYTES = 64 << 10, 1 << 20
 #: Files are packed into partitions of about this size.
 PARTITION_BYTES = 64 << 20
 
@@ -76,78 +82,182 @@ def parse_headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
 
 
-class _Member:
-    """A record whose headers are read and whose payload is not."""
+class Plain:
+    """Bytes of a file from a position on. What is skipped is not read."""
+
+    def __init__(self, source, at: int):
+        self.source, self.at = source, at
+
+    def more(self) -> bytes:
+        self.source.seek(self.at)
+        got = self.source.read(CHUNK)
+        self.at += len(got)
+        return got
+
+    def skip(self, n: int) -> int:
+        self.at += n
+        return n
+
+
+class Packed:
+    """The plain bytes of the gzip member at a position, unpacked a piece at a time. At its end ``at`` is where the next one begins."""
 
-    def __init__(self, source: io.BufferedIOBase, packed: bool, packed_len: int | None):
-        self.source, self.raw, self.data, self.left = source, zlib.decompressobj(-15) if packed else None, b"", packed_len
-        while b"\r\n\r\n" not in self.data:
-            if not self._more(2048):
-                raise ValueError("a record ends within its headers")
-        head, _, self.data = self.data.partition(b"\r\n\r\n")
-        self.headers = parse_headers(head)
-        self.length = int(self.headers.get("content-length", 0))
+    def __init__(self, source, at: int):
+        self.source, self.at, self.unpack, self.rest = source, at, zlib.decompressobj(31), b""
 
-    def _more(self, n: int) -> bool:
-        got = self.source.read(n if self.left is None else min(n, self.left))
-        if self.left is not None:
-            self.left -= len(got)
-        self.data += self.raw.decompress(got) if self.raw else got
+    def more(self) -> bytes:
+        while not self.unpack.eof:
+            if not self.rest:
+                self.source.seek(self.at)
+                self.rest = self.source.read(CHUNK)
+                self.at += len(self.rest)
+                if not self.rest:
+                    raise ValueError("the archive ends within a gzip member")
+            out = self.unpack.decompress(self.rest, CHUNK)
+            self.rest = self.unpack.unconsumed_tail
+            if self.unpack.eof:
+                self.at -= len(self.unpack.unused_data)
+            if out:
+                return out
+        return b""
+
+    def skip(self, n: int) -> int:
+        return 0
+
+
+class Cursor:
+    """Reads over pieces, of which it holds one and what is asked for."""
+
+    def __init__(self, pieces: Plain | Packed):
+        self.pieces, self.held = pieces, b""
+
+    def _more(self) -> bool:
+        got = self.pieces.more()
+        self.held += got
         return bool(got)
 
+    def until(self, mark: bytes, most: int) -> bytes | None:
+        """What comes before the mark, which is passed; None if the bytes end first."""
+        seen = 0
+        while (at := self.held.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.held)
+            if seen > most:
+                raise ValueError(f"no end of headers in {most} bytes")
+            if not self._more():
+                return None
+        found, self.held = self.held[:at], self.held[at + len(mark) :]
+        return found
+
+    def take(self, n: int) -> bytes:
+        parts, size = [], 0
+        while size < n:
+            if not self.held and not self._more():
+                raise ValueError("a record ends within its payload")
+            parts.append(self.held[: n - size])
+            self.held = self.held[len(parts[-1]) :]
+            size += len(parts[-1])
+        return b"".join(parts)
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            if not self.held:
+                n -= self.pieces.skip(n)
+                if n <= 0:
+                    return
+                if not self._more():
+                    raise ValueError("a record ends within its payload")
+            gone = min(n, len(self.held))
+            self.held, n = self.held[gone:], n - gone
+
+    def past_breaks(self) -> bool:
+        """Passes line breaks between records; False at the end."""
+        while not self.held.lstrip(b"\r\n"):
+            self.held = b""
+            if not self._more():
+                return False
+        self.held = self.held.lstrip(b"\r\n")
+        return True
+
+
+class Record:
+    """A record whose headers are read and whose payload is read if asked for, else skipped."""
+
+    def __init__(self, cursor: Cursor):
+        head = cursor.until(b"\r\n\r\n", HEADER_BYTES)
+        if head is None:
+            raise ValueError("a record ends within its headers")
+        self.cursor, self.headers = cursor, parse_headers(head)
+        self.length = self.left = int(self.headers.get("content-length", 0))
+        self._http = "application/http" in self.headers.get("content-type", "") and self.headers.get("warc-type") in ("response", "revisit", "request")
+
+    def _past_http(self) -> None:
+        """A captured HTTP message has headers of its own, which are no payload."""
+        if self._http:
+            self._http = False
+            inner = Cursor(_Part(self))
+            inner.until(b"\r\n\r\n", self.length)
+            self.cursor.held, self.left = inner.held + self.cursor.held, self.left + len(inner.held)
+            self.length = self.left
+
+    @property
+    def payload_bytes(self) -> int:
+        self._past_http()
+        return self.length
+
     def payload(self) -> bytes:
-        parts = [self.data]
-        size = len(self.data)
-        while size < self.length:
-            self.data = b""
-            if not self._more(1 << 16):
-                break
-            parts.append(self.data)
-            size += len(self.data)
-        self.data = b""
-        body = b"".join(parts)
-        if len(body) < self.length:
-            raise ValueError("a record ends within its payload")
-        return body[: self.length]
+        self._past_http()
+        got, self.left = self.cursor.take(self.left), 0
+        return got
+
+    def close(self) -> None:
+        self.cursor.skip(self.left)
+        self.left = 0
+
+
+class _Part:
+    """The pieces of one record's block."""
+
+    def __init__(self, one: Record):
+        self.one = one
+
+    def more(self) -> bytes:
+        one = self.one
+        if one.left and not one.cursor.held:
+            one.cursor._more()
+        got = one.cursor.take(min(one.left, len(one.cursor.held)))
+        one.left -= len(got)
+        return got
 
 
-def members(source, size: int) -> Iterator[_Member]:
-    """The records of an archive, packed or plain. Between two, the source goes to the next record by its length, or by unpacking if it has none."""
+def records(source, size: int) -> Iterator[Record]:
+    """The records of an archive, packed or plain, one or many to a gzip member.
+
+    A member that tells its packed length and holds one record, as this writer's do, is left by a seek; any other is unpacked
+    piece by piece, and what is not wanted of it is dropped on the way.
+    """
     at = 0
     while at < size:
         source.seek(at)
-        head = source.read(12)
-        if not head.startswith(b"\x1f\x8b"):
-            source.seek(at)
-            one = _Member(source, False, None)
+        head = source.read(24)
+        packed = head.startswith(b"\x1f\x8b")
+        end = None
+        if packed and len(head) == 24 and head[3] == 4 and head[12:14] == b"sl":
+            packed_len, plain_len = struct.unpack("<II", head[16:24])
+            end = at + 12 + struct.unpack("<H", head[10:12])[0] + packed_len + 8
+        pieces = Packed(source, at) if packed else Plain(source, at)
+        cursor = Cursor(pieces)
+        first = True
+        while cursor.past_breaks():
+            one = Record(cursor)
             yield one
-            text_start = at + _plain_head(source, at)
-            at = text_start + one.length + 4
-            continue
-        if head[3] & 4:
-            extra = source.read(struct.unpack("<H", head[10:12])[0])
-            if extra[:2] == b"sl":
-                packed_len = struct.unpack("<I", extra[4:8])[0]
-                start = source.tell()
-                yield _Member(source, True, packed_len)
-                at = start + packed_len + 8
-                continue
-        # a foreign member: find its end by unpacking
-        source.seek(at)
-        unpack, out, used = zlib.decompressobj(31), [], 0
-        while not unpack.eof and (got := source.read(1 << 16)):
-            out.append(unpack.decompress(got))
-            used += len(got)
-        yield _Member(io.BytesIO(b"".join(out)), False, None)
-        at += used - len(unpack.unused_data)
-
-
-def _plain_head(source, at: int) -> int:
-    source.seek(at)
-    seen = b""
-    while b"\r\n\r\n" not in seen and (got := source.read(4096)):
-        seen += got
-    return seen.index(b"\r\n\r\n") + 4
+            # the headers' length is not kept: a lone record's member ends with its payload and two line breaks
+            if end is not None and first and one.headers.get(HEADERS["payload_bytes"].lower()) is not None:
+                break
+            first = False
+            one.close()
+        if not packed:
+            return
+        at = end if end is not None and first else pieces.at
 
 
 @dataclass
@@ -193,17 +303,20 @@ class WarcReader(DataSourceReader):
         held = 0
         for name, size in partition.paths:
             with fs.open_input_file(name) as source:
-                for one in members(source, size):
+                for one in records(source, size):
+                    own = HEADERS["payload_bytes"].lower() in one.headers
                     row = {k: one.headers.get(h.lower()) for k, h in HEADERS.items()}
-                    row = {k: None if v is None else _unquoted(v) for k, v in row.items()}
+                    row = {k: None if v is None else _unquoted(v) if own else v for k, v in row.items()}
+                    for k, h in FOREIGN.items():
+                        row[k] = one.headers.get(h.lower()) if row[k] is None and not own else row[k]
                     row["payload_digest"] = (row["payload_digest"] or "").removeprefix("sha1:") or None
                     if any(row[k] not in some for k, some in self.tests):
                         continue
-                    row["payload_bytes"] = int(row["payload_bytes"] if row["payload_bytes"] is not None else one.length)
+                    row["payload_bytes"] = int(row["payload_bytes"]) if own else one.payload_bytes
                     row["payload"] = None
                     if self.want and row["record_type"] != "revisit":
                         row["payload"] = one.payload()
-                        if row["payload_digest"] and digest(row["payload"]) != row["payload_digest"]:
+                        if own and row["payload_digest"] and digest(row["payload"]) != row["payload_digest"]:
                             raise ValueError(f"{name}: the payload of {row['record_id']} does not fit its digest")
                     rows.append(row)
                     held += len(row["payload"] or b"") + 300
