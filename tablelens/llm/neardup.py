@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, row_key, text_of, work_dir
+from .common import drop, fresh, materialize, row_key, text_of, work_dir
 from .textfeat import hashes, owners, slices, tokens
 
 K = 5
@@ -312,6 +312,7 @@ def _components(docs: DataFrame, path: str, k: int, id_col: str, text_col: str,
 def clean(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """The documents but for all of each component that are not its smallest id, with the columns of docs."""
     path, out = work_dir(docs.sparkSession), work_dir(docs.sparkSession)
-    gone = materialize(_components(docs, path, k, id_col, text_col, num, den).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"), F.col("text_key").alias("_gkey")).distinct(), out)
+    gone_id, gone_key = fresh(docs, "_gone", "_gkey")
+    gone = materialize(_components(docs, path, k, id_col, text_col, num, den).filter(~F.col("kept")).select(F.col(id_col).alias(gone_id), F.col("text_key").alias(gone_key)).distinct(), out)
     drop(docs.sparkSession, path)
-    return docs.join(F.broadcast(gone) if gone.count() <= IDS else gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (row_key(text_of(text_col)) == F.col("_gkey")), "left_anti")
+    return docs.join(F.broadcast(gone) if gone.count() <= IDS else gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (row_key(text_of(text_col)) == F.col(gone_key)), "left_anti")
