@@ -3,10 +3,11 @@
 A document's severity grade is 0 to GRADES; one weight vector over sparse word features is shared by ordered thresholds,
 P(grade > k) = logistic(w.x - t_k). The output is the expected severity. Labels say only toxic or not; the grade of a
 toxic training document is its tercile by the density of words that labelled toxic documents have and others have not.
+Words, grades and weights come from the documents for fitting alone; the cut comes from documents that these have not seen.
 
 Edge cases: a null or empty text has severity of the prior alone and is kept; repeated rows each get a row; labels
-without document and null labels are ignored; without labels of both classes every severity is 0 and all are kept; other
-columns pass through ``clean``, whatever their names.
+without document and null labels are ignored, and of contradicting ones the more severe holds; without labels of both classes
+every severity is 0 and all are kept; other columns are ignored by ``fit`` and pass through ``clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -100,43 +101,51 @@ def fit_ordinal(of: np.ndarray, word: np.ndarray, n_words: int, grade: np.ndarra
     return pw, np.maximum.accumulate(pt)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_labelled: int = 5000, min_docs: int = 4, evidence: float = 25.0, clean_weight: float = 10.0) -> OrdinalModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic", max_labelled: int = 5000, max_features: int = 4000, min_docs: int = 4, evidence: float = 25.0, clean_weight: float = 10.0) -> OrdinalModel:
     """Fits on at most max_labelled labelled documents, chosen by the hash of their ids, half of them toxic at most.
 
-    Executors send feature hashes, not texts. A fifth of the documents only helps to set the cut, where the share of toxic
-    documents below and clean_weight times that of clean ones above are least together.
+    Executors send hashes of at most max_features features of a document, those with the smallest hashes of their hashes, and no
+    texts; the number bounds what reaches the driver. A fifth of the documents, told by their hashes, is kept apart: words, grades
+    and weights come from the others alone, and these only set the cut, where the share of toxic documents below and clean_weight times
+    that of clean ones above are least together. Of labels that contradict each other the more severe holds.
     """
     h = F.xxhash64(F.col(label_id).cast("string"))
-    own = labels.filter(F.col(label_col).isNotNull()).select(F.col(label_id).alias("_lid"), (F.col(label_col) > 0).cast("int").alias("_y"), h.alias("_h")).dropDuplicates(["_lid"])
-    count = {r["_y"]: r["k"] for r in own.groupBy("_y").agg(F.count(F.lit(1)).alias("k")).collect()}
+    own = labels.filter(F.col(label_col).isNotNull()).select(F.col(label_id).alias("label_of"), (F.col(label_col) > 0).cast("int").alias("y"), h.alias("h")).groupBy("label_of", "h").agg(F.max("y").alias("y"))
+    count = {r["y"]: r["k"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("k")).collect()}
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES, 30.0), float("inf"))
     if len(count) < 2:
         return none
     half = max_labelled // 2
-    rest = F.when(F.col("_y") == 1, max(1, count[1] // half)).otherwise(max(1, count[0] // half))
-    some = own.filter(F.pmod(F.col("_h"), rest) == 0).orderBy("_h").limit(max_labelled)
+    rest = F.when(F.col("y") == 1, max(1, count[1] // half)).otherwise(max(1, count[0] // half))
+    some = own.filter(F.pmod(F.col("h"), rest) == 0).orderBy("h").limit(max_labelled)
 
     def send(batches):
         for batch in batches:
-            for piece, texts in slices(batch, "_t"):
+            for piece, texts in slices(batch, "t"):
                 table, codes, bounds = word_features(texts)
                 of, word = _distinct(table, codes, bounds)
                 ends = np.searchsorted(of, np.arange(piece.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([pa.array([word[ends[i] : ends[i + 1]].tobytes() for i in range(piece.num_rows)], pa.binary()), pa.array(np.diff(bounds)), piece.column("_y"), piece.column("_h")], names=["w", "n", "y", "h"])
+                each = [word[ends[i] : ends[i + 1]] for i in range(piece.num_rows)]
+                each = [x if len(x) <= max_features else x[np.argsort(x * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:max_features]] for x in each]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in each], pa.binary()), pa.array(np.diff(bounds)), piece.column("y"), piece.column("h")], names=["w", "n", "y", "h"])
 
-    rows = docs.join(F.broadcast(some), F.col(id_col) == F.col("_lid")).select(F.col(text_col).alias("_t"), "_y", "_h").mapInArrow(send, "w binary, n long, y int, h long").orderBy("h").limit(max_labelled).collect()
+    texts_of = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    rows = texts_of.join(F.broadcast(some), F.col("id") == F.col("label_of")).select("t", "y", "h").mapInArrow(send, "w binary, n long, y int, h long").orderBy("h", "n", "w").limit(max_labelled).collect()
     y = np.array([r["y"] for r in rows])
-    if len(set(y)) < 2:
+    held = np.array([(r["h"] >> 8) % 5 == 0 for r in rows], dtype=bool)
+    if len(set(y[~held])) < 2:
         return none
     each = [np.frombuffer(bytes(r["w"]), np.uint64) for r in rows]
     length = np.maximum(np.array([r["n"] for r in rows]), 1)
     of, h_ = np.repeat(np.arange(len(rows)), [len(x) for x in each]), np.concatenate(each)
-    vocab, word, df = np.unique(h_, return_inverse=True, return_counts=True)
-    bad = np.bincount(word, y[of], minlength=len(vocab))
+    vocab, word = np.unique(h_, return_inverse=True)
+    learn = ~held[of]
+    df = np.bincount(word[learn], minlength=len(vocab))
+    bad = np.bincount(word[learn], y[of[learn]], minlength=len(vocab))
     # features whose share of toxic documents is far above chance, by likelihood ratio; others would only fit noise
-    n1, n0 = y.sum(), (1 - y).sum()
+    n1, n0 = y[~held].sum(), (1 - y[~held]).sum()
     odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((df - bad + 0.5) / (n0 + 1))
-    p1, p = (bad + 1e-9) / df, n1 / len(y)
+    p1, p = (bad + 1e-9) / np.maximum(df, 1), n1 / (n1 + n0)
     ratio = 2 * (bad * np.log(p1 / p) + (df - bad) * np.log(np.maximum(1 - p1, 1e-9) / (1 - p)))
     keep = (df >= min_docs) & (odds > 0) & (ratio >= evidence)
     place = np.cumsum(keep) - 1
@@ -146,16 +155,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return none
     loud = odds > 2.0
     density = np.bincount(of, loud[word].astype(float), minlength=len(rows)) / length
-    ranks = np.argsort(np.argsort(density[y > 0], kind="stable"), kind="stable")
+    taught = (y > 0) & ~held
+    ranks = np.argsort(np.argsort(density[taught], kind="stable"), kind="stable")
     grade = np.zeros(len(rows), int)
-    grade[y > 0] = 1 + ranks * GRADES // max(1, len(ranks))
-    held = np.arange(len(rows)) % 5 == 0
+    grade[taught] = 1 + ranks * GRADES // max(1, len(ranks))
     place = np.cumsum(~held) - 1
     w, t = fit_ordinal(place[of[~held[of]]], word[~held[of]], len(vocab), grade[~held])
     model = OrdinalModel(vocab, w, t, float("inf"))
     e = model.severity(np.bincount(of, w[word], minlength=len(rows)))
+    if len(set(y[held])) < 2:  # too few labels to keep some apart
+        held = np.ones(len(y), bool)
     cuts = np.linspace(0.15, 1.5, 136)
-    cost = [(e[y > 0] < c).mean() + clean_weight * (e[y == 0] >= c).mean() for c in cuts]
+    cost = [(e[held & (y > 0)] < c).mean() + clean_weight * (e[held & (y == 0)] >= c).mean() for c in cuts]
     return OrdinalModel(vocab, w, t, float(cuts[int(np.argmin(cost))]))
 
 
