@@ -2,7 +2,7 @@
 
 Edge cases: a null or empty text is one row of padding; equal bytes give equal results; bytes that are no image raise
 ValueError in ``decode`` and give nulls from ``media_features``; other columns are ignored; the longest text is one image
-of its own, and only a row's image is in memory at a time.
+of its own, and of a row the payload, the stored bytes and the image read back are in memory at a time, with no copy in wider numbers.
 """
 
 from __future__ import annotations
@@ -52,6 +52,9 @@ def _netpbm(data: bytes) -> np.ndarray:
     if kind <= 3:
         plain = b" ".join(line.partition(b"#")[0] for line in data[at - 1 :].split(b"\n"))
         values = np.array([c - 48 for c in plain if c in b"01"] if kind == 1 else plain.split(), dtype=np.int64)[: h * w * channels]
+    elif top == 255:
+        image = np.frombuffer(data, np.uint8, h * w * channels, at).reshape(h, w, channels)
+        return image if colour else image[..., 0]
     else:
         values = np.frombuffer(data, np.uint8 if top < 256 else ">u2", h * w * channels, at).astype(np.int64)
     if len(values) != h * w * channels:
@@ -108,35 +111,46 @@ def encode_bmp(image: np.ndarray) -> bytes:
     return struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
-def grey(image: np.ndarray) -> np.ndarray:
-    return image.astype(np.float64) if image.ndim == 2 else image.astype(np.float64) @ np.array([0.299, 0.587, 0.114])
+GREY = np.array([0.299, 0.587, 0.114])
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal areas. The integral image, read between its points, sums any rectangle from four corners."""
+    """Means over equal areas of a grey image. The integral image, read between its points, sums any rectangle from four corners.
+
+    It is worked out at the rows that are read only, by running sums over the rows between them: memory beyond the image is
+    a few rows.
+    """
     h, w = image.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(image, axis=0), axis=1, out=total[1:, 1:])
+    at = np.linspace(0, h, height + 1)
+    low = np.minimum(at.astype(int), h - 1)
+    total, rows = np.zeros(w), np.zeros((height + 1, w + 1))
+    for k in range(height + 1):
+        if k:
+            total = total + image[low[k - 1] : low[k]].sum(axis=0, dtype=np.float64)
+        np.cumsum(total + (at[k] - low[k]) * image[low[k]], out=rows[k, 1:])
+    across = np.linspace(0, w, width + 1)
+    left = np.minimum(across.astype(int), w - 1)
+    corners = rows[:, left] + (across - left) * (rows[:, left + 1] - rows[:, left])
+    return np.diff(np.diff(corners, axis=0), axis=1) / ((h / height) * (w / width))
 
-    def rows(a: np.ndarray, n: int) -> np.ndarray:
-        at = np.linspace(0, len(a) - 1, n + 1)
-        low = np.minimum(at.astype(int), len(a) - 2)
-        return a[low] + (at - low)[:, None] * (a[low + 1] - a[low])
 
-    corners = rows(rows(total, height).T, width).T
-    return np.diff(np.diff(corners, axis=0), axis=1) / ((h / height) * (w / width))
+def grey(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The image resized, as grey. Greyness is linear, so colours are resized first and weighed then."""
+    if image.ndim == 2:
+        return resize(image, height, width)
+    return sum(g * resize(image[..., c], height, width) for c, g in enumerate(GREY))
 
 
 def dhash(image: np.ndarray, side: int = TILE) -> str:
     """A bit for each pair of neighbours of the resized image: whether it gets brighter to the right."""
-    small = np.round(resize(grey(image), side, side + 1), 6)
+    small = np.round(grey(image, side, side + 1), 6)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
 def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
     """The image as an NPY file of side by side bytes."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(resize(grey(image), side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(grey(image, side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -172,23 +186,39 @@ def padded(data: bytes) -> bytes:
     return data + b"\xff" * (-len(data) % UNIT if data else UNIT)
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as a grey image: the id, media (PGM bytes) and what reading them back gives."""
-    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def store(payload: bytes) -> bytes:
+    """A padded payload as an image: of an odd number of units a grey PGM, of an even number a colour BMP, eight pixels a row."""
+    samples = np.frombuffer(payload, np.uint8)
+    return encode_pgm(samples.reshape(-1, WIDTH)) if len(payload) // UNIT % 2 else encode_bmp(samples.reshape(-1, WIDTH // 3, 3))
+
+
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
+    """Each text as a stored image and what reading it back gives: the id, sizes and hashes, feature (difference hash and the tile's hash), tile (NPY bytes).
+
+    with_media adds the stored bytes.
+    """
+    schema = f"_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+    schema += ", media binary" if with_media else ""
+    kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "tile": pa.binary(), "media": pa.binary()}
+    names = [x.split()[0] for x in schema.split(", ")][1:]
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+            out: dict[str, list] = {k: [] for k in names}
             for x in batch.column(1):
-                data = x.as_buffer().to_pybytes()
-                media = encode_pgm(np.frombuffer(padded(data), np.uint8).reshape(-1, WIDTH))
+                data = x.as_buffer()
+                media = store(padded(data.to_pybytes()))
                 image = decode(media)
-                payload = image.tobytes()
+                payload = np.ascontiguousarray(image).data.cast("B")
                 tile = npy_tile(image)
-                values = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{dhash(image)}:{hashlib.sha256(tile).hexdigest()[:16]}")
-                for k, v in zip(out, values, strict=True):
+                values = (data.size, payload.nbytes, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{dhash(image)}:{hashlib.sha256(tile).hexdigest()[:16]}", tile, media)
+                for k, v in zip(names, values, strict=False):
                     out[k].append(v)
-            text = {"payload_sha256", "media_sha256", "feature"}
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.string() if k in text else pa.int64()) for k, v in out.items())], names=["_id", *out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items())], names=["_id", *out])
 
     return docs.select(F.col(id_col).alias("_id"), F.encode(text_of(text_col), "UTF-8").alias("_t")).mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+
+
+def write_tiles(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """The tiles of all texts as Parquet rows of (id, feature, tile), the tile an NPY file's bytes."""
+    text_media(docs, id_col, text_col).select(id_col, "feature", "tile").write.parquet(path)

@@ -1,10 +1,15 @@
 """The operators against brute force on small and awkward tables."""
 
 import base64
+import gzip
 import hashlib
+import io
 import math
 import random
 import re
+import struct
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -141,11 +146,81 @@ def test_pii(spark):
     for i, t in enumerate(texts):
         want = brute_pii(t)
         assert got[i].base == ",".join(want), i
-        assert set(want) <= set(filter(None, got[i].spans.split(",")))
+        assert set(want) <= set(filter(None, got[i].spans.split(","))), i
     clean = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
     assert clean[0] is None and clean[4] == texts[4] and "[CARD], " * 200 == clean[18] and "[EMAIL]" in clean[12]
     assert pii.spans(docs.limit(0), model).count() == 0
-    assert pii.fit(docs.limit(0)).cuts["secret"] == float("inf")
+    assert pii.fit(docs.limit(0)).cuts == {"string": float("inf"), "number": float("inf")}
+    with pytest.raises(ValueError):
+        pii.spans(docs.withColumn("Base", F.lit(1)), model, keep=["Base"])
+
+
+def pii_features(kind, match, before):
+    m = re.search(r"[A-Za-z0-9_/+-]+\Z", match)[0] if kind == "secret" else match
+    share = lambda cls: len(re.findall(cls, m)) / len(m)
+    runs = re.findall("[0-9]+", m)
+    sign = re.search(r"([\x22\x27]?)[A-Za-z0-9_/+-]+\Z", match)[1] if kind == "secret" else before[-1:]
+    contact = re.search("tel|phone|call|fax|ssn|iban|account|contact|card", before.lower())
+    tail = re.search(r"[0-9]+\Z", m)
+    return [
+        len(m), share("[0-9]"), share("[A-Z]"), share("[aeiouAEIOU]"), share("[0-9a-fA-F]"), share("[^0-9A-Za-z]"), len(set(m)) / len(m),
+        len(re.split("[^0-9]+", m)), len(runs[0]) if runs else 0, len(tail[0]) if tail else 0, len(re.findall("[()]", m)), sign in ('"', "'") and sign != "", bool(contact), kind == "number",
+    ]
+
+
+def brute_spans(text, model):
+    """All spans, by comparing each with each."""
+    base = [(int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0]), int(x.split(":")[2])) for x in brute_pii(text)]
+    out = []
+    for kind in pii.ADDED:
+        for m in re.finditer(pii.PATTERNS[kind], text):
+            x = np.array([pii_features(kind, m[0], text[max(0, m.start() - pii.CONTEXT) : m.start()])], dtype=float)
+            if model.trees.score(x)[0] >= model.cuts["number" if kind == "number" else "string"] and not any(s < m.end() and m.start() < e for s, _, e in base):
+                out.append((m.start(), pii.KINDS.index(kind), m.end()))
+    within = lambda a, b: b[0] <= a[0] and a[2] <= b[2] and (b[0], -b[2], b[1]) < (a[0], -a[2], a[1])
+    return sorted([*base, *(x for x in out if not any(within(x, y) for y in out))])
+
+
+def test_pii_finds_what_its_labels_did_not_say(spark):
+    own = random.Random(8)
+    hexes = lambda: "".join(own.choices("0123456789abcdef", k=40))
+    phone = lambda: f"({own.randrange(100, 999)}) 555-{own.randrange(1000, 9999)}"
+    say = lambda n: " ".join(own.choices(["message", "understanding", "of", "the", "wonderful", "connection", "a", "letters", "and_so_on", "it"], k=n))
+    date = lambda: f"{own.randrange(1990, 2030)}-{own.randrange(10, 13)}-{own.randrange(10, 29)}"
+    learn = [f'{say(9)} token = "{hexes()}" {say(3)} {date()} {say(4)}' if i % 3 == 0 else f"{say(6)} +1 {phone()} {say(9)}" if i % 3 == 1 else f"{say(20)} {date()}" for i in range(400)]
+    model = pii.fit(docs_of(spark, learn))
+    assert all(0 < c <= 1 for c in model.cuts.values())
+    # a third each: keys in no assignment, phones without plus, and what only looks like either
+    fresh_ = [f"{say(5)} {hexes()} {say(5)}" if i % 3 == 0 else f"{say(5)} {phone()} {say(2)}" if i % 3 == 1 else f"{say(4)} password: understanding {date()} {say(3)}" for i in range(300)]
+    fresh_ += [f'mail a@b.co token = "{hexes()}" {"1" * 30} A1-{hexes()}/x {phone()} 1.2.3.4', "\U0001f600 é " + hexes() + " ü " + phone()]
+    docs = docs_of(spark, fresh_)
+    got = {r.doc_id: [(s["start"], s["rank"], s["end"]) for s in r.spans] for r in pii.spans(docs, model).collect()}
+    kinds = lambda i: {pii.KINDS[k] for _, k, _ in got[i]}
+    assert sum(bool(kinds(i) & {"hex", "token"}) for i in range(0, 300, 3)) >= 95
+    assert sum("number" in kinds(i) for i in range(1, 300, 3)) >= 95
+    assert sum(bool(got[i]) for i in range(2, 300, 3)) <= 5
+    for i, t in enumerate(fresh_):
+        assert got[i] == brute_spans(t, model), i
+    clean = {r.doc_id: r.text for r in pii.redact(docs, model).collect()}
+    for i, t in enumerate(fresh_):
+        out, at = "", 0
+        for s, k, e in got[i]:
+            out, at = (out + t[at:s] + f"[{pii.KINDS[k].upper()}]" if s >= at else out), max(at, e)
+        assert clean[i] == out + t[at:], i
+
+
+def test_pii_takes_many_spans_in_one_text(spark):
+    """A hundred thousand addresses and keys in one text, in seconds."""
+    key = "0123456789abcdef0123456789abcdef"
+    text = "".join(f"a{i}@b.co {key} " for i in range(50_000))
+    docs = docs_of(spark, [text])
+    tree = pii.Boosted(0.0, 1.0, ())
+    model = pii.PiiModel(tree, {"string": 0.5, "number": float("inf")})
+    began = time.monotonic()
+    row = pii.spans(docs, model).select(F.size("base").alias("n"), F.size("spans").alias("m"), F.get("spans", F.lit(99_999))["end"].alias("last")).first()
+    assert (row.n, row.m, row.last) == (50_000, 100_000, len(text) - 1)
+    assert len(pii.redact(docs, model).first().text) == 50_000 * len("[EMAIL] [HEX] ")
+    assert time.monotonic() - began < 120
 
 
 def test_mix(spark):
@@ -372,15 +447,61 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, empty).count() == 0
 
 
-def test_warc_reads_plain_and_foreign_archives(spark, tmp_path):
-    import gzip
+def warc_record(kind, body, *headers):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Target-URI: u:{kind}", *headers, f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(head).encode() + body + b"\r\n\r\n"
 
-    rec = lambda kind, body: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: u:{kind}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
-    parts = [rec("warcinfo", b"i"), rec("response", b"b" * 9000), rec("request", b"")]
+
+def test_warc_reads_plain_and_foreign_archives(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    parts = [
+        warc_record("warcinfo", b"i"),
+        warc_record("response", b"b" * 200_000, "WARC-Record-ID: <urn:1>"),
+        warc_record("request", b""),
+        warc_record("response", http + b"<p>hi</p>", "Content-Type: application/http; msgtype=response", "WARC-Payload-Digest: sha1:ABC"),
+        warc_record("revisit", http, "Content-Type: application/http; msgtype=response", "WARC-Refers-To: <urn:1>"),
+    ]
     (tmp_path / "a.warc").write_bytes(b"".join(parts))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
-    got = warc.read(spark, str(tmp_path)).filter("record_type in ('response', 'request')").collect()
-    assert sorted((r.record_type, len(r.payload)) for r in got) == [("request", 0)] * 2 + [("response", 9000)] * 2
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(b"".join(parts[:2])) + gzip.compress(parts[2] + b"\r\n" + b"".join(parts[3:])))
+    got = warc.read(spark, str(tmp_path)).filter("record_type in ('response', 'request', 'revisit')").collect()
+    want = [("request", 0, 0, None, None), ("response", 9, 9, None, "ABC"), ("response", 200_000, 200_000, None, None), ("revisit", None, 0, "<urn:1>", None)]
+    assert Counter((r.record_type, None if r.payload is None else len(r.payload), r.payload_bytes, r.refers_to, r.payload_digest) for r in got) == Counter(want * 4)
+    assert {bytes(r.payload) for r in got if r.payload_digest == "ABC"} == {b"<p>hi</p>"}
+    assert [r.record_id for r in got if r.payload_bytes == 200_000] == ["<urn:1>"] * 4
+    lean = warc.read(spark, str(tmp_path), payload=False).filter("record_type = 'response'").collect()
+    assert Counter(r.payload_bytes for r in lean) == {9: 4, 200_000: 4}
+
+
+def test_warc_drops_unwanted_payloads_piece_by_piece(tmp_path):
+    """A payload of a gigabyte in a member of several records is passed without being held."""
+    path, packer = tmp_path / "big.warc.gz", zlib.compressobj(1, zlib.DEFLATED, 31)
+    size = 1 << 30
+    with open(path, "wb") as f:
+        f.write(packer.compress(warc_record("metadata", b"m")))
+        f.write(packer.compress(f"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: {size}\r\n\r\n".encode()))
+        for _ in range(size >> 20):
+            f.write(packer.compress(bytes(1 << 20)))
+        f.write(packer.compress(b"\r\n\r\n" + warc_record("metadata", b"last")) + packer.flush())
+    reader = warc.WarcReader({"path": str(tmp_path)})
+    assert not list(reader.pushFilters([warc.EqualTo(("record_type",), "metadata")]))
+    tracemalloc.start()
+    got = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["payload"] for r in got] == [b"m", b"last"] and peak < 8 << 20
+
+
+def test_warc_refuses_what_is_cut_off(tmp_path):
+    whole = warc_record("response", b"b" * 5000)
+    for name, data in {"a.warc": whole[:4000], "b.warc.gz": gzip.compress(whole)[:-30], "c.warc": b"WARC/1.0\r\nWARC-Type: x", "d.warc": b"no archive\r\n\r\n"}.items():
+        folder = tmp_path / name.replace(".", "_")
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        reader = warc.WarcReader({"path": str(folder)})
+        with pytest.raises(ValueError):
+            [b for p in reader.partitions() for b in reader.read(p)]
 
 
 def test_media(spark):
@@ -398,17 +519,35 @@ def test_media(spark):
             media.decode(bad)
     rows = spark.createDataFrame([(1, bytearray(media.encode_bmp(colour))), (2, bytearray(b"no")), (3, None)], "i int, media binary")
     got = {r.i: r for r in media.media_features(rows).collect()}
-    assert got[1].height == 5 and np.load(__import__("io").BytesIO(bytes(got[1].tile))).shape == (8, 8) and got[2].dhash is None and got[3].tile is None
+    assert got[1].height == 5 and np.load(io.BytesIO(bytes(got[1].tile))).shape == (8, 8) and got[2].dhash is None and got[3].tile is None
+
+
+def brute_area(pixels, height, width):
+    """Means over equal areas, by the share of each pixel in each area."""
+    share = lambda n, m: np.array([[max(0.0, min(i + 1, (j + 1) * n / m) - max(i, j * n / m)) for i in range(n)] for j in range(m)])
+    down, across = share(pixels.shape[0], height), share(pixels.shape[1], width)
+    return down @ pixels @ across.T / (pixels.shape[0] / height * pixels.shape[1] / width)
 
 
 def test_text_media(spark):
     docs = docs_of(spark, [*AWKWARD, "a" * 576, "é" * 288, "b" * 577])
-    for r in media.text_media(docs).collect():
+    for r in media.text_media(docs, with_media=True).collect():
         data = (docs.filter(f"doc_id = {r.doc_id}").first().text or "").encode()
         pay = data + b"\xff" * ((-len(data)) % 576 if data else 576)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
-        stored = b"P5\n24 %d\n255\n" % (len(pay) // 24) + pay
-        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        if len(pay) // 576 % 2:
+            stored = b"P5\n24 %d\n255\n" % (len(pay) // 24) + pay
+            pixels = np.frombuffer(pay, np.uint8).reshape(-1, 24).astype(float)
+        else:  # bottom row first, blue first
+            rgb = np.frombuffer(pay, np.uint8).reshape(-1, 8, 3)
+            stored = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(pay), 0, 0, 54, 40, 8, len(rgb), 1, 24, 0, len(pay), 2835, 2835, 0, 0) + rgb[::-1, :, ::-1].tobytes()
+            pixels = rgb @ np.array([0.299, 0.587, 0.114])
+        assert (r.media_bytes, r.media_sha256, bytes(r.media)) == (len(stored), hashlib.sha256(stored).hexdigest(), stored)
+        tile, wide = brute_area(pixels, 8, 8), brute_area(pixels, 8, 9)
+        got = np.load(io.BytesIO(bytes(r.tile)))
+        assert got.shape == (8, 8) and np.abs(got - tile).max() <= 0.5 + 1e-6
+        bits = "".join(str(int(b > a)) for row in np.round(wide, 6) for a, b in zip(row, row[1:], strict=False))
+        assert r.feature == f"{int(bits, 2):016x}:{hashlib.sha256(bytes(r.tile)).hexdigest()[:16]}"
     assert media.text_media(docs.limit(0)).count() == 0
 
 
