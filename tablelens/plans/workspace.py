@@ -89,7 +89,8 @@ class Workspace:
         if name not in self.tables:
             return False
         self.tables.pop(name).unpersist()
-        self.rejects.pop(name, None)
+        if name in self.rejects:
+            self.rejects.pop(name).unpersist()
         self.spark.catalog.dropTempView(name)
         return True
 

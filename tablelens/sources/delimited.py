@@ -1,28 +1,30 @@
 """Delimited text, all columns as text, in source order.
 
-One permissive parse keeps what can be kept: short records are filled with nulls, records with too many fields, an open
-quote or bytes that are no UTF-8 become rejects. Settings that could not be detected are tried in turn.
+One permissive parse keeps what can be kept: short records are filled with nulls, records with too many fields, quotes that do not fit
+or bytes that are not of the encoding become rejects. What the whole file shows against what its head was taken for changes the reading: bytes
+that are no UTF-8 lead to a single-byte encoding, a quote that swallows the rest of the file is read as data, a single column tries the delimiter
+that comes second. What the user sets is never changed.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.naming import column_names, table_name
 from ..operators.profile import ROW
 from . import sniff, tokens
 from .options import Load, LoadError, Options, cleaned
-from .rownum import in_file_order
+from .records import Quoting, _dense, lines, records
 
-RAW = "_raw_record"
-CHARSETS = {"utf-8": "UTF-8", "utf-16": "UTF-16LE", "latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "cp1252": "windows-1252"}
+UNDEFINED = "[" + "".join(rf"\x{b:02x}" for b in sorted(sniff.UNDEFINED_1252)) + "]"
 #: A delimiter that leaves one column is given up for the runner-up if that covers as much.
 RUNNER_UP = 0.9
+#: Reading quotes as data must keep so many more rows, and more than this share of them.
+MORE_ROWS, MORE_SHARE, LOOKED_AT = 5, 0.01, 1000
 
 
 def preview_lines(path: str, n: int = 50, options: Options | dict | None = None) -> dict:
@@ -30,45 +32,33 @@ def preview_lines(path: str, n: int = 50, options: Options | dict | None = None)
     p, o = Path(path), cleaned(options)
     enc = sniff.detect_encoding(p)
     with open(p, "rb") as f:
-        lines = f.read(sniff.HEAD).decode(sniff.codec(o.encoding or enc.name), "replace").splitlines()[:n]
+        head = f.read(sniff.HEAD).decode(sniff.codec(o.encoding or enc.name), "replace").removeprefix("\ufeff").splitlines()[:n]
     scores = sniff.score_delimiters(p, o.encoding or enc.name, o.quote)
     delimiter = o.delimiter or (scores[0].delimiter if scores else ",")
-    return {"lines": lines, "encoding": enc, "delimiters": scores, "layout": sniff.detect_layout(p, o.encoding or enc.name, delimiter, o.quote)}
-
-
-def _fields(raw: Column, delimiter: str, quote: str) -> Column:
-    """How many fields a raw record has: one more than delimiters outside quotes."""
-    bare = F.regexp_replace(raw, r'"(?:[^"]|"")*+"', "") if quote == '"' else raw
-    return F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    return {"lines": head, "encoding": enc, "delimiters": scores, "layout": sniff.detect_layout(p, o.encoding or enc.name, delimiter, o.quote)}
 
 
 def _header(path: Path, encoding: str, delimiter: str, quote: str, first_row: int) -> list[str]:
-    """The header's cells; bytes that the encoding cannot read count as Windows-1252."""
+    """The header's cells; a header that the encoding cannot read is read as Windows-1252."""
     with open(path, "rb") as f:
         raw = f.read(sniff.HEAD)
-    try:
-        text = raw.decode(sniff.codec(encoding), "strict")
-    except UnicodeDecodeError:
-        text = raw.decode("cp1252" if encoding == "utf-8" else sniff.codec(encoding), "replace")
-        clean = raw.decode(sniff.codec(encoding), "replace")
-        own, good = sniff.records(text.removeprefix("﻿").removeprefix("ï»¿"), delimiter, quote)[0], sniff.records(clean.removeprefix("﻿"), delimiter, quote)[0]
-        row = good[first_row - 1][1] if len(good) >= first_row else []
-        return row if row and not any("�" in v for v in row) else own[first_row - 1][1]
-    recs, _ = sniff.records(text.removeprefix("﻿"), delimiter, quote)
-    if len(recs) < first_row:
+    fallback = "cp1252" if encoding == "utf-8" else sniff.codec(encoding)
+    for codec, marks in ((sniff.codec(encoding), ("\ufeff",)), (fallback, ("\ufeff", "ï»¿"))):
+        text = raw.decode(codec, "replace")
+        for mark in marks:
+            text = text.removeprefix(mark)
+        found = sniff.records(text, delimiter, quote)[0][first_row - 1 : first_row]
+        if found and not any("\ufffd" in v for v in found[0][1]):
+            break
+    if not found:
         raise LoadError(f"no record {first_row} to take names from")
-    return recs[first_row - 1][1]
+    return found[0][1]
 
 
-def _parse(spark: SparkSession, path: Path, names: list[str], delimiter: str, quote: str, escape: str | None, encoding: str, clean: bool, multi: bool) -> DataFrame:
-    """All records with places, names and the raw record; blank lines are none."""
-    schema = T.StructType([*[T.StructField(f"c{i}", T.StringType()) for i in range(len(names))], T.StructField(RAW, T.StringType())])
-    charset = CHARSETS.get(encoding, encoding)
-    if not clean:
-        charset = "ISO-8859-1"
-    reader = spark.read.schema(schema).option("sep", delimiter).option("header", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW)
-    reader = reader.option("quote", quote or "\u0000").option("escape", escape or quote or "\u0000").option("encoding", charset).option("multiLine", multi).option("maxCharsPerColumn", -1).option("maxColumns", max(20480, len(names) + 10)).option("comment", "").option("enforceSchema", True)
-    return reader.csv(str(path))
+def _parsed(text: Column, width: int, q: Quoting) -> Column:
+    """The record's fields; empty ones are null."""
+    options = {"sep": q.delimiter, "quote": q.quote or "\u0000", "escape": q.escape or q.quote or "\u0000", "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, width + 10)), "mode": "PERMISSIVE"}
+    return F.from_csv(text, ", ".join(f"c{i} string" for i in range(width)), options)
 
 
 def load(spark: SparkSession, path: str, options: Options | dict | None = None, taken: list[str] = ()) -> Load:
@@ -76,73 +66,91 @@ def load(spark: SparkSession, path: str, options: Options | dict | None = None,
     if not p.is_file():
         raise LoadError(f"no file {path}")
     guess = sniff.detect_encoding(p)
+    if not o.encoding and guess.big_endian:
+        raise LoadError("big-endian UTF-16 is not read; save the file as UTF-8")
     encoding = (o.encoding or guess.name).lower()
-    clean = guess.clean or bool(o.encoding)
-    scores = sniff.score_delimiters(p, encoding, o.quote)
+    limit = o.sample_size or sniff.HEAD_RECORDS
+    scores = sniff.score_delimiters(p, encoding, o.quote, limit)
     delimiter = o.delimiter or (scores[0].delimiter if scores else ",")
-    layout = sniff.detect_layout(p, encoding, delimiter, o.quote)
-    first_row = layout.first_row if o.first_row is None else o.first_row
-    footer = layout.footer if o.skip_footer is None else o.skip_footer
-    head, _ = sniff.head_text(p, encoding)
-    recs, _ = sniff.records(head, delimiter, o.quote)
-    if not any(r for _, r in recs):
+    head, whole = sniff.head_text(p, encoding)
+    if not head.strip("\r\n"):
         raise LoadError("the file is empty")
+    layout = sniff.detect_layout(p, encoding, delimiter, o.quote, limit)
+    first_row = layout.first_row if o.first_row is None else o.first_row
+    recs = sniff.records(head, delimiter, o.quote, None)[0]
     skipped = (first_row or 0) + o.skip_rows
-    if first_row:
-        names = column_names(_header(p, encoding, delimiter, o.quote, first_row))
-    else:
-        width = max(len(r) for _, r in recs[o.skip_rows :] or recs)
-        names = [f"col_{i}" for i in range(width)]
+    names = column_names(_header(p, encoding, delimiter, o.quote, first_row)) if first_row else [f"col_{i}" for i in range(max(len(r) for _, r in (recs[o.skip_rows :] or recs)))]
     if len(names) == 1 and not o.delimiter:
         for s in scores[1:2]:
             if s.coverage >= RUNNER_UP and s.fields > 1:
-                return load(spark, path, {**o.__dict__, "delimiter": s.delimiter}, taken)
-    multi = encoding == "utf-16" or any("\n" in v or "\r" in v for _, r in recs for v in r)
-    parsed = _parse(spark, p, names, delimiter, o.quote, o.escape, encoding, clean, multi)
-    # pruning columns would change what counts as a bad record, so the parse is kept whole
-    numbered = in_file_order(parsed.select("*", F.col("_metadata.file_block_start").alias("_at")), F.lit(0), F.col("_at"), "_record").drop("_at")
-    numbered = numbered.persist() if o.materialize else numbered
-    blanks = sum(1 for _, r in recs[:skipped] if not r)
-    body = numbered.filter(F.col("_record") > skipped - blanks)
-    texts = [F.col(f"c{i}") for i in range(len(names))]
-    raw = F.col(RAW)
-    if not clean:
-        bad_bytes = F.coalesce(F.greatest(*[~F.is_valid_utf8(F.encode(F.coalesce(t, F.lit("")), "ISO-8859-1").cast("string")) for t in [*texts, raw]]), F.lit(False))
-        texts = [F.decode(F.encode(t, "ISO-8859-1"), "UTF-8") for t in texts]
-    else:
-        bad_bytes = F.lit(False)
-    open_quote = F.lit(False) if not o.quote or multi else (F.length(raw) - F.length(F.replace(raw, F.lit(o.quote), F.lit("")))) % 2 == 1
-    n = _fields(raw, delimiter, o.quote)
-    kind = F.when(bad_bytes, "INVALID ENCODING").when(raw.isNotNull() & F.coalesce(open_quote, F.lit(False)), "UNQUOTED VALUE").when(raw.isNotNull() & (n > len(names)), "TOO MANY COLUMNS")
-    body = body.withColumn("_kind", kind)
-    # numbers close up behind rejects: rejects are few, so a count of those before each row is a small table
-    rejected = body.filter(F.col("_kind").isNotNull()).select((F.col("_record") - (skipped - blanks)).alias("line"), F.col("_kind").alias("error_type"), raw.alias("csv_line"))
-    total = body.count()
-    n_bad = rejected.count()
-    good = body.filter(F.col("_kind").isNull()).select("_record", *[t.alias(f"c{i}") for i, t in enumerate(texts)])
-    if n_bad:
-        good = _close_up(good, rejected, skipped - blanks)
+                return load(spark, path, replace(o, delimiter=s.delimiter), taken)
+    line_end = "\r" if "\n" not in head and "\r" in head else "\n"
+    all_ = lines(spark, str(p), encoding, line_end, o.parallel)
+    begin = recs[skipped][0] if len(recs) > skipped else head.count(line_end) + 2 if whole else recs[-1][0] + 1
+    body = all_.filter(F.col("_line") >= begin)
+    body = body.persist() if o.materialize else body
+    try:
+        if encoding == "utf-8" and guess.clean and not o.encoding and not body.filter("_wrong").isEmpty():
+            # the whole file is no UTF-8 after all
+            undefined = not body.filter("_wrong").filter(F.decode(F.col("_raw").cast("binary"), "ISO-8859-1").rlike(UNDEFINED)).isEmpty()
+            return load(spark, path, replace(o, encoding="iso-8859-1" if undefined else "cp1252"), taken)
+        return _loaded(spark, p, o, taken, body, names, Quoting(delimiter, o.quote, o.escape), layout, guess, encoding, first_row)
+    finally:
+        body.unpersist()
+
+
+def _kinds(recs: DataFrame, width: int, q: Quoting, strict: bool) -> DataFrame:
+    """recs with _n fields and the _kind of what cannot be taken."""
+    n = q.count(F.col("_text"))
+    kind = F.when(F.col("_wrong"), "INVALID ENCODING").when(F.col("_bad") & F.lit(strict), "UNQUOTED VALUE").when((n > width) & ~F.col("_bad"), "TOO MANY COLUMNS")
+    return recs.withColumns({"_n": n, "_kind": kind})
+
+
+def _loaded(spark: SparkSession, p: Path, o: Options, taken: list[str], body: DataFrame, names: list[str], q: Quoting, layout: sniff.Layout, guess: sniff.Encoding, encoding: str, first_row: int) -> Load:
+    width, loose = len(names), False
+    each = _kinds(records(body, q), width, q, o.strict_mode)
+    facts = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.count("_kind").alias("bad"), F.count_if(F.col("_kind") == "UNQUOTED VALUE").alias("open"), F.count_if(F.col("_kind").isNull() & (F.col("_n") < width)).alias("short"), F.coalesce(F.sum("_lines"), F.lit(0)).alias("lines")).first()
+    seen = facts(each)
+    if seen["open"]:
+        bare = Quoting(q.delimiter, "")
+        plain = _kinds(records(body, bare), width, bare, o.strict_mode)
+        other = facts(plain)
+        gain = (other["n"] - other["bad"]) - (seen["n"] - seen["bad"])
+        if gain > max(MORE_ROWS, (other["n"] - other["bad"]) * MORE_SHARE) and not _mostly_quoted(plain, width, bare, q.quote):
+            each, seen, q, loose = plain, other, bare, True
+    detected = o.skip_footer is None
+    footer = 0 if loose and detected else layout.footer if detected else o.skip_footer
+    kept = each.filter(F.col("_kind").isNull()) if seen["bad"] else each
+    total = seen["n"] - seen["bad"]
+    # lines that are all rows need no counting: their numbers are those of the file
+    straight = not seen["bad"] and seen["lines"] == seen["n"] == body.count()
+    first = body.agg(F.min("_line")).first()[0] or 1
+    numbered = kept.withColumn(ROW, F.col("_line") - (first - 1)) if straight else _dense(kept.drop("_lines", "_wrong", "_bad", "_kind", "_n"), "_line", ROW)
+    numbered = numbered.filter(F.col(ROW) <= total - footer) if footer else numbered
+    df = numbered.select(ROW, _parsed(F.col("_text"), width, q).alias("r")).select(F.col(ROW).cast("long").alias(ROW), *[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)])
+    if o.materialize:  # one table stays in the cache, the one that is handed out
+        first_read = df.persist()
+        df = tokens.nullify(first_read, o.nullify_tokens)
+        if df is not first_read:
+            df = df.persist()
+            df.count()
+            first_read.unpersist()
+        else:
+            df.count()
     else:
-        good = good.select((F.col("_record") - (skipped - blanks)).alias(ROW), *[f"c{i}" for i in range(len(names))])
-    if footer:
-        good = good.filter(F.col(ROW) <= total - n_bad - footer)
-    df = good.select(ROW, *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
-    df = tokens.nullify(df, o.nullify_tokens)
-    df = df.persist() if o.materialize else df
-    facts = {"encoding": encoding, "delimiter": delimiter, "first_row": first_row, "footer": footer, "rejects": n_bad, "padded": body.filter(raw.isNotNull() & (n < len(names))).limit(1).count() > 0, "row_count": max(0, total - n_bad - footer), "layout": layout.why, "encoding_why": guess.why}
-    return Load(o.name or table_name(p.stem, taken), df, rejected if n_bad else None, "csv", facts)
-
-
-def _close_up(good: DataFrame, rejected: DataFrame, base: int) -> DataFrame:
-    """Row numbers without the gaps that rejects left: the rejects before a row are counted in blocks of records, a row per block with rejects."""
-    block = 1 << 16
-    bad = rejected.select((F.col("line") + base).alias("_bad")).withColumn("_blk", F.floor(F.col("_bad") / block))
-    blocks = bad.groupBy("_blk").agg(F.sort_array(F.collect_list("_bad")).alias("_bads"))
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum(F.size("_bads")).over(W.orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    # a block without rejects takes the sum at the last block before it
-    spans = blocks.withColumn("_next", F.lead("_blk").over(W.orderBy("_blk")))
-    last = good.agg(F.max("_record")).first()[0] or 0
-    each = spans.select("_before", "_bads", F.explode(F.sequence(F.col("_blk"), F.coalesce(F.col("_next") - 1, F.greatest(F.col("_blk"), F.lit(last // block))))).alias("_b"))
-    joined = good.withColumn("_b", F.floor(F.col("_record") / block)).join(each, "_b", "left")
-    lost = F.coalesce(F.col("_before") + F.size(F.filter("_bads", lambda x: x < F.col("_record"))), F.lit(0))
-    return joined.select((F.col("_record") - base - lost).cast("long").alias(ROW), *[c for c in good.columns if c != "_record"])
+        df = tokens.nullify(df, o.nullify_tokens)
+    rejected = None
+    if seen["bad"] and not o.ignore_errors:
+        rejected = each.filter(F.col("_kind").isNotNull()).select(F.col("_line").alias("line"), F.col("_lines").alias("lines"), F.col("_kind").alias("error_type"), F.col("_text").alias("csv_line"))
+        if o.materialize:
+            rejected = rejected.persist()
+            rejected.count()
+    said = {"encoding": encoding, "delimiter": q.delimiter, "first_row": first_row, "footer": footer, "rejects": seen["bad"], "quotes_as_data": loose, "padded": seen["short"] > 0, "row_count": max(0, total - footer), "layout": layout.why, "encoding_why": guess.why}
+    return Load(o.name or table_name(p.stem, taken), df, rejected, "csv", said)
+
+
+def _mostly_quoted(plain: DataFrame, width: int, bare: Quoting, quote: str) -> bool:
+    """Whether most values of the first rows, read with quotes as data, begin and end with a quote."""
+    some = plain.filter(F.col("_kind").isNull()).orderBy("_line").limit(LOOKED_AT).select(_parsed(F.col("_text"), width, bare).alias("r")).select("r.*")
+    row = some.agg(*[F.count_if(F.col(c).startswith(quote) & F.col(c).endswith(quote)).alias(f"{c}q") for c in some.columns], *[F.count(c).alias(c) for c in some.columns]).first()
+    return 2 * sum(row[f"{c}q"] for c in some.columns) > sum(row[c] for c in some.columns)

@@ -11,7 +11,11 @@ NUMBERS = ("first_row", "skip_rows", "skip_footer", "sample_size", "excel_header
 
 @dataclass(frozen=True)
 class Options:
-    """None detects. first_row: the header's record from 1, 0 for none; nullify_tokens: nulled in columns of numbers or dates."""
+    """None detects. first_row: the header's record from 1, 0 for none; nullify_tokens: nulled in columns of numbers or dates.
+
+    ignore_errors: what cannot be read is left out without a table of rejects; strict_mode off: quotes that do not fit are read as well
+    as can be instead of rejected; parallel off: the file is read in one task; sample_size: records that detection looks at.
+    """
 
     delimiter: str | None = None
     quote: str = '"'

@@ -37,16 +37,130 @@ def test_text_stays_text(spark, tmp_path):
     assert rows(got.df) == [(1, "1", "2/2/24", "007", 'say "hi"'), (2, "2", None, "012", None), (3, "3", "1/1/24", None, "a, b")]
 
 
+def body_of(n, **changed):
+    rows = [f"{i},name{i},note" for i in range(1, n + 1)]
+    for k, v in changed.items():
+        rows[int(k[1:]) - 1] = v
+    return "id,name,note\n" + "\n".join(rows) + "\n"
+
+
 def test_short_wide_and_open_records(spark, tmp_path):
-    body = [f"{i},name{i},note" for i in range(1, 2001)]
-    body[999], body[1499], body[1799] = "1000,short", "1500,a,b,c,d", '1800,"open,x'
-    p = put(tmp_path / "bad.csv", "id,name,note\n" + "\n".join(body) + "\n")
+    p = put(tmp_path / "bad.csv", body_of(2000, r1000="1000,short", r1500="1500,a,b,c,d", r1998='1998,"open,x'))
     got = delimited.load(spark, str(p), {"nullify_tokens": []})
     kept = rows(got.df)
-    assert [r[0] for r in kept] == list(range(1, 1999)) and kept[999][1:] == ("1000", "short", None)
-    assert [int(r[1]) for r in kept] == [i for i in range(1, 2001) if i not in (1500, 1800)]
-    assert sorted((r.line, r.error_type) for r in got.rejects.collect()) == [(1500, "TOO MANY COLUMNS"), (1800, "UNQUOTED VALUE")]
-    assert got.facts["padded"] and got.facts["rejects"] == 2
+    assert [r[0] for r in kept] == list(range(1, 1997)) and kept[999][1:] == ("1000", "short", None)
+    assert [int(r[1]) for r in kept] == [i for i in range(1, 1998) if i != 1500]
+    assert sorted((r.line, r.lines, r.error_type, r.csv_line) for r in got.rejects.collect()) == [(1501, 1, "TOO MANY COLUMNS", "1500,a,b,c,d"), (1999, 3, "UNQUOTED VALUE", '1998,"open,x')]
+    assert got.facts["padded"] and got.facts["rejects"] == 2 and not got.facts["quotes_as_data"]
+    silent = delimited.load(spark, str(p), {"nullify_tokens": [], "ignore_errors": True, "parallel": False, "materialize": False})
+    assert silent.rejects is None and rows(silent.df) == kept
+
+
+def test_quote_that_never_closes_is_data(spark, tmp_path):
+    got = delimited.load(spark, str(put(tmp_path / "q.csv", body_of(29, r10='10,"open,note'))))
+    assert got.facts["quotes_as_data"] and got.facts["footer"] == 0 and got.rejects is None
+    assert len(rows(got.df)) == 29 and rows(got.df)[9][1:] == ("10", '"open', "note")
+    quoted = "\n".join(['"id","name","city"', *[f'"{i}","N{i}","C{i}"' for i in range(1, 30)]])
+    got = delimited.load(spark, str(put(tmp_path / "r.csv", quoted.replace('"10","N10","C10"', '"10","open,"C10"'))))
+    assert len(rows(got.df)) == 28 and [r.error_type for r in got.rejects.collect()] == ["UNQUOTED VALUE"]
+    assert not any('"' in v for r in rows(got.df) for v in r[1:])
+    mixed = ["id,name,city", *[f'{i},"Smith, J{i}",c' for i in range(1, 30)]]
+    mixed[10] = '10,"open,c'
+    got = delimited.load(spark, str(put(tmp_path / "s.csv", "\n".join(mixed) + "\n")))
+    assert len(rows(got.df)) == 27 and [(r.line, r.lines) for r in got.rejects.collect()] == [(11, 2)]
+    assert delimited.load(spark, str(tmp_path / "s.csv"), {"strict_mode": False}).rejects is None
+
+
+def test_late_quoted_line_breaks(spark, tmp_path):
+    """Breaks far behind the sample, over splits: records stay whole and in order."""
+    n = 30000
+    said = {i: f'"{i}\nsecond, ""line"" of {i}\n\n"' for i in (1501, 15000, 15001, 29999)}
+    text = "id,name,note\r\n" + "".join(f"{i},{said.get(i, f'n{i}').replace(chr(10), chr(13) + chr(10))},x\r\n" for i in range(1, n + 1)) + "7,short\r\n"
+    p = put(tmp_path / "late.csv", text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        got = delimited.load(spark, str(p), {"nullify_tokens": []})
+        kept = rows(got.df)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got.rejects is None and [r[0] for r in kept] == list(range(1, n + 2))
+    assert [r[1] for r in kept] == [*map(str, range(1, n + 1)), "7"] and kept[-1][1:] == ("7", "short", None)
+    for i in said:
+        assert kept[i - 1][2] == f'{i}\nsecond, "line" of {i}\n\n'.replace("\n", "\r\n")
+
+
+def parse_lines(text, quote='"'):
+    """What the states of lines should give: records by a character-wise reader that gives up a record at a line end after a quote out of place."""
+    out, start, lines, inside, bad = [], 0, text.split("\n"), False, False
+    for i, line in enumerate(lines):
+        at, fresh = 0, not inside
+        if not inside:
+            start, bad = i, False
+        while at < len(line):
+            if inside:
+                if line[at] == quote:
+                    if line[at + 1 : at + 2] == quote:
+                        at += 1
+                    else:
+                        inside = False
+                        if line[at + 1 : at + 2] not in ("", ","):
+                            bad = True
+                            break
+                        fresh = False
+            elif line[at] == "," or (at == 0 and fresh):
+                nxt = at + 1 if line[at] == "," else at
+                if line[nxt : nxt + 1] == quote:
+                    inside, at = True, nxt
+                fresh = False
+            at += 1
+        if not inside:
+            out.append((start + 1, i - start + 1, bad))
+    return out if not inside else [*out, (start + 1, len(lines) - start, True)]
+
+
+def test_records_of_lines(spark, monkeypatch):
+    """Any mixture of quotes, delimiters and line ends, with small blocks, against a reader that goes character by character."""
+    import random
+
+    from tablelens.sources import records
+
+    monkeypatch.setattr(records, "BLOCK", 4)
+    own, q = random.Random(4), records.Quoting(",", '"')
+    for _ in range(12):
+        text = "\n".join("".join(own.choices('ab",', weights=(4, 2, own.choice((1, 2)), 2), k=own.randrange(1, 8))) for _ in range(60))
+        body = spark.createDataFrame([(i, x, False) for i, x in enumerate(text.split("\n"), 1)], "_line long, _raw string, _wrong boolean")
+        got = sorted((r._line, r._lines, r._bad) for r in records.records(body, q).collect())
+        assert got == parse_lines(text), text
+
+
+def test_encoding_of_the_whole_file_decides(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sniff, "detect_encoding", lambda p: sniff.Encoding("utf-8", why="as told"))
+    got = delimited.load(spark, str(put(tmp_path / "w.csv", body_of(500, r3="3,a,b,c").encode() + b"501,caf\xe9,x\n")))
+    assert got.facts["encoding"] == "cp1252" and rows(got.df)[-1][2] == "café" and got.facts["rejects"] == 1
+    got = delimited.load(spark, str(put(tmp_path / "c.csv", b"id,v\n1,x\x81\xe9\n")))
+    assert got.facts["encoding"] == "iso-8859-1" and rows(got.df) == [(1, "1", "x\x81é")]
+    forced = delimited.load(spark, str(tmp_path / "w.csv"), {"encoding": "utf-8"})
+    assert forced.facts["encoding"] == "utf-8" and {r.error_type for r in forced.rejects.collect()} == {"INVALID ENCODING", "TOO MANY COLUMNS"}
+
+
+def test_bad_byte_in_the_header(spark, tmp_path):
+    data = b"id,n\xe9m,city\n" + "".join(f"{i},Zoë,Köln\n" for i in range(1, 400)).encode() + b"400,caf\xe9,x\n401,Ana\n"
+    got = delimited.load(spark, str(put(tmp_path / "h.csv", data)))
+    assert got.df.columns == [ROW, "id", "ném", "city"] and got.df.count() == 400 and rows(got.df)[-1] == (400, "401", "Ana", None)
+    assert [r.error_type for r in got.rejects.collect()] == ["INVALID ENCODING"]
+
+
+def test_other_text_shapes(spark, tmp_path):
+    assert rows(delimited.load(spark, str(put(tmp_path / "hash.csv", "code,n\n#N/A,1\n#2,2\n"))).df) == [(1, "#N/A", "1"), (2, "#2", "2")]
+    long = "x" * 2_100_000
+    assert rows(delimited.load(spark, str(put(tmp_path / "l.csv", f"id,name\n1,{long}\n"))).df) == [(1, "1", long)]
+    assert rows(delimited.load(spark, str(put(tmp_path / "mac.csv", "id,name\r1,a\r2,b\r"))).df) == [(1, "1", "a"), (2, "2", "b")]
+    assert rows(delimited.load(spark, str(put(tmp_path / "e.csv", "id,a,b\n1,,\"\"\n\n2,x,y\n"))).df) == [(1, "1", None, None), (2, "2", "x", "y")]
+    assert rows(delimited.load(spark, str(put(tmp_path / "k.csv", "id;a\n1;'x;y'\n2;'z'\n")), {"quote": "'"}).df) == [(1, "1", "x;y"), (2, "2", "z")]
+    assert rows(delimited.load(spark, str(put(tmp_path / "b.csv", 'id,a\n1,"x\\"y, z"\n2,w\n')), {"escape": "\\", "delimiter": ","}).df) == [(1, "1", 'x"y, z'), (2, "2", "w")]
+    with pytest.raises(LoadError, match="big-endian"):
+        delimited.load(spark, str(put(tmp_path / "be.csv", b"\xfe\xff" + "id,name\n1,x\n".encode("utf-16-be"))))
 
 
 def test_numbers_follow_file_order_over_splits(spark, tmp_path):
