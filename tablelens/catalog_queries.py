@@ -85,9 +85,9 @@ def profile_varchar_orders(spark, sf_dir):
     return _longs(profile.facts(_t(spark, sf_dir, "orders"), "o_orderpriority"))
 
 
-@query("SELECT " + _VARCHAR.format(c="lang") + " FROM documents")
+@query("SELECT " + _VARCHAR.format(c="text") + " FROM documents")
 def profile_varchar_documents(spark, sf_dir):
-    return _longs(profile.facts(_t(spark, sf_dir, "documents"), "lang"))
+    return _longs(profile.facts(_t(spark, sf_dir, "documents"), "text"))
 
 
 @query("SELECT " + _COMMON.format(c="l_extendedprice") + ", count(*) FILTER (l_extendedprice = 0) AS zero_count, count(*) FILTER (l_extendedprice < 0) AS negative_count, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(stddev_samp(l_extendedprice), 4) AS stddev, round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem")
@@ -304,7 +304,7 @@ sql_query("sql_dates", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate)
 sql_query("sql_math", "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS r, floor(c_acctbal) AS f, c_custkey % 7 AS m, c_custkey div 7 AS q FROM {customer}", "SELECT c_custkey, round(sqrt(abs(c_acctbal)), 6) AS r, CAST(floor(c_acctbal) AS BIGINT) AS f, c_custkey % 7 AS m, c_custkey // 7 AS q FROM customer")
 sql_query("sql_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 sql_query("sql_arrays", "SELECT vec_id, CAST(size(embedding) AS BIGINT) AS n, round(aggregate(embedding, CAST(0 AS DOUBLE), (a, x) -> a + CAST(x AS DOUBLE) * x), 3) AS norm, CAST(size(filter(embedding, x -> x > 0)) AS BIGINT) AS pos FROM {embeddings}", "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 3) AS norm, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS pos FROM embeddings")
-sql_query("sql_unnest", "SELECT vec_id, posexplode.pos + 1 AS i, round(CAST(posexplode.col AS DOUBLE), 4) AS v FROM {embeddings}, LATERAL posexplode(slice(embedding, 1, 3)) posexplode", "SELECT vec_id, unnest([1, 2, 3]) AS i, round(CAST(unnest(embedding[1:3]) AS DOUBLE), 4) AS v FROM embeddings")
+sql_query("sql_unnest", "SELECT vec_id, posexplode.pos + 1 AS i, round(CAST(posexplode.col AS DOUBLE), 4) AS v FROM {embeddings}, LATERAL posexplode(embedding) posexplode", "SELECT vec_id, generate_subscripts(embedding, 1) AS i, round(CAST(unnest(embedding) AS DOUBLE), 4) AS v FROM embeddings")
 sql_query("sql_conditional", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'P'), '-') AS st FROM {orders}")
 sql_query("sql_struct", "SELECT n_nationkey, s.a AS a, s.b AS b FROM (SELECT n_nationkey, named_struct('a', n_name, 'b', n_regionkey) AS s FROM {nation})", "SELECT n_nationkey, s.a AS a, s.b AS b FROM (SELECT n_nationkey, {'a': n_name, 'b': n_regionkey} AS s FROM nation)")
 sql_query("sql_values_distinct", "SELECT DISTINCT a, b FROM VALUES (1, 'x'), (1, 'x'), (2, 'y') AS t(a, b)", "SELECT DISTINCT a, b FROM (VALUES (1, 'x'), (1, 'x'), (2, 'y')) AS t(a, b)")

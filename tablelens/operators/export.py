@@ -9,7 +9,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,31 +51,56 @@ def mapping_ddl(mappings: list[Mapping], table: str, to: str = "sqlserver", sche
     return ddl.render(table, [ddl.ColumnType(m.source, m.target, m.sql_type or dialect(to).names["unknown"], m.nullable) for m in mappings], to, schema)
 
 
-def _single(df: DataFrame, path: str, write: Callable[[str], None], suffix: str) -> int:
-    """Lets Spark write one part into a folder beside the target and moves it there."""
+def _single(df: DataFrame, path: str, write: Callable[[str, DataFrame], None], suffix: str, head: str = "") -> int:
+    """Lets Spark write one part into a folder beside the target and moves it there, behind the head if there is one. Rows are counted as they are written."""
     target = Path(path)
     folder = target.parent / f".{target.name}.{uuid.uuid4().hex}"
+    seen = Observation()
     try:
-        write(str(folder))
+        write(str(folder), df.observe(seen, F.count(F.lit(1)).alias("n")))
         (part,) = [p for p in folder.iterdir() if p.name.startswith("part-") and p.name.endswith(suffix)]
+        if head:
+            with open(folder / "whole", "wb") as out, open(part, "rb") as body:
+                out.write(head.encode())
+                shutil.copyfileobj(body, out, 1 << 20)
+            part = folder / "whole"
         part.replace(target)
     finally:
         shutil.rmtree(folder, ignore_errors=True)
-    return df.count()
+    return int(seen.get["n"])
 
 
-def to_flat(df: DataFrame, path: str, delimiter: str = "|", header: bool = True, quote: str = '"', null: str = "", line_end: str = "\r\n", mappings: list[Mapping] | None = None, trim: bool = True) -> int:
+def to_flat(df: DataFrame, path: str, delimiter: str = "|", header: bool = True, quote: str = '"', null: str = "", line_end: str = "\r\n", mappings: list[Mapping] | None = None, trim: bool = True, single: bool = True) -> int:
+    """Values as they are, quoted where they hold a delimiter, a quote, a line end or nothing. single=False writes a folder of parts without header."""
     out = project(df, mappings, trim)
-    out = out.select(*[(casts.number_text(F.col(f"`{f.name}`").cast("double")) if isinstance(f.dataType, T.DoubleType | T.FloatType) else F.col(f"`{f.name}`").cast("string")).alias(f.name) for f in out.schema.fields])
-    writer = lambda folder: out.coalesce(1).write.option("sep", delimiter).option("header", header).option("quote", quote).option("escape", quote).option("nullValue", null).option("lineSep", line_end).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
-    return _single(out, path, writer, ".csv")
 
-
-def to_parquet(df: DataFrame, path: str, compression: str = "snappy", mappings: list[Mapping] | None = None, trim: bool = True) -> int:
+    def shown(c: Column, t: T.DataType) -> Column:
+        s = casts.number_text(c.cast("double")) if isinstance(t, T.DoubleType | T.FloatType) else c.cast("string")
+        if not quote:
+            return F.coalesce(s, F.lit(null))
+        special = s.rlike(f"[{re.escape(delimiter + quote)}\r\n]") | (s == "") | (s == null)
+        return F.when(s.isNull(), F.lit(null)).when(special, F.concat(F.lit(quote), F.replace(s, F.lit(quote), F.lit(quote * 2)), F.lit(quote))).otherwise(s)
+
+    lines = out.select(F.concat_ws(delimiter, *[shown(F.col(f"`{f.name}`"), f.dataType) for f in out.schema.fields]).alias("line"))
+    if not single:
+        seen = Observation()
+        lines.observe(seen, F.count(F.lit(1)).alias("n")).write.option("lineSep", line_end).text(path)
+        return int(seen.get["n"])
+    quoted = [f"{quote}{c.replace(quote, quote * 2)}{quote}" if quote and re.search(f"[{re.escape(delimiter + quote)}\r\n]", c) else c for c in out.columns]
+    head = delimiter.join(quoted) + line_end if header else ""
+    return _single(lines, path, lambda folder, rows: rows.coalesce(1).write.option("lineSep", line_end).text(folder), ".txt", head)
+
+
+def to_parquet(df: DataFrame, path: str, compression: str = "snappy", mappings: list[Mapping] | None = None, trim: bool = True, single: bool = True) -> int:
+    """One file, or with single=False a folder with a file for each task."""
     if compression not in CODECS:
         raise ValueError(f"compression is one of {', '.join(CODECS)}")
     out = project(df, mappings, trim)
-    return _single(out, path, lambda folder: out.coalesce(1).write.option("compression", compression).parquet(folder), ".parquet")
+    if not single:
+        seen = Observation()
+        out.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", compression).parquet(path)
+        return int(seen.get["n"])
+    return _single(out, path, lambda folder, rows: rows.coalesce(1).write.option("compression", compression).parquet(folder), ".parquet")
 
 
 def to_excel(df: DataFrame, path: str, sheet: str = "Sheet1", mappings: list[Mapping] | None = None, trim: bool = True, cancelled=lambda: False, progress=lambda n: None) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,9 @@ from ..functions import casts, textops
 ROW = "_src_row_num"
 # Fixed value: what counts as an address in a profile.
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\z"
+#: Quantiles cut a range into so many parts, until a part has few values.
+SLICES, FEW = 4096, 10_000
+FINITE = 1.7976931348623157e308
 SNIFFED = ("date", "timestamp", "bigint", "double", "boolean")
 
 
@@ -36,8 +40,55 @@ def common_facts(c: Column) -> dict[str, Column]:
 
 def numeric_facts(c: Column) -> dict[str, Column]:
     d = c.cast("double")
-    quarters = F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # one aggregate, however often it is named
-    return {"zero_count": F.count_if(c == 0), "negative_count": F.count_if(c < 0), "mean": F.avg(d), "median": quarters[1], "stddev": F.stddev_samp(d), "q1": quarters[0], "q3": quarters[2]}
+    return {"zero_count": F.count_if(c == 0), "negative_count": F.count_if(c < 0), "mean": F.avg(d), "stddev": F.stddev_samp(d)}
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    """Exact quantiles, between neighbours where a rank falls between two values, without gathering the values.
+
+    The range of the values is cut into SLICES like parts and counted; the part that holds each rank is cut again until it has few
+    values or only one, and these few are sorted. A pass over the column for each cut; a table of SLICES counts for each reaches the driver.
+    """
+    values = df.select(textops.named(column).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(shares)
+    ranks = sorted({r for p in shares for r in (int((n - 1) * p), min(n - 1, int((n - 1) * p) + 1))})
+    found: dict[int, float] = {}
+    todo = [(low, high, 0, n, ranks)]
+    while todo:
+        parts = {i: p for i, p in enumerate(todo)}
+        small = {i: p for i, p in parts.items() if p[3] <= FEW or p[0] == p[1] or math.nextafter(p[0], math.inf) >= p[1]}
+        within = lambda p: F.col("v").between(p[0], p[1])
+        if small:
+            part = F.coalesce(*[F.when(within(p), i) for i, p in small.items()])
+            each = values.select(part.alias("part"), "v").filter("part is not null").groupBy("part", "v").agg(F.count(F.lit(1)).alias("k")).collect()
+            for i, (_, _, before, _, wanted) in small.items():
+                at = before
+                for r in sorted((r for r in each if r["part"] == i), key=lambda r: r["v"]):
+                    found |= {w: r["v"] for w in wanted if at <= w < at + r["k"]}
+                    at += r["k"]
+        wide = {i: p for i, p in parts.items() if i not in small}
+        todo = []
+        if wide:
+            bound = lambda x: min(max(x, -FINITE), FINITE) / 2  # noqa: E731  halves, as a range may be wider than the widest number
+            half = F.greatest(F.lit(-FINITE), F.least(F.lit(FINITE), F.col("v"))) / 2
+            cut = lambda p: F.least(F.lit(SLICES - 1), F.floor((half - F.lit(bound(p[0]))) / F.lit(max((bound(p[1]) - bound(p[0])) / SLICES, 5e-324))).cast("int"))
+            key = F.coalesce(*[F.when(within(p), F.struct(F.lit(i).alias("part"), cut(p).alias("slice"))) for i, p in wide.items()])
+            counts = values.select(key.alias("key"), "v").filter("key is not null").groupBy("key.part", "key.slice").agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+            for i, (_, _, before, _, wanted) in wide.items():
+                at = before
+                for r in sorted((r for r in counts if r["part"] == i), key=lambda r: r["low"]):
+                    mine = [w for w in wanted if at <= w < at + r["k"]]
+                    if mine:
+                        todo.append((r["low"], r["high"], at, r["k"], mine))
+                    at += r["k"]
+    out = []
+    for p in shares:
+        x, k = (n - 1) * p, int((n - 1) * p)
+        a, b = found[k], found[min(n - 1, k + 1)]
+        out.append(a if a == b or x == k else a + (b - a) * (x - k))
+    return out
 
 
 def varchar_facts(c: Column) -> dict[str, Column]:
@@ -64,7 +115,7 @@ def top_values(df: DataFrame, column: str, n: int = 3) -> DataFrame:
 
 
 def facts(df: DataFrame, column: str, as_of: Column | None = None) -> DataFrame:
-    """One row: every metric of the column's kind that a single pass gives."""
+    """One row: every metric of the column's kind, by a single pass but for the quantiles of numbers."""
     c, kind = textops.named(column), kind_of(df.schema[column].dataType)
     wanted = common_facts(c)
     if kind == "numeric":
@@ -73,7 +124,11 @@ def facts(df: DataFrame, column: str, as_of: Column | None = None) -> DataFrame:
         wanted |= varchar_facts(c.cast("string"))
     elif kind == "temporal":
         wanted |= temporal_facts(c, as_of if as_of is not None else F.current_timestamp())
-    return df.agg(*[v.alias(k) for k, v in wanted.items()])
+    row = df.agg(*[v.alias(k) for k, v in wanted.items()])
+    if kind == "numeric":
+        q1, median, q3 = quantiles(df, column, [0.25, 0.5, 0.75])
+        row = row.select("*", *[F.lit(v).cast("double").alias(k) for k, v in (("median", median), ("q1", q1), ("q3", q3))])
+    return row
 
 
 def outliers(df: DataFrame, column: str, q1: float, q3: float) -> DataFrame:
@@ -117,8 +172,18 @@ def profile(df: DataFrame, column: str, as_of: dt.datetime | None = None) -> dic
 
 
 def summarize(df: DataFrame) -> DataFrame:
-    """(column_name, column_type, row_count, null_count, distinct_count, min, max): a row per column, one pass."""
+    """(column_name, column_type, row_count, null_count, distinct_count, min, max): a row per column.
+
+    One pass for all but the distinct counts. Of these, values are reduced to one of each per task and column before they are shuffled, so a
+    column of few values moves little and one of many is spread by value, whatever the number of columns.
+    """
     cols = [c for c in df.columns if kind_of(df.schema[c].dataType) != "other"]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[x for c in cols for x in (F.count(textops.named(c)).alias(f"{c}|k"), F.count_distinct(textops.named(c)).alias(f"{c}|d"), as_text(F.min(textops.named(c)), df.schema[c].dataType).alias(f"{c}|a"), as_text(F.max(textops.named(c)), df.schema[c].dataType).alias(f"{c}|b"))]).first()
-    rows = [(c, df.schema[c].dataType.simpleString(), row["n"], row["n"] - row[f"{c}|k"], row[f"{c}|d"], row[f"{c}|a"], row[f"{c}|b"]) for c in cols]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(cols) for x in (F.count(textops.named(c)).alias(f"{i}|k"), as_text(F.min(textops.named(c)), df.schema[c].dataType).alias(f"{i}|a"), as_text(F.max(textops.named(c)), df.schema[c].dataType).alias(f"{i}|b"))]).first()
+    # two hashes of a value stand for it: rows of fixed width
+    keys = [F.when(textops.named(c).isNotNull(), F.struct(F.lit(i).alias("c"), F.xxhash64(textops.named(c)).alias("x"), F.xxhash64(F.lit(i), textops.named(c)).alias("y"))) for i, c in enumerate(cols)]
+    distinct = {}
+    if keys:
+        each = df.select(F.explode_outer(F.array(*keys)).alias("v")).filter("v is not null").select("v.c", "v.x", "v.y").distinct()
+        distinct = {r["c"]: r["d"] for r in each.groupBy("c").agg(F.count(F.lit(1)).alias("d")).collect()}
+    rows = [(c, df.schema[c].dataType.simpleString(), row["n"], row["n"] - row[f"{i}|k"], distinct.get(i, 0), row[f"{i}|a"], row[f"{i}|b"]) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "column_name string, column_type string, row_count long, null_count long, distinct_count long, min string, max string")

@@ -7,23 +7,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def _free(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames begins with."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for f in frames for c in f.columns):
+        prefix += "_"
+    return prefix
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
     """Each left row with the values of the latest right row of its key at or before its time. A union and one running window, not a range join."""
-    l = left.select("*", F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[v].dataType).alias(f"_{v}") for v in values])
-    r = right.select(key, at, F.lit(0).alias("_side"), *[F.col(v).alias(f"_{v}") for v in values])
-    by = W.partitionBy(key).orderBy(at, "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True)
-    last = F.last(F.when(F.col("_side") == 0, F.struct(*[F.col(f"_{v}").alias(v) for v in values])), ignorenulls=True).over(by)
-    return both.withColumn("_last", last).filter("_side = 1").select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
+    p = _free(left, right)
+    side, last = f"{p}side", f"{p}last"
+    held = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    l = left.select("*", F.lit(1).alias(side), F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType).alias(last))
+    r = right.select(key, at, F.lit(0).alias(side), held.alias(last))
+    by = W.partitionBy(key).orderBy(at, side).rowsBetween(W.unboundedPreceding, 0)
+    both = l.unionByName(r, allowMissingColumns=True).withColumn(last, F.last(F.when(F.col(side) == 0, F.col(last)), ignorenulls=True).over(by))
+    return both.filter(F.col(side) == 1).select(*left.columns, *[F.col(f"{last}.v{i}").alias(v) for i, v in enumerate(values)])
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
+    rank = f"{_free(df)}rank"
+    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) == 1).drop(rank)
 
 
 def qualify(df: DataFrame, window: Column, condition) -> DataFrame:
     """Rows for which condition(window value) holds."""
-    return df.withColumn("_q", window).filter(condition(F.col("_q"))).drop("_q")
+    value = f"{_free(df)}value"
+    return df.withColumn(value, window).filter(condition(F.col(value))).drop(value)
 
 
 def time_bucket(c: Column, seconds: int) -> Column:

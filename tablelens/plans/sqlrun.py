@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 import re
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 from ..operators.derive import auto_derive
 from ..operators.profile import ROW, summarize
 from ..sources import delimited, excel
-from .dialect import SKIP, by_name, files, install, translate
+from .dialect import SKIP, File, by_name, files, install, translate
 
 WINDOW = 500
 RESULT_WORDS = ("SELECT", "WITH", "FROM", "VALUES", "TABLE", "DESCRIBE", "SUMMARIZE")
@@ -68,10 +70,11 @@ def json_safe(v):
 
 @dataclass
 class Runner:
-    """Runs one statement at a time and holds its result until the next."""
+    """Runs one statement at a time and holds its result until the next. Pages beyond the first keep it in the cache."""
 
     spark: SparkSession
     result: DataFrame | None = None
+    running: bool = False
     tag: str = field(default_factory=lambda: f"sql-{uuid.uuid4().hex}")
 
     def query(self, sql: str, **tables: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ class Runner:
                 out = out.unionByName(self.query(branch, **tables), allowMissingColumns=True)
                 out = out if keep else out.distinct()
             return out
-        text = translate(self._with_files(sql))
+        text = translate(self._with_files(sql), lambda q: self.spark.sql(q, **tables).columns)
         install(self.spark, text)
         if m := re.match(r"summarize\s+(.*)", bare(text), re.IGNORECASE | re.DOTALL):
             source = m[1].strip()
@@ -93,25 +96,34 @@ class Runner:
 
     def _with_files(self, sql: str) -> str:
         """Files named in the statement become views. Columns of text files get types, as the dialect's reader gives them."""
-        for (start, end), kind, path in reversed(files(sql)):
-            if kind == "csv":
-                df = auto_derive(delimited.load(self.spark, path).df.drop(ROW))
-            elif kind == "xlsx":
-                df = auto_derive(excel.load_sheet(self.spark, path).df.drop(ROW))
-            elif kind in ("parquet", "json"):
-                df = self.spark.read.format(kind).load(path)
-            else:
-                raise ValueError(f"{path}: no reader for {kind}")
-            view = f"__file_{hashlib.md5(f'{kind}:{path}'.encode()).hexdigest()}"
-            df.createOrReplaceTempView(view)
-            sql = f"{sql[:start]} {view} {sql[end:]}"
+        for f in reversed(files(sql)):
+            view = f"__file_{hashlib.md5(repr((f.kind, f.paths, f.options)).encode()).hexdigest()}"
+            self._read(f).createOrReplaceTempView(view)
+            sql = f"{sql[: f.start]} {view} {sql[f.end :]}"
         return sql
 
+    def _read(self, f: File) -> DataFrame:
+        if f.kind in ("parquet", "json"):
+            return self.spark.read.format(f.kind).load(list(f.paths))
+        if f.kind not in ("csv", "xlsx"):
+            raise ValueError(f"{f.paths[0]}: no reader for {f.kind}")
+        options = {k: v for k, v in f.options.items() if k not in ("all_varchar", "header")}
+        if f.options.get("header") is False:
+            options["first_row"] = 0
+        found: list[DataFrame] = []
+        for path in (p for x in f.paths for p in (sorted(glob.glob(x)) or [x])):
+            load = delimited.load(self.spark, path, options) if f.kind == "csv" else excel.load_sheet(self.spark, path, options=options)
+            found.append(load.df.drop(ROW))
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+        return df if f.options.get("all_varchar") else auto_derive(df)
+
     def run(self, sql: str, window: int = WINDOW, change: Callable[[str], bool] | None = None) -> dict:
         """Statements that give no rows are offered to change first. ok, columns, the first rows, row_count, truncated, elapsed_ms; or ok false and the error."""
         began = time.monotonic()
         self.drop()
-        self.spark.addTag(self.tag)
+        context = self.spark.sparkContext
+        context.addJobTag(self.tag)  # tags of the context, unlike those of the session, can be cancelled from any thread
+        self.running = True
         try:
             if not gives_rows(sql):
                 for one in statements(sql):
@@ -121,21 +133,44 @@ class Runner:
                     install(self.spark, text)
                     self.spark.sql(text).collect()
                 return {"ok": True, "columns": [], "rows": [], "row_count": 0, "truncated": False, "elapsed_ms": int(1000 * (time.monotonic() - began))}
-            self.result = self.query(sql).persist()
-            n = self.result.count()
-            return {"ok": True, "columns": self.result.columns, "rows": self.page(0, window), "row_count": n, "truncated": n > window, "elapsed_ms": int(1000 * (time.monotonic() - began))}
+            self.result = self.query(sql)
+            # the first window needs no more than its rows; what is beyond is worked out when it is asked for
+            rows = self.page(0, window + 1)
+            more = len(rows) > window
+            return {"ok": True, "columns": self.result.columns, "rows": rows[:window], "row_count": None if more else len(rows), "truncated": more, "elapsed_ms": int(1000 * (time.monotonic() - began))}
         except Exception as e:  # noqa: BLE001  any failure of the user's statement is its answer
             self.drop()
             return {"ok": False, "error": str(e).split("\n\nJVM stacktrace")[0], "elapsed_ms": int(1000 * (time.monotonic() - began))}
         finally:
-            self.spark.removeTag(self.tag)
+            self.running = False
+            context.removeJobTag(self.tag)
 
     def page(self, offset: int, limit: int) -> list[list]:
-        return [] if self.result is None else [[json_safe(v) for v in r] for r in self.result.offset(offset).limit(limit).collect()]
+        if self.result is None:
+            return []
+        if offset and not self.result.is_cached:
+            self.result.persist()
+        some = self.result.offset(offset) if offset else self.result
+        return [[json_safe(v) for v in r] for r in some.limit(limit).collect()]
+
+    def count(self) -> int:
+        """The rows of the whole result."""
+        return 0 if self.result is None else self.result.persist().count()
+
+    def progress(self) -> dict:
+        """From another thread: tasks of the running statement that are done, running and in all, and the share that is done."""
+        tracker, tasks = self.spark.sparkContext.statusTracker(), [0, 0, 0]
+        for stage in tracker.getActiveStageIds():
+            info = tracker.getStageInfo(stage)
+            if info is not None:
+                tasks = [a + b for a, b in zip(tasks, (info.numCompletedTasks, info.numActiveTasks, info.numTasks), strict=True)]
+        return {"done": tasks[0], "running": tasks[1], "tasks": tasks[2], "percent": round(100.0 * tasks[0] / tasks[2], 1) if tasks[2] else None}
 
     def cancel(self) -> int:
-        """From another thread."""
-        return len(self.spark.interruptTag(self.tag))
+        """From another thread: 1 if a statement was running, whose jobs are now cancelled."""
+        was = int(self.running)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
+        return was
 
     def drop(self) -> None:
         if self.result is not None:

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tablelens import catalog_queries
+from tablelens import catalog_queries, workbench_queries  # noqa: F401  the second adds its queries to the first
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the supplied tables are not here")

@@ -4,6 +4,7 @@ import datetime as dt
 import zipfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tablelens.operators import ddl, derive, export, infer, naming, profile
@@ -403,7 +404,7 @@ def test_sql_runner(spark):
     assert not r.run("select nope")["ok"]
     assert r.run("create or replace temp view zz as select 3 as a")["ok"] and r.run("(select a from zz)")["rows"] == [[3]]
     big = r.run("select id from range(1000)")
-    assert big["truncated"] and big["row_count"] == 1000 and len(big["rows"]) == 500 and len(r.page(990, 100)) == 10
+    assert big["truncated"] and big["row_count"] is None and r.count() == 1000 and len(big["rows"]) == 500 and len(r.page(990, 100)) == 10
     assert r.run("summarize select 1 as a")["row_count"] == 1
     assert gives_rows("/* x */ ((with t as (select 1) select * from t))") and not gives_rows("drop view x")
     assert statements("a; b ';' ; -- c;\n") == ["a", "b ';'"]
@@ -426,3 +427,61 @@ def test_workspace(spark, tmp_path):
     assert w.load_file(str(fake)).format == "csv"
     with pytest.raises(LoadError):
         w.load_file(str(tmp_path / "none.csv"))
+
+
+def test_quantiles_by_ranges(spark, monkeypatch):
+    import random
+    own = random.Random(3)
+    monkeypatch.setattr(profile, "FEW", 5)
+    monkeypatch.setattr(profile, "SLICES", 4)
+    for values in ([7.0], [1.0, 2.0], [5.0] * 40, [own.gauss(0, 1e6) for _ in range(300)], [own.choice((1.0, 2.0, 1e300, -1e308, float("inf"))) for _ in range(80)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+        got = profile.quantiles(df, "v", [0.25, 0.5, 0.75])
+        ends = sorted(values)
+        for share, g in zip((0.25, 0.5, 0.75), got, strict=True):
+            x = (len(ends) - 1) * share
+            a, b = ends[int(x)], ends[min(len(ends) - 1, int(x) + 1)]
+            w = a if a == b or x == int(x) else a + (b - a) * (x - int(x))
+            assert g == w or abs(g - w) <= 1e-9 * abs(w), (values[:3], share, g, w)
+    assert profile.quantiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_helpers_keep_any_column_names(spark):
+    from tablelens.plans import shims
+
+    left = spark.createDataFrame([(1, 5, "a"), (1, 9, "b"), (2, 1, "c")], "k int, t int, _last string")
+    right = spark.createDataFrame([(1, 4, "x"), (1, 9, "y")], "k int, t int, v string")
+    assert {tuple(r) for r in shims.asof_join(left, right, "k", "t", ["v"]).collect()} == {(1, 5, "a", "x"), (1, 9, "b", "y"), (2, 1, "c", None)}
+    df = left.withColumnsRenamed({"t": "_r", "_last": "_q"})
+    assert [tuple(r) for r in shims.distinct_on(df, ["k"], [F.desc("_r")]).orderBy("k").collect()] == [(1, 9, "b"), (2, 1, "c")]
+    assert shims.qualify(df, F.count(F.lit(1)).over(Window.partitionBy("k")), lambda c: c > 1).columns == ["k", "_r", "_q"]
+
+
+def test_many_parquet_files_in_list_order(spark, tmp_path):
+    for name, lo in (("b a%.parquet", 0), ("aa.parquet", 10), ("a.parquet", 20)):
+        export.to_parquet(spark.range(lo, lo + 3), str(tmp_path / name))
+    got = parquet.read_numbered(spark, [str(tmp_path / n) for n in ("a.parquet", "b a%.parquet", "aa.parquet")])
+    assert [tuple(r) for r in got.orderBy(ROW).collect()] == [(1, 20), (2, 21), (3, 22), (4, 0), (5, 1), (6, 2), (7, 10), (8, 11), (9, 12)]
+
+
+def test_progress_and_cancel(spark):
+    import threading
+    import time
+
+    r = Runner(spark)
+    out = {}
+    t = threading.Thread(target=lambda: out.update(r.run("select sum(a.id * b.id % 7) as s from range(400000) a join range(400000) b on a.id % 50 = b.id % 50")))
+    t.start()
+    seen = []
+    for _ in range(200):
+        time.sleep(0.1)
+        seen.append(r.progress())
+        if seen[-1]["tasks"]:
+            break
+    assert set(seen[-1]) == {"done", "running", "tasks", "percent"} and seen[-1]["tasks"] > 0
+    for _ in range(100):
+        r.cancel()
+        t.join(0.2)
+        if not t.is_alive():
+            break
+    assert not t.is_alive() and not out["ok"] and r.progress()["percent"] is None
