@@ -146,100 +146,6 @@ def _surest(docs: DataFrame, meta: list[str], text: View, page: View, k: int) ->
     return found.orderBy("view", "y", "r").collect()  # 4k rows at most
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights.astype(np.float32) + np.float32(self.bias)
-
-
-@dataclass(frozen=True)
-class CoModel:
-    """View scores to log-odds of good quality: a calibrated sum."""
-
-    text: View
-    meta: View
-    mix: np.ndarray
-    bias: float
-    cut: float
-
-
-def _columns(docs: DataFrame, id_col: str, text_col: str, meta_cols: list[str], extra: list = ()) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *[F.col(c).alias(f"_m{i}") for i, c in enumerate(meta_cols)], *extra)
-
-
-def _views(piece: pa.RecordBatch, texts: pa.Array, n_meta: int) -> tuple[np.ndarray, np.ndarray]:
-    return byte_features(texts, PAIRS), meta_features([piece.column(f"_m{i}") for i in range(n_meta)])
-
-
-def _gather(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    a = np.frombuffer(b"".join(bytes(r["a"]) for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-    b = np.frombuffer(b"".join(bytes(r["b"]) for r in rows), np.float16).reshape(len(rows), -1).astype(np.float32)
-    return a, b, np.array([r["y"] for r in rows], float), np.array([r["h"] for r in rows], np.int64)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars"), label_id: str = "doc_id", label_col: str = "quality", max_labelled: int = 5000, rounds: int = 2, per_round: int = 200, keep_recall: float = 0.995) -> CoModel:
-    """Fits on at most max_labelled labels, chosen by the hash of their ids; a quarter of them only calibrates.
-
-    Each round reads all documents; every task passes on its per_round surest for each class and view, and the surest of
-    these are learned: 4 * per_round rows reach the driver.
-    """
-    h = F.xxhash64(F.col(label_id).cast("string"))
-    every = max(1, labels.count() // max_labelled)
-    some = labels.filter(F.col(label_col).isNotNull() & (F.pmod(h, F.lit(every)) == 0)).select(F.col(label_id).alias("_lid"), F.col(label_col).cast("double").alias("_y"), h.alias("_h")).dropDuplicates(["_lid"]).orderBy("_h").limit(max_labelled)
-    meta = list(meta_cols)
-
-    def features(batches):
-        for batch in batches:
-            for piece, texts in slices(batch, "_t"):
-                a, b = _views(piece, texts, len(meta))
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in a.astype(np.float16)], pa.binary()), pa.array([r.tobytes() for r in b.astype(np.float16)], pa.binary()), piece.column("_y"), piece.column("_h")], names=["a", "b", "y", "h"])
-
-    joined = _columns(docs.join(F.broadcast(some), F.col(id_col) == F.col("_lid")), id_col, text_col, meta, [F.col("_y"), F.col("_h")])
-    rows = joined.mapInArrow(features, "a binary, b binary, y double, h long").orderBy("h").limit(max_labelled).collect()
-    if len({r["y"] for r in rows}) < 2:
-        return CoModel(View(np.zeros(259 + PAIRS), 0.0), View(np.zeros(META), 0.0), np.zeros(2), 0.0, 0.0)
-    a, b, y, hh = _gather(rows)
-    held = (hh // every) % 4 == 0
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.arange(len(y)) % 4 == 0
-    pool_a, pool_b = [(a[~held], y[~held])], [(b[~held], y[~held])]
-    learn = lambda pool: View(*logistic(np.vstack([x for x, _ in pool]), np.concatenate([t for _, t in pool])))
-    text, page = learn(pool_a), learn(pool_b)
-    for _ in range(rounds):
-        sure = _surest(docs, id_col, text_col, meta, text, page, per_round)
-        for view, pool in ((0, pool_b), (1, pool_a)):  # what one view is sure of teaches the other
-            mine = [r for r in sure if r["view"] == view]
-            if mine:
-                xa, xb, t, _ = _gather(mine)
-                pool.append((xb if view == 0 else xa, t))
-        text, page = learn(pool_a), learn(pool_b)
-    seen = np.stack([text.score(a[held]), page.score(b[held])], axis=1)
-    mix, bias = logistic(seen.astype(float), y[held], ridge=0.1, steps=2000)
-    good = np.sort((seen @ mix + bias)[y[held] > 0.5])
-    return CoModel(text, page, mix, bias, min(0.0, float(good[int(len(good) * (1 - keep_recall))])) if len(good) else 0.0)
-
-
-def _surest(docs: DataFrame, id_col: str, text_col: str, meta: list[str], text: View, page: View, k: int) -> list:
-    """For each view and class the k documents of the corpus it is surest of."""
-
-    def run(batches):
-        best: dict[tuple[int, int], list] = {(v, c): [] for v in (0, 1) for c in (0, 1)}
-        for batch in batches:
-            for piece, texts in slices(batch, "_t"):
-                a, b = _views(piece, texts, len(meta))
-                hs = np.asarray(piece.column("_h"))
-                for v, score in enumerate((text.score(a), page.score(b))):
-                    for c, s in ((1, score), (0, -score)):
-                        for i in np.argsort(-s, kind="stable")[:k]:
-                            if s[i] > 0:
-                                best[v, c].append((-float(s[i]), int(hs[i]), a[i].astype(np.float16).tobytes(), b[i].astype(np.float16).tobytes()))
-                        best[v, c] = sorted(best[v, c])[:k]
-        rows = [(v, float(c), s, h, x, z) for (v, c), found in best.items() for s, h, x, z in found]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary()))], names=["view", "y", "s", "h", "a", "b"])
-
-    found = _columns(docs, id_col, text_col, meta, [F.xxhash64(F.col(id_col).cast("string")).alias("_h")]).mapInArrow(run, "view int, y double, s double, h long, a binary, b binary")
-    ranked = found.withColumn("_r", F.row_number().over(W.partitionBy("view", "y").orderBy("s", "h")))
-    return ranked.filter(F.col("_r") <= k).orderBy("view", "y", "_r").collect()  # 4k rows at most
-
-
 def score(docs: DataFrame, model: CoModel, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
     """Per document: the id, text_score, meta_score, quality (probability of good) and keep."""
     meta = list(meta_cols)
