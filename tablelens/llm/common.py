@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: ASCII white space parts tokens.
 SPACE_GAP = r"[\x20\x09-\x0D]+"
-#: Broadcasts are only hinted for tables counted to have at most this many rows.
-BROADCAST_ROWS = 1_000_000
 
 
 def text_of(column: str | Column) -> Column:
@@ -51,11 +49,6 @@ def n_tokens(text: Column) -> Column:
     return F.when(text == "", F.lit(0).cast("long")).otherwise(F.size(F.split(text, SPACE_GAP, -1)).cast("long") - edge - last)
 
 
-def gram_hash(array: Column, start: Column, n: int) -> Column:
-    """A 64-bit hash of n consecutive elements. It reads them by index: slice() would copy the whole array each time."""
-    return F.xxhash64(*[F.get(array, start + i) for i in range(n)])
-
-
 def row_key(text: Column) -> Column:
     """With the id, tells rows apart even where ids repeat."""
     return F.xxhash64(text, F.octet_length(text))
@@ -109,10 +102,5 @@ def materialize(df: DataFrame, path: str, compression: str = "zstd", **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the table's counted rows are few enough; else Spark joins by shuffling."""
-    return F.broadcast(df) if rows <= most else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

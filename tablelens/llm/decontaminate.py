@@ -1,6 +1,7 @@
 """Benchmark decontamination: a broadcast hash set of normalised n-grams against every token window.
 
-Each word is hashed once; a window's key is the hash of its words' hashes. Where the benchmark's windows take at most MOST_BYTES they
+Each word is hashed once; a window's key is the hash of its words' hashes, and only windows whose first two words start one of the
+benchmark's become rows: a bitmap of fixed size tells, which passes some others too and loses none. Where the benchmark's windows take at most MOST_BYTES they
 are broadcast, and a key that meets one is verified by the words. Beyond, keys are joined by a shuffle: a row of fixed width for each
 window, verified by a second hash of the words instead of carrying them.
 
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import fresh, let, materialize, row_key, text_of, words, work_dir
 
 N = 10
+#: Bits of the test for how windows start.
+BITS = 1 << 20
 #: The benchmark's windows are broadcast if their words and items take at most so much.
 MOST_BYTES = 64 << 20
 
@@ -43,16 +46,44 @@ def benchmark_grams(benchmark: DataFrame, n: int = N, item_col: str = "item_id",
     return grams.withColumns({"g_key": key(), "g_second": key(F.lit("second"))})
 
 
-def _windows(h: Column, lengths: list[int], second: bool) -> Column:
-    """(len, pos, key, second) of all windows of the given lengths, and one of length 0 so that no document is lost."""
+def _start(h: Column, i: Column, m: int) -> Column:
+    """What a window's first words hash to: two of them, or the only one."""
+    return F.xxhash64(F.get(h, i), F.get(h, i + 1)) if m > 1 else F.xxhash64(F.get(h, i))
+
+
+def _starts(grams: DataFrame) -> Column:
+    """A bitmap of the hashes that windows start with, as an array literal of BITS / 64 numbers: whatever the benchmark's size, no larger."""
+    h = _hashes(F.split("g_words", " "))
+    of = grams.select(F.when(F.col("g_len") > 1, _start(h, F.lit(0), 2)).otherwise(_start(h, F.lit(0), 1)).alias("s"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))
+    words_ = {r["w"]: r["b"] for r in of.groupBy(F.shiftright("s", 6).bitwiseAND(F.lit(BITS // 64 - 1)).cast("int").alias("w")).agg(F.bit_or(one).alias("b")).collect()}
+    return F.expr(f"cast(split('{','.join(str(words_.get(w, 0)) for w in range(BITS // 64))}', ',') as array<bigint>)")
+
+
+def _may_start(starts: Column, s: Column) -> Column:
+    word = F.get(starts, F.shiftright(s, 6).bitwiseAND(F.lit(BITS // 64 - 1)).cast("int"))
+    return F.call_function("shiftright", word, s.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _upto(at: Column, last: Column) -> Column:
+    return F.filter(at, lambda i: i <= last)
+
+
+def _windows(h: Column, lengths: list[int], starts: Column, second: bool) -> Column:
+    """(len, pos, key, second) of the windows of the given lengths that start as one of the benchmark does, and one of length 0 so that no document is lost."""
     none = F.lit(None).cast("long")
 
     def window(m: int):
         return lambda i: F.struct(F.lit(m).alias("len"), i.alias("pos"), _key(h, i, m).alias("key"), (_key(h, i, m, F.lit("second")) if second else none).alias("second"))
 
-    parts = [F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), none.alias("key"), none.alias("second")))]
-    for m in lengths:
-        parts.append(F.when(F.size(h) >= m, F.transform(F.sequence(F.lit(0), F.size(h) - m), window(m))).otherwise(F.slice(parts[0], 1, 0)))
+    own = F.array(F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), none.alias("key"), none.alias("second")))
+    where = lambda m: F.when(F.size(h) >= m, F.filter(F.sequence(F.lit(0), F.size(h) - m), lambda i: _may_start(starts, _start(h, i, m)))).otherwise(F.array().cast("array<int>"))
+    parts = [own]
+    if 1 in lengths:
+        parts.append(F.transform(where(1), window(1)))
+    longer = [m for m in lengths if m > 1]
+    if longer:
+        parts.append(let(where(2), lambda at: F.concat(*[F.transform(_upto(at, F.size(h) - m) if m > 2 else at, window(m)) for m in longer])))
     return F.concat(*parts)
 
 
@@ -73,7 +104,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, id_col: str
     said = grams.groupBy("g_len").agg(F.sum(F.octet_length("g_words") + F.octet_length(F.to_json("g_items")) + 64).alias("bytes")).collect()  # n rows at most
     lengths, small = sorted(r["g_len"] for r in said), sum(r["bytes"] for r in said) <= most_bytes
     base = docs.select(F.col(id_col).alias("_id"), row_key(text_of(text_col)).alias("_key"), words(text_of(text_col)).alias("_w"))
-    of = let(_hashes(F.col("_w")), lambda h: _windows(h, lengths, not small))
+    starts = _starts(grams)
+    of = let(_hashes(F.col("_w")), lambda h: _windows(h, lengths, starts, not small))
     windows = base.select("_id", "_key", F.size("_w").cast("long").alias("n_words"), *(["_w"] if small else []), F.explode_outer(of).alias("x"))
     windows = windows.select("_id", "_key", "n_words", *(["_w"] if small else []), "x.len", "x.pos", F.col("x.key").alias("g_key"), "x.second")
     if small:

@@ -589,3 +589,118 @@ def test_quality_held_out(spark):
     assert len(got) == 402 and sum((got[i].quality > 0.5) == bool(good[i]) for i in range(200, 400)) >= 190
     assert {r.quality for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_contamination_by_shuffled_windows(spark):
+    """Without a broadcast the result is the same; a null item counts and is no part of the ids."""
+    bench = spark.createDataFrame([*((i, t) for i, t in enumerate(ITEMS)), (None, "tiny item here"), (77, "one"), (78, "tiny ITEM")], "item_id long, text string")
+    docs = docs_of(spark, [*AWKWARD, "one", "say one more", "a tiny item"])
+    rows = lambda df: {(r.doc_id, r.n_words, r.n_hit, r.n_items, tuple(r["items"]), tuple(r.spans)) for r in df.collect()}
+    small, large = rows(decontaminate.contamination(docs, bench)), rows(decontaminate.contamination(docs, bench, most_bytes=0))
+    assert small == large
+    assert {x[0]: x[3] for x in small}[8] == 4 and (None in {x[0]: x[4] for x in small}[8])
+    assert {x[0]: x[2] for x in small}[12] == 1 and {x[0]: x[2] for x in small}[14] == 2
+
+
+CLASHES = ["_id", "_key", "_w", "_t", "_h", "_text", "_text_of", "_base_spans", "_other_spans", "_all_spans", "base", "spans", "size", "taken", "target", "source_size", "_nth", "_cut", "_copy", "_bad_id", "_bad_key", "_bad_spans", "_spans", "_gone", "_gkey", "_gone_id", "_gone_at", "_lid", "_y", "y", "h", "t", "id", "label_of", "k", "n", "key", "range", "item", "gram", "at", "bits", "severity", "toxic", "n_lines", "removed", "component_id", "kept", "quality", "x", "c"]
+
+
+def test_any_column_names(spark):
+    """Extra columns named like every helper: results, and columns and rows that pass through, stay as they are without them."""
+    own = random.Random(12)
+    lines = [prose(own.randrange(6, 20), 60) for _ in range(12)]
+    texts = [None, "", "tiny item here", "mail a@b.co", *("\n".join(own.choices(lines, k=own.randrange(1, 4))) for _ in range(30))]
+    texts += texts[5:9]
+    bare = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    wide = bare.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    bench = spark.createDataFrame([(1, "tiny item here")], "item_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(30)] + [(3, 0, 1), (4, 1, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    model = pii.PiiModel(pii.Boosted(0.0, 1.0, ()), {"string": 0.5, "number": 0.5})
+    tox, good = toxicity.fit(bare, labels), quality.fit(bare, labels)
+    assert toxicity.fit(wide, labels).cut == tox.cut and np.allclose(quality.fit(wide, labels).mix, good.mix)
+    plain = {
+        "contamination": lambda d: decontaminate.contamination(d, bench).select("doc_id", "n_hit"),
+        "licenses": lambda d: licenses.scan(d).select("doc_id", "n_words", "score"),
+        "spans": lambda d: pii.spans(d, model).select("doc_id", pii.written(F.col("spans"))),
+        "quality": lambda d: quality.score(d, good).select("doc_id", "keep"),
+        "toxicity": lambda d: toxicity.score(d, tox).select("doc_id", "toxic"),
+        "media": lambda d: media.text_media(d).select("doc_id", "feature"),
+        "lines": lambda d: linededup.line_marks(d).select("doc_id", "n_removed"),
+        "near": lambda d: neardup.components(d).select("doc_id", "component_id"),
+        "mix": lambda d: mixing.mix(d, keep=["doc_id"]).select("doc_id", "taken"),
+    }
+    for name, run in plain.items():
+        assert sorted(map(str, run(wide).collect())) == sorted(map(str, run(bare).collect())), name
+        assert run(wide.limit(0)).count() == 0, name
+    through = {
+        "decontaminate": lambda d: decontaminate.clean(d, bench),
+        "cut": lambda d: decontaminate.clean(d, bench, remove="spans"),
+        "redact": lambda d: pii.redact(d, model),
+        "toxicity": lambda d: toxicity.clean(d, tox),
+        "lines": linededup.clean,
+        "near": neardup.clean,
+        "draw": mixing.draw,
+    }
+    for name, run in through.items():
+        got, want = run(wide), run(bare)
+        assert got.columns == wide.columns, name
+        assert sorted(map(str, got.select(bare.columns).collect())) == sorted(map(str, want.collect())), name
+        assert got.filter(" or ".join(f"`{c}` <> concat('{c}:', doc_id)" for c in CLASHES)).count() == 0, name
+        assert run(wide.limit(0)).count() == 0, name
+    with pytest.raises(ValueError):
+        mixing.mix(wide, keep=["size"])
+
+
+def test_logistic_and_ordinal_against_dense_fits():
+    """The fitted weights are where the penalised likelihood has no slope."""
+    gen = np.random.default_rng(9)
+    x, y = gen.normal(size=(80, 4)), gen.integers(0, 2, 80).astype(float)
+    w, b = quality.logistic(x, y, ridge=1.0, steps=4000)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(x.T @ (p - y) + w).max() < 1e-4 and abs((p - y).sum()) < 1e-4
+    has = gen.random((120, 6)) < 0.3
+    grade = np.clip((has @ np.array([2.0, 1.0, 0.5, 0, 0, 0]) + gen.normal(size=120) > np.array([[0.5], [1.2], [2.0]])).sum(axis=0), 0, 3)
+    of, word = np.nonzero(has)
+    w, t = toxicity.fit_ordinal(of, word, 6, grade, ridge=0.3, lasso=0.0, steps=20000)
+    over = grade[:, None] > np.arange(3)[None, :]
+
+    def loss(w, t):
+        z = (has @ w)[:, None] - t[None, :]
+        return np.log1p(np.exp(np.where(over, -z, z))).sum() + 0.15 * (w**2).sum()
+
+    # no small step, within w >= 0, makes it better
+    best = loss(w, t)
+    for i in range(6):
+        for d in (1e-3, -1e-3):
+            step = w.copy()
+            step[i] = max(0.0, step[i] + d)
+            assert loss(step, t) > best - 1e-5
+    for i in range(3):
+        for d in (1e-3, -1e-3):
+            step = t.copy()
+            step[i] += d
+            assert loss(w, step) > best - 1e-5
+
+
+def test_scores_against_one_document_at_a_time(spark):
+    """Quality and severity as the models' formulas give them for each text alone."""
+    own = random.Random(2)
+    texts = [*AWKWARD, *(prose(own.randrange(1, 80), 200) + (" insult1 insult2" if i % 3 == 0 else "") for i in range(90))]
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(i + len(AWKWARD), int(i % 3 == 0), int(i % 3 > 0)) for i in range(90)], "doc_id long, toxic int, quality int")
+    tox, good = toxicity.fit(docs, labels, min_docs=2, evidence=3.0), quality.fit(docs, labels)
+    sev = {r.doc_id: r for r in toxicity.score(docs, tox).collect()}
+    qual = {r.doc_id: r for r in quality.score(docs, good).collect()}
+    known = dict(zip(tox.vocabulary.tolist(), tox.weights, strict=True))
+    sigmoid = lambda z: 1 / (1 + math.exp(-min(30, max(-30, z))))
+    import xxhash
+
+    for i, t in enumerate(texts):
+        feats = {xxhash.xxh3_64_intdigest(w) for w in words(t)} | {xxhash.xxh3_64_intdigest(w[:n], seed=n) for w in words(t) for n in toxicity.PREFIXES if len(w) > n}
+        total = sum(known.get(f, 0.0) for f in feats)
+        want = sum(sigmoid(total - k) for k in tox.thresholds)
+        assert abs(sev[i].severity - want) < 1e-9 and sev[i].toxic == (sev[i].severity >= tox.cut)
+        a = quality.byte_features(quality.pa.array([t or ""]), quality.PAIRS)
+        m = quality.meta_features([quality.pa.array([v]) for v in ("en", None if i % 7 == 3 else f"s{i % 3}", None if t is None else len(t))])
+        z = float(np.array([good.text.score(a)[0], good.meta.score(m)[0]], float) @ good.mix + good.bias)
+        assert abs(qual[i].quality - sigmoid(z)) < 1e-4
