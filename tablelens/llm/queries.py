@@ -85,6 +85,26 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)
 """
 
+_VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+f AS (SELECT phrase, label, len(string_split(phrase, ' ')) AS n FROM (VALUES {_VALUES(licenses.PHRASES.items())}) p(phrase, label)),
+b AS (SELECT doc_id, i, label FROM d, f, unnest(range(greatest(len(w) - n + 1, 0))) t(i) WHERE array_to_string(w[i + 1 : i + n], ' ') = phrase),
+bb AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY doc_id),
+p AS (SELECT t_id, label, string_split(words, ' ') AS ws FROM (VALUES {_VALUES((i, label, text) for i, (label, text) in enumerate(licenses.TEMPLATES))}) t(t_id, label, words)),
+g AS (SELECT t_id, label, len(ws) - {licenses.K - 1} AS size, p, array_to_string(ws[p + 1 : p + {licenses.K}], ' ') AS g FROM p, unnest(range(len(ws) - {licenses.K - 1})) t(p)),
+x AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + {licenses.K}], ' ') AS g FROM d, unnest(range(greatest(len(w) - {licenses.K - 1}, 0))) t(i)),
+h AS (SELECT doc_id, t_id, label, size, p, i - p AS diagonal FROM x JOIN g USING (g)),
+v AS (SELECT *, lag(diagonal) OVER (PARTITION BY doc_id, t_id ORDER BY diagonal) AS last FROM (SELECT DISTINCT doc_id, t_id, diagonal FROM h)),
+m AS (SELECT *, sum(CASE WHEN diagonal - last <= {licenses.NEAR} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, t_id ORDER BY diagonal) AS passage FROM v),
+s AS (SELECT h.doc_id, any_value(label) AS label, count(DISTINCT p) / CAST(any_value(size) AS DOUBLE) AS share FROM h JOIN m USING (doc_id, t_id, diagonal) GROUP BY h.doc_id, h.t_id, passage),
+ss AS (SELECT doc_id, list(DISTINCT label) AS found, max(share) AS share FROM s WHERE share >= {licenses.COVER} GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END::DOUBLE AS score
+FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN ss USING (doc_id)
+"""
+
 OP5_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 f AS (SELECT body, min(page_id) AS low FROM p GROUP BY body),
@@ -141,4 +161,4 @@ SELECT t.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGIN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op5_warc": OP5_SQL, "op6_mix": OP6_SQL, "op9_neardup": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_license_scan": OP4_SQL, "op5_warc": OP5_SQL, "op6_mix": OP6_SQL, "op9_neardup": OP9_SQL, "op10_line_dedup": OP10_SQL}
