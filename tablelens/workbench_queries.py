@@ -397,7 +397,6 @@ def sql_files(spark, sf_dir):
 
 sql_query("sql_join_right", "SELECT c_custkey, s_suppkey FROM {customer} RIGHT JOIN {supplier} ON c_custkey = s_suppkey + 140")
 sql_query("sql_join_cross", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
-sql_query("sql_join_anti_some", "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 sql_query("sql_mode", "SELECT c_nationkey, min(m) AS usual FROM (SELECT c_nationkey, c_mktsegment AS m, count(*) AS k, max(count(*)) OVER (PARTITION BY c_nationkey) AS top FROM {customer} GROUP BY 1, 2) WHERE k = top GROUP BY c_nationkey")
 sql_query("sql_nth_value", "SELECT o_orderkey, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM {orders}")
 sql_query("sql_map", "SELECT n_nationkey, map('a', n_name, 'b', upper(n_name))['b'] AS b FROM {nation}", "SELECT n_nationkey, upper(n_name) AS b FROM nation")
