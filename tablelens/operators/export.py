@@ -141,12 +141,26 @@ def offending_rows(df: DataFrame, mappings: list[Mapping], n: int = 3) -> list[d
     tests = {}
     for m in mappings:
         c = F.col(f"`{m.source}`").cast("string")
-        bad = F.lit(False) if m.sql_type is None else F.coalesce(~_fits(c, m.sql_type), F.lit(False) if m.nullable else F.lit(True))
+        bad = F.lit(False) if m.sql_type is None else c.isNotNull() & ~F.coalesce(_fits(c, m.sql_type), F.lit(False))
         tests[m.source] = bad if m.nullable else bad | c.isNull()
     marks = F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]), lambda x: x.isNotNull())
-    bad = df.withColumn("_marked", marks).filter(F.size("_marked") > 0)
+    bad = df.withColumn(" marked", marks).filter(F.size(" marked") > 0)
     bad = bad.orderBy(ROW) if ROW in df.columns else bad
-    return [{"row": r[ROW] if ROW in df.columns else None, "marked": list(r["_marked"]), "values": {m.source: r[m.source] for m in mappings}} for r in bad.limit(n).collect()]
+    return [{"row": r[ROW] if ROW in df.columns else None, "marked": list(r[" marked"]), "values": {m.source: r[m.source] for m in mappings}} for r in bad.limit(n).collect()]
+
+
+def blamed(message: str, df: DataFrame, mappings: list[Mapping], n: int = 3) -> list[dict]:
+    """After a refused export: what the database's message blames. A target column that it quotes, or rows with a value that it quotes; without either, what offending_rows() finds."""
+    quoted = {x for m in re.finditer(r"'([^']+)'|\"([^\"]+)\"|\[([^\]]+)\]|`([^`]+)`", message) for x in m.groups() if x}
+    named = [m for m in mappings if m.target.lower() in {q.lower() for q in quoted} | {q.rsplit(".", 1)[-1].strip('"[]`').lower() for q in quoted}]
+    found = offending_rows(df, named or mappings, n)
+    if found:
+        return found
+    values = [q for q in quoted if q.lower() not in {m.target.lower() for m in mappings}]
+    hits = [m.source for m in named or mappings]
+    marks = F.filter(F.array(*[F.when(F.col(f"`{c}`").cast("string").isin(values), F.lit(c)) for c in hits]), lambda x: x.isNotNull()) if values else F.array().cast("array<string>")
+    bad = df.select("*", marks.alias(" marked")).filter(F.size(" marked") > 0)
+    return [{"row": r[ROW] if ROW in df.columns else None, "marked": list(r[" marked"]), "values": {m.source: r[m.source] for m in mappings}} for r in bad.limit(n).collect()] or [{"row": None, "marked": [m.source for m in named], "values": {}}][: len(named)]
 
 
 def clipboard(df: DataFrame, n: int = 5000) -> str:

@@ -137,7 +137,7 @@ class Runner:
             # the first window needs no more than its rows; what is beyond is worked out when it is asked for
             rows = self.page(0, window + 1)
             more = len(rows) > window
-            return {"ok": True, "columns": self.result.columns, "rows": rows[:window], "row_count": None if more else len(rows), "truncated": more, "elapsed_ms": int(1000 * (time.monotonic() - began))}
+            return {"ok": True, "columns": [self.result.columns[i] for i in self.shown()], "rows": rows[:window], "row_count": None if more else len(rows), "truncated": more, "elapsed_ms": int(1000 * (time.monotonic() - began))}
         except Exception as e:  # noqa: BLE001  any failure of the user's statement is its answer
             self.drop()
             return {"ok": False, "error": str(e).split("\n\nJVM stacktrace")[0], "elapsed_ms": int(1000 * (time.monotonic() - began))}
@@ -151,7 +151,14 @@ class Runner:
         if offset and not self.result.is_cached:
             self.result.persist()
         some = self.result.offset(offset) if offset else self.result
-        return [[json_safe(v) for v in r] for r in some.limit(limit).collect()]
+        shown = self.shown()
+        return [[json_safe(r[i]) for i in shown] for r in some.limit(limit).collect()]
+
+    def shown(self) -> list[int]:
+        """Places of the columns to show: row numbers that came along with others are hidden, one from each table of a join."""
+        own = [] if self.result is None else self.result.columns
+        rest = [i for i, c in enumerate(own) if not re.fullmatch(rf"{ROW}(_\d+)?", c)]
+        return rest or list(range(len(own)))
 
     def count(self) -> int:
         """The rows of the whole result."""

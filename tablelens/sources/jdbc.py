@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 ROW_CAP, FETCH = 1_000_000, 5_000
 URLS = {"sqlserver": "jdbc:sqlserver://{host}:{port};databaseName={database};encrypt={encrypt};trustServerCertificate={trust}", "postgresql": "jdbc:postgresql://{host}:{port}/{database}"}
@@ -34,25 +37,92 @@ def read(spark: SparkSession, address: str, table: str | None = None, query: str
 
 
 def catalog(spark: SparkSession, address: str, what: str, **properties: str) -> DataFrame:
+    """databases, schemas or tables by SQL Server's own views."""
     return read(spark, address, query=CATALOG[what], cap=None, **properties)
 
 
-def write(df: DataFrame, address: str, table: str, if_exists: str = "fail", staging: str | None = None, batch: int = 20_000, **properties: str) -> None:
-    """fail, drop or append. Spark commits by partition; with staging, rows go to that table first and one statement moves them, all or nothing."""
+@contextmanager
+def connected(spark: SparkSession, address: str, **properties: str):
+    """A connection of the driver, whose statements are committed together or not at all."""
+    settings = spark._jvm.java.util.Properties()
+    for k, v in properties.items():
+        if k != "driver":
+            settings.setProperty(k, v)
+    if "driver" in properties:
+        spark._jvm.java.lang.Class.forName(properties["driver"])
+    connection = spark._jvm.java.sql.DriverManager.getConnection(address, settings)
+    try:
+        connection.setAutoCommit(False)
+        yield connection
+        connection.commit()
+    except BaseException:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def _each(result, *names: str) -> list[tuple]:
+    out: list[tuple] = []
+    while result.next():
+        out.append(tuple(result.getString(n) for n in names))
+    result.close()
+    return out
+
+
+def tables(spark: SparkSession, address: str, counts: bool = True, **properties: str) -> list[dict]:
+    """Tables and views of any database by its driver's metadata, with their rows."""
+    with connected(spark, address, **properties) as c:
+        kinds = spark.sparkContext._gateway.new_array(spark._jvm.java.lang.String, 2)
+        kinds[0], kinds[1] = "TABLE", "VIEW"
+        found = _each(c.getMetaData().getTables(None, None, "%", kinds), "TABLE_SCHEM", "TABLE_NAME", "TABLE_TYPE")
+        quote = c.getMetaData().getIdentifierQuoteString().strip() or '"'
+        out = []
+        for schema, name, kind in found:
+            rows = None
+            if counts:
+                whole = ".".join(f"{quote}{x}{quote}" for x in (schema, name) if x)
+                ((n,),) = _each(c.createStatement().executeQuery(f"select count(*) as n from {whole}"), "N")
+                rows = int(n)
+            out.append({"schema": schema, "name": name, "type": kind.lower(), "rows": rows})
+    return out
+
+
+def columns(spark: SparkSession, address: str, table: str, **properties: str) -> list[dict]:
+    """The columns of a table, in order. Names are compared whatever their case."""
+    with connected(spark, address, **properties) as c:
+        found = _each(c.getMetaData().getColumns(None, None, "%", "%"), "TABLE_NAME", "COLUMN_NAME", "TYPE_NAME", "COLUMN_SIZE", "IS_NULLABLE")
+    return [{"name": n, "type": t.lower(), "size": int(size), "nullable": null == "YES"} for owner, n, t, size, null in found if owner.lower() == table.lower()]
+
+
+def write(df: DataFrame, address: str, table: str, if_exists: str = "fail", staging: str | None = None, batch: int = 20_000, create: str | None = None, types: dict[str, str] | None = None, **properties: str) -> int:
+    """fail, drop or append; the rows written. Spark commits by partition, so that a failure may leave some rows.
+
+    With staging, rows go to that table first, and one transaction of the driver drops, creates and fills the table: all or nothing. create
+    is the statement that makes the table where there is none, types what its columns are cast to.
+    """
     mode = {"fail": "error", "drop": "overwrite", "append": "append"}[if_exists]
-    target = df.write.format("jdbc").option("url", address).option("batchsize", batch).options(**properties)
+    seen = Observation()
+    target = df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("jdbc").option("url", address).option("batchsize", batch).options(**properties)
     if staging is None:
         target.option("dbtable", table).mode(mode).save()
-        return
+        return int(seen.get["n"])
+    there = any(t["name"].lower() == table.lower() for t in tables(df.sparkSession, address, counts=False, **properties))
+    if there and if_exists == "fail":
+        raise ValueError(f"{table} exists")
+    if not create and (not there or if_exists == "drop"):
+        raise ValueError(f"say how to create {table}")
     target.option("dbtable", staging).mode("overwrite").save()
-    columns = ", ".join(f'"{c}"' for c in df.columns)
-    manager = df.sparkSession._jvm.java.sql.DriverManager
-    connection = manager.getConnection(address, properties.get("user"), properties.get("password"))
+    names = ", ".join(f'"{c}"' for c in df.columns)
+    values = ", ".join(f'cast("{c}" as {types[c]})' if types and c in types else f'"{c}"' for c in df.columns)
+    steps = [f"drop table {table}"] if there and if_exists == "drop" else []
+    steps += [create] if create and (not there or if_exists == "drop") else []
+    steps += [f"insert into {table} ({names}) select {values} from {staging}"]
     try:
-        connection.setAutoCommit(False)
-        statement = connection.createStatement()
-        statement.execute(f"insert into {table} ({columns}) select {columns} from {staging}")
-        statement.execute(f"drop table {staging}")
-        connection.commit()
+        with connected(df.sparkSession, address, **properties) as c:
+            for step in steps:
+                c.createStatement().execute(step.strip().rstrip(";"))
     finally:
-        connection.close()
+        with connected(df.sparkSession, address, **properties) as c:
+            c.createStatement().execute(f"drop table {staging}")
+    return int(seen.get["n"])

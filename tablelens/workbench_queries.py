@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from .operators import ddl, derive, export, infer, naming, profile
 from .operators.profile import ROW
 from .plans.dialect import date_pattern
 from .plans.workspace import Workspace
-from .sources import delimited, excel, parquet, sniff
+from .sources import delimited, excel, jdbc, parquet, sniff
 
 
 def _folder() -> Path:
@@ -393,6 +394,40 @@ def sql_files(spark, sf_dir):
     return w.runner.query(f"select cast(max(n_nationkey) as int) as top, count(*) as n from read_csv('{folder}/n.csv', delim = ';') union all select cast(max(r_regionkey) as int), count(*) from read_xlsx('{folder}/r.xlsx')")
 
 
+# databases: Spark's own copy of an embedded database stands for one, in this process
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def _database() -> str:
+    return f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def jdbc_roundtrip_supplier(spark, sf_dir):
+    address = _database()
+    jdbc.write(_t(spark, sf_dir, "supplier"), address, "SUPPLIER", **DERBY)
+    return jdbc.read(spark, address, "SUPPLIER", cap=None, **DERBY)
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS name FROM customer ORDER BY c_custkey LIMIT 100")
+def jdbc_query_with_cap(spark, sf_dir):
+    address = _database()
+    jdbc.write(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), address, "CUSTOMER", **DERBY)
+    found = jdbc.read(spark, address, query='select "id", "name" from CUSTOMER order by "id" fetch first 150 rows only', cap=None, **DERBY)
+    return found.orderBy("id").limit(100)
+
+
+@query("SELECT 'NATION' AS name, 2 * count(*) AS n, 3 AS columns FROM nation UNION ALL SELECT 'REGION', count(*), 2 FROM region")
+def jdbc_transactions_and_catalog(spark, sf_dir):
+    address, nation = _database(), _t(spark, sf_dir, "nation")
+    create = 'create table NATION ("n_nationkey" int not null, "n_name" varchar(40), "n_regionkey" int)'
+    for how in ("fail", "append"):
+        jdbc.write(nation, address, "NATION", how, "STAGE", create=create, types={"n_name": "varchar(40)"}, **DERBY)
+    jdbc.write(_t(spark, sf_dir, "region"), address, "REGION", **DERBY)
+    return _rows(spark, [(t["name"], t["rows"], len(jdbc.columns(spark, address, t["name"], **DERBY))) for t in jdbc.tables(spark, address, **DERBY)], "name string, n bigint, columns int")
+
+
 # more of the inherited SQL
 
 sql_query("sql_join_right", "SELECT c_custkey, s_suppkey FROM {customer} RIGHT JOIN {supplier} ON c_custkey = s_suppkey + 140")

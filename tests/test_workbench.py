@@ -485,3 +485,50 @@ def test_progress_and_cancel(spark):
         if not t.is_alive():
             break
     assert not t.is_alive() and not out["ok"] and r.progress()["percent"] is None
+
+
+DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def test_database_round_trip(spark):
+    address = "jdbc:derby:memory:tablelens;create=true"
+    df = spark.range(500).select("id", F.concat(F.lit("n"), "id").alias("name"), (F.col("id") / 4).alias("share"))
+    assert jdbc.write(df, address, "PLAIN", **DERBY) == 500
+    got = jdbc.read(spark, address, "PLAIN", cap=None, split=("id", 0, 500, 4), **DERBY)
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    assert jdbc.read(spark, address, query='select "id" from PLAIN where "id" < 10;', cap=3, **DERBY).count() == 3
+    with pytest.raises(Exception, match="(?i)already exists"):
+        jdbc.write(df, address, "PLAIN", **DERBY)
+    assert jdbc.write(df.limit(5), address, "PLAIN", "append", **DERBY) == 5
+    assert [(t["name"], t["rows"]) for t in jdbc.tables(spark, address, **DERBY)] == [("PLAIN", 505)]
+    # all or nothing: what a column cannot take leaves the table as it was
+    create = 'create table TYPED ("id" bigint not null, "name" varchar(4), "share" double)'
+    types = {"name": "varchar(200)"}
+    with pytest.raises(Exception, match="(?i)truncation|22001"):
+        jdbc.write(df.withColumn("name", F.concat("name", F.lit("-long"))), address, "TYPED", staging="STAGE", create=create, types=types, **DERBY)
+    assert [t["name"] for t in jdbc.tables(spark, address, counts=False, **DERBY)] == ["PLAIN"]
+    assert jdbc.write(df, address, "TYPED", staging="STAGE", create=create, types=types, **DERBY) == 500
+    with pytest.raises(ValueError):
+        jdbc.write(df, address, "typed", staging="STAGE", create=create, **DERBY)
+    assert jdbc.write(df.limit(7), address, "TYPED", "append", "STAGE", types=types, **DERBY) == 7
+    assert {t["name"]: t["rows"] for t in jdbc.tables(spark, address, **DERBY)} == {"PLAIN": 505, "TYPED": 507}
+    assert jdbc.write(df.limit(2), address, "TYPED", "drop", "STAGE", create=create, types=types, **DERBY) == 2
+    assert [(c["name"], c["type"], c["nullable"]) for c in jdbc.columns(spark, address, "typed", **DERBY)] == [("id", "bigint", False), ("name", "varchar", True), ("share", "double", True)]
+
+
+def test_results_hide_row_numbers(spark):
+    w = Workspace(spark)
+    w.register("t", spark.createDataFrame([(1, "a"), (2, "b")], f"{ROW} long, v string"))
+    got = w.run_sql("select a.*, b.v as w from t a join t b using (v) order by 1")
+    assert got["columns"] == ["v", "w"] and got["rows"] == [["a", "a"], ["b", "b"]]
+    assert w.run_sql(f"select {ROW} from t order by 1")["rows"] == [[1], [2]]
+
+
+def test_what_a_message_blames(spark):
+    df = spark.createDataFrame([(1, "a", "5"), (2, "toolong", "x"), (3, None, "7")], f"{ROW} long, name string, n string")
+    wanted = [export.Mapping("name", "full_name", "varchar(4)", False), export.Mapping("n", "nr", "int")]
+    assert [(r["row"], r["marked"]) for r in export.blamed("Invalid value for column 'nr'", df, wanted)] == [(2, ["n"])]
+    assert [(r["row"], r["marked"]) for r in export.blamed("Column [dbo].[full_name] does not allow nulls", df, wanted)] == [(2, ["name"]), (3, ["name"])]
+    loose = [export.Mapping("name", "full_name"), export.Mapping("n", "nr")]
+    assert [(r["row"], r["marked"]) for r in export.blamed("A truncation error: VARCHAR 'toolong' to length 4", df, loose)] == [(2, ["name"])]
+    assert export.blamed("no idea", df, loose) == []
