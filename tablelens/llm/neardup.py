@@ -6,8 +6,8 @@ Registers are banded to find candidates; a joint likelihood of equal, larger and
 sizes, estimates the similarity and drops hopeless ones; the rest is verified on the full sets.
 
 Documents of equal sets form one class, and only classes are compared. In each band a class meets the band's smallest
-class, its head. Where that leaves classes outside the head's component, all members of the head are compared in blocks of
-bounded size, which give only the links that join components: a group of thousands of near copies makes no more rows than
+class, its head. Where that leaves classes outside the head's component, these strays are compared with the head's members in
+blocks of bounded size, which give only the links that join components: a group of thousands of near copies makes no more rows than
 it has members, and no link between components is lost.
 
 Edge cases: a null or empty text has no shingles, is linked with nothing and stays; fewer than k words make one shingle;
@@ -217,14 +217,13 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 
 def _block_links(num: int, den: int):
-    """Of two blocks of one head's members: links between components, no more than join them."""
+    """Of a block of one head's strays and a block of its members: links between components, no more than join them."""
 
     def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
         nodes, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
-        block = np.asarray(table.column("block"))
+        left = np.asarray(table.column("stray_side"), dtype=bool)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
-        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
         n = np.array([len(x) for x in sets])
         inter = common_counts([sets[r] for r in rows], [sets[c] for c in cols])
         linked = den * inter >= num * (n[rows][:, None] + n[cols][None, :] - inter)
@@ -248,17 +247,22 @@ def _block_links(num: int, den: int):
 
 
 def _links_of_strays(known: DataFrame, docs: DataFrame, classes: DataFrame, k: int, id_col: str, text_col: str, num: int, den: int, path: str) -> DataFrame:
-    """Links that the heads did not show. Classes that share a band share its head, so the members of each head that has
-    strays are compared with each other: in blocks of BLOCK, each pair of blocks a group of its own."""
-    members = known.groupBy("head", "node").agg(F.first("root").alias("root"), F.first("hroot").alias("hroot"))
-    heads = members.groupBy("head").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("root") != F.col("hroot")).alias("open")).filter("open and k > 1").select("head", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    members = materialize(members.join(heads, "head").select("head", "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), f"{path}-members")
+    """Links that the heads did not show. Classes that share a band share its head, and two members that are both in the head's component
+    need no link, so the strays of each head, those outside its component, are compared with its members: in blocks of BLOCK, a
+    block of strays and one of members a group of its own."""
+    members = known.groupBy("head", "node").agg(F.first("root").alias("root"), F.first("hroot").alias("hroot")).withColumn("stray", F.col("root") != F.col("hroot"))
+    heads = members.groupBy("head").agg(F.count(F.lit(1)).alias("k"), F.count_if("stray").alias("n")).filter("n > 0 and k > 1")
+    heads = heads.select("head", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / BLOCK).cast("int").alias("stray_blocks"))
+    members = materialize(members.join(heads, "head").select("head", "node", "root", "stray", "blocks", "stray_blocks"), f"{path}-members")
     if not members.take(1):
         return known.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
     sets = _sets(members.select(F.col("node").alias("a")), docs, classes, k, id_col, text_col, path)
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j"))))
-    rows = members.join(sets.withColumnRenamed("a", "node"), "node").select("head", "node", "root", "block", "s", pair.alias("p")).select("head", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "node", "root", "block", "s")
-    return rows.groupBy("head", "i", "j").applyInArrow(_block_links(num, den), "a binary, b binary")
+    held = members.join(sets.withColumnRenamed("a", "node"), "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = held.filter("stray").select("head", own("stray_blocks").alias("i"), each("blocks").alias("j"), "node", "root", F.lit(True).alias("stray_side"), "s")
+    others = held.select("head", each("stray_blocks").alias("i"), own("blocks").alias("j"), "node", "root", F.lit(False).alias("stray_side"), "s")
+    return strays.unionByName(others).groupBy("head", "i", "j").applyInArrow(_block_links(num, den), "a binary, b binary")
 
 
 def connected(edges: DataFrame, path: str, most_rounds: int = 60) -> DataFrame:
