@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import gram_hash, row_key, text_of, words
+from .common import let, row_key, text_of, words
 
 # Phrases that name a license, and the label of each.
 PHRASES = {
@@ -48,7 +48,7 @@ def template_grams(spark, k: int = K) -> DataFrame:
     """All k-grams of the templates, a few hundred rows fixed by this file."""
     rows = [(t, label, len(w) - k + 1, p, " ".join(w[p : p + k])) for t, (label, text) in enumerate(TEMPLATES) for w in [text.split()] for p in range(len(w) - k + 1)]
     df = spark.createDataFrame(rows, "t_id int, t_label string, t_size int, t_pos int, t_words string")
-    return df.withColumn("hash", F.xxhash64(*[F.get(F.split("t_words", " "), F.lit(i)) for i in range(k)]))
+    return df.withColumn("hash", F.xxhash64(*[F.xxhash64(F.get(F.split("t_words", " "), F.lit(i))) for i in range(k)]))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, near: int = NEAR, cover: float = COVER) -> DataFrame:
@@ -78,9 +78,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     )
     size = F.size("_w")
     at = F.when(size >= k, F.sequence(F.lit(0), size - k)).otherwise(F.array().cast("array<int>"))
-    grams = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("hash"))), F.transform(at, lambda i: F.struct(i.alias("pos"), gram_hash(F.col("_w"), i, k).alias("hash"))))
-    rolled = base.select("*", F.explode(grams).alias("x")).select(*base.columns, F.col("x.pos").alias("pos"), F.col("x.hash").alias("hash"))
-    met = rolled.join(F.broadcast(template_grams(docs.sparkSession, k)), "hash", "left").filter((F.col("pos") < 0) | (F.array_join(F.slice("_w", F.col("pos") + 1, k), " ") == F.col("t_words")))
+    templates = template_grams(docs.sparkSession, k)
+    known = [r["hash"] for r in templates.select("hash").distinct().collect()]  # a few hundred, fixed by this file
+    rolling = lambda h: F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(h, i + j) for j in range(k)]).alias("hash")))
+    # only grams that some template has become rows
+    hits = let(F.transform("_w", lambda w: F.xxhash64(w)), lambda h: F.filter(rolling(h), lambda x: x["hash"].isin(known)))
+    grams = F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("hash"))), hits)
+    rolled = base.select("*", F.explode_outer(grams).alias("x")).select(*base.columns, F.col("x.pos").alias("pos"), F.col("x.hash").alias("hash"))
+    met = rolled.join(F.broadcast(templates), "hash", "left").filter((F.col("pos") < 0) | (F.array_join(F.slice("_w", F.col("pos") + 1, k), " ") == F.col("t_words")))
     # votes of each diagonal; the document's own row has no template
     facts = ["n_words", "n_base", "first_word", "last_word", "_base"]
     votes = met.groupBy("_id", "_key", "t_id", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
