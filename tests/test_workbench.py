@@ -532,3 +532,12 @@ def test_what_a_message_blames(spark):
     loose = [export.Mapping("name", "full_name"), export.Mapping("n", "nr")]
     assert [(r["row"], r["marked"]) for r in export.blamed("A truncation error: VARCHAR 'toolong' to length 4", df, loose)] == [(2, ["name"])]
     assert export.blamed("no idea", df, loose) == []
+
+
+def test_ends_of_blank_texts_only(spark):
+    """More blank texts at both ends of the order than a sample holds: the dates between them still count."""
+    blanks = [" " * k for k in range(1, 41)] + ["\u3000" * k for k in range(1, 41)]
+    df = frame(spark, "v", blanks + [f"{m:02d}/{d:02d}/2023" for m in range(1, 13) for d in range(1, 29)])
+    a = infer.analyze(df)["v"]
+    assert a.format == "%m/%d/%Y" and infer.pick(a) == ("DATE", "%m/%d/%Y", False) and a.non_null == 336
+    assert infer.pick(infer.analyze(frame(spark, "v", blanks))["v"]) == (None, None, False)
