@@ -176,11 +176,14 @@ def _meet(marks: DataFrame, path: str) -> DataFrame:
     return materialize(found, path)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(_id, _pos) of pairs (_id, _pos, y_id, y_pos) whose sets match."""
+def _similar(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """(_id, _pos) of pairs (_id, _pos, y_id, y_pos) whose sets match. Pairs go to where the sets are, so that a set moves once for its pair, and once as a partner."""
+    pairs = materialize(pairs, f"{path}-pairs")
     a = sets.select(F.col("_id").alias("a_id"), F.col("_pos").alias("a_pos"), F.col("_s").alias("a_s"))
-    b = sets.select(F.col("_id").alias("b_id"), F.col("_pos").alias("b_pos"), F.col("_s").alias("b_s"))
-    both = pairs.join(a, F.col("_id").eqNullSafe(F.col("a_id")) & (F.col("_pos") == F.col("a_pos"))).join(b, F.col("y_id").eqNullSafe(F.col("b_id")) & (F.col("y_pos") == F.col("b_pos")))
+    a = a.join(_few(pairs), F.col("_id").eqNullSafe(F.col("a_id")) & (F.col("_pos") == F.col("a_pos"))).drop("a_id", "a_pos")
+    partners = materialize(pairs.select(F.col("y_id").alias("_id"), F.col("y_pos").alias("_pos")).distinct(), f"{path}-partners")
+    b = _less(sets.select("_id", "_pos", "_s"), partners, "left_semi").select(F.col("_id").alias("b_id"), F.col("_pos").alias("b_pos"), F.col("_s").alias("b_s"))
+    both = a.join(b, F.col("y_id").eqNullSafe(F.col("b_id")) & (F.col("y_pos") == F.col("b_pos")))
     both = both.select("_id", "_pos", F.size("a_s").alias("n"), F.size("b_s").alias("m"), F.size(F.array_intersect("a_s", "b_s")).alias("both"))
     return both.filter(F.col("both") * DEN >= (F.col("n") + F.col("m") - F.col("both")) * NUM).select("_id", "_pos").distinct()
 
@@ -192,9 +195,9 @@ def _gone_of(met: DataFrame, sets: DataFrame, gone: DataFrame, path: str) -> Dat
     texts = materialize(_less(sets.select("_id", "_pos", "_s"), materialize(members, f"{path}/members"), "left_semi"), f"{path}/texts")
     y = lambda df: df.select("_id", "_pos", F.col("y.id").alias("y_id"), F.col("y.pos").alias("y_pos"))
     best = y(met.groupBy("_id", "_pos").agg(F.min(F.array_min("ys")).alias("y")))
-    sure = materialize(_similar(best, texts), f"{path}/sure")
+    sure = materialize(_similar(best, texts, f"{path}/best"), f"{path}/sure")
     rest = y(_less(met, sure).select("_id", "_pos", F.explode("ys").alias("y"))).distinct()
-    return materialize(gone.unionByName(sure).unionByName(_similar(rest, texts)), f"{path}/gone")
+    return materialize(gone.unionByName(sure).unionByName(_similar(rest, texts, f"{path}/rest")), f"{path}/gone")
 
 
 def _short_gone(sets: DataFrame) -> DataFrame:
