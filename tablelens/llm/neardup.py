@@ -221,9 +221,8 @@ def _block_links(num: int, den: int):
 
     def run(key, table):
         nodes, roots = table.column("node").to_pylist(), table.column("root").to_pylist()
-        left = np.asarray(table.column("stray_side"), dtype=bool)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("s")]
-        rows, cols = np.flatnonzero(left), np.flatnonzero(~left)
+        rows, cols = (np.flatnonzero(np.asarray(table.column(c), dtype=bool)) for c in ("as_stray", "as_member"))
         n = np.array([len(x) for x in sets])
         inter = common_counts([sets[r] for r in rows], [sets[c] for c in cols])
         linked = den * inter >= num * (n[rows][:, None] + n[cols][None, :] - inter)
@@ -259,10 +258,14 @@ def _links_of_strays(known: DataFrame, docs: DataFrame, classes: DataFrame, k: i
     sets = _sets(members.select(F.col("node").alias("a")), docs, classes, k, id_col, text_col, path)
     held = members.join(sets.withColumnRenamed("a", "node"), "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    strays = held.filter("stray").select("head", own("stray_blocks").alias("i"), each("blocks").alias("j"), "node", "root", F.lit(True).alias("stray_side"), "s")
-    others = held.select("head", each("stray_blocks").alias("i"), own("blocks").alias("j"), "node", "root", F.lit(False).alias("stray_side"), "s")
-    return strays.unionByName(others).groupBy("head", "i", "j").applyInArrow(_block_links(num, den), "a binary, b binary")
+    # as a member it meets all blocks of strays, as a stray all blocks of members; where both is the same group it goes once
+    held = held.withColumns({"own_i": own("stray_blocks"), "own_j": own("blocks")})
+    target = lambda i, j, stray, member: F.struct(i.alias("i"), j.alias("j"), stray.alias("as_stray"), member.alias("as_member"))
+    met = F.transform(F.sequence(F.lit(0), F.col("stray_blocks") - 1), lambda i: target(i, F.col("own_j"), F.col("stray") & (i == F.col("own_i")), F.lit(True)))
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.col("stray") & (j != F.col("own_j")))
+    meets = F.transform(other, lambda j: target(F.col("own_i"), j, F.lit(True), F.lit(False)))
+    rows = held.select("head", F.explode(F.concat(met, meets)).alias("to"), "node", "root", "s").select("head", "to.i", "to.j", "to.as_stray", "to.as_member", "node", "root", "s")
+    return rows.groupBy("head", "i", "j").applyInArrow(_block_links(num, den), "a binary, b binary")
 
 
 def connected(edges: DataFrame, path: str, most_rounds: int = 60) -> DataFrame:

@@ -304,6 +304,21 @@ def test_neardup(spark, k):
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, (_, c) in enumerate(want) if c == i}
 
 
+def test_neardup_in_small_blocks(spark, monkeypatch):
+    """Heads whose strays and members take several blocks lose no link."""
+    monkeypatch.setattr(neardup, "BLOCK", 2)
+    own = random.Random(31)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(70):
+        t = list(base)
+        for _ in range(own.randrange(0, 9)):
+            t[own.randrange(len(t))] = f"x{own.randrange(40)}"
+        texts.append(" ".join(t))
+    got = {r.doc_id: r.component_id for r in neardup.components(docs_of(spark, texts), k=2).collect()}
+    assert got == {i: c for i, (_, c) in enumerate(brute_components(texts, 2))} and len(set(got.values())) > 1
+
+
 def test_neardup_edges(spark):
     assert neardup.components(docs_of(spark, ["a"]).limit(0)).count() == 0
     same = docs_of(spark, ["a b c d e f"] * 3, [2, 2, 9])
