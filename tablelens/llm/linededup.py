@@ -18,7 +18,8 @@ Jaccard similarity of at least 0.8 with it. Lines are ordered by (id, position).
    of one text or lines around one passage, are compared with all that share one of their floor(n / 5) + 1 words rarest among themselves,
    and what the first steps found gone asks no more.
 
-So rows grow with the lines, not with the square of a group, and no group is collected.
+So rows grow with the lines and their matches, and no group is collected. Comparisons within the last step can grow with the
+square of a group of lines that share even their rarest words and are not alike.
 
 Edge cases: lines without words are never removed and remove nothing, as are those of fewer than ``min_words`` distinct words. A null text
 stays null; an emptied text is the empty string; rows that repeat an id are versions of one document: what goes at a position
