@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linededup, media, mixing, neardup, pii, quality, toxicity, warc
+from . import decontaminate, licenses, linededup, media, mixing, neardup, pii, quality, suffixdedup, toxicity, warc
 from .common import table, work_dir
 
 
@@ -65,8 +65,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda p: p.cast("string")), ",").alias("removed"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_cotrain_quality, op3_pii, op4_license_scan, op5_warc, op6_mix, op7_media, op8_toxicity, op9_neardup, op10_line_dedup)}
+    ops = (op1_decontaminate, op2_cotrain_quality, op3_pii, op4_license_scan, op5_warc, op6_mix, op7_media, op8_toxicity, op9_neardup, op10_line_dedup, op11_suffix_dedup)
+    return {f.__name__: f for f in ops}
 
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -159,6 +166,20 @@ z AS (SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER B
 SELECT t.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(removed, '') AS removed FROM t LEFT JOIN z USING (doc_id)
 """
 
+OP11_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, s, b[s + 1 : s + 50] AS g FROM d, unnest(range(greatest(octet_length(b) - 49, 0))) t(s)),
+m AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g),
+x AS (SELECT w.doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY w.doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS apart FROM w JOIN m USING (g) WHERE low < w.doc_id),
+r AS (SELECT doc_id, s, sum(apart) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM x),
+p AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS z FROM r GROUP BY doc_id, run),
+q AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, list_concat([0], list(z ORDER BY a)) AS begins, list(a ORDER BY a) AS ends FROM p GROUP BY doc_id),
+k AS (SELECT d.doc_id, b, n_removed, n_spans, coalesce(begins, [0]) AS begins, list_concat(coalesce(ends, []), [octet_length(b)]) AS ends FROM d LEFT JOIN q USING (doc_id))
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(len(begins)), lambda i: CASE WHEN begins[i + 1] < ends[i + 1] THEN hex(b[begins[i + 1] + 1 : ends[i + 1]]) ELSE '' END), ''))) AS kept_sha256
+FROM k
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op4_license_scan": OP4_SQL, "op5_warc": OP5_SQL, "op6_mix": OP6_SQL, "op9_neardup": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_license_scan": OP4_SQL, "op5_warc": OP5_SQL, "op6_mix": OP6_SQL, "op9_neardup": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_suffix_dedup": OP11_SQL}
