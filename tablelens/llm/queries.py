@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linededup, media, mixing, neardup, pii, quality, suffixdedup, toxicity, warc
-from .common import table, work_dir
+from . import decontaminate, licenses, linededup, media, mixing, neardup, pii, quality, suffixdedup, toxicity, vectorcodes, warc
+from .common import materialize, table, work_dir
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,14 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vectorcodes.fit(table(spark, sf_dir, "embeddings"))
+    found = vectorcodes.label_errors(materialize(codes.rows(), work_dir(spark)))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
 def queries() -> dict:
-    ops = (op1_decontaminate, op2_cotrain_quality, op3_pii, op4_license_scan, op5_warc, op6_mix, op7_media, op8_toxicity, op9_neardup, op10_line_dedup, op11_suffix_dedup)
+    ops = (op1_decontaminate, op2_cotrain_quality, op3_pii, op4_license_scan, op5_warc, op6_mix, op7_media, op8_toxicity, op9_neardup, op10_line_dedup, op11_suffix_dedup, op13_vector_codes)
     return {f.__name__: f for f in ops}
 
 
@@ -180,6 +186,27 @@ SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_remov
 FROM k
 """
 
+def _near(books: str) -> str:
+    return f"SELECT vec_id, part, any_value(x) AS x, min((list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), e)) AS near FROM p JOIN {books} USING (part) GROUP BY vec_id, part"
+
+
+def _moved(near: str, books: str) -> str:
+    return f"""SELECT part, e, CASE WHEN n IS NULL THEN c ELSE list_transform(range(1, len(c) + 1), lambda i: (total[i] - (total[i] % n + n) % n) // n) END AS c FROM {books} LEFT JOIN (
+  SELECT part, e, any_value(n) AS n, list(s ORDER BY d) AS total FROM (SELECT part, near[2] AS e, d, count(*) AS n, CAST(sum(x[d]) AS BIGINT) AS s FROM {near}, unnest(range(1, len(x) + 1)) t(d) GROUP BY ALL) GROUP BY part, e) USING (part, e)"""
+
+
+OP13_SQL = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // 16 + 1 : (part + 1) * len(v) // 16] AS x FROM k, unnest(range(16)) t(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS c FROM p JOIN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64) USING (vec_id)),
+a1 AS MATERIALIZED ({_near("b0")}), b1 AS MATERIALIZED ({_moved("a1", "b0")}),
+a2 AS MATERIALIZED ({_near("b1")}), b2 AS MATERIALIZED ({_moved("a2", "b1")}),
+a3 AS MATERIALIZED ({_near("b2")}),
+r AS (SELECT vec_id, string_agg(format('{{:02x}}', near[2]), '' ORDER BY part) AS code, CAST(sum(near[1]) AS BIGINT) AS error FROM a3 GROUP BY vec_id)
+SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM b2) AS codebooks_sha256
+FROM r JOIN k USING (vec_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op4_license_scan": OP4_SQL, "op5_warc": OP5_SQL, "op6_mix": OP6_SQL, "op9_neardup": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_suffix_dedup": OP11_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_license_scan": OP4_SQL, "op5_warc": OP5_SQL, "op6_mix": OP6_SQL, "op9_neardup": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_suffix_dedup": OP11_SQL, "op13_vector_codes": OP13_SQL}
