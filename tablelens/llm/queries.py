@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, linededup, media, mixing, neardup, pii, quality, suffixdedup, toxicity, vectorcodes, warc
+from . import decontaminate, fim, licenses, linededup, media, mixing, neardup, pii, quality, suffixdedup, toxicity, vectorcodes, warc
 from .common import materialize, table, work_dir
 
 
@@ -71,6 +71,11 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore("output", "form"), 256).alias("restored_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = vectorcodes.fit(table(spark, sf_dir, "embeddings"))
     found = vectorcodes.label_errors(materialize(codes.rows(), work_dir(spark)))
@@ -78,7 +83,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_decontaminate, op2_cotrain_quality, op3_pii, op4_license_scan, op5_warc, op6_mix, op7_media, op8_toxicity, op9_neardup, op10_line_dedup, op11_suffix_dedup, op13_vector_codes)
+    ops = (op1_decontaminate, op2_cotrain_quality, op3_pii, op4_license_scan, op5_warc, op6_mix, op7_media, op8_toxicity, op9_neardup, op10_line_dedup, op11_suffix_dedup, op12_fim, op13_vector_codes)
     return {f.__name__: f for f in ops}
 
 
@@ -186,6 +191,18 @@ SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_remov
 FROM k
 """
 
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS x FROM documents),
+h AS (SELECT *, len(u) AS n, list_transform(range(4), lambda i: CAST('0x' || x[8 * i + 1 : 8 * i + 8] AS BIGINT)) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS low, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS high,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1 : low], '') AS p, array_to_string(u[low + 1 : high], '') AS m, array_to_string(u[high + 1 : n], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def _near(books: str) -> str:
     return f"SELECT vec_id, part, any_value(x) AS x, min((list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))), e)) AS near FROM p JOIN {books} USING (part) GROUP BY vec_id, part"
 
@@ -209,4 +226,4 @@ FROM r JOIN k USING (vec_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op4_license_scan": OP4_SQL, "op5_warc": OP5_SQL, "op6_mix": OP6_SQL, "op9_neardup": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_suffix_dedup": OP11_SQL, "op13_vector_codes": OP13_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op4_license_scan": OP4_SQL, "op5_warc": OP5_SQL, "op6_mix": OP6_SQL, "op9_neardup": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_suffix_dedup": OP11_SQL, "op12_fim": OP12_SQL, "op13_vector_codes": OP13_SQL}
