@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: ASCII white space parts tokens.
 SPACE_GAP = r"[\x20\x09-\x0D]+"
+#: Whether Spark deletes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def text_of(column: str | Column) -> Column:
@@ -97,9 +99,15 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame, path: str, compression: str = "zstd", **options) -> DataFrame:
-    """Cuts the lineage by way of Parquet in the shared folder; a lost executor takes nothing with it."""
-    df.write.mode("overwrite").options(compression=compression, **options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cuts the lineage by way of Parquet in the shared folder; a lost executor takes nothing with it. The job's shuffle files go once it is written."""
+    spark = df.sparkSession
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").options(compression=compression, **options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

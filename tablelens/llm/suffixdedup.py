@@ -339,12 +339,10 @@ def _apply(n: int):
 
 def _windows_gone(docs: DataFrame, path: str, n: int, gram: int, chunk: int) -> DataFrame:
     """(_id, _row, _gone): for each document that loses bytes the windows that go, by unit."""
-    spark = docs.sparkSession
     way = F.when(F.col("_flag") == REPEATS, F.xxhash64("_unit", "_at")).otherwise(F.col("_key"))
     kind = docs.schema["_id"].dataType.simpleString()
     found = _all_units(docs, n, gram).repartition(way).sortWithinPartitions("_key")
     live = materialize(found.mapInArrow(_repeating, f"_id {kind}, _key long, _unit long, _at long"), f"{path}/live")
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
 
     classes = materialize(live.groupBy("_key", "_unit").agg(F.min(F.struct("_id", "_at")).alias("low")), f"{path}/classes")
     several = materialize(classes.groupBy("_key").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1"), f"{path}/several")
@@ -360,7 +358,6 @@ def _windows_gone(docs: DataFrame, path: str, n: int, gram: int, chunk: int) ->
     cut = texts.mapInArrow(_cut_units, f"_id {kind}, _key long, _unit long, _anchor int, _chunk int, _chunks int, _bytes binary")
     dealt = cut.repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk")
     sorted_ = materialize(dealt.mapInArrow(_settle(n), f"_key long, _unit long, _from int, _to int, _low {kind}, _window binary, _anchor int"), f"{path}/sorted")
-    spark.sparkContext._jvm.System.gc()
 
     parts = sorted_.filter("_window is not null")
     lowest = parts.groupBy("_key", "_anchor", "_window").agg(F.min(F.struct("_low")).alias("_least"))

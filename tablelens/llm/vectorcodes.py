@@ -43,9 +43,9 @@ def _to_blocks(dim: int, parts: int, scale: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            right = np.asarray(batch["_vec"].value_lengths().fill_null(-1)) == dim
-            batch = batch.filter(pa.array(right))
-            x = np.asarray(batch["_vec"].flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(-1, dim)
+            right = np.asarray(batch["_vec"].value_lengths().fill_null(0)) == dim
+            batch = batch.filter(pa.array(right & (dim > 0)))
+            x = np.asarray(batch["_vec"].flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)).reshape(batch.num_rows, dim)
             whole = np.isfinite(x).all(axis=1)
             batch, x = batch.filter(pa.array(whole)), x[whole]
             for at in range(0, len(x), ROWS):
