@@ -12,6 +12,9 @@ from ..functions import casts, textops
 from . import infer
 from .profile import ROW
 
+#: Rows that samples of values are taken from.
+LOOKED_AT = 200
+
 
 @dataclass(frozen=True)
 class CastSpec:
@@ -36,23 +39,33 @@ class Suggestion:
     samples: tuple[str, ...] = ()
 
 
+def first_values(df: DataFrame, columns: list[str], n: int = 3) -> dict[str, tuple[str, ...]]:
+    """Of each column the first n values that are not null. One job looks at the first rows; columns that are mostly null there get their own."""
+    ordered = df.orderBy(ROW) if ROW in df.columns else df
+    text = lambda c: textops.named(c).cast("string")
+    rows = ordered.select(*[text(c).alias(f"c{i}") for i, c in enumerate(columns)]).limit(LOOKED_AT).collect()
+    found = {c: tuple(r[i] for r in rows if r[i] is not None)[:n] for i, c in enumerate(columns)}
+    for c in columns:
+        if len(found[c]) < n and len(rows) == LOOKED_AT:
+            found[c] = tuple(r[0] for r in ordered.filter(textops.named(c).isNotNull()).select(text(c)).limit(n).collect())
+    return found
+
+
 def suggest_casts(df: DataFrame, threshold: float = infer.SUGGEST, with_samples: bool = True) -> list[Suggestion]:
     """A suggestion for each column; typed columns pass through."""
     found = infer.analyze(df)
+    shown = first_values(df, [f.name for f in df.schema.fields if f.name != ROW]) if with_samples else {}
     out = []
     for f in df.schema.fields:
         if f.name == ROW:
             continue
-        samples: tuple[str, ...] = ()
-        if with_samples:
-            some = df.filter(textops.named(f.name).isNotNull())
-            some = some.orderBy(ROW) if ROW in df.columns else some
-            samples = tuple(r[0] for r in some.select(textops.named(f.name).cast("string")).limit(3).collect())
+        samples = shown.get(f.name, ())
         if f.name not in found:
             out.append(Suggestion(f.name, f.dataType.simpleString(), None, samples=samples))
             continue
+        best = infer.chosen(found[f.name], threshold)
         type_, fmt, via = infer.pick(found[f.name], threshold)
-        out.append(Suggestion(f.name, "string", type_, fmt, via, infer.needs_strip(found[f.name], type_), found[f.name].coverage, samples))
+        out.append(Suggestion(f.name, "string", type_, fmt, via, infer.strips(found[f.name], best), found[f.name].coverage, samples))
     return out
 
 
