@@ -38,9 +38,9 @@ from .textfeat import slices
 #: Bytes of an anchor.
 GRAM = 20
 #: Bytes of text that are hashed at once; longer texts go in blocks, whose windows overlap.
-BLOCK = 1_000_000
+BLOCK = 50_000
 #: Classes of an anchor that are sorted in one task, and bytes that are sorted at once unless one chunk has more.
-CHUNK, SORTED = 1 << 14, 1 << 20
+CHUNK, SORTED = 1 << 14, 1 << 18
 #: Parts of a unit's place: its start, 31 bits; how many windows it has and where its anchor is, 8 bits each; 16 bits of its row's hash.
 ROW_BITS = 16
 
@@ -179,13 +179,19 @@ def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extension(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """How many bytes, up to most, the suffixes from a and from b have in common, by binary search over their prefixes' hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
+    out = np.full(len(a), most, np.int64)
     a_sum, a_down, b_sum, b_down = hashes.sums[a], hashes.down[a], hashes.sums[b], hashes.down[b]
-    for _ in range(int(most).bit_length()):
+    # most are alike to the end, or not
+    differ = np.flatnonzero((hashes.sums[a + most] - a_sum) * a_down != (hashes.sums[b + most] - b_sum) * b_down)
+    a, b, a_sum, a_down, b_sum, b_down = (x[differ] for x in (a, b, a_sum, a_down, b_sum, b_down))
+    low, high = np.zeros(len(a), np.int64), np.full(len(a), most - 1, np.int64)
+    for _ in range(int(most - 1).bit_length()):
         mid = (low + high + 1) >> 1
         same = (hashes.sums[a + mid] - a_sum) * a_down == (hashes.sums[b + mid] - b_sum) * b_down
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+        np.copyto(low, mid, where=same)
+        np.copyto(high, mid - 1, where=~same)
+    out[differ] = low
+    return out
 
 
 def suffix_sort(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,29 +205,29 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, n: int
     base, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
     inside = np.arange(len(order)) - base
     hashes, padded = Hashes(data), np.append(data, np.uint8(0))
-    width = 1
+    width, at = 1, starts[order]
     while len(sizes) and width < sizes.max():
-        run = inside // width
-        sibling = (run ^ 1) * width
+        sibling = (inside // width ^ 1) * width
         moves = np.flatnonzero(sibling < size)
-        left, own = run[moves] % 2 == 0, starts[order[moves]]
+        left = inside[moves] // width % 2 == 0
+        first, own = base[moves], at[moves]
         low = sibling[moves]
-        origin, high = low, np.minimum(low + width, size[moves])
-        while (busy := np.flatnonzero(low < high)).size:
-            mid = (low[busy] + high[busy]) >> 1
-            mine, other = own[busy], starts[order[base[moves[busy]] + mid]]
+        high = np.minimum(low + width, size[moves])
+        todo = np.flatnonzero(low < high)
+        while todo.size:
+            mid = (low[todo] + high[todo]) >> 1
+            mine, other = own[todo], at[first[todo] + mid]
             shared = extension(hashes, mine, other, n)
-            x, y = padded[np.minimum(mine + shared, len(data))], padded[np.minimum(other + shared, len(data))]
             # an element of the right run goes after its equals of the left one
-            after = (shared < n) & (y < x) | (shared == n) & ~left[busy]
-            low = low.copy()
-            low[busy], high[busy] = np.where(after, mid + 1, low[busy]), np.where(after, high[busy], mid)
-        pair = inside[moves] - run[moves] % 2 * width - (inside[moves] % width)
-        place = base[moves] + pair + inside[moves] % width + low - origin
-        merged = order.copy()
-        merged[place] = order[moves]
-        order, width = merged, 2 * width
-    same, right = _verified(data, starts[order], groups[order], n)
+            after = (shared < n) & (padded[np.minimum(other + shared, len(data))] < padded[np.minimum(mine + shared, len(data))]) | (shared == n) & ~left[todo]
+            low[todo] = np.where(after, mid + 1, low[todo])
+            high[todo] = np.where(after, high[todo], mid)
+            todo = todo[low[todo] < high[todo]]
+        place = first + inside[moves] + low - sibling[moves] - np.where(left, 0, width)
+        moved, new_at = order.copy(), at.copy()
+        moved[place], new_at[place] = order[moves], own
+        order, at, width = moved, new_at, 2 * width
+    same, right = _verified(data, at, groups[order], n)
     if not right:  # hashes collided
         raw = data[starts[:, None] + np.arange(n)]
         rank = np.unique(raw, axis=0, return_inverse=True)[1].reshape(-1)
@@ -233,14 +239,16 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, n: int
 def _verified(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, n: int) -> tuple[np.ndarray, bool]:
     """Whether each sorted suffix has the group and the n bytes of the one before, and whether all are in order; by bytes, not hashes."""
     same, right = np.zeros(len(starts), bool), True
-    for at in range(1, len(starts), 1 << 16):
-        to = min(len(starts), at + (1 << 16))
-        a, b = data[starts[at - 1 : to - 1, None] + np.arange(n)], data[starts[at:to, None] + np.arange(n)]
-        differ = a != b
-        spot, rows = differ.argmax(axis=1), np.arange(to - at)
-        equal, group = ~differ[rows, spot], groups[at - 1 : to - 1] == groups[at:to]
-        same[at:to] = equal & group
-        right = right and bool((equal | (a[rows, spot] < b[rows, spot]) | ~group).all())
+    windows = np.lib.stride_tricks.sliding_window_view(data, n) if len(starts) else None
+    for at in range(1, len(starts), 1 << 14):
+        rows = windows[starts[at - 1 : at + (1 << 14)]]
+        differ = rows[1:] != rows[:-1]
+        group = groups[at : at + (1 << 14)] == groups[at - 1 : at - 1 + len(differ)]
+        unlike = differ.any(axis=1)
+        same[at : at + len(differ)] = ~unlike & group
+        check = np.flatnonzero(unlike & group)
+        spot = differ[check].argmax(axis=1)
+        right = right and bool((rows[check, spot] < rows[check + 1, spot]).all())
     return same, right
 
 
