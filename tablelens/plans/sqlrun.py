@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators.derive import auto_derive
 from ..operators.profile import ROW, summarize
+from ..session import semantics
 from ..sources import delimited, excel
 from .dialect import SKIP, File, by_name, files, install, translate
 
@@ -78,13 +79,17 @@ class Runner:
     tag: str = field(default_factory=lambda: f"sql-{uuid.uuid4().hex}")
 
     def query(self, sql: str, **tables: DataFrame) -> DataFrame:
-        """A statement that gives rows; tables stand in it as {name}."""
+        """A statement that gives rows; tables stand in it as {name}. It means the same in any session: casts and divisions that fail give null."""
+        with semantics(self.spark):
+            return self._query(sql, **tables)
+
+    def _query(self, sql: str, **tables: DataFrame) -> DataFrame:
         sql = sql.strip().rstrip(";")
         first, *others = by_name(sql)
         if others:
-            out = self.query(first[0], **tables)
+            out = self._query(first[0], **tables)
             for branch, keep in others:
-                out = out.unionByName(self.query(branch, **tables), allowMissingColumns=True)
+                out = out.unionByName(self._query(branch, **tables), allowMissingColumns=True)
                 out = out if keep else out.distinct()
             return out
         text = translate(self._with_files(sql), lambda q: self.spark.sql(q, **tables).columns)
@@ -129,13 +134,15 @@ class Runner:
                 for one in statements(sql):
                     if change is not None and change(one):
                         continue
-                    text = translate(one)
-                    install(self.spark, text)
-                    self.spark.sql(text).collect()
+                    with semantics(self.spark):
+                        text = translate(one)
+                        install(self.spark, text)
+                        self.spark.sql(text).collect()
                 return {"ok": True, "columns": [], "rows": [], "row_count": 0, "truncated": False, "elapsed_ms": int(1000 * (time.monotonic() - began))}
             self.result = self.query(sql)
             # the first window needs no more than its rows; what is beyond is worked out when it is asked for
-            rows = self.page(0, window + 1)
+            with semantics(self.spark):
+                rows = self.page(0, window + 1)
             more = len(rows) > window
             return {"ok": True, "columns": [self.result.columns[i] for i in self.shown()], "rows": rows[:window], "row_count": None if more else len(rows), "truncated": more, "elapsed_ms": int(1000 * (time.monotonic() - began))}
         except Exception as e:  # noqa: BLE001  any failure of the user's statement is its answer

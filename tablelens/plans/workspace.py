@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import derive, export, profile
 from ..operators.naming import unique_name
 from ..operators.profile import ROW
+from ..session import semantics
 from ..sources import delimited, excel, parquet
 from ..sources.options import Load, Options, cleaned
 from . import dml
@@ -125,7 +126,8 @@ class Workspace:
             if not self.rename(change.name, change.query):
                 raise ValueError(f"{change.query} exists")
         else:
-            self.register(change.name, dml.changed(self.tables[change.name], change, self.runner.query))
+            with semantics(self.spark):
+                self.register(change.name, dml.changed(self.tables[change.name], change, self.runner.query))
         return True
 
     def cancel_sql(self) -> int:

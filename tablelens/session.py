@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 #: User SQL: division by zero and failed casts give null, timestamps have no zone.
@@ -11,8 +14,6 @@ SQL_SETTINGS = {
     "spark.sql.timestampType": "TIMESTAMP_NTZ",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.legacy.javaCharsets": "true",
-    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 
@@ -29,3 +30,15 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in SQL_SETTINGS.items():
         spark.conf.set(k, v)
     return spark
+
+
+@contextmanager
+def semantics(spark: SparkSession) -> Iterator[None]:
+    """The settings for what is analysed or run within; a session made elsewhere gets its own back."""
+    before = {k: spark.conf.get(k) for k in SQL_SETTINGS}
+    configure(spark)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -9,7 +9,7 @@ that comes second. What the user sets is never changed.
 from __future__ import annotations
 
 from dataclasses import replace
-from pathlib import Path
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,29 +19,27 @@ from ..operators.profile import ROW
 from . import sniff, tokens
 from .options import Load, LoadError, Options, cleaned
 from .records import Quoting, _dense, lines, records
+from .store import UNDEFINED, Stored, as_latin
 
-UNDEFINED = "[" + "".join(rf"\x{b:02x}" for b in sorted(sniff.UNDEFINED_1252)) + "]"
 #: A delimiter that leaves one column is given up for the runner-up if that covers as much.
 RUNNER_UP = 0.9
 #: Reading quotes as data must keep so many more rows, and more than this share of them.
 MORE_ROWS, MORE_SHARE, LOOKED_AT = 5, 0.01, 1000
 
 
-def preview_lines(path: str, n: int = 50, options: Options | dict | None = None) -> dict:
-    """The first n raw lines and all that detection says."""
-    p, o = Path(path), cleaned(options)
+def preview_lines(path: str, n: int = 50, options: Options | dict | None = None, spark: SparkSession | None = None) -> dict:
+    """The first n raw lines and all that detection says. With a session, of a path in any store that Spark reads."""
+    p, o = Stored(spark, path) if spark else sniff.Local(path), cleaned(options)
     enc = sniff.detect_encoding(p)
-    with open(p, "rb") as f:
-        head = f.read(sniff.HEAD).decode(sniff.codec(o.encoding or enc.name), "replace").removeprefix("\ufeff").splitlines()[:n]
+    head = p.head(sniff.HEAD)[0].decode(sniff.codec(o.encoding or enc.name), "replace").removeprefix("\ufeff").splitlines()[:n]
     scores = sniff.score_delimiters(p, o.encoding or enc.name, o.quote)
     delimiter = o.delimiter or (scores[0].delimiter if scores else ",")
     return {"lines": head, "encoding": enc, "delimiters": scores, "layout": sniff.detect_layout(p, o.encoding or enc.name, delimiter, o.quote)}
 
 
-def _header(path: Path, encoding: str, delimiter: str, quote: str, first_row: int) -> list[str]:
+def _header(p: Stored, encoding: str, delimiter: str, quote: str, first_row: int) -> list[str]:
     """The header's cells; a header that the encoding cannot read is read as Windows-1252."""
-    with open(path, "rb") as f:
-        raw = f.read(sniff.HEAD)
+    raw = p.head(sniff.HEAD)[0]
     fallback = "cp1252" if encoding == "utf-8" else sniff.codec(encoding)
     for codec, marks in ((sniff.codec(encoding), ("\ufeff",)), (fallback, ("\ufeff", "ï»¿"))):
         text = raw.decode(codec, "replace")
@@ -62,8 +60,10 @@ def _parsed(text: Column, width: int, q: Quoting) -> Column:
 
 
 def load(spark: SparkSession, path: str, options: Options | dict | None = None, taken: list[str] = ()) -> Load:
-    p, o = Path(path), cleaned(options)
-    if not p.is_file():
+    """A file, a folder or a pattern of files in any store that Spark reads. Files are read in the order of their names; titles and a header
+    are taken from the first, and left out of each other file that has the same header. The driver reads a head and a tail only."""
+    p, o = Stored(spark, path), cleaned(options)
+    if not p.exists:
         raise LoadError(f"no file {path}")
     guess = sniff.detect_encoding(p)
     if not o.encoding and guess.big_endian:
@@ -85,20 +85,31 @@ def load(spark: SparkSession, path: str, options: Options | dict | None = None,
             if s.coverage >= RUNNER_UP and s.fields > 1:
                 return load(spark, path, replace(o, delimiter=s.delimiter), taken)
     line_end = "\r" if "\n" not in head and "\r" in head else "\n"
-    all_ = lines(spark, str(p), encoding, line_end, o.parallel)
+    all_ = lines(spark, p.paths, encoding, line_end, o.parallel)
     begin = recs[skipped][0] if len(recs) > skipped else head.count(line_end) + 2 if whole else recs[-1][0] + 1
-    body = all_.filter(F.col("_line") >= begin)
+    body = all_.filter(F.col("_line") >= begin) if len(p.paths) == 1 else _without_heads(all_, begin, recs[first_row - 1][0] if first_row else None)
     body = body.persist() if o.materialize else body
     try:
-        if encoding == "utf-8" and guess.clean and not o.encoding and not body.filter("_wrong").isEmpty():
+        if encoding == "utf-8" and guess.clean and not guess.whole and not o.encoding and not body.filter("_wrong").isEmpty():
             # the whole file is no UTF-8 after all
-            undefined = not body.filter("_wrong").filter(F.decode(F.col("_raw").cast("binary"), "ISO-8859-1").rlike(UNDEFINED)).isEmpty()
+            undefined = not body.filter("_wrong").filter(as_latin(F.col("_raw")).rlike(UNDEFINED)).isEmpty()
             return load(spark, path, replace(o, encoding="iso-8859-1" if undefined else "cp1252"), taken)
         return _loaded(spark, p, o, taken, body, names, Quoting(delimiter, o.quote, o.escape), layout, guess, encoding, first_row)
     finally:
         body.unpersist()
 
 
+def _without_heads(all_: DataFrame, begin: int, header: int | None) -> DataFrame:
+    """Lines from begin on, in the first file and in those that have its header in the same line; all of the others."""
+    plain = F.regexp_replace("_raw", r"\r\z", "")
+    top = all_.filter(F.col("_place") == (header or 0)).select("_file", plain.alias("_head"))  # a row for each file
+    first = all_.filter("_line = 1").select(F.col("_file").alias("_first"))
+    named = top.join(F.broadcast(first), F.col("_file") == F.col("_first")).select("_first", F.col("_head").alias("_wanted"))
+    alike = top.join(F.broadcast(named), F.col("_head") == F.col("_wanted")).select("_file")
+    heads = alike.union(first).distinct().withColumn("_headed", F.lit(True))
+    return all_.join(F.broadcast(heads), "_file", "left").filter(F.col("_headed").isNull() | (F.col("_place") >= begin)).drop("_headed")
+
+
 def _kinds(recs: DataFrame, width: int, q: Quoting, strict: bool) -> DataFrame:
     """recs with _n fields and the _kind of what cannot be taken."""
     n = q.count(F.col("_text"))
@@ -106,7 +117,7 @@ def _kinds(recs: DataFrame, width: int, q: Quoting, strict: bool) -> DataFrame:
     return recs.withColumns({"_n": n, "_kind": kind})
 
 
-def _loaded(spark: SparkSession, p: Path, o: Options, taken: list[str], body: DataFrame, names: list[str], q: Quoting, layout: sniff.Layout, guess: sniff.Encoding, encoding: str, first_row: int) -> Load:
+def _loaded(spark: SparkSession, p: Stored, o: Options, taken: list[str], body: DataFrame, names: list[str], q: Quoting, layout: sniff.Layout, guess: sniff.Encoding, encoding: str, first_row: int) -> Load:
     width, loose = len(names), False
     each = _kinds(records(body, q), width, q, o.strict_mode)
     facts = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.count("_kind").alias("bad"), F.count_if(F.col("_kind") == "UNQUOTED VALUE").alias("open"), F.count_if(F.col("_kind").isNull() & (F.col("_n") < width)).alias("short"), F.coalesce(F.sum("_lines"), F.lit(0)).alias("lines")).first()
@@ -123,7 +134,7 @@ def _loaded(spark: SparkSession, p: Path, o: Options, taken: list[str], body: Da
     kept = each.filter(F.col("_kind").isNull()) if seen["bad"] else each
     total = seen["n"] - seen["bad"]
     # lines that are all rows need no counting: their numbers are those of the file
-    straight = not seen["bad"] and seen["lines"] == seen["n"] == body.count()
+    straight = len(p.paths) == 1 and not seen["bad"] and seen["lines"] == seen["n"] == body.count()
     first = body.agg(F.min("_line")).first()[0] or 1
     numbered = kept.withColumn(ROW, F.col("_line") - (first - 1)) if straight else _dense(kept.drop("_lines", "_wrong", "_bad", "_kind", "_n"), "_line", ROW)
     numbered = numbered.filter(F.col(ROW) <= total - footer) if footer else numbered
@@ -146,7 +157,7 @@ def _loaded(spark: SparkSession, p: Path, o: Options, taken: list[str], body: Da
             rejected = rejected.persist()
             rejected.count()
     said = {"encoding": encoding, "delimiter": q.delimiter, "first_row": first_row, "footer": footer, "rejects": seen["bad"], "quotes_as_data": loose, "padded": seen["short"] > 0, "row_count": max(0, total - footer), "layout": layout.why, "encoding_why": guess.why}
-    return Load(o.name or table_name(p.stem, taken), df, rejected, "csv", said)
+    return Load(o.name or table_name(PurePosixPath(p.path.rstrip("/")).stem, taken), df, rejected, "csv", said)
 
 
 def _mostly_quoted(plain: DataFrame, width: int, bare: Quoting, quote: str) -> bool:

@@ -11,11 +11,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .rownum import in_file_order
+from .store import as_latin
 
 CHARSETS = {"utf-8": "UTF-8", "utf-16": "UTF-16LE", "latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "cp1252": "windows-1252"}
 BLOCK = 1 << 16
@@ -73,23 +75,64 @@ class Quoting:
         return F.length(bare) - F.length(F.replace(bare, F.lit(self.delimiter), F.lit(""))) + 1
 
 
-def lines(spark: SparkSession, path: str, encoding: str, line_end: str = "\n", parallel: bool = True) -> DataFrame:
-    """(_line from 1, _raw, _wrong): the decoded lines in file order, and whether their bytes are not of the encoding."""
+#: Windows-1252 beyond Latin-1, fixed: what 0x80 to 0x9F stand for; U+FFFD where nothing is defined.
+CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+#: UTF-16, little-endian, as hexadecimal digits: units that are no half of a pair, and whole pairs.
+_UNIT, _PAIR = "..(?:[0-9A-CEF].|D[0-7])", "..D[89AB]..D[C-F]"
+
+
+def decoded(value: Column, encoding: str) -> tuple[Column, Column]:
+    """The text of a line's bytes, and whether some are not of the encoding; these are U+FFFD. Settings of the session play no part."""
     charset = CHARSETS.get(encoding, encoding)
-    wide = charset.startswith("UTF-16")
+    raw = value.cast("binary")
+    if charset == "UTF-8":
+        return value, ~F.is_valid_utf8(value)
+    if charset == "ISO-8859-1":
+        return as_latin(value), F.lit(False)
+    if charset == "windows-1252":
+        text = F.translate(as_latin(value), CONTROLS, CP1252)
+        return text, F.contains(text, F.lit("\ufffd"))
+    if charset == "UTF-16LE":
+        digits = F.hex(raw)
+        digits = F.left(digits, F.length(digits) - F.length(digits) % 4)
+        right = digits.rlike(rf"\A(?:{_UNIT}|{_PAIR})*+\z")
+        # a half of a pair goes to where U+FFFD is put: what stands between whole units
+        parts = F.regexp_replace(digits, rf"\G(?:({_PAIR}|{_UNIT})|..D[89A-F])", "$1,")
+        mended = F.array_join(F.transform(F.split(F.regexp_replace(parts, r",\z", ""), ","), lambda u: F.when(u == "", "FDFF").otherwise(u)), "")
+        return F.decode(F.unhex(F.when(right, digits).otherwise(mended)), "UTF-16LE"), ~right | (F.octet_length(raw) % 2 == 1)
+    return _by_python(charset)(raw), F.contains(_by_python(charset)(raw), F.lit("\ufffd"))
+
+
+def _by_python(charset: str):
+    """For encodings that Spark does not know."""
+
+    @F.pandas_udf("string")
+    def read(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode(charset, "replace"))
+
+    return read
+
+
+def lines(spark: SparkSession, path: str | list[str], encoding: str, line_end: str = "\n", parallel: bool = True) -> DataFrame:
+    """(_line from 1, _file, _place, _raw, _wrong): the decoded lines in the order of files and of lines within, and whether their bytes are not of the encoding.
+
+    _place is the line within the _file.
+    """
+    paths = [path] if isinstance(path, str) else path
+    wide = CHARSETS.get(encoding, encoding).startswith("UTF-16")
     reader = spark.read.option("lineSep", line_end)
-    df = (reader.option("encoding", charset) if wide else reader).text(path).select(F.col("value"), F.col("_metadata.file_block_start").alias("_at"))
+    df = (reader.option("encoding", "UTF-16LE") if wide else reader).text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
     df = df if parallel else df.coalesce(1)
-    numbered = in_file_order(df, F.lit(0), F.col("_at"), "_line").select("_line", "value")
-    if charset == "UTF-8":
-        raw, wrong = F.col("value"), ~F.is_valid_utf8("value")
-    elif wide:
-        raw, wrong = F.decode(F.col("value").cast("binary"), charset), F.octet_length("value") % 2 == 1
-    else:
-        raw = F.decode(F.col("value").cast("binary"), charset)
-        wrong = F.contains(raw, F.lit("\ufffd"))
-    raw = F.when(F.col("_line") == 1, F.regexp_replace(raw, "\\A\ufeff", "")).otherwise(raw)
-    return numbered.select("_line", raw.alias("_raw"), wrong.alias("_wrong"))
+    numbered = in_file_order(df, F.col("_file"), F.col("_at"), "_line").select("_line", "_file", "value")
+    if len(paths) == 1:
+        numbered = numbered.withColumn("_place", F.col("_line"))
+    else:  # a row for each file
+        first = numbered.groupBy("_file").agg(F.min("_line").alias("_first"))
+        numbered = numbered.join(F.broadcast(first), "_file").withColumn("_place", F.col("_line") - F.col("_first") + 1)
+    raw, wrong = decoded(F.col("value"), encoding)
+    raw = F.when(F.col("_place") == 1, F.regexp_replace(raw, "\\A\ufeff", "")).otherwise(raw)
+    return numbered.select("_line", "_file", "_place", raw.alias("_raw"), wrong.alias("_wrong"))
 
 
 def _after(start: Column, reset: Column, turns: Column) -> Column:
@@ -145,7 +188,7 @@ def records(body: DataFrame, q: Quoting) -> DataFrame:
     alone = lambda df: df.select("_line", F.lit(1).cast("long").alias("_lines"), tidy(raw).alias("_text"), "_wrong", (F.lit(False) if not q.quote else F.contains(raw, F.lit(q.quote)) & ~q.whole(raw)).alias("_bad")).filter(F.col("_text") != "")
     if not q.quote or body.filter(F.contains(raw, F.lit(q.quote)) & q.opens(raw)).isEmpty():
         return alone(body)
-    spans = joined_lines(body, q).persist()
+    spans = joined_lines(body, q)
     last = body.agg(F.max("_line")).first()[0]
     closed = spans.filter("_end is not null")
     within = closed.select("_begin", (F.col("_end") - F.col("_begin") + 1).alias("_lines"), F.col("_bad").alias("_span_bad"), F.explode(F.sequence("_begin", "_end")).alias("_in"))

@@ -17,7 +17,7 @@ from .operators import ddl, derive, export, infer, naming, profile
 from .operators.profile import ROW
 from .plans.dialect import date_pattern
 from .plans.workspace import Workspace
-from .sources import delimited, excel, jdbc, parquet, sniff
+from .sources import delimited, excel, jdbc, parquet, records, sniff
 
 
 def _folder() -> Path:
@@ -99,6 +99,39 @@ def text_encodings(spark, sf_dir):
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
+def _in_encoding(text, name: str):
+    """Lines whose bytes are of an encoding, for the writer of text files."""
+    c = text if name != "cp1252" else F.translate(text, records.CP1252, records.CONTROLS)
+    return F.encode(c, "UTF-8" if name == "utf-8" else "ISO-8859-1").cast("string")
+
+
+_MARKED = {"utf-8": "Grüße, ’žluť‘ 漢", "cp1252": "Grüße, ’quoted‘", "latin-1": "Grüße"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS encoding, CAST(doc_id AS VARCHAR) AS id, lang, CASE WHEN doc_id % 3 = 0 THEN '{t} ' || doc_id ELSE 'plain ' || length(coalesce(text, '')) END AS note FROM documents" for n, t in _MARKED.items()))
+def text_encodings_documents(spark, sf_dir):
+    """Every document as a line of folders in three encodings, written and read in splits; a census tells which is which."""
+    d, out = _t(spark, sf_dir, "documents"), None
+    for name, mark in _MARKED.items():
+        path = f"file://{_folder()}/notes"
+        note = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(f"{mark} "), "doc_id")).otherwise(F.concat(F.lit("plain "), F.length(F.coalesce("text", F.lit("")))))
+        d.select(_in_encoding(F.concat_ws("|", "doc_id", F.coalesce("lang", F.lit("")), note), name)).write.text(path)
+        got = delimited.load(spark, path, {"first_row": 0, "delimiter": "|", "nullify_tokens": []})
+        one = got.df.select(F.lit(got.facts["encoding"]).alias("encoding"), F.col("col_0").alias("id"), F.col("col_1").alias("lang"), F.col("col_2").alias("note"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY o_orderkey % 5, o_orderkey) AS BIGINT) AS _src_row_num, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS status, CAST(o_custkey AS VARCHAR) AS customer FROM orders")
+def text_folder_of_parts(spark, sf_dir):
+    """Orders in five files with a header each, read by a pattern as one table whose rows are numbered through."""
+    folder = _folder()
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("customer"))
+    for k in range(5):
+        export.to_flat(o.filter(F.col("key") % 5 == k).orderBy("key"), str(folder / f"part{k}.csv"), delimiter=",")
+    return delimited.load(spark, f"file://{folder}/part*.csv").df
+
+
 @query("SELECT d.delimiter, 4 AS fields, 1.0::DOUBLE AS coverage, CAST(max(length(c_name)) AS INT) AS longest FROM customer, (VALUES (','), ('|'), (';'), (chr(9))) d(delimiter) GROUP BY d.delimiter")
 def sniff_delimiters(spark, sf_dir):
     rows, out = _t(spark, sf_dir, "customer").collect(), []
