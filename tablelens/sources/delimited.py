@@ -23,6 +23,8 @@ from .store import UNDEFINED, Stored, as_latin
 
 #: A delimiter that leaves one column is given up for the runner-up if that covers as much.
 RUNNER_UP = 0.9
+#: Lines before the data that other files may repeat.
+HEADS = 200
 #: Reading quotes as data must keep so many more rows, and more than this share of them.
 MORE_ROWS, MORE_SHARE, LOOKED_AT = 5, 0.01, 1000
 
@@ -61,7 +63,7 @@ def _parsed(text: Column, width: int, q: Quoting) -> Column:
 
 def load(spark: SparkSession, path: str, options: Options | dict | None = None, taken: list[str] = ()) -> Load:
     """A file, a folder or a pattern of files in any store that Spark reads. Files are read in the order of their names; titles and a header
-    are taken from the first, and left out of each other file that has the same header. The driver reads a head and a tail only."""
+    are taken from the first, and lines of other files that repeat them in the same place are left out. The driver reads a head and a tail only."""
     p, o = Stored(spark, path), cleaned(options)
     if not p.exists:
         raise LoadError(f"no file {path}")
@@ -87,7 +89,7 @@ def load(spark: SparkSession, path: str, options: Options | dict | None = None,
     line_end = "\r" if "\n" not in head and "\r" in head else "\n"
     all_ = lines(spark, p.paths, encoding, line_end, o.parallel)
     begin = recs[skipped][0] if len(recs) > skipped else head.count(line_end) + 2 if whole else recs[-1][0] + 1
-    body = all_.filter(F.col("_line") >= begin) if len(p.paths) == 1 else _without_heads(all_, begin, recs[first_row - 1][0] if first_row else None)
+    body = all_.filter(F.col("_line") >= begin) if len(p.paths) == 1 else _without_heads(all_, begin, [x.removesuffix("\r") for x in head.split(line_end)][: min(begin - 1, HEADS)])
     body = body.persist() if o.materialize else body
     try:
         if encoding == "utf-8" and guess.clean and not guess.whole and not o.encoding and not body.filter("_wrong").isEmpty():
@@ -99,15 +101,11 @@ def load(spark: SparkSession, path: str, options: Options | dict | None = None,
         body.unpersist()
 
 
-def _without_heads(all_: DataFrame, begin: int, header: int | None) -> DataFrame:
-    """Lines from begin on, in the first file and in those that have its header in the same line; all of the others."""
-    plain = F.regexp_replace("_raw", r"\r\z", "")
-    top = all_.filter(F.col("_place") == (header or 0)).select("_file", plain.alias("_head"))  # a row for each file
-    first = all_.filter("_line = 1").select(F.col("_file").alias("_first"))
-    named = top.join(F.broadcast(first), F.col("_file") == F.col("_first")).select("_first", F.col("_head").alias("_wanted"))
-    alike = top.join(F.broadcast(named), F.col("_head") == F.col("_wanted")).select("_file")
-    heads = alike.union(first).distinct().withColumn("_headed", F.lit(True))
-    return all_.join(F.broadcast(heads), "_file", "left").filter(F.col("_headed").isNull() | (F.col("_place") >= begin)).drop("_headed")
+def _without_heads(all_: DataFrame, begin: int, heads: list[str]) -> DataFrame:
+    """Lines from begin on; of the files after the first, all but those that repeat what the first has in the same place before begin."""
+    again = F.get(F.array(*map(F.lit, heads)), (F.col("_place") - 1).cast("int")) == F.regexp_replace("_raw", r"\r\z", "") if heads else F.lit(False)
+    top = (F.col("_place") < begin) & ((F.col("_line") == F.col("_place")) | F.coalesce(again, F.lit(False)))
+    return all_.filter(~top)
 
 
 def _kinds(recs: DataFrame, width: int, q: Quoting, strict: bool) -> DataFrame:

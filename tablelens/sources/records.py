@@ -115,24 +115,19 @@ def _by_python(charset: str):
 
 
 def lines(spark: SparkSession, path: str | list[str], encoding: str, line_end: str = "\n", parallel: bool = True) -> DataFrame:
-    """(_line from 1, _file, _place, _raw, _wrong): the decoded lines in the order of files and of lines within, and whether their bytes are not of the encoding.
+    """(_line from 1, _place, _raw, _wrong): the decoded lines in the order of files and of lines within, and whether their bytes are not of the encoding.
 
-    _place is the line within the _file.
+    _place is the line within the file.
     """
     paths = [path] if isinstance(path, str) else path
     wide = CHARSETS.get(encoding, encoding).startswith("UTF-16")
     reader = spark.read.option("lineSep", line_end)
     df = (reader.option("encoding", "UTF-16LE") if wide else reader).text(paths).select(F.col("value"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"))
     df = df if parallel else df.coalesce(1)
-    numbered = in_file_order(df, F.col("_file"), F.col("_at"), "_line").select("_line", "_file", "value")
-    if len(paths) == 1:
-        numbered = numbered.withColumn("_place", F.col("_line"))
-    else:  # a row for each file
-        first = numbered.groupBy("_file").agg(F.min("_line").alias("_first"))
-        numbered = numbered.join(F.broadcast(first), "_file").withColumn("_place", F.col("_line") - F.col("_first") + 1)
+    numbered = in_file_order(df, F.col("_file"), F.col("_at"), "_line", "_place").select("_line", "_place", "value")
     raw, wrong = decoded(F.col("value"), encoding)
     raw = F.when(F.col("_place") == 1, F.regexp_replace(raw, "\\A\ufeff", "")).otherwise(raw)
-    return numbered.select("_line", "_file", "_place", raw.alias("_raw"), wrong.alias("_wrong"))
+    return numbered.select("_line", "_place", raw.alias("_raw"), wrong.alias("_wrong"))
 
 
 def _after(start: Column, reset: Column, turns: Column) -> Column:

@@ -95,9 +95,9 @@ def test_folder_with_headers_in_all_files(plain, tmp_path):
     for k, body in enumerate(("1,a\n2,b\n", "3,c\n", "", "4,\"d\ne\"\n5,f\n")):
         (tmp_path / f"p{k}.csv").write_bytes(b"\xef\xbb\xbftitle\nnr,name\n" + body.encode() if body else b"")
     (tmp_path / "p9.csv").write_text("6,g\n7,h\n")  # without a header
-    got = delimited.load(plain, f"file://{tmp_path}")
+    got = delimited.load(plain, f"file://{tmp_path}", {"first_row": 2})
     assert [(r._src_row_num, r.nr, r.name) for r in got.df.orderBy("_src_row_num").collect()] == [(1, "1", "a"), (2, "2", "b"), (3, "3", "c"), (4, "4", "d\ne"), (5, "5", "f"), (6, "6", "g"), (7, "7", "h")]
-    assert Workspace(plain).load_file(f"file://{tmp_path}/p[01].csv").df.count() == 3
+    assert Workspace(plain).load_file(f"file://{tmp_path}/p[01].csv", {"first_row": 2}).df.count() == 3
 
 
 def test_user_sql_means_the_same_in_any_session(plain):
