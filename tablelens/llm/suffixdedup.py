@@ -41,8 +41,9 @@ GRAM = 20
 BLOCK = 50_000
 #: Classes of an anchor that are sorted in one task, and bytes that are sorted at once unless one chunk has more.
 CHUNK, SORTED = 1 << 14, 1 << 18
-#: Parts of a unit's place: its start, 31 bits; how many windows it has and where its anchor is, 8 bits each; 16 bits of its row's hash.
-ROW_BITS = 16
+#: Parts of a unit's place: 14 bits of its row's hash; its start, 31 bits; how many windows it has and where its anchor is, 8 bits each. Above
+#: them is, until units are judged, what the row is.
+ROW_BITS, FLAG_AT = 14, 61
 
 _BASE, _OTHER = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 #: Of a unit's row: a candidate, known to repeat, or a witness that an anchor repeats.
@@ -125,7 +126,7 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _all_units(docs: DataFrame, n: int, gram: int) -> DataFrame:
-    """(_id, _key, _unit, _at, _flag) of all units; of an anchor that ids of one batch share a witness beside them."""
+    """(_id, _key, _unit, _at) of all units; of an anchor that ids of one batch share a witness beside them."""
 
     def run(batches):
         for batch in batches:
@@ -139,16 +140,16 @@ def _all_units(docs: DataFrame, n: int, gram: int) -> DataFrame:
                 several = np.zeros(0, bool)
                 if len(first):
                     several = np.minimum.reduceat(code[order], first) != np.maximum.reduceat(code[order], first)
-                flag = np.empty(len(key), np.int8)
+                flag = np.empty(len(key), np.int64)
                 flag[order] = np.repeat(several, np.diff(np.append(first, len(order)))) * REPEATS
                 shown = order[first[several]]
                 every = np.concatenate([np.arange(len(key)), shown])
-                flag = np.concatenate([flag, np.full(len(shown), WITNESS, np.int8)])
+                flag = np.concatenate([flag, np.full(len(shown), WITNESS, np.int64)])
                 ids = piece.column("_id").take(pa.array(of[every]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(key[every].view(np.int64)), pa.array(unit[every].view(np.int64)), pa.array(at[every]), pa.array(flag)], names=["_id", "_key", "_unit", "_at", "_flag"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(key[every].view(np.int64)), pa.array(unit[every].view(np.int64)), pa.array(at[every] | flag << FLAG_AT)], names=["_id", "_key", "_unit", "_at"])
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_id {kind}, _key long, _unit long, _at long, _flag byte")
+    return docs.mapInArrow(run, f"_id {kind}, _key long, _unit long, _at long")
 
 
 def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +157,16 @@ def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_rows = None
 
     def judged(rows: pa.Table) -> pa.Table:
-        key, flag, code = (np.asarray(rows["_key"].combine_chunks()), np.asarray(rows["_flag"].combine_chunks()), _codes(rows["_id"].combine_chunks()))
+        key, flag, code = np.asarray(rows["_key"].combine_chunks()), np.asarray(rows["_at"].combine_chunks()) >> FLAG_AT, _codes(rows["_id"].combine_chunks())
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         live = (np.minimum.reduceat(code, first) != np.maximum.reduceat(code, first)) | (np.maximum.reduceat(flag, first) == WITNESS)
         return rows.filter(pa.array(np.repeat(live, np.diff(np.append(first, len(key)))) & (flag == ASKS)))
 
+    def unmarked(rows: pa.Table) -> list[pa.RecordBatch]:
+        return rows.set_column(3, "_at", pc.bit_wise_and(rows["_at"], (1 << FLAG_AT) - 1)).to_batches()
+
     for batch in batches:
-        known = pc.equal(batch["_flag"], REPEATS)
+        known = pa.array(np.asarray(batch["_at"]) >> FLAG_AT == REPEATS)
         out, asks = [pa.Table.from_batches([batch]).filter(known)], pa.Table.from_batches([batch]).filter(pc.invert(known))
         asks = asks if open_rows is None else pa.concat_tables([open_rows, asks])
         if asks.num_rows:
@@ -172,9 +176,9 @@ def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if cut:
                 out.append(judged(asks.slice(0, cut)))
         for t in out:
-            yield from t.drop_columns("_flag").to_batches()
+            yield from unmarked(t)
     if open_rows is not None:
-        yield from judged(open_rows).drop_columns("_flag").to_batches()
+        yield from unmarked(judged(open_rows))
 
 
 def extension(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -347,7 +351,7 @@ def _apply(n: int):
 
 def _windows_gone(docs: DataFrame, path: str, n: int, gram: int, chunk: int) -> DataFrame:
     """(_id, _row, _gone): for each document that loses bytes the windows that go, by unit."""
-    way = F.when(F.col("_flag") == REPEATS, F.xxhash64("_unit", "_at")).otherwise(F.col("_key"))
+    way = F.when(F.shiftright("_at", FLAG_AT) == REPEATS, F.xxhash64("_unit", "_at")).otherwise(F.col("_key"))
     kind = docs.schema["_id"].dataType.simpleString()
     found = _all_units(docs, n, gram).repartition(way).sortWithinPartitions("_key")
     live = materialize(found.mapInArrow(_repeating, f"_id {kind}, _key long, _unit long, _at long"), f"{path}/live")
