@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import ordered
+
 
 def _free(*frames: DataFrame) -> str:
     """A prefix that no column of the frames begins with."""
@@ -16,15 +18,9 @@ def _free(*frames: DataFrame) -> str:
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
-    """Each left row with the values of the latest right row of its key at or before its time. A union and one running window, not a range join."""
-    p = _free(left, right)
-    side, last = f"{p}side", f"{p}last"
-    held = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
-    l = left.select("*", F.lit(1).alias(side), F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType).alias(last))
-    r = right.select(key, at, F.lit(0).alias(side), held.alias(last))
-    by = W.partitionBy(key).orderBy(at, side).rowsBetween(W.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn(last, F.last(F.when(F.col(side) == 0, F.col(last)), ignorenulls=True).over(by))
-    return both.filter(F.col(side) == 1).select(*left.columns, *[F.col(f"{last}.v{i}").alias(v) for i, v in enumerate(values)])
+    """Each left row with the values of the latest right row of its key at or before its time; keys of many rows are cut by ranges of time."""
+    found = ordered.asof(left, right.select(key, at, *values), [(F.col(key), F.col(key))], (F.col(at), F.col(at)))
+    return found.select("_left.*", *[F.col("_right").getField(v).alias(v) for v in values])
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import ordered
 from ..operators.derive import auto_derive
 from ..operators.profile import ROW, summarize
 from ..session import semantics
@@ -69,6 +71,97 @@ def json_safe(v):
     return v if v is None or isinstance(v, bool | int | float | str) else str(v)
 
 
+class Frames:
+    """What a statement's text asks of DataFrame operators: each takes parts of it, (what leads, FROM and WHERE), and gives the name of a view, or
+    None where it does not apply."""
+
+    def __init__(self, runner: Runner, tables: dict[str, DataFrame]):
+        self.runner, self.tables = runner, tables
+
+    def _frame(self, part: tuple[str, str], items: str = "*") -> DataFrame | None:
+        """Items of a part of the statement; None where it does not stand by itself."""
+        try:
+            text = translate(f"{part[0]} select {items} {part[1]}", lambda q: self.runner.spark.sql(q, **self.tables).columns)
+            install(self.runner.spark, text)
+            return self.runner.spark.sql(text, **self.tables)
+        except AnalysisException:
+            return None
+
+    def _view(self, df: DataFrame) -> str:
+        name = f"_frame_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(name)
+        return name
+
+    def _with(self, part: tuple[str, str], wanted: list[str]) -> tuple[DataFrame, list[str]] | None:
+        """The columns of a part and, as _e0, _e1 and so on, what is wanted of it; and its own columns' names."""
+        own = self._frame(part)
+        if own is None or any(c.startswith("_e") or c in ("_left", "_right", "_number") for c in own.columns):
+            return None
+        more = self._frame(part, ", ".join(["*", *(f"{e} as _e{i}" for i, e in enumerate(wanted))]))
+        return None if more is None else (more, own.columns)
+
+    def asof(self, left: tuple[str, str], right: tuple[str, str], keys: list[tuple[str, str]], at: tuple[str, str], how: str, outer: bool) -> tuple[str, list[str]] | None:
+        sides = self._with(left, [*(a for a, _ in keys), at[0]]), self._with(right, [*(b for _, b in keys), at[1]])
+        if None in sides:
+            return None
+        (a, own), (b, columns) = sides
+        found = ordered.asof(a, b, [(F.col(f"_e{i}"), F.col(f"_e{i}")) for i in range(len(keys))], (F.col(f"_e{len(keys)}"), F.col(f"_e{len(keys)}")), how, self.runner.bin_rows)
+        found = found if outer else found.filter(F.col("_right").isNotNull())
+        return self._view(found.select(*[F.col("_left").getField(c).alias(c) for c in own], "_right")), columns
+
+    def positional(self, left: tuple[str, str], right: tuple[str, str]) -> tuple[str, list[str], list[str]] | None:
+        a, b = self._frame(left), self._frame(right)
+        return None if a is None or b is None else (self._view(ordered.positional(a, b)), a.columns, b.columns)
+
+    def intervals(self, left: tuple[str, str], right: tuple[str, str], keys: list[tuple[str, str]], bounds: tuple[str, str, str], closed: tuple[bool, bool], flip: bool) -> tuple[str, list[str], list[str]] | None:
+        """bounds: the point, and what it is above and below; flip if the point is the right relation's."""
+        point, low, high = bounds
+        wanted = [[a for a, _ in keys], [b for _, b in keys]]
+        wanted[flip].append(point)
+        wanted[not flip] += [low, high]
+        sides = self._with(left, wanted[0]), self._with(right, wanted[1])
+        if None in sides:
+            return None
+        (a, own), (b, columns) = sides
+        k = len(keys)
+        numbers = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+        used = [a.schema[f"_e{i}"].dataType for i in range(k, len(wanted[0]))] + [b.schema[f"_e{i}"].dataType for i in range(k, len(wanted[1]))]
+        if not all(isinstance(t, numbers) for t in used) or len({isinstance(t, T.NumericType) or type(t) for t in used}) > 1:
+            return None
+        points, others = (b, a) if flip else (a, b)
+        pairs = [(F.col(f"_e{i}"), F.col(f"_e{i}")) for i in range(k)]
+        found = ordered.interval_join(points, others, pairs, F.col(f"_e{k}"), F.col(f"_e{k}"), F.col(f"_e{k + 1}"), closed)
+        found = found.select(F.col("_right").alias("_left"), F.col("_left").alias("_right")) if flip else found
+        return self._view(found), own, columns
+
+    def numbered(self, part: tuple[str, str]) -> str | None:
+        df = self._frame(part)
+        return None if df is None or "_number" in df.columns else self._view(ordered.numbered(df, "_number"))
+
+    def _large(self, df: DataFrame, keys: list[str]) -> bool:
+        """Whether a key has more rows than one task should sort."""
+        return bool(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > self.runner.bin_rows).take(1))
+
+    def running(self, part: tuple[str, str], keys: list[str], order: str, kind: str, of: str) -> tuple[str, str] | None:
+        side = self._with(part, [*keys, order, of])
+        if side is None:
+            return None
+        df, own = side
+        names = [f"_e{i}" for i in range(len(keys))]
+        if not self._large(df, names):
+            return None
+        name = f"_running{uuid.uuid4().hex[:8]}"
+        found = ordered.running(df, [F.col(n) for n in names], F.col(f"_e{len(keys)}"), {name: ordered.Running(kind, F.col(f"_e{len(keys) + 1}"))}, self.runner.bin_rows)
+        return self._view(found.select(*[f"`{c}`" for c in own], name)), name
+
+    def quantiles(self, part: tuple[str, str], keys: list[str], value: str, share: float) -> str | None:
+        df = self._frame(part, ", ".join([*(f"{k} as _k{i}" for i, k in enumerate(keys)), f"{value} as _x"]))
+        if df is None or not isinstance(df.schema["_x"].dataType, T.NumericType):
+            return None
+        names = [f"_k{i}" for i in range(len(keys))]
+        return self._view(ordered.quantiles(df, [F.col(n) for n in names], F.col("_x"), [share], self.runner.bin_rows)) if self._large(df, names) else None
+
+
 @dataclass
 class Runner:
     """Runs one statement at a time and holds its result until the next. Pages beyond the first keep it in the cache."""
@@ -77,6 +170,8 @@ class Runner:
     result: DataFrame | None = None
     running: bool = False
     tag: str = field(default_factory=lambda: f"sql-{uuid.uuid4().hex}")
+    #: Rows of a key that one task sorts at most; larger keys are cut by ranges of the order.
+    bin_rows: int = ordered.LIMIT
 
     def query(self, sql: str, **tables: DataFrame) -> DataFrame:
         """A statement that gives rows; tables stand in it as {name}. It means the same in any session: casts and divisions that fail give null."""
@@ -92,7 +187,7 @@ class Runner:
                 out = out.unionByName(self._query(branch, **tables), allowMissingColumns=True)
                 out = out if keep else out.distinct()
             return out
-        text = translate(self._with_files(sql), lambda q: self.spark.sql(q, **tables).columns)
+        text = translate(self._with_files(sql), lambda q: self.spark.sql(q, **tables).columns, Frames(self, tables))
         install(self.spark, text)
         if m := re.match(r"summarize\s+(.*)", bare(text), re.IGNORECASE | re.DOTALL):
             source = m[1].strip()
