@@ -49,11 +49,11 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
     _SQL[name] = oracle or plain
 
 
-def same_text(name: str, text: str) -> None:
-    """A query whose text both engines get, here by way of the rewrites of user SQL."""
+def same_text(name: str, text: str, **options) -> None:
+    """A query whose text both engines get, here by way of the rewrites of user SQL. options: of the runner."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Runner(spark).query(text, **{n: _t(spark, sf_dir, n) for n in NAMES if "{" + n + "}" in text})
+        return Runner(spark, **options).query(text, **{n: _t(spark, sf_dir, n) for n in NAMES if "{" + n + "}" in text})
 
     _QUERIES[name] = run
     _SQL[name] = text

@@ -21,6 +21,16 @@ SETUSER SHUTDOWN SOME STATISTICS SYSTEM_USER TABLE TABLESAMPLE TEXTSIZE THEN TO
 TRY_CONVERT TSEQUAL UNION UNIQUE UNPIVOT UPDATE UPDATETEXT USE USER VALUES VARYING VIEW WAITFOR WHEN WHERE WHILE WITH
 WITHIN WRITETEXT
 """.split())
+# Further words that ODBC reserves, as the same documentation lists them.
+ODBC_RESERVED = frozenset("""
+ABSOLUTE ACTION ADA ALLOCATE ARE ASSERTION AT AVG BIT BIT_LENGTH BOTH CASCADED CAST CATALOG CHAR CHAR_LENGTH CHARACTER CHARACTER_LENGTH
+COLLATION CONNECT CONNECTION CONSTRAINTS CORRESPONDING COUNT DATE DAY DEC DECIMAL DEFERRABLE DEFERRED DESCRIBE DESCRIPTOR DIAGNOSTICS
+DISCONNECT DOMAIN EXCEPTION EXTRACT FALSE FIRST FLOAT FORTRAN FOUND GET GLOBAL GO HOUR IMMEDIATE INCLUDE INDICATOR INITIALLY INPUT
+INSENSITIVE INT INTEGER INTERVAL ISOLATION LANGUAGE LAST LEADING LEVEL LOCAL LOWER MATCH MAX MIN MINUTE MODULE MONTH NAMES NATURAL NCHAR
+NEXT NO NONE NUMERIC OCTET_LENGTH ONLY OUTPUT OVERLAPS PAD PARTIAL PASCAL POSITION PREPARE PRESERVE PRIOR PRIVILEGES REAL RELATIVE ROWS
+SCROLL SECOND SECTION SESSION SIZE SMALLINT SPACE SQL SQLCA SQLCODE SQLERROR SQLSTATE SQLWARNING SUBSTRING SUM TEMPORARY TIME TIMESTAMP
+TIMEZONE_HOUR TIMEZONE_MINUTE TRAILING TRANSLATE TRANSLATION TRIM TRUE UNKNOWN UPPER USAGE USING VALUE VARCHAR WHENEVER WORK WRITE YEAR ZONE
+""".split())
 # Keywords that a query engine of the DuckDB or Spark family reads as syntax.
 SQL_RESERVED = frozenset("ALL AND ANY ARRAY AS ASC BOTH CASE CAST CHECK COLLATE COLUMN CONSTRAINT CREATE DEFAULT DESC DISTINCT DO ELSE END EXCEPT FALSE FETCH FOR FOREIGN FROM GRANT GROUP HAVING IN INTERSECT INTO LATERAL LEADING LIMIT NOT NULL OFFSET ON ONLY OR ORDER PRIMARY QUALIFY REFERENCES SELECT SOME SUMMARIZE TABLE THEN TO TRAILING TRUE UNION UNIQUE USING VARIADIC WHEN WHERE WINDOW WITH".split())
 
@@ -102,7 +112,7 @@ class SqlServer(Dialect):
     ints = ("tinyint", "smallint", "int", "bigint")
     names = {"boolean": "bit", "date": "date", "time": "time", "uuid": "uniqueidentifier", "fallback": "decimal(38, 10)", "unknown": "nvarchar(max)"}
     quotes = ("[", "]")
-    reserved = TSQL_RESERVED
+    reserved = TSQL_RESERVED | ODBC_RESERVED
     any_boolean = False
 
     def stamp(self, s: Stamps) -> str:

@@ -142,24 +142,26 @@ class Frames:
         """Whether a key has more rows than one task should sort."""
         return bool(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > self.runner.bin_rows).take(1))
 
-    def running(self, part: tuple[str, str], keys: list[str], order: str, kind: str, of: str) -> tuple[str, str] | None:
-        side = self._with(part, [*keys, order, of])
+    def running(self, part: tuple[str, str], keys: list[str], order: str, wanted: list[tuple[str, str]]) -> tuple[str, list[str]] | None:
+        """wanted: kinds of running values and what they are of."""
+        side = self._with(part, [*keys, order, *(of for _, of in wanted)])
         if side is None:
             return None
         df, own = side
-        names = [f"_e{i}" for i in range(len(keys))]
-        if not self._large(df, names):
+        k = len(keys)
+        if not self._large(df, [f"_e{i}" for i in range(k)]):
             return None
-        name = f"_running{uuid.uuid4().hex[:8]}"
-        found = ordered.running(df, [F.col(n) for n in names], F.col(f"_e{len(keys)}"), {name: ordered.Running(kind, F.col(f"_e{len(keys) + 1}"))}, self.runner.bin_rows)
-        return self._view(found.select(*[f"`{c}`" for c in own], name)), name
+        names = [f"_running{uuid.uuid4().hex[:8]}" for _ in wanted]
+        values = {n: ordered.Running(kind, F.col(f"_e{k + 1 + i}")) for i, (n, (kind, _)) in enumerate(zip(names, wanted, strict=True))}
+        found = ordered.running(df, [F.col(f"_e{i}") for i in range(k)], F.col(f"_e{k}"), values, self.runner.bin_rows)
+        return self._view(found.select(*[f"`{c}`" for c in own], *names)), names
 
-    def quantiles(self, part: tuple[str, str], keys: list[str], value: str, share: float) -> str | None:
+    def quantiles(self, part: tuple[str, str], keys: list[str], value: str, shares: list[float]) -> str | None:
         df = self._frame(part, ", ".join([*(f"{k} as _k{i}" for i, k in enumerate(keys)), f"{value} as _x"]))
         if df is None or not isinstance(df.schema["_x"].dataType, T.NumericType):
             return None
         names = [f"_k{i}" for i in range(len(keys))]
-        return self._view(ordered.quantiles(df, [F.col(n) for n in names], F.col("_x"), [share], self.runner.bin_rows)) if self._large(df, names) else None
+        return self._view(ordered.quantiles(df, [F.col(n) for n in names], F.col("_x"), shares, self.runner.bin_rows)) if self._large(df, names) else None
 
 
 @dataclass

@@ -116,13 +116,13 @@ def _kinds(recs: DataFrame, width: int, q: Quoting, strict: bool) -> DataFrame:
 
 
 def _loaded(spark: SparkSession, p: Stored, o: Options, taken: list[str], body: DataFrame, names: list[str], q: Quoting, layout: sniff.Layout, guess: sniff.Encoding, encoding: str, first_row: int) -> Load:
-    width, loose = len(names), False
-    each = _kinds(records(body, q), width, q, o.strict_mode)
+    width, loose, held = len(names), False, []
+    each = _kinds(records(body, q, held), width, q, o.strict_mode)
     facts = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.count("_kind").alias("bad"), F.count_if(F.col("_kind") == "UNQUOTED VALUE").alias("open"), F.count_if(F.col("_kind").isNull() & (F.col("_n") < width)).alias("short"), F.coalesce(F.sum("_lines"), F.lit(0)).alias("lines")).first()
     seen = facts(each)
     if seen["open"]:
         bare = Quoting(q.delimiter, "")
-        plain = _kinds(records(body, bare), width, bare, o.strict_mode)
+        plain = _kinds(records(body, bare, held), width, bare, o.strict_mode)
         other = facts(plain)
         gain = (other["n"] - other["bad"]) - (seen["n"] - seen["bad"])
         if gain > max(MORE_ROWS, (other["n"] - other["bad"]) * MORE_SHARE) and not _mostly_quoted(plain, width, bare, q.quote):
@@ -154,6 +154,9 @@ def _loaded(spark: SparkSession, p: Stored, o: Options, taken: list[str], body:
         if o.materialize:
             rejected = rejected.persist()
             rejected.count()
+    if o.materialize:  # what comes out has been read; a table that is not kept still reads them
+        for spans in held:
+            spans.unpersist()
     said = {"encoding": encoding, "delimiter": q.delimiter, "first_row": first_row, "footer": footer, "rejects": seen["bad"], "quotes_as_data": loose, "padded": seen["short"] > 0, "row_count": max(0, total - footer), "layout": layout.why, "encoding_why": guess.why}
     return Load(o.name or table_name(PurePosixPath(p.path.rstrip("/")).stem, taken), df, rejected, "csv", said)
 

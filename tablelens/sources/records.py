@@ -176,14 +176,19 @@ def _dense(df: DataFrame, by: str, name: str) -> DataFrame:
     return marked.withColumn("_place", place).join(F.broadcast(offsets), "_blk").withColumn(name, (F.col("_off") + F.col("_place")).cast("long")).drop("_blk", "_off", "_place")
 
 
-def records(body: DataFrame, q: Quoting) -> DataFrame:
-    """(_line where it begins, _lines it takes, _text, _wrong, _bad): records of lines, blank ones left out. _bad: quotes that do not fit."""
+def records(body: DataFrame, q: Quoting, held: list[DataFrame] | None = None) -> DataFrame:
+    """(_line where it begins, _lines it takes, _text, _wrong, _bad): records of lines, blank ones left out. _bad: quotes that do not fit.
+
+    held gets what is kept in the cache for them, to be released when they have been read.
+    """
     raw = F.col("_raw")
     tidy = lambda c: F.when(F.endswith(c, F.lit("\r")), F.left(c, F.length(c) - 1)).otherwise(c)
     alone = lambda df: df.select("_line", F.lit(1).cast("long").alias("_lines"), tidy(raw).alias("_text"), "_wrong", (F.lit(False) if not q.quote else F.contains(raw, F.lit(q.quote)) & ~q.whole(raw)).alias("_bad")).filter(F.col("_text") != "")
     if not q.quote or body.filter(F.contains(raw, F.lit(q.quote)) & q.opens(raw)).isEmpty():
         return alone(body)
-    spans = joined_lines(body, q)
+    spans = joined_lines(body, q).persist()
+    if held is not None:
+        held.append(spans)
     last = body.agg(F.max("_line")).first()[0]
     closed = spans.filter("_end is not null")
     within = closed.select("_begin", (F.col("_end") - F.col("_begin") + 1).alias("_lines"), F.col("_bad").alias("_span_bad"), F.explode(F.sequence("_begin", "_end")).alias("_in"))

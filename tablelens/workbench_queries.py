@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .catalog_queries import _as_texts, _t, query, same_text, sql_query
 from .functions import casts, textops
-from .operators import ddl, derive, export, infer, naming, profile
+from .operators import ddl, derive, dialects, export, infer, naming, profile
 from .operators.profile import ROW
 from .plans.dialect import date_pattern
 from .plans.workspace import Workspace
@@ -173,6 +173,28 @@ def parquet_siblings(spark, sf_dir):
     return _rows(spark, [(Path(p).name,) for p in parquet.siblings(str(folder / "a.parquet"))["paths"]], "name string")
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS _src_row_num, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 5 = 0 THEN '\"' || c_name ELSE c_name END AS name FROM customer")
+def text_quotes_as_data(spark, sf_dir):
+    """A quote that opens and never closes, in every fifth row: kept as data, as else most of the file would be one value."""
+    path = f"file://{_folder()}/quotes"
+    c = _t(spark, sf_dir, "customer").orderBy("c_custkey").coalesce(1)
+    c.select(F.concat_ws("|", "c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit('"'), "c_name")).otherwise(F.col("c_name")))).write.text(path)
+    got = delimited.load(spark, path, {"first_row": 0, "delimiter": "|"})
+    assert got.facts["quotes_as_data"]
+    return got.df.toDF(ROW, "id", "name")
+
+
+@query("SELECT 'utf-8' AS encoding, CAST(count(*) - 1 AS BIGINT) AS kept, CAST(1 AS BIGINT) AS rejected FROM nation")
+def sniff_bad_bytes(spark, sf_dir):
+    """One wrong byte among many good characters leaves a file UTF-8, and its record a reject."""
+    path = f"file://{_folder()}/bytes"
+    good = F.concat_ws(",", "n_nationkey", F.concat("n_name", F.lit(" éü")))
+    line = F.when(F.col("n_nationkey") == 7, F.encode(good, "ISO-8859-1").cast("string")).otherwise(good)
+    _t(spark, sf_dir, "nation").select(line).write.text(path)
+    got = delimited.load(spark, path, {"first_row": 0, "delimiter": ","})
+    return _rows(spark, [(got.facts["encoding"], got.df.count(), got.rejects.count())], "encoding string, kept bigint, rejected bigint")
+
+
 # exports
 
 
@@ -201,14 +223,14 @@ def export_excel_supplier(spark, sf_dir):
     return got.df.select(F.col("s_suppkey").cast("bigint"), "s_name", F.col("s_nationkey").cast("int"), F.col("s_acctbal").cast("double"))
 
 
-@query("SELECT 'Nations' AS sheet, CAST(count(*) AS BIGINT) AS n, 1 AS first_col FROM nation")
+@query("SELECT 'Nations' AS sheet, CAST(count(*) AS BIGINT) AS n, CAST(1 AS BIGINT) AS header_row, 'A' AS start_col, 'C' AS end_col FROM nation")
 def excel_workbook_probe(spark, sf_dir):
     path = str(_folder() / "w.xlsx")
     export.export(_t(spark, sf_dir, "nation"), path, "excel", sheet="Nations")
     w = Workspace(spark)
     (name,) = w.load_workbook(path, [{"sheet": "Nations"}])
-    (sheet,) = excel.Workbook(path).sheets
-    return w.tables[name].agg(F.lit(sheet).alias("sheet"), F.count(F.lit(1)).alias("n"), F.lit(1).alias("first_col"))
+    (sheet,) = excel.inspect(path)
+    return w.tables[name].agg(F.lit(sheet["sheet"]).alias("sheet"), F.count(F.lit(1)).alias("n"), F.lit(sheet["header_row"]).cast("long").alias("header_row"), F.lit(sheet["start_col"]).alias("start_col"), F.lit(sheet["end_col"]).alias("end_col"))
 
 
 @query("SELECT string_agg(line, chr(10) ORDER BY k) AS text FROM (SELECT -1 AS k, 'r_regionkey' || chr(9) || 'r_name' AS line UNION ALL SELECT r_regionkey, r_regionkey || chr(9) || r_name || ' x' FROM region)")
@@ -265,6 +287,21 @@ def names_snake_case(spark, sf_dir):
     return _rows(spark, [(n, naming.snake_case(n)) for n in ("claim.id", "PatientID", "HTTPServer", "a-b c", "...")], "name string, snake string")
 
 
+@query("SELECT DISTINCT p_type AS name, lower(replace(p_type, ' ', '_')) AS snake FROM part UNION SELECT DISTINCT c_mktsegment, lower(c_mktsegment) FROM customer")
+def names_of_values(spark, sf_dir):
+    """Types of parts and segments of customers as column names."""
+    values = _t(spark, sf_dir, "part").select("p_type").union(_t(spark, sf_dir, "customer").select("c_mktsegment")).distinct()
+    return _rows(spark, [(r[0], naming.snake_case(r[0])) for r in values.collect()], "name string, snake string")
+
+
+@query("SELECT c.name AS source, c.quoted, CASE WHEN max(n_nationkey) <= 255 THEN 'tinyint' ELSE 'int' END AS sql_type FROM nation, (VALUES ('date', '[date]'), ('value', '[value]'), ('order', '[order]'), ('amount', 'amount'), ('a]b', '[a]]b]')) c(name, quoted) GROUP BY ALL")
+def ddl_reserved_names(spark, sf_dir):
+    names = ("date", "value", "order", "amount", "a]b")
+    df = _t(spark, sf_dir, "nation").select(*[F.col("n_nationkey").alias(n) for n in names])
+    kind = dialects.dialect("sqlserver")
+    return _rows(spark, [(c.source, kind.quote(c.source), c.sql_type) for c in ddl.column_types(df, "sqlserver")], "source string, quoted string, sql_type string")
+
+
 # types
 
 
@@ -320,12 +357,11 @@ def infer_coverage(spark, sf_dir):
 # profiles
 
 
-@query("SELECT count(*) FILTER (c_custkey % 3 = 0) AS unicode_edge_count, count(*) FILTER (c_custkey % 3 <> 2) AS edge_space_count FROM customer")
+@query("WITH t AS (SELECT c_custkey % 3 AS k, CASE c_custkey % 3 WHEN 0 THEN chr(12288) || c_name WHEN 1 THEN c_name || ' ' ELSE c_name END AS v FROM customer) SELECT count(*) FILTER (k = 0) AS unicode_edge_count, count(*) FILTER (v <> trim(v)) AS edge_space_count FROM t")
 def profile_unicode_edges(spark, sf_dir):
     third = F.col("c_custkey") % 3
     padded = F.when(third == 0, F.concat(F.lit("　"), "c_name")).when(third == 1, F.concat("c_name", F.lit(" "))).otherwise(F.col("c_name"))
-    df = _t(spark, sf_dir, "customer").select(padded.alias("v"))
-    return profile.facts(df, "v").select("unicode_edge_count", (F.col("edge_space_count") + F.when(F.lit(profile.facts(df.filter(F.startswith("v", F.lit("　"))), "v").first()["edge_space_count"] == 0), F.col("unicode_edge_count")).otherwise(F.lit(0))).alias("edge_space_count"))
+    return profile.facts(_t(spark, sf_dir, "customer").select(padded.alias("v")), "v").select("unicode_edge_count", "edge_space_count")
 
 
 @query("WITH q AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.75) AS b FROM documents) SELECT doc_id, n_chars FROM documents, q WHERE n_chars < a - 1.5 * (b - a) OR n_chars > b + 1.5 * (b - a)")
@@ -447,8 +483,7 @@ def jdbc_roundtrip_supplier(spark, sf_dir):
 def jdbc_query_with_cap(spark, sf_dir):
     address = _database()
     jdbc.write(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), address, "CUSTOMER", **DERBY)
-    found = jdbc.read(spark, address, query='select "id", "name" from CUSTOMER order by "id" fetch first 150 rows only', cap=None, **DERBY)
-    return found.orderBy("id").limit(100)
+    return jdbc.read(spark, address, query='select "id", "name" from CUSTOMER order by "id"', cap=100, **DERBY)
 
 
 @query("SELECT 'NATION' AS name, 2 * count(*) AS n, 3 AS columns FROM nation UNION ALL SELECT 'REGION', count(*), 2 FROM region")
@@ -476,3 +511,14 @@ same_text("surface_positional", "SELECT a.k, b.m FROM (SELECT 1 AS k UNION ALL S
 same_text("surface_groups", "SELECT event_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts) GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM {events}")
 same_text("surface_union_by_name", "SELECT n_name AS name, n_regionkey AS region FROM {nation} UNION ALL BY NAME SELECT r_regionkey AS region, r_name AS name FROM {region}")
 same_text("surface_casts", "SELECT o_orderkey::VARCHAR AS a, CAST(o_totalprice AS DECIMAL(12, 1)) AS b, try_cast(o_orderpriority AS INT) AS c, o_orderdate::DATE AS d FROM {orders}")
+
+# what user SQL asks of operators that follow an order: keys of more than so many rows are cut
+same_text("surface_asof_without_key", "SELECT e.event_id, p.value AS last_value FROM {events} e ASOF LEFT JOIN (SELECT ts, max(value) AS value FROM {events} WHERE event_type = 'purchase' GROUP BY ts) p ON e.ts >= p.ts", bin_rows=1000)
+same_text("surface_asof_next", "SELECT e.event_id, e.user_id, p.ts AS next_ts FROM {events} e ASOF JOIN (SELECT DISTINCT user_id, ts FROM {events} WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND e.ts < p.ts")
+same_text("surface_positional_tables", "SELECT a.n_nationkey, a.n_name, b.s_suppkey, b.s_name FROM {nation} a POSITIONAL JOIN {supplier} b")
+same_text("surface_row_numbers", "SELECT c_custkey, row_number() OVER () AS place FROM {customer} WHERE c_custkey % 3 = 1")
+same_text("surface_group_quantiles", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(median(o_totalprice), 4) AS mid, round(quantile_cont(o_totalprice, 0.9), 4) AS q9, count(*) AS n FROM {orders} GROUP BY o_orderstatus", bin_rows=500)
+same_text("surface_running", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS n, sum(o_custkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS s, lag(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS p FROM {orders}", bin_rows=1000)
+same_text("surface_ranks", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS r, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS d FROM {orders}", bin_rows=500)
+same_text("surface_interval_join", "SELECT e.event_id, s.user_id, s.low FROM {events} e JOIN (SELECT user_id, date_trunc('day', ts) AS day, min(ts) AS low, max(ts) AS high FROM {events} GROUP BY user_id, date_trunc('day', ts)) s ON e.user_id = s.user_id AND e.ts BETWEEN s.low AND s.high")
+same_text("surface_range_join", "SELECT o.o_orderkey, b.part FROM {orders} o JOIN (SELECT p_size AS part, min(p_retailprice) * 100 AS low, max(p_retailprice) * 100 AS high FROM {part} GROUP BY p_size) b ON o.o_totalprice >= b.low AND o.o_totalprice < b.high")
