@@ -1,4 +1,4 @@
-"""CREATE, DROP, ALTER ... RENAME, INSERT, UPDATE and DELETE on the tables of a workspace, as new DataFrames.
+"""CREATE, DROP, ALTER ... RENAME, INSERT, UPDATE and DELETE on the tables of a workspace, each change a version (see versions).
 
 A row is updated or deleted if the condition is true; null leaves it alone. Rows inserted take the table's types; columns not named become null.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dialect import SKIP, arguments, install, translate
+from .versions import Versioned
 
 _ID = r'(?P<name>"[^"]+"|`[^`]+`|\w+)'
 _FORMS = {
@@ -76,10 +77,12 @@ def _assignments(text: str) -> dict[str, str]:
     return {_unquoted(full(c)).lower(): full(e) for c, e in (a.split("=", 1) for a in arguments(masked + ")", 0)[0])}
 
 
-def changed(df: DataFrame, change: Change, query: Callable[[str], DataFrame]) -> DataFrame:
-    """The table after an INSERT, UPDATE or DELETE."""
+def changed(table: Versioned, change: Change, query: Callable[[str], DataFrame]) -> DataFrame:
+    """The table after an INSERT, UPDATE or DELETE, as a version of its own."""
+    df = table.at()
     if change.verb == "delete":
-        return df.filter(~_condition(df, change.query)) if change.query else df.limit(0)
+        hit = _condition(df, change.query) if change.query else F.lit(True)
+        return table.change(hit, lambda rows: rows.filter(~hit))
     if change.verb == "update":
         text, where = _split_where(change.query)
         hit, new = _condition(df, where), _assignments(text)
@@ -88,10 +91,11 @@ def changed(df: DataFrame, change: Change, query: Callable[[str], DataFrame]) ->
             raise ValueError(f"unknown columns: {', '.join(sorted(unknown))}")
         for e in new.values():
             install(df.sparkSession, translate(e))
-        return df.select(*[F.when(hit, F.expr(translate(new[f.name.lower()])).cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name.lower() in new else F.col(f"`{f.name}`") for f in df.schema.fields])
+        values = [F.when(hit, F.expr(translate(new[f.name.lower()])).cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name.lower() in new else F.col(f"`{f.name}`") for f in df.schema.fields]
+        return table.change(hit, lambda rows: rows.select(*values))
     rows = query(change.query)
     names = [c.lower() for c in change.columns or df.columns]
     if len(names) != len(rows.columns):
         raise ValueError(f"{len(rows.columns)} values for {len(names)} columns")
     rows = rows.toDF(*names)
-    return df.unionByName(rows.select(*[(F.col(f"`{f.name.lower()}`") if f.name.lower() in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]))
+    return table.insert(rows.select(*[(F.col(f"`{f.name.lower()}`") if f.name.lower() in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields]))

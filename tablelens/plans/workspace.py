@@ -15,6 +15,7 @@ from ..sources import delimited, excel, parquet
 from ..sources.options import Load, Options, cleaned
 from . import dml
 from .sqlrun import Runner, json_safe, without_nulls_type
+from .versions import Versioned
 
 
 class Workspace:
@@ -23,6 +24,7 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark, self.tables, self.runner = spark, {}, Runner(spark)
         self.rejects: dict[str, DataFrame] = {}
+        self.versions: dict[str, Versioned] = {}
 
     def register(self, name: str, df: DataFrame, persist: bool = False) -> str:
         df = without_nulls_type(df)
@@ -82,6 +84,8 @@ class Workspace:
     def rename(self, old: str, new: str) -> bool:
         if old not in self.tables or new in self.tables:
             return False
+        if old in self.versions:
+            self.versions[new] = self.versions.pop(old)
         self.register(new, self.tables.pop(old))
         self.spark.catalog.dropTempView(old)
         return True
@@ -90,6 +94,8 @@ class Workspace:
         if name not in self.tables:
             return False
         self.tables.pop(name).unpersist()
+        if name in self.versions:
+            self.versions.pop(name).drop()
         if name in self.rejects:
             self.rejects.pop(name).unpersist()
         self.spark.catalog.dropTempView(name)
@@ -107,7 +113,7 @@ class Workspace:
         return self.runner.run(sql, change=self._change)
 
     def _change(self, sql: str) -> bool:
-        """Tables are immutable DataFrames, so a change registers a new one under the name. False if the statement is none of these."""
+        """A change of a table registers its new version under the name. False if the statement is none of these."""
         change = dml.parse(sql)
         if change is None:
             return False
@@ -116,7 +122,9 @@ class Workspace:
                 if change.lenient:
                     return True
                 raise ValueError(f"{change.name} exists")
-            self.register(change.name, self.runner.query(change.query), persist=change.table)
+            made = self.runner.query(change.query)
+            self.versions.pop(change.name, None)  # its files stay until the driver ends, as the new table may read them
+            self.register(change.name, made, persist=change.table)
         elif change.verb == "drop":
             if not self.drop(change.name) and not change.lenient:
                 raise ValueError(f"{change.name} is unknown")
@@ -127,9 +135,16 @@ class Workspace:
                 raise ValueError(f"{change.query} exists")
         else:
             with semantics(self.spark):
-                self.register(change.name, dml.changed(self.tables[change.name], change, self.runner.query))
+                held = self.versions.get(change.name)
+                if held is None:  # the first change writes the table
+                    held = self.versions[change.name] = Versioned.of(self.tables[change.name])
+                self.register(change.name, dml.changed(held, change, self.runner.query))
         return True
 
+    def version(self, name: str, number: int = -1) -> DataFrame:
+        """A changed table as of a version, from 0, before its first change, to the last."""
+        return self.versions[name].at(number) if name in self.versions else self.tables[name]
+
     def cancel_sql(self) -> int:
         return self.runner.cancel()
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .catalog_queries import _as_texts, _t, query, same_text, sql_query
 from .functions import casts, textops
-from .operators import ddl, derive, dialects, export, infer, naming, profile
+from .operators import ddl, derive, dialects, export, infer, naming, profile, sketches
 from .operators.profile import ROW
 from .plans.dialect import date_pattern
 from .plans.workspace import Workspace
@@ -522,3 +522,30 @@ same_text("surface_running", "SELECT o_orderkey, row_number() OVER (PARTITION BY
 same_text("surface_ranks", "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS r, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) AS d FROM {orders}", bin_rows=500)
 same_text("surface_interval_join", "SELECT e.event_id, s.user_id, s.low FROM {events} e JOIN (SELECT user_id, date_trunc('day', ts) AS day, min(ts) AS low, max(ts) AS high FROM {events} GROUP BY user_id, date_trunc('day', ts)) s ON e.user_id = s.user_id AND e.ts BETWEEN s.low AND s.high")
 same_text("surface_range_join", "SELECT o.o_orderkey, b.part FROM {orders} o JOIN (SELECT p_size AS part, min(p_retailprice) * 100 AS low, max(p_retailprice) * 100 AS high FROM {part} GROUP BY p_size) b ON o.o_totalprice >= b.low AND o.o_totalprice < b.high")
+
+same_text("surface_approximate", "SELECT event_type, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.3 * count(DISTINCT user_id) AS near, count(*) AS n FROM {events} GROUP BY event_type")
+
+
+@query("SELECT c.name, CAST(count(*) AS BIGINT) AS n, CAST(CASE c.name WHEN 'value' THEN count(value) ELSE count(*) END AS BIGINT) AS filled, true AS distinct_near, true AS middle_near FROM events, (VALUES ('event_id'), ('user_id'), ('value')) c(name) GROUP BY c.name")
+def sketches_over_loads(spark, sf_dir):
+    """Events in three loads, each sketched and stored by itself; the merged sketches against all rows."""
+    events, path = _t(spark, sf_dir, "events"), f"file://{_folder()}/states"
+    names = ["event_id", "user_id", "value"]
+    for k in range(3):
+        sketches.save(sketches.sketch(events.filter(F.col("event_id") % 3 == k), names), path)
+    told = {r["name"]: r for r in sketches.estimates(sketches.stored(spark, path)).collect()}
+    exact = events.agg(*[F.count_distinct(c).alias(c) for c in names], *[(F.count_if(F.col(c) <= told[c]["quantiles"][1]) / F.count(c)).alias(f"{c}|mid") for c in names], *[(F.count_if(F.col(c) < told[c]["quantiles"][1]) / F.count(c)).alias(f"{c}|below") for c in names]).first()
+    near = lambda c: abs(told[c]["distinct_count"] - exact[c]) <= 0.06 * exact[c] + 1
+    mid = lambda c: exact[f"{c}|below"] - 0.03 <= 0.5 <= exact[f"{c}|mid"] + 0.03
+    return _rows(spark, [(c, told[c]["rows"], told[c]["filled"], near(c), mid(c)) for c in names], "name string, n bigint, filled bigint, distinct_near boolean, middle_near boolean")
+
+
+@query("SELECT 0 AS version, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_custkey) AS BIGINT) AS s FROM orders UNION ALL SELECT 1, count(*), CAST(sum(CASE WHEN o_orderkey % 1000 = 0 THEN 0 ELSE o_custkey END) AS BIGINT) FROM orders UNION ALL SELECT 2, count(*) FILTER (o_orderstatus <> 'P'), CAST(sum(CASE WHEN o_orderkey % 1000 = 0 THEN 0 ELSE o_custkey END) FILTER (o_orderstatus <> 'P') AS BIGINT) FROM orders")
+def workspace_versions(spark, sf_dir):
+    """Each change of a table is a version, and earlier ones stay readable."""
+    w = _space(spark, sf_dir, "orders")
+    for sql in ("update orders set o_custkey = 0 where o_orderkey % 1000 = 0", "delete from orders where o_orderstatus = 'P'"):
+        got = w.run_sql(sql)
+        assert got["ok"], got
+    each = [w.version("orders", k).agg(F.lit(k).alias("version"), F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("s")) for k in range(3)]
+    return each[0].union(each[1]).union(each[2])
