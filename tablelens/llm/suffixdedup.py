@@ -41,6 +41,8 @@ GRAM = 20
 BLOCK = 50_000
 #: Classes of an anchor that are sorted in one task, and bytes that are sorted at once unless one chunk has more.
 CHUNK, SORTED = 1 << 14, 1 << 18
+#: Units whose bytes are cut out at once.
+UNITS = 50_000
 #: Parts of a unit's place: 14 bits of its row's hash; its start, 31 bits; how many windows it has and where its anchor is, 8 bits each. Above
 #: them is, until units are judged, what the row is.
 ROW_BITS, FLAG_AT = 14, 61
@@ -69,7 +71,7 @@ class Hashes:
     """Polynomial hashes of all substrings of some bytes, from the hashes of its prefixes."""
 
     def __init__(self, data: np.ndarray, base: int = _BASE):
-        room = 1 << max(20, len(data).bit_length())
+        room = 1 << max(20, (len(data) - 1).bit_length())
         self.up, self.down = _powers(base, room)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=self.sums[1:])
@@ -307,44 +309,55 @@ def _settle(n: int):
     return run
 
 
+def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Bytes one after another as binary values of these sizes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
 def _cut_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the units of each text."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            text, asked = batch["_text"][i].as_buffer(), batch["_asked"].slice(i, 1).flatten()
-            start, size = (np.asarray(asked.field(c), dtype=np.int64) for c in ("start", "size"))
-            view = memoryview(text)
-            cut = [view[s : s + k].tobytes() for s, k in zip(start.tolist(), size.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(asked.field(c) for c in ("id", "key", "unit", "anchor", "chunk", "chunks")), pa.array(cut, pa.binary())], names=["_id", "_key", "_unit", "_anchor", "_chunk", "_chunks", "_bytes"])
+        data, offsets = _bytes(batch["_text"])
+        lists, asked = batch["_asked"], batch["_asked"].flatten()
+        owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
+        start, size = (np.asarray(asked.field(c), dtype=np.int64) for c in ("start", "size"))
+        start = start + offsets[owner]
+        for at in range(0, len(asked), UNITS):
+            part = asked.slice(at, UNITS)
+            s, k = start[at : at + UNITS], size[at : at + UNITS]
+            spots = np.arange(k.sum()) + np.repeat(s - np.cumsum(k) + k, k)
+            yield pa.RecordBatch.from_arrays([*(part.field(c) for c in ("id", "key", "unit", "anchor", "chunk", "chunks")), _binaries(data[spots], k)], names=["_id", "_key", "_unit", "_anchor", "_chunk", "_chunks", "_bytes"])
 
 
 def _apply(n: int):
-    """Cuts the judged windows out of each text: (id, n_bytes, spans, kept)."""
+    """Cuts the judged windows out of each text: (id, n_bytes, starts and ends of what goes, kept). Texts are worked on together, in pieces of bounded bytes."""
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {"n_bytes": [], "start": [], "end": [], "kept": []}
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch["_text"][i].as_buffer(), np.uint8)
-                start, end = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                if batch["_gone"][i].is_valid:
-                    gone = batch["_gone"].slice(i, 1).flatten()
-                    at, unit, low, high = (np.asarray(gone.field(c), dtype=np.int64) for c in ("at", "unit", "low", "high"))
-                    s, size = at >> 16 & 0x7FFFFFFF, (at >> 8 & 0xFF) + n - 1
-                    fits = s + size <= len(data)
-                    s, size, unit, low, high = s[fits], size[fits], unit[fits], low[fits], high[fits]
-                    same = (Hashes(data, _OTHER).of(s, s + size) ^ size.astype(np.uint64)).view(np.int64) == unit
-                    steps = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(steps, (s + low)[same], 1)
-                    np.add.at(steps, (s + high + n)[same], -1)
-                    covered = np.diff(np.concatenate([[False], np.cumsum(steps[:-1]) > 0, [False]]).astype(np.int8))
-                    start, end = np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
-                edges = [0, *np.stack([start, end], 1).reshape(-1).tolist(), len(data)]
-                out["kept"].append(b"".join(data[a:b].tobytes() for a, b in zip(edges[::2], edges[1::2], strict=True)))
-                out["n_bytes"].append(len(data))
-                out["start"].append(start.tolist())
-                out["end"].append(end.tolist())
-            yield pa.RecordBatch.from_arrays([batch["_id"], pa.array(out["n_bytes"], pa.int64()), pa.array(out["start"], pa.list_(pa.int64())), pa.array(out["end"], pa.list_(pa.int64())), pa.array(out["kept"], pa.binary())], names=["_id", "n_bytes", "_start", "_end", "kept"])
+            for piece, texts in slices(batch, "_text"):
+                data, offsets = _bytes(texts)
+                lists, gone = piece["_gone"], piece["_gone"].flatten()
+                owner = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths().fill_null(0)))
+                at, unit, low, high = (np.asarray(gone.field(c), dtype=np.int64) for c in ("at", "unit", "low", "high"))
+                s, size = (at >> 16 & 0x7FFFFFFF) + offsets[owner], (at >> 8 & 0xFF) + n - 1
+                fits = s + size <= offsets[owner + 1]
+                s, size, unit, low, high = s[fits], size[fits], unit[fits], low[fits], high[fits]
+                same = (Hashes(data, _OTHER).of(s, s + size) ^ size.astype(np.uint64)).view(np.int64) == unit if len(s) else np.zeros(0, bool)
+                steps = np.bincount((s + low)[same], minlength=len(data) + 1) - np.bincount((s + high + n)[same], minlength=len(data) + 1)
+                covered = np.cumsum(steps[:-1]) > 0
+                first, last = covered.copy(), covered.copy()
+                first[1:] &= ~covered[:-1]
+                last[:-1] &= ~covered[1:]
+                full = np.flatnonzero(np.diff(offsets))  # runs do not go over from a text to the next
+                first[offsets[full]] = covered[offsets[full]]
+                last[offsets[full + 1] - 1] = covered[offsets[full + 1] - 1]
+                start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+                of = np.searchsorted(offsets, start, side="right") - 1
+                upto = np.concatenate([[0], np.cumsum(covered)])[offsets]
+                runs = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)
+                spots = (pa.ListArray.from_arrays(pa.array(runs), pa.array(x - offsets[of])) for x in (start, end))
+                yield pa.RecordBatch.from_arrays([piece["_id"], pa.array(np.diff(offsets)), *spots, _binaries(data[~covered], np.diff(offsets) - np.diff(upto))], names=["_id", "n_bytes", "_start", "_end", "kept"])
 
     return run
 
