@@ -271,7 +271,7 @@ sql_query("sql_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_n
 sql_query("sql_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}")
 sql_query("sql_except", "SELECT o_custkey AS k FROM {orders} EXCEPT SELECT s_suppkey FROM {supplier}")
 sql_query("sql_topk", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 50")
-sql_query("sql_cte_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT CAST(n AS BIGINT) AS n FROM t")
+sql_query("sql_cte_recursive", "WITH RECURSIVE t(k, steps) AS (SELECT CAST(s_suppkey AS BIGINT), CAST(0 AS BIGINT) FROM {supplier} UNION ALL SELECT CASE WHEN k % 2 = 0 THEN CAST(FLOOR(k / 2) AS BIGINT) ELSE k - 1 END, steps + 1 FROM t WHERE k > 1) SELECT k, steps, count(*) AS n FROM t GROUP BY k, steps")
 sql_query("sql_pivot", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM {orders}) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o, nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY 1")
 sql_query("sql_strings", "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, substr(p_name, 2, 4) AS s, replace(p_name, 'a', 'A') AS r, CAST(instr(p_name, ' ') AS BIGINT) AS i, lpad(CAST(p_size AS STRING), 5, '0') AS pad, split_part(p_type, ' ', 1) AS w, concat(p_brand, '/', p_type) AS c FROM {part}", "SELECT p_partkey, upper(p_name) AS u, CAST(length(p_name) AS BIGINT) AS n, substr(p_name, 2, 4) AS s, replace(p_name, 'a', 'A') AS r, CAST(strpos(p_name, ' ') AS BIGINT) AS i, lpad(CAST(p_size AS VARCHAR), 5, '0') AS pad, split_part(p_type, ' ', 1) AS w, concat(p_brand, '/', p_type) AS c FROM part")
 sql_query("sql_dates", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP_NTZ) AS m, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(datediff(DATE '2002-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS d, date_format(o_orderdate, 'yyyy/MM/dd') AS f FROM {orders}", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, extract(year FROM o_orderdate) AS y, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS BIGINT) AS d, strftime(o_orderdate, '%Y/%m/%d') AS f FROM orders")
@@ -281,7 +281,7 @@ sql_query("sql_arrays", "SELECT vec_id, CAST(size(embedding) AS BIGINT) AS n, ro
 sql_query("sql_unnest", "SELECT vec_id, posexplode.pos + 1 AS i, round(CAST(posexplode.col AS DOUBLE), 4) AS v FROM {embeddings}, LATERAL posexplode(embedding) posexplode", "SELECT vec_id, generate_subscripts(embedding, 1) AS i, round(CAST(unnest(embedding) AS DOUBLE), 4) AS v FROM embeddings")
 sql_query("sql_conditional", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, coalesce(nullif(o_orderstatus, 'P'), '-') AS st FROM {orders}")
 sql_query("sql_struct", "SELECT n_nationkey, s.a AS a, s.b AS b FROM (SELECT n_nationkey, named_struct('a', n_name, 'b', n_regionkey) AS s FROM {nation})", "SELECT n_nationkey, s.a AS a, s.b AS b FROM (SELECT n_nationkey, {'a': n_name, 'b': n_regionkey} AS s FROM nation)")
-sql_query("sql_values_distinct", "SELECT DISTINCT a, b FROM VALUES (1, 'x'), (1, 'x'), (2, 'y') AS t(a, b)", "SELECT DISTINCT a, b FROM (VALUES (1, 'x'), (1, 'x'), (2, 'y')) AS t(a, b)")
+sql_query("sql_values_distinct", "SELECT DISTINCT n_regionkey, b FROM {nation} JOIN VALUES (0, 'x'), (0, 'x'), (2, 'y') AS t(a, b) ON n_regionkey = a", "SELECT DISTINCT n_regionkey, b FROM nation JOIN (VALUES (0, 'x'), (0, 'x'), (2, 'y')) AS t(a, b) ON n_regionkey = a")
 
 
 # user SQL in the workbench's own dialect

@@ -282,9 +282,12 @@ def ddl_special_types(spark, sf_dir):
     return _rows(spark, [(c.source, c.sql_type) for c in ddl.column_types(df, "sqlserver")], "kind string, sql_type string")
 
 
-@query("SELECT * FROM (VALUES ('claim.id', 'claim_id'), ('PatientID', 'patient_id'), ('HTTPServer', 'http_server'), ('a-b c', 'a_b_c'), ('...', 'col')) t(name, snake)")
+@query("SELECT n_name AS name, lower(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) || '_id' AS snake FROM nation UNION ALL SELECT 'claim.' || r_regionkey, 'claim_' || r_regionkey FROM region")
 def names_snake_case(spark, sf_dir):
-    return _rows(spark, [(n, naming.snake_case(n)) for n in ("claim.id", "PatientID", "HTTPServer", "a-b c", "...")], "name string, snake string")
+    """Names in upper case and with an Id behind, and names with points."""
+    names = [(r[0], f"{r[0].capitalize()}Id") for r in _t(spark, sf_dir, "nation").select(F.regexp_replace("n_name", " ", "")).collect()]
+    names += [(f"claim.{r[0]}", f"claim.{r[0]}") for r in _t(spark, sf_dir, "region").select("r_regionkey").collect()]
+    return _rows(spark, [(n, naming.snake_case(x)) for n, x in names], "name string, snake string")
 
 
 @query("SELECT DISTINCT p_type AS name, lower(replace(p_type, ' ', '_')) AS snake FROM part UNION SELECT DISTINCT c_mktsegment, lower(c_mktsegment) FROM customer")
@@ -447,11 +450,14 @@ def sql_untyped_null(spark, sf_dir):
     return _space(spark, sf_dir, "customer").runner.query("select c_custkey as a, null as b from customer")
 
 
-@query("SELECT kind, CASE kind WHEN 'rows' THEN true ELSE false END AS gives FROM (VALUES ('rows'), ('none')) t(kind)")
+@query("SELECT n_name AS name, n_regionkey <> 1 AS gives FROM nation")
 def sql_gives_rows(spark, sf_dir):
+    """Statements made of the nations' names: of region 1 they give no rows."""
     from .plans.sqlrun import gives_rows
 
-    return _rows(spark, [("rows", all(map(gives_rows, ("-- x\n(select 1)", "with a as (select 1) from a", "describe t")))), ("none", any(map(gives_rows, ("create table t as select 1", "/* select */ drop table t"))))], "kind string, gives boolean")
+    forms = ("-- {0}\n(select '{0}')", "create table t as select '{0}'", "with a as (select '{0}') from a", "/* create */ describe t", "values ('{0}')")
+    rows = _t(spark, sf_dir, "nation").select("n_name", "n_regionkey").collect()
+    return _rows(spark, [(r.n_name, gives_rows(forms[r.n_regionkey].format(r.n_name))) for r in rows], "name string, gives boolean")
 
 
 @query("SELECT CAST(max(n_nationkey) AS INT) AS top, count(*) AS n FROM nation UNION ALL SELECT CAST(max(r_regionkey) AS INT), count(*) FROM region")
@@ -507,7 +513,7 @@ same_text("surface_columns", "SELECT l_returnflag, min(COLUMNS('l_(quantity|tax)
 same_text("surface_replace", "SELECT * REPLACE (upper(n_name) AS n_name, n_regionkey + 1 AS n_regionkey) FROM {nation}")
 same_text("surface_columns_star", "SELECT COLUMNS(* EXCLUDE (n_name)) + 1 FROM {nation}")
 same_text("surface_asof", "SELECT e.event_id, p.value AS last_value FROM {events} e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM {events} WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts")
-same_text("surface_positional", "SELECT a.k, b.m FROM (SELECT 1 AS k UNION ALL SELECT 2) a POSITIONAL JOIN (SELECT 'x' AS m) b")
+same_text("surface_positional", "SELECT a.n_name, b.r_name FROM {nation} a POSITIONAL JOIN {region} b")
 same_text("surface_groups", "SELECT event_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts) GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s FROM {events}")
 same_text("surface_union_by_name", "SELECT n_name AS name, n_regionkey AS region FROM {nation} UNION ALL BY NAME SELECT r_regionkey AS region, r_name AS name FROM {region}")
 same_text("surface_casts", "SELECT o_orderkey::VARCHAR AS a, CAST(o_totalprice AS DECIMAL(12, 1)) AS b, try_cast(o_orderpriority AS INT) AS c, o_orderdate::DATE AS d FROM {orders}")
