@@ -13,7 +13,7 @@ from .functions import casts, textops
 from .operators import ddl, derive, infer, profile
 from .operators.profile import ROW
 from .plans import shims
-from .plans.sqlrun import Runner
+from .plans.sqlrun import Runner, statement
 from .sources import parquet, tokens
 from .streaming import windows
 
@@ -40,7 +40,7 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
     """A query in Spark SQL over the tables as views."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text, **{n: _t(spark, sf_dir, n) for n in NAMES if "{" + n + "}" in text})
+        return statement(spark, text, **{n: _t(spark, sf_dir, n) for n in NAMES if "{" + n + "}" in text})
 
     _QUERIES[name] = run
     plain = text

@@ -19,11 +19,13 @@ from pyspark.sql import types as T
 from ..operators import ordered
 from ..operators.derive import auto_derive
 from ..operators.profile import ROW, summarize
-from ..session import semantics
+from ..scratch import materialize, work_dir
+from ..session import recursion, semantics
 from ..sources import delimited, excel
 from .dialect import SKIP, File, by_name, files, install, translate
 
 WINDOW = 500
+RECURSIVE = re.compile(r"\bwith\s+recursive\b", re.IGNORECASE)
 RESULT_WORDS = ("SELECT", "WITH", "FROM", "VALUES", "TABLE", "DESCRIBE", "SUMMARIZE")
 
 
@@ -67,6 +69,15 @@ def without_nulls_type(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{f.name}`").cast(t).alias(f.name) for f, t in zip(df.schema.fields, new, strict=True)])
 
 
+def statement(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    """A statement in Spark's own words that gives rows. One that calls itself is run at once, as Spark holds it to a million rows else."""
+    found = without_nulls_type(spark.sql(text, **tables))
+    if not RECURSIVE.search(SKIP.sub(" ", text)):
+        return found
+    with recursion(spark):
+        return materialize(found, work_dir(spark))
+
+
 def json_safe(v):
     return v if v is None or isinstance(v, bool | int | float | str) else str(v)
 
@@ -194,7 +205,7 @@ class Runner:
         if m := re.match(r"summarize\s+(.*)", bare(text), re.IGNORECASE | re.DOTALL):
             source = m[1].strip()
             return summarize(self.spark.sql(source) if gives_rows(source) else self.spark.table(source))
-        return without_nulls_type(self.spark.sql(text, **tables))
+        return statement(self.spark, text, **tables)
 
     def _with_files(self, sql: str) -> str:
         """Files named in the statement become views. Columns of text files get types, as the dialect's reader gives them."""

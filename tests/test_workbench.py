@@ -541,3 +541,13 @@ def test_ends_of_blank_texts_only(spark):
     a = infer.analyze(df)["v"]
     assert a.format == "%m/%d/%Y" and infer.pick(a) == ("DATE", "%m/%d/%Y", False) and a.non_null == 336
     assert infer.pick(infer.analyze(frame(spark, "v", blanks))["v"]) == (None, None, False)
+
+
+def test_recursion_beyond_a_million_rows(spark):
+    """Spark stops a recursion at a million rows; one without an end is still told by its levels."""
+    from tablelens.plans.sqlrun import Runner, statement
+
+    text = "with recursive t(k, n) as (select id, 0 from range(400000) union all select k, n + 1 from t where n < 2) select n, count(*) as c from t group by n"
+    assert {(r.n, r.c) for r in statement(spark, text).collect()} == {(0, 400_000), (1, 400_000), (2, 400_000)}
+    got = Runner(spark).run("with recursive t(k) as (select 1 union all select k + 1 from t) select count(*) as n from t")
+    assert not got["ok"] and "RECURSION" in got["error"].upper()
