@@ -168,8 +168,8 @@ def _scale(df: DataFrame, name: str) -> Column:
     return F.unix_date(c).cast("double") if isinstance(df.schema[name].dataType, T.DateType) else c.cast("double")
 
 
-#: Lengths of intervals are told apart by powers of two within these; longer or endless ones are a level of one bin.
-FINEST, COARSEST = -20, 62
+#: Lengths of intervals are told apart by every STEP-th power of two within these; longer or endless ones are a level of one bin.
+FINEST, COARSEST, STEP = -20, 62, 2
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[tuple[Column, Column]], at: Column, low: Column, high: Column, closed: tuple[bool, bool] = (True, True)) -> DataFrame:
@@ -183,7 +183,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[tuple[
     i = intervals.select(*[y.alias(n) for (_, y), n in zip(keys, names, strict=True)], low.alias("_low"), high.alias("_high"), F.struct(*[F.col(f"`{c}`") for c in intervals.columns]).alias("_right")).dropna(subset=[*names, "_low", "_high"])
     i = i.filter(F.col("_low") <= F.col("_high"))
     length = _scale(i, "_high") - _scale(i, "_low")
-    level = F.when(F.isnan(length) | (length > 2.0**COARSEST), COARSEST + 1).otherwise(F.greatest(F.lit(FINEST), F.ceil(F.log2(F.greatest(length, F.lit(2.0**FINEST))))).cast("int"))
+    level = F.when(F.isnan(length) | (length > 2.0**COARSEST), COARSEST + 1).otherwise(F.greatest(F.lit(FINEST), F.ceil(F.log2(F.greatest(length, F.lit(2.0**FINEST))) / STEP) * STEP).cast("int"))
     i = i.withColumn("_level", level.cast("int"))
     place = lambda df, c, size: F.when(F.col("_level") > COARSEST, F.lit(0)).otherwise(F.floor(_scale(df, c) / size)).cast("long")
     size = F.pow(F.lit(2.0), F.col("_level"))
@@ -191,7 +191,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[tuple[
     i = i.withColumn("_bin", F.explode(F.sequence(place(i, "_low", size), place(i, "_high", size))))
     p = p.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
     p = p.withColumn("_bin", place(p, "_at", size))
-    met = p.join(i, [*names, "_level", "_bin"])
+    # rows that are dealt out many times look no larger to the planner than they were, so it must not broadcast them
+    met = p.join(i.hint("merge"), [*names, "_level", "_bin"])
     after = F.col("_at") >= F.col("_low") if closed[0] else F.col("_at") > F.col("_low")
     before = F.col("_at") <= F.col("_high") if closed[1] else F.col("_at") < F.col("_high")
     return met.filter(after & before).select("_left", "_right")
