@@ -21,6 +21,8 @@ from ..sources.rownum import in_file_order
 
 #: Rows of a key that are sorted in one task, bins of a key at most, and numbers of fixed width that are broadcast at most.
 LIMIT, MOST, FEW = 2_000_000, 4096, 1_000_000
+#: Bounds that a row has beside it at a time while its bin is looked up.
+BLOCK = 64
 
 
 def _alike(left: Sequence[str], right: Sequence[str]) -> Column:
@@ -38,6 +40,12 @@ def _measure(df: DataFrame, order: str) -> Column:
     return c if isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType) else c.cast("double")
 
 
+def _below(bounds: Column, value: Column, most: int) -> Column:
+    """How many of at most so many ascending bounds are below the value, by binary search; none are below null."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at))
+
+
 def cut(df: DataFrame, keys: list[str], order: str, limit: int | None = None) -> tuple[DataFrame, bool]:
     """df with _bin, and whether any key is cut: -1 where it is not, else the number of the range, from 0; nulls come first.
 
@@ -54,9 +62,14 @@ def cut(df: DataFrame, keys: list[str], order: str, limit: int | None = None) ->
     large = sent(counts.select(*[F.col(k).alias(a) for k, a in zip(keys, apart, strict=True)]))
     bounds = df.join(large, _alike(keys, apart), "left_semi").groupBy(*keys).agg(F.percentile_approx(_measure(df, order), [i / parts for i in range(1, parts)], 16 * parts).alias("_bounds"))
     bounds = bounds.select(*[F.col(k).alias(a) for k, a in zip(keys, apart, strict=True)], F.coalesce("_bounds", F.array()).alias("_bounds"))
-    measured = df.withColumn("_measure", _measure(df, order)).join(sent(bounds), _alike(keys, apart), "left")
-    place = F.size(F.filter("_bounds", lambda b: b < F.col("_measure")))
-    return measured.withColumn("_bin", F.when(F.col("_bounds").isNull(), -1).otherwise(place)).drop("_measure", "_bounds", *apart), True
+    # every BLOCK-th bound first, and then those between two of them: a row never has all its key's bounds beside it
+    ends = F.transform(F.sequence(F.lit(1), F.lit(MOST // BLOCK)), lambda i: F.get("_bounds", i * BLOCK - 1))
+    blocks = bounds.select(*[F.col(a).alias(f"_{a}") for a in apart], F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(MOST // BLOCK)), lambda i: F.slice("_bounds", i * BLOCK + 1, BLOCK))).alias("_block", "_few"))
+    measured = df.withColumn("_measure", _measure(df, order)).join(sent(bounds.select(*apart, ends.alias("_ends"))), _alike(keys, apart), "left")
+    measured = measured.withColumn("_block_of", _below(F.col("_ends"), F.col("_measure"), MOST // BLOCK))
+    measured = measured.join(sent(blocks.filter(F.size("_few") > 0)), _alike(keys, [f"_{a}" for a in apart]) & (F.col("_block_of") == F.col("_block")), "left")
+    place = F.col("_block_of") * BLOCK + F.coalesce(_below(F.col("_few"), F.col("_measure"), BLOCK), F.lit(0))
+    return measured.withColumn("_bin", F.when(F.col("_ends").isNull(), -1).otherwise(place)).drop("_measure", "_ends", "_block_of", "_block", "_few", *apart, *[f"_{a}" for a in apart]), True
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[tuple[Column, Column]], at: tuple[Column, Column], how: str = ">=", limit: int | None = None) -> DataFrame:

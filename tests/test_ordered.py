@@ -139,3 +139,35 @@ def test_positional_and_row_numbers(both, spark):
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString().split("_b")[0] or got.count()
     shuffled = runner.query("select n, row_number() over () as i from (select id % 97 as n, count(*) as c from p group by 1)").collect()
     assert sorted(r.i for r in shuffled) == list(range(1, 98)) and len({r.n for r in shuffled}) == 97
+
+
+def test_bins_are_looked_up_without_all_bounds_beside_a_row(spark):
+    """Thousands of bins: each row's number of bounds below it, with a few of them beside it at a time."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 501 > 0, F.floor(F.col("id") * 7919 % 20_011 / 3)).alias("t"))
+    got, parted = ordered.cut(df, ["k"], "t", 20)
+    rows = got.select("k", "t", "_bin").collect()
+    assert parted and len({(r.k, r._bin) for r in rows}) > 600
+    for k in (0, 1):
+        mine = sorted(((r.t, r._bin) for r in rows if r.k == k and r.t is not None), key=lambda x: x[0])
+        assert all(b <= c and (b == c or s < t) for (s, b), (t, c) in zip(mine, mine[1:], strict=False))
+        assert {r._bin for r in rows if r.k == k and r.t is None} == {0}
+    assert "filter(_bounds" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_dealt_to_bins_of_intervals_are_not_broadcast(both):
+    made, _ = both
+    got = ordered.interval_join(made["l"], made["s"], [(F.col("k"), F.col("k"))], F.col("seen"), F.col("low"), F.col("high"))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString() and got.count() > 100
+
+
+def test_quantiles_of_few_groups_meet_their_rows_by_broadcast(both):
+    """No row of the relation is dealt out by its group."""
+    got = same(both, QUANTILES[0], 30)
+    made, _ = both
+    spark = next(iter(made.values())).sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = same(both, QUANTILES[0], 30)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "broadcast" in plan and got.count() == 5
