@@ -172,7 +172,12 @@ class Frames:
         if df is None or not isinstance(df.schema["_x"].dataType, T.NumericType):
             return None
         names = [f"_k{i}" for i in range(len(keys))]
-        return self._view(ordered.quantiles(df, [F.col(n) for n in names], F.col("_x"), shares, self.runner.bin_rows)) if self._large(df, names) else None
+        groups, top = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)), F.max("_n")).first()
+        if not groups or top <= self.runner.bin_rows:
+            return None
+        found = ordered.quantiles(df, [F.col(n) for n in names], F.col("_x"), shares, self.runner.bin_rows)
+        # all rows meet their group's: where groups are few, no row is dealt out by them
+        return self._view(F.broadcast(found) if groups * (len(keys) + len(shares)) <= ordered.FEW else found)
 
 
 @dataclass
