@@ -17,6 +17,7 @@ from .operators import ddl, derive, dialects, export, infer, naming, profile, sk
 from .operators.profile import ROW
 from .plans.dialect import date_pattern
 from .plans.workspace import Workspace
+from .scratch import work_dir
 from .sources import delimited, excel, jdbc, parquet, records, sniff
 
 
@@ -61,10 +62,12 @@ def _broken_orders(spark: SparkSession, sf_dir: str) -> str:
     o, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey")
     line = F.concat_ws(",", k, "o_custkey", "o_orderstatus")
     line = F.when(k % 100 == 0, F.concat(line, F.lit(",x,y"))).when(k % 77 == 0, F.concat_ws(",", k, "o_custkey")).otherwise(line)
-    path = _folder() / "broken.csv"
-    body = "\n".join(r[0] for r in o.orderBy("o_orderkey").select(line).collect())
-    path.write_text(f'key,customer,status\n{body}\n-1,"open,F\n')
-    return str(path)
+    path = work_dir(spark)
+    ends = spark.createDataFrame([(0, "key,customer,status"), (2, '-1,"open,F')], "part int, line string")
+    rows = ends.withColumn("key", F.lit(0).cast(o.schema["o_orderkey"].dataType)).unionByName(o.select(F.lit(1).alias("part"), line.alias("line"), F.col("o_orderkey").alias("key")))
+    # a range of the order to a file, named in its order
+    rows.orderBy("part", "key").select("line").write.text(path)
+    return path
 
 
 _BAD = "o_orderkey % 100 = 0"

@@ -551,3 +551,27 @@ def test_recursion_beyond_a_million_rows(spark):
     assert {(r.n, r.c) for r in statement(spark, text).collect()} == {(0, 400_000), (1, 400_000), (2, 400_000)}
     got = Runner(spark).run("with recursive t(k) as (select 1 union all select k + 1 from t) select count(*) as n from t")
     assert not got["ok"] and "RECURSION" in got["error"].upper()
+
+
+def test_broken_orders_are_written_by_tasks(spark, monkeypatch):
+    """No row comes to the driver, and the text is in order whatever its number of files."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tablelens import workbench_queries
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "collect", lambda self: pytest.fail("rows on the driver"))
+        path = workbench_queries._broken_orders(spark, "/root/testdata/sf0.001")
+    lines = [r[0] for r in delimited.lines(spark, delimited.Stored(spark, path).paths, "utf-8").orderBy("_line").select("_raw").collect()]
+    keys = [int(x.split(",")[0]) for x in lines[1:-1]]
+    assert lines[0] == "key,customer,status" and lines[-1] == '-1,"open,F' and keys == sorted(keys) and len(keys) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_lines_within_many_records_are_not_broadcast(spark, monkeypatch):
+    from tablelens.sources import records
+
+    monkeypatch.setattr(records, "FEW", 0)
+    body = spark.createDataFrame([(1, 'a,"b', False), (2, 'c"', False), (3, "d,e", False)], "_line long, _raw string, _wrong boolean")
+    got = records.records(body, records.Quoting(",", '"'))
+    assert "strategy=merge" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r._line, r._text) for r in got.orderBy("_line").collect()] == [(1, 'a,"b\nc"'), (3, "d,e")]
