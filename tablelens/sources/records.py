@@ -195,7 +195,8 @@ def records(body: DataFrame, q: Quoting, held: list[DataFrame] | None = None) ->
     few = within.count() <= FEW
     rest = spans.filter("_end is null").agg(F.min("_begin")).first()[0]
     body = body.filter(F.col("_line") <= rest) if rest is not None else body
-    marked = body.join(F.broadcast(within) if few else within, F.col("_line") == F.col("_in"), "left")
+    # a span of any number of lines looks as small to the planner as its two ends, so that more than a few are never broadcast
+    marked = body.join(F.broadcast(within) if few else within.hint("merge"), F.col("_line") == F.col("_in"), "left")
     single = alone(marked.filter(F.col("_in").isNull()).drop("_begin", "_lines"))
     if rest is not None:  # what never closes: its first line stands for it
         single = single.withColumns({"_lines": F.when(F.col("_line") == rest, F.lit(last - rest + 1)).otherwise(F.col("_lines")), "_bad": F.col("_bad") | (F.col("_line") == rest)})
