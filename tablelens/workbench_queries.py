@@ -472,13 +472,13 @@ def sql_files(spark, sf_dir):
     return w.runner.query(f"select cast(max(n_nationkey) as int) as top, count(*) as n from read_csv('{folder}/n.csv', delim = ';') union all select cast(max(r_regionkey) as int), count(*) from read_xlsx('{folder}/r.xlsx')")
 
 
-# databases: Spark's own copy of an embedded database stands for one, in this process
+# databases: Spark's own copy of an embedded database stands for one, in this process, with its rows in files
 
 DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
 
 def _database() -> str:
-    return f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    return f"jdbc:derby:{_folder()}/{uuid.uuid4().hex};create=true"
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
