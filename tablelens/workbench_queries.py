@@ -285,12 +285,21 @@ def ddl_special_types(spark, sf_dir):
     return _rows(spark, [(c.source, c.sql_type) for c in ddl.column_types(df, "sqlserver")], "kind string, sql_type string")
 
 
-@query("SELECT n_name AS name, lower(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) || '_id' AS snake FROM nation UNION ALL SELECT 'claim.' || r_regionkey, 'claim_' || r_regionkey FROM region")
+#: Names of each form, as SQL of a row's number k and word w, in both engines, and what they become.
+_NAMES = (
+    ("'claim.id' || k", "'claim_id' || k"), ("'PatientID' || k", "'patient_id' || k"), ("'HTTPServer' || k", "'http_server' || k"), ("'a-b c' || k", "'a_b_c' || k"), ("'...' || repeat('.', k % 7)", "'col'"),
+    ("upper(w)", "replace(lower(w), ' ', '_')"), ("upper(substr(w, 1, 1)) || lower(substr(w, 2)) || 'Id'", "replace(lower(w), ' ', '_') || '_id'"), ("'claim.' || w", "'claim_' || replace(lower(w), ' ', '_')"),
+)
+_NAMED = "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS w FROM {nation} UNION ALL SELECT r_regionkey, r_name FROM {region} UNION ALL SELECT s_suppkey, replace(s_name, '#', '_') FROM {supplier}"
+
+
+@query("SELECT * FROM (VALUES ('claim.id', 'claim_id'), ('PatientID', 'patient_id'), ('HTTPServer', 'http_server'), ('a-b c', 'a_b_c'), ('...', 'col')) t(name, snake) UNION ALL " + " UNION ALL ".join(f"SELECT {n}, {s} FROM ({_NAMED.replace('{', '').replace('}', '')})" for n, s in _NAMES))
 def names_snake_case(spark, sf_dir):
-    """Names in upper case and with an Id behind, and names with points."""
-    names = [(r[0], f"{r[0].capitalize()}Id") for r in _t(spark, sf_dir, "nation").select(F.regexp_replace("n_name", " ", "")).collect()]
-    names += [(f"claim.{r[0]}", f"claim.{r[0]}") for r in _t(spark, sf_dir, "region").select("r_regionkey").collect()]
-    return _rows(spark, [(n, naming.snake_case(x)) for n, x in names], "name string, snake string")
+    """Names of all forms: five fixed ones, and of each form one made of every nation's, region's and supplier's number and name; turned on the executors."""
+    named = spark.sql(_NAMED, **{n: _t(spark, sf_dir, n) for n in ("nation", "region", "supplier")})
+    fixed = _rows(spark, [(n,) for n in ("claim.id", "PatientID", "HTTPServer", "a-b c", "...")], "name string")
+    names = named.select(F.explode(F.array(*[F.expr(n) for n, _ in _NAMES])).alias("name")).union(fixed)
+    return names.select("name", F.pandas_udf(lambda v: v.map(naming.snake_case, na_action="ignore"), "string")("name").alias("snake"))
 
 
 @query("SELECT DISTINCT p_type AS name, lower(replace(p_type, ' ', '_')) AS snake FROM part UNION SELECT DISTINCT c_mktsegment, lower(c_mktsegment) FROM customer")

@@ -575,3 +575,11 @@ def test_lines_within_many_records_are_not_broadcast(spark, monkeypatch):
     got = records.records(body, records.Quoting(",", '"'))
     assert "strategy=merge" in got._jdf.queryExecution().optimizedPlan().toString()
     assert [(r._line, r._text) for r in got.orderBy("_line").collect()] == [(1, 'a,"b\nc"'), (3, "d,e")]
+
+
+def test_names_of_all_forms(spark):
+    from tablelens import workbench_queries
+
+    got = {r.name: r.snake for r in workbench_queries.names_snake_case(spark, "/root/testdata/sf0.001").collect()}
+    assert {"claim.id", "PatientID", "HTTPServer", "a-b c", "..."} <= got.keys() and got["..."] == "col" and got["HTTPServer3"] == "http_server3"
+    assert len(got) > spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
