@@ -10,7 +10,7 @@ Jaccard similarity of at least 0.8 with it. Lines are ordered by (id, position).
 4. Longer sets meet by a prefix filter over k neighbours in the rarity order, first pairs. A word that only x has breaks
    k of x's grams, one that only y has k - 1; with 5 a + 4 b <= n at most floor(k n / 5) of the grams of x are broken, so one
    of its first floor(k n / 5) + 1 is shared and among as many of y's. Length, position and 64 parity bits of the words
-   filter what meets, then the sets themselves decide.
+   filter what meets, wider parities, which tell long lines apart too, filter what is left, then the sets themselves decide. So few sets move.
 5. In a gram's group of at most ``GROUP`` lines each meets those before it. Other grams are common: there a line meets the first and the one
    before it, and two lines whose first shared gram is common both have a common one, so all lines with one go on to grams of
    three neighbours. What has common ones again meets by its first floor(k n / 5) + 1 grams that are not common: the bound on
@@ -48,6 +48,8 @@ SLOTS = 1 << 14
 GRAMS = ((2, 1), (3, 2))
 #: A list of lines or grams is broadcast up to this many rows of fixed width, else joined by a shuffle.
 MEMBERS = 500_000
+#: Parities of 64 bits that pairs are filtered by before their sets move; a power of two. Those in marks tell sets of up to some 100 words apart, these up to some 400.
+WIDE = 4
 #: Sizes and places have 16 bits in marks; lines of as many words pass all filters.
 MOST = 0xFFFF
 
@@ -95,6 +97,15 @@ def _parity(s: Column) -> Column:
     return F.aggregate(s, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", one, F.shiftrightunsigned(h, 3).bitwiseAND(F.lit(63)).cast("int"))))
 
 
+def _sketch(s: Column) -> Column:
+    """WIDE parities, each of the words that two other bits of the hash send there."""
+
+    def part(k: int) -> Column:
+        return _parity(F.filter(s, lambda h: F.shiftrightunsigned(h, 9).bitwiseAND(F.lit(WIDE - 1)) == k))
+
+    return F.array(*[part(k) for k in range(WIDE)])
+
+
 def _gram(s: Column, i: Column, k: int) -> Column:
     return F.xxhash64(*[F.get(s, i + j) for j in range(k)])
 
@@ -177,9 +188,20 @@ def _meet(marks: DataFrame, path: str) -> DataFrame:
     return materialize(found, path)
 
 
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (_id, _pos, y_id, y_pos) whose sizes and sketches leave a match possible. Sketches of fixed width move, not sets."""
+    facts = lambda c: sets.select(F.col("_id").alias(f"{c}_id"), F.col("_pos").alias(f"{c}_pos"), F.size("_s").alias(f"{c}_n"), F.col("_sketch").alias(f"{c}_k"))
+    a = facts("a").join(_few(pairs), F.col("_id").eqNullSafe(F.col("a_id")) & (F.col("_pos") == F.col("a_pos"))).drop("a_id", "a_pos")
+    both = a.join(facts("b"), F.col("y_id").eqNullSafe(F.col("b_id")) & (F.col("y_pos") == F.col("b_pos")))
+    n, m = F.col("a_n"), F.col("b_n")
+    differ = sum((F.bit_count(F.get("a_k", F.lit(k)).bitwiseXOR(F.get("b_k", F.lit(k)))) for k in range(WIDE)), F.lit(0))
+    may = (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (differ * (NUM + DEN) <= (n + m) * (DEN - NUM))
+    return both.filter(may).select("_id", "_pos", "y_id", "y_pos").distinct()
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     """(_id, _pos) of pairs (_id, _pos, y_id, y_pos) whose sets match. Pairs go to where the sets are, so that a set moves once for its pair, and once as a partner."""
-    pairs = materialize(pairs, f"{path}-pairs")
+    pairs = materialize(_alike(materialize(pairs, f"{path}-pairs"), sets), f"{path}-alike")
     a = sets.select(F.col("_id").alias("a_id"), F.col("_pos").alias("a_pos"), F.col("_s").alias("a_s"))
     a = a.join(_few(pairs), F.col("_id").eqNullSafe(F.col("a_id")) & (F.col("_pos") == F.col("a_pos"))).drop("a_id", "a_pos")
     partners = materialize(pairs.select(F.col("y_id").alias("_id"), F.col("y_pos").alias("_pos")).distinct(), f"{path}-partners")
@@ -193,7 +215,8 @@ def _gone_of(met: DataFrame, sets: DataFrame, gone: DataFrame, path: str) -> Dat
     """gone and the lines that match one they met: first the one each is likeliest to match, then, for the rest, all."""
     met = _less(met.filter("size(ys) > 0"), gone).select("_id", "_pos", "ys")
     members = met.select("_id", "_pos").union(met.select(F.explode("ys").alias("y")).select("y.id", "y.pos")).distinct()
-    texts = materialize(_less(sets.select("_id", "_pos", "_s"), materialize(members, f"{path}/members"), "left_semi"), f"{path}/texts")
+    texts = _less(sets.select("_id", "_pos", "_s"), materialize(members, f"{path}/members"), "left_semi").withColumn("_sketch", _sketch(F.col("_s")))
+    texts = materialize(texts, f"{path}/texts")
     y = lambda df: df.select("_id", "_pos", F.col("y.id").alias("y_id"), F.col("y.pos").alias("y_pos"))
     best = y(met.groupBy("_id", "_pos").agg(F.min(F.array_min("ys")).alias("y")))
     sure = materialize(_similar(best, texts, f"{path}/best"), f"{path}/sure")
@@ -297,8 +320,11 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without the lines that repeat earlier ones, with the columns of docs."""
     gone_id, gone_at = fresh(docs, "_gone_id", "_gone_at")
-    gone = removals(docs, id_col, text_col, **options).select(F.col("_id").alias(gone_id), F.col("_gone").alias(gone_at))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
+    gone = removals(docs, id_col, text_col, **options)
+    # texts stay where they are unless many lines go
+    spots = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
+    gone = gone.select(F.col("_id").alias(gone_id), F.col("_gone").alias(gone_at))
+    joined = docs.join(F.broadcast(gone) if spots <= MEMBERS else gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone_at, i)), "\n")
     return joined.select(*[F.when(F.col(gone_at).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -437,6 +437,28 @@ def test_line_dedup_far_down_a_document(spark):
     assert [r.removed for r in linededup.line_marks(docs).collect()] == [[at + 1]]
 
 
+def test_line_dedup_moves_few_sets_of_long_lines(spark, tmp_path):
+    """Unlike lines of 150 words pass the marks' 64 parity bits, and no longer have their sets moved; like ones are all found."""
+    own = random.Random(31)
+    texts = []
+    for i in range(60):
+        # two words more, that only a few other lines have, so that unlike lines meet
+        w = [f"l{own.randrange(9999)}" for _ in range(150)] + [f"r{i // 6}", f"q{i // 6}"]
+        texts.append(" ".join(w))
+        texts += [" ".join(w[own.randrange(1, 60) :])] * (i % 7 == 0)
+    docs = docs_of(spark, texts)
+    sets = linededup.lines_of(docs, "doc_id", "text")
+    sketched = sets.withColumn("_sketch", linededup._sketch(F.col("_s")))
+    pairs = sets.select("_id", "_pos").crossJoin(sets.select(F.col("_id").alias("y_id"), F.col("_pos").alias("y_pos"))).filter("y_id < _id")
+    bits = {r["_id"]: (r.n, r.p) for r in sets.select("_id", F.size("_s").alias("n"), linededup._parity(F.col("_s")).alias("p")).collect()}
+    narrow = sum(9 * ((bits[r["_id"]][1] ^ bits[r.y_id][1]) % 2**64).bit_count() <= bits[r["_id"]][0] + bits[r.y_id][0] for r in pairs.collect())
+    left = {(r["_id"], r.y_id) for r in linededup._alike(pairs, sketched).collect()}
+    w = [set(words(t)) for t in texts]
+    true = {(i, j) for i in range(len(w)) for j in range(i) if 5 * len(w[i] & w[j]) >= 4 * len(w[i] | w[j])}
+    assert true and true <= left and len(left) <= len(true) + 5 and narrow > 10 * len(left)
+    assert {r.doc_id: r.removed for r in linededup.line_marks(docs).collect() if r.removed} == brute_lines(texts)
+
+
 def test_warc_round_trip(spark):
     html = [None, "", "<p>ä</p>", "<p>ä</p>", "x" * 200000, "<p>ä</p>", "", "\x00\r\n\r\nWARC/1.1", "one\n"]
     pages = spark.createDataFrame([(9 - i, None if i == 2 else f"http://a/{i}%\n", h, "x") for i, h in enumerate(html)], "page_id long, url string, html string, payload string")
