@@ -321,10 +321,11 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     """The documents without the lines that repeat earlier ones, with the columns of docs."""
     gone_id, gone_at = fresh(docs, "_gone_id", "_gone_at")
     gone = removals(docs, id_col, text_col, **options)
-    # texts stay where they are unless many lines go
-    spots = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
+    # texts stay where they are unless many lines go; a position has four bytes, far less than a row
+    size = gone.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("_gone")), F.lit(0)).alias("spots")).first()
+    few = size["rows"] <= MEMBERS and size["spots"] <= 8 * MEMBERS
     gone = gone.select(F.col("_id").alias(gone_id), F.col("_gone").alias(gone_at))
-    joined = docs.join(F.broadcast(gone) if spots <= MEMBERS else gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
+    joined = docs.join(F.broadcast(gone) if few else gone, F.col(id_col).eqNullSafe(F.col(gone_id)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone_at, i)), "\n")
     return joined.select(*[F.when(F.col(gone_at).isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns])
