@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, drop, folded, fresh, let, materialize, text_of, work_dir
+from .common import drop, folded, fresh, materialize, text_of, work_dir
 
 NUM, DEN = 4, 5
 #: Sets of at most so many words match by leaving out one word; from 8 words on two words may differ.
@@ -48,10 +48,14 @@ SLOTS = 1 << 14
 GRAMS = ((2, 1), (3, 2))
 #: A list of lines or grams is broadcast up to this many rows of fixed width, else joined by a shuffle.
 MEMBERS = 500_000
+#: The last step's lines are broadcast up to so many words in all their marks.
+WORDS = 1 << 22
 #: Parities of 64 bits that pairs are filtered by before their sets move; a power of two. Those in marks tell sets of up to some 100 words apart, these up to some 400.
 WIDE = 4
 #: Sizes and places have 16 bits in marks; lines of as many words pass all filters.
 MOST = 0xFFFF
+#: What words of folded text are made of, all but WORD_GAP, one by one: Java looks single characters up in a table and tries ranges one after another.
+_LETTER = "[" + "".join(f"\\x{c:02x}" for c in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100))) + "]"
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -60,14 +64,15 @@ def _few(df: DataFrame) -> DataFrame:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_words: int = 1) -> DataFrame:
     """(_id, _pos, _h1, _h2, _s): the sorted hashes of each line's distinct words, and two keys of that."""
-    # outer, as Spark would else work out each array a second time to see that it is not empty
-    each = F.transform(F.split(folded(text_of(text_col)), "\n", -1), _word_set)
-    sets = docs.select(F.col(id_col).alias("_id"), F.posexplode_outer(each).alias("_pos", "_s")).filter(F.size("_s") >= max(min_words, 1))
+    # outer, as Spark would else split each text a second time to see that there are lines. A row per line has its set worked out by compiled code, within a lambda it is not
+    lines = docs.select(F.col(id_col).alias("_id"), F.posexplode_outer(F.split(folded(text_of(text_col)), "\n", -1)).alias("_pos", "line"))
+    sets = lines.filter(F.col("line").rlike(_LETTER)).select("_id", "_pos", _word_set(F.col("line")).alias("_s"))
+    sets = sets.filter(F.size("_s") >= min_words) if min_words > 1 else sets
     return sets.select("_id", "_pos", F.xxhash64("_s").alias("_h1"), F.xxhash64(F.lit(1), "_s").alias("_h2"), "_s")
 
 
 def _word_set(line: Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, WORD_GAP, -1), ""), lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(f"{_LETTER}+"), F.lit(0)), lambda w: F.xxhash64(w))))
 
 
 def _slot_ranks(lines: DataFrame, slots: int) -> Column:
@@ -138,19 +143,23 @@ def _fits(x: Column | dict, y: Column | dict) -> Column:
     return (parity & length & place) | huge
 
 
-def _first_marks(sets: DataFrame, rare: Callable[[Column], Column], k: int, *extra: Column) -> DataFrame:
-    """(gram, id, at, bits): the prefix of each set (_id, _pos, _s). rare puts words in rarity order."""
-    facts = lambda o: F.struct(_parity(o).alias("bits"), F.transform(F.sequence(F.lit(0), _quota(F.size(o), k) - 1), lambda i: _gram(o, i, k)).alias("grams"))
-    each = sets.select("_id", "_pos", F.size("_s").alias("n"), let(rare(F.col("_s")), facts).alias("f"), *extra)
-    each = each.select("_id", "_pos", "n", F.col("f.bits").alias("bits"), *each.columns[4:], F.posexplode_outer("f.grams").alias("i", "gram"))
-    return each.select("gram", F.col("_id").alias("id"), _at(F.col("_pos"), F.col("n"), F.col("i") + 1).alias("at"), "bits", *each.columns[4:-2])
+def _grams(sets: DataFrame, rare: Callable[[Column], Column], k: int, last: Callable[[Column], Column], *keep: str) -> DataFrame:
+    """(_id, _pos, *keep, n, bits, i, gram): grams 0 to last(n) of each set. A row per gram is hashed by compiled code, which carries no array on."""
+    each = sets.select("_id", "_pos", *keep, F.size("_s").alias("n"), rare(F.col("_s")).alias("o"))
+    each = each.select("_id", "_pos", *keep, "n", "o", _parity(F.col("o")).alias("bits"))
+    each = each.select("_id", "_pos", *keep, "n", "o", "bits", F.explode_outer(F.sequence(F.lit(0), last(F.col("n")))).alias("i"))
+    return each.select("_id", "_pos", *keep, "n", "bits", "i", _gram(F.col("o"), F.col("i"), k).alias("gram"))
+
+
+def _first_marks(sets: DataFrame, rare: Callable[[Column], Column], k: int, *keep: str) -> DataFrame:
+    """(gram, id, at, bits, *keep): the prefix of each set (_id, _pos, _s). rare puts words in rarity order."""
+    each = _grams(sets, rare, k, lambda n: _quota(n, k) - 1, *keep)
+    return each.select("gram", F.col("_id").alias("id"), _at(F.col("_pos"), F.col("n"), F.col("i") + 1).alias("at"), "bits", *keep)
 
 
 def _other_marks(sets: DataFrame, rare: Callable[[Column], Column], common: DataFrame, k: int, path: str) -> tuple[DataFrame, DataFrame]:
     """Marks of the first grams that are not common, and the (_id, _pos) of sets that have too few of them."""
-    facts = lambda o: F.struct(_parity(o).alias("bits"), F.transform(F.sequence(F.lit(0), F.size(o) - k), lambda i: _gram(o, i, k)).alias("grams"))
-    each = sets.select("_id", "_pos", "_h1", F.size("_s").alias("n"), let(rare(F.col("_s")), facts).alias("f"))
-    each = each.select("_id", "_pos", "_h1", "n", F.col("f.bits").alias("bits"), F.posexplode_outer("f.grams").alias("i", "gram"))
+    each = _grams(sets, rare, k, lambda n: n - k, "_h1")
     left = each.join(_few(common), "gram", "left_anti")
     # versions of a line apart, repeated ones alike
     nth = left.withColumn("nth", F.dense_rank().over(W.partitionBy("_id", "_pos", "_h1").orderBy("i"))).filter(F.col("nth") <= _quota(F.col("n"), k))
@@ -188,11 +197,11 @@ def _meet(marks: DataFrame, path: str) -> DataFrame:
     return materialize(found, path)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (_id, _pos, y_id, y_pos) whose sizes and sketches leave a match possible. Sketches of fixed width move, not sets."""
+def _alike(pairs: DataFrame, sets: DataFrame, path: str = "") -> DataFrame:
+    """Pairs (_id, _pos, y_id, y_pos) whose sizes and sketches leave a match possible. Pairs with one sketch go to the other, sent to all if they are few and there is a path to write them to; sets do not move."""
     facts = lambda c: sets.select(F.col("_id").alias(f"{c}_id"), F.col("_pos").alias(f"{c}_pos"), F.size("_s").alias(f"{c}_n"), F.col("_sketch").alias(f"{c}_k"))
     a = facts("a").join(_few(pairs), F.col("_id").eqNullSafe(F.col("a_id")) & (F.col("_pos") == F.col("a_pos"))).drop("a_id", "a_pos")
-    both = a.join(facts("b"), F.col("y_id").eqNullSafe(F.col("b_id")) & (F.col("y_pos") == F.col("b_pos")))
+    both = facts("b").join(_few(materialize(a, path)) if path else a, F.col("y_id").eqNullSafe(F.col("b_id")) & (F.col("y_pos") == F.col("b_pos")))
     n, m = F.col("a_n"), F.col("b_n")
     differ = sum((F.bit_count(F.get("a_k", F.lit(k)).bitwiseXOR(F.get("b_k", F.lit(k)))) for k in range(WIDE)), F.lit(0))
     may = (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (differ * (NUM + DEN) <= (n + m) * (DEN - NUM))
@@ -201,7 +210,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     """(_id, _pos) of pairs (_id, _pos, y_id, y_pos) whose sets match. Pairs go to where the sets are, so that a set moves once for its pair, and once as a partner."""
-    pairs = materialize(_alike(materialize(pairs, f"{path}-pairs"), sets), f"{path}-alike")
+    pairs = materialize(_alike(materialize(pairs, f"{path}-pairs"), sets, f"{path}-half"), f"{path}-alike")
     a = sets.select(F.col("_id").alias("a_id"), F.col("_pos").alias("a_pos"), F.col("_s").alias("a_s"))
     a = a.join(_few(pairs), F.col("_id").eqNullSafe(F.col("a_id")) & (F.col("_pos") == F.col("a_pos"))).drop("a_id", "a_pos")
     partners = materialize(pairs.select(F.col("y_id").alias("_id"), F.col("y_pos").alias("_pos")).distinct(), f"{path}-partners")
@@ -211,17 +220,18 @@ def _similar(pairs: DataFrame, sets: DataFrame, path: str) -> DataFrame:
     return both.filter(F.col("both") * DEN >= (F.col("n") + F.col("m") - F.col("both")) * NUM).select("_id", "_pos").distinct()
 
 
-def _gone_of(met: DataFrame, sets: DataFrame, gone: DataFrame, path: str) -> DataFrame:
-    """gone and the lines that match one they met: first the one each is likeliest to match, then, for the rest, all."""
+def _gone_of(met: DataFrame, sets: DataFrame, gone: DataFrame, again: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """gone and the lines that match one they met: first the one each is likeliest to match, then, for the rest, all. Beside it the sets of those that met and of again."""
     met = _less(met.filter("size(ys) > 0"), gone).select("_id", "_pos", "ys")
-    members = met.select("_id", "_pos").union(met.select(F.explode("ys").alias("y")).select("y.id", "y.pos")).distinct()
-    texts = _less(sets.select("_id", "_pos", "_s"), materialize(members, f"{path}/members"), "left_semi").withColumn("_sketch", _sketch(F.col("_s")))
+    members = met.select("_id", "_pos").union(met.select(F.explode("ys").alias("y")).select("y.id", "y.pos")).union(again).distinct()
+    # all sets are read once for both
+    texts = _less(sets.select("_id", "_pos", "_h1", "_s"), materialize(members, f"{path}/members"), "left_semi").withColumn("_sketch", _sketch(F.col("_s")))
     texts = materialize(texts, f"{path}/texts")
     y = lambda df: df.select("_id", "_pos", F.col("y.id").alias("y_id"), F.col("y.pos").alias("y_pos"))
     best = y(met.groupBy("_id", "_pos").agg(F.min(F.array_min("ys")).alias("y")))
     sure = materialize(_similar(best, texts, f"{path}/best"), f"{path}/sure")
     rest = y(_less(met, sure).select("_id", "_pos", F.explode("ys").alias("y"))).distinct()
-    return materialize(gone.unionByName(sure).unionByName(_similar(rest, texts, f"{path}/rest")), f"{path}/gone")
+    return materialize(gone.unionByName(sure).unionByName(_similar(rest, texts, f"{path}/rest")), f"{path}/gone"), texts.drop("_sketch")
 
 
 def _short_gone(sets: DataFrame) -> DataFrame:
@@ -246,7 +256,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 def _all_gone(sets: DataFrame, ranked: Callable[[DataFrame], Callable[[Column], Column]], path: str) -> DataFrame:
     """(_id, _pos) of the class firsts (_id, _pos, _h1, _s) that match an earlier one. ranked gives the rarity order among some sets."""
-    gone = materialize(_short_gone(sets), f"{path}/short")
+    short = materialize(sets.filter(F.size("_s").between(NUM, SHORT + 1)).select("_id", "_pos", "_s"), f"{path}/short-sets")
+    gone = materialize(_short_gone(short), f"{path}/short")
     rest = sets.filter(F.size("_s") > SHORT)
     for k, turns in GRAMS:
         rare = ranked(rest)
@@ -254,17 +265,18 @@ def _all_gone(sets: DataFrame, ranked: Callable[[DataFrame], Callable[[Column],
         for turn in range(turns):
             at = f"{path}/{k}-{turn}"
             met = _meet(marks, f"{at}/met")
-            gone = _gone_of(met, rest, gone, at)
             often = met.filter("common")
             again = materialize(often.select("_id", "_pos").distinct(), f"{at}/again")
+            gone, met_sets = _gone_of(met, rest, gone, again, at)
             if turn + 1 < turns:
                 grams = often.select("gram").distinct()
                 common = materialize(grams if common is None else common.unionByName(grams), f"{at}/common")
-                rest = materialize(_less(rest, again, "left_semi"), f"{at}/rest")
+                rest = materialize(_less(met_sets, again, "left_semi"), f"{at}/rest")
                 marks, few = _other_marks(rest, rare, common, k, at)
                 scant = few if scant is None else scant.unionByName(few)
-        left = again if scant is None else scant.unionByName(again).distinct()
-        rest = materialize(_less(rest, left, "left_semi"), f"{path}/{k}-left")
+        # scant ones need not have met any
+        left, of = (again, met_sets) if scant is None else (scant.unionByName(again).distinct(), rest)
+        rest = materialize(_less(of, left, "left_semi"), f"{path}/{k}-left")
     return _last(rest, ranked(rest), gone, f"{path}/last")
 
 
@@ -274,14 +286,17 @@ def _last(sets: DataFrame, rare: Callable[[Column], Column], gone: DataFrame, pa
     Among themselves what they have in common is frequent, so that single words in their own rarity order tell them apart best.
     Lines that share one and pass the filters are compared in the join itself, so that only matches become rows.
     """
-    marks = _first_marks(sets, rare, 1, F.col("_s").alias("s"))
-    marks = materialize(marks.select("gram", F.struct(*_parts(F.col), "s").alias("y")), f"{path}/marks")
+    marks = _first_marks(sets, rare, 1, "_s")
+    marks = materialize(marks.select("gram", F.struct(*_parts(F.col), F.col("_s").alias("s")).alias("y")), f"{path}/marks")
     x = _less(marks.select(F.col("y.id").alias("_id"), F.col("y.pos").alias("_pos"), "gram", F.col("y").alias("x")), gone).select("gram", "x")
+    x = materialize(x, f"{path}/late")
+    few = x.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("x.s")), F.lit(0)).alias("words")).first()
+    x = F.broadcast(x) if few["rows"] <= MEMBERS and few["words"] <= WORDS else x
     a, b = F.col("x"), F.col("y")
     late = F.struct(a["id"].alias("id"), a["pos"].alias("pos")) > F.struct(b["id"].alias("id"), b["pos"].alias("pos"))
     both = F.size(F.array_intersect(a["s"], b["s"]))
     match = both * DEN >= (F.size(a["s"]) + F.size(b["s"]) - both) * NUM
-    found = x.join(marks, "gram").filter(_fits(a, b) & late & match).select(a["id"].alias("_id"), a["pos"].alias("_pos"))
+    found = marks.join(x, "gram").filter(_fits(a, b) & late & match).select(a["id"].alias("_id"), a["pos"].alias("_pos"))
     return materialize(gone.unionByName(found.distinct()), f"{path}/gone")
 
 

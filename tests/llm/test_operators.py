@@ -459,6 +459,24 @@ def test_line_dedup_moves_few_sets_of_long_lines(spark, tmp_path):
     assert {r.doc_id: r.removed for r in linededup.line_marks(docs).collect() if r.removed} == brute_lines(texts)
 
 
+def test_line_dedup_reads_all_sets_few_times(spark, monkeypatch):
+    """Rounds for lines with common grams take their sets from those that met, short sets are read once, and few lines are broadcast in the last step."""
+    own = random.Random(37)
+    base = [f"s{own.randrange(99)}x{i}" for i in range(40)]
+    texts = [" ".join(w for w in base if own.random() > 0.04) for _ in range(80)] + [f"a b c d e{i % 9}" for i in range(20)]
+    real, reads = linededup.materialize, {}
+
+    def noted(df, path, *a, **b):
+        reads[path.rpartition("/")[2]] = any("/lines/" in f for f in df.inputFiles())
+        return real(df, path, *a, **b)
+
+    monkeypatch.setattr(linededup, "materialize", noted)
+    monkeypatch.setattr(linededup, "GROUP", 5)
+    assert {r.doc_id: r.removed for r in linededup.line_marks(docs_of(spark, texts)).collect() if r.removed} == brute_lines(texts)
+    assert reads["met"] is False and reads["texts"] is False and reads["2-left"] is False and reads["short"] is False and "late" in reads
+    assert reads["short-sets"] and reads["lost"]
+
+
 def test_warc_round_trip(spark):
     html = [None, "", "<p>ä</p>", "<p>ä</p>", "x" * 200000, "<p>ä</p>", "", "\x00\r\n\r\nWARC/1.1", "one\n"]
     pages = spark.createDataFrame([(9 - i, None if i == 2 else f"http://a/{i}%\n", h, "x") for i, h in enumerate(html)], "page_id long, url string, html string, payload string")
