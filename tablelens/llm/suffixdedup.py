@@ -6,15 +6,13 @@
    own repeated anchors: it sends one witness of each, and the units themselves to any task, so that no anchor gathers more rows than
    there are batches.
 3. Units of equal bytes are one class with its smallest id. A class alone with its anchor is settled.
-4. The windows of the other classes are suffixes to sort: per anchor and place of the anchor, by a mergesort that compares two
-   suffixes by their longest common extension, which a binary search over prefix polynomial hashes finds in log(n) steps. Neighbours in the
-   sorted order are verified byte by byte, both that they are in order and that they are equal; a collision has the block sorted by its bytes.
-   Equal suffixes get the smallest id of their classes. Anchors with more than ``CHUNK`` classes are sorted in chunks, and what the
-   chunks found is combined by the windows' bytes.
+4. The windows of the other classes are suffixes to sort: per anchor and place of the anchor, by a radix sort of their bytes from the first on,
+   some at a time, which goes on only with those that are alike so far. Equal suffixes get the smallest id of their classes. Anchors with more than
+   ``CHUNK`` classes are sorted in chunks, and what the chunks found is combined by the windows' bytes.
 5. Each unit loses the windows whose smallest id is below its document's. Where they are applied, the unit's bytes are hashed again, so
    that only the text that was judged is cut.
 
-Hashes are 64-bit polynomials; a class has the anchor's and the unit's, of different bases.
+Hashes are 64-bit polynomials, none of them part of the sort; a class has the anchor's and the unit's, of different bases.
 
 Edge cases: a null or empty text has no bytes and stays empty; texts shorter than n lose nothing; rows that repeat an id are
 versions of one document, which lose nothing to each other and each what a smaller id has; a null id is smaller than all others;
@@ -184,7 +182,7 @@ def _repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extension(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """How many bytes, up to most, the suffixes from a and from b have in common, by binary search over their prefixes' hashes."""
+    """How many bytes, up to most, the suffixes from a and from b have in common, by binary search over their prefixes' hashes. suffix_sort, which goes by bytes, does without."""
     out = np.full(len(a), most, np.int64)
     a_sum, a_down, b_sum, b_down = hashes.sums[a], hashes.down[a], hashes.sums[b], hashes.down[b]
     # most are alike to the end, or not
@@ -203,59 +201,29 @@ def extension(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: int) -> np.nda
 def suffix_sort(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of suffixes, by group and then by their first n bytes, and for each in that order whether it equals the one before.
 
-    A bottom-up mergesort, all pairs of runs of a turn at once: where an element of a run goes is found by binary search in its sibling run.
+    A radix sort from the first byte on: a turn sorts those still in a run of equals, all runs at once, by as many of their next bytes as
+    fit one number beside the run's own. Bytes alone decide.
     """
     order = np.argsort(groups, kind="stable")
-    begins = np.flatnonzero(np.concatenate([[True], np.diff(groups[order]) != 0])) if len(order) else order
-    sizes = np.diff(np.append(begins, len(order)))
-    base, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
-    inside = np.arange(len(order)) - base
-    hashes, padded = Hashes(data), np.append(data, np.uint8(0))
-    width, at = 1, starts[order]
-    while len(sizes) and width < sizes.max():
-        sibling = (inside // width ^ 1) * width
-        moves = np.flatnonzero(sibling < size)
-        left = inside[moves] // width % 2 == 0
-        first, own = base[moves], at[moves]
-        low = sibling[moves]
-        high = np.minimum(low + width, size[moves])
-        todo = np.flatnonzero(low < high)
-        while todo.size:
-            mid = (low[todo] + high[todo]) >> 1
-            mine, other = own[todo], at[first[todo] + mid]
-            shared = extension(hashes, mine, other, n)
-            # an element of the right run goes after its equals of the left one
-            after = (shared < n) & (padded[np.minimum(other + shared, len(data))] < padded[np.minimum(mine + shared, len(data))]) | (shared == n) & ~left[todo]
-            low[todo] = np.where(after, mid + 1, low[todo])
-            high[todo] = np.where(after, high[todo], mid)
-            todo = todo[low[todo] < high[todo]]
-        place = first + inside[moves] + low - sibling[moves] - np.where(left, 0, width)
-        moved, new_at = order.copy(), at.copy()
-        moved[place], new_at[place] = order[moves], own
-        order, at, width = moved, new_at, 2 * width
-    same, right = _verified(data, at, groups[order], n)
-    if not right:  # hashes collided
-        raw = data[starts[:, None] + np.arange(n)]
-        rank = np.unique(raw, axis=0, return_inverse=True)[1].reshape(-1)
-        order = np.lexsort((rank, groups))
-        same = _verified(data, starts[order], groups[order], n)[0]
-    return order, same
-
-
-def _verified(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, n: int) -> tuple[np.ndarray, bool]:
-    """Whether each sorted suffix has the group and the n bytes of the one before, and whether all are in order; by bytes, not hashes."""
-    same, right = np.zeros(len(starts), bool), True
-    windows = np.lib.stride_tricks.sliding_window_view(data, n) if len(starts) else None
-    for at in range(1, len(starts), 1 << 14):
-        rows = windows[starts[at - 1 : at + (1 << 14)]]
-        differ = rows[1:] != rows[:-1]
-        group = groups[at : at + (1 << 14)] == groups[at - 1 : at - 1 + len(differ)]
-        unlike = differ.any(axis=1)
-        same[at : at + len(differ)] = ~unlike & group
-        check = np.flatnonzero(unlike & group)
-        spot = differ[check].argmax(axis=1)
-        right = right and bool((rows[check, spot] < rows[check + 1, spot]).all())
-    return same, right
+    at, group = starts[order], groups[order]
+    new = np.append(np.ones(min(1, len(order)), bool), group[1:] != group[:-1])
+    words = np.ndarray(len(data) + 1, ">u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))  # the eight bytes from each place on
+    done = 0
+    while done < n:
+        alone = new.copy()
+        alone[:-1] &= new[1:]
+        rows = np.flatnonzero(~alone)
+        if not rows.size:
+            break
+        run = np.cumsum(new[rows])
+        wide = min(n - done, (64 - int(run[-1]).bit_length()) // 8)
+        value = run.astype(np.uint64) << np.uint64(8 * wide) | words[at[rows] + done].astype(np.uint64) >> np.uint64(64 - 8 * wide)
+        by = np.argsort(value)
+        value, moved = value[by], rows[by]
+        order[rows], at[rows] = order[moved], at[moved]
+        new[rows[1:]] |= value[1:] != value[:-1]
+        done += wide
+    return order, ~new
 
 
 def _settle(n: int):
@@ -369,7 +337,10 @@ def _windows_gone(docs: DataFrame, path: str, n: int, gram: int, chunk: int) ->
     found = _all_units(docs, n, gram).repartition(way).sortWithinPartitions("_key")
     live = materialize(found.mapInArrow(_repeating, f"_id {kind}, _key long, _unit long, _at long"), f"{path}/live")
 
-    classes = materialize(live.groupBy("_key", "_unit").agg(F.min(F.struct("_id", "_at")).alias("low")), f"{path}/classes")
+    # of numbers alone, so that they are kept in hash tables and not sorted; a null id, which min leaves out, is the smallest
+    lows = live.groupBy("_key", "_unit").agg(F.min("_id").alias("id"), F.min_by("_at", "_id").alias("at"), F.min(F.when(F.col("_id").isNull(), F.col("_at"))).alias("null_at"))
+    low = F.struct(F.when(F.col("null_at").isNull(), F.col("id")).alias("_id"), F.coalesce("null_at", "at").alias("_at"))
+    classes = materialize(lows.select("_key", "_unit", low.alias("low")), f"{path}/classes")
     several = materialize(classes.groupBy("_key").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1"), f"{path}/several")
     chunks = F.ceil(F.col("_k") / chunk).cast("int")
     at = F.col("low._at")

@@ -126,6 +126,34 @@ def test_suffix_sort(data, n, collide):
     assert same.tolist() == [k > 0 and got[k] == got[k - 1] for k in range(len(got))]
 
 
+def test_suffix_sort_by_bytes_alone(monkeypatch):
+    """No hashes, and turns only for those that are alike so far: one number of each of distinct windows, not a binary search per turn of a mergesort."""
+    monkeypatch.setattr(suffixdedup, "Hashes", None)
+    data = np.random.default_rng(5).integers(0, 256, 20_000).astype(np.uint8)
+    data[15_000:] = data[5_000:10_000]
+    starts, groups, sorted_ = np.arange(len(data) - 49), np.zeros(len(data) - 49, np.int64), []
+    real = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorted_.append(len(x)) or real(x, *a, **k))
+    order, same = suffixdedup.suffix_sort(data, starts, groups, 50)
+    got = [data[i : i + 50].tobytes() for i in order]
+    assert got == sorted(got) and same.tolist() == [k > 0 and got[k] == got[k - 1] for k in range(len(got))]
+    assert same.sum() == 4951 and sorted_[:2] == [len(starts)] * 2 and max(sorted_[2:]) <= 2 * 5_010
+
+
+def test_classes_are_not_sorted(spark, monkeypatch):
+    plans, real = {}, suffixdedup.materialize
+
+    def noted(df, path, *args, **kw):
+        plans[path.rsplit("/", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, path, *args, **kw)
+
+    monkeypatch.setattr(suffixdedup, "materialize", noted)
+    texts = corpus()[10:30]
+    docs = brute.docs_of(spark, texts, [None, None, *range(len(texts) - 2)])
+    assert repeats_of(docs) == brute_repeats([(r.doc_id, r.text) for r in docs.collect()])
+    assert "SortAggregate" not in plans["classes"] and "HashAggregate" in plans["classes"]
+
+
 def test_extension():
     data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(3000)), np.uint8)
     a, b = (np.array([rng.randrange(2900) for _ in range(500)]) for _ in range(2))
