@@ -48,7 +48,7 @@ SLOTS = 1 << 14
 GRAMS = ((2, 1), (3, 2))
 #: A list of lines or grams is broadcast up to this many rows of fixed width, else joined by a shuffle.
 MEMBERS = 500_000
-#: The last step's lines are broadcast up to so many words in all their marks.
+#: The last step's lines are broadcast up to so many words in all their marks, lists of common grams up to so many places.
 WORDS = 1 << 22
 #: Parities of 64 bits that pairs are filtered by before their sets move; a power of two. Those in marks tell sets of up to some 100 words apart, these up to some 400.
 WIDE = 4
@@ -158,15 +158,21 @@ def _first_marks(sets: DataFrame, rare: Callable[[Column], Column], k: int, *kee
 
 
 def _other_marks(sets: DataFrame, rare: Callable[[Column], Column], common: DataFrame, k: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """Marks of the first grams that are not common, and the (_id, _pos) of sets that have too few of them."""
-    each = _grams(sets, rare, k, lambda n: n - k, "_h1")
-    left = each.join(_few(common), "gram", "left_anti")
+    """Marks of the first grams that are not common, and the (_id, _pos) of sets that have too few of them. Of the grams only the places of common ones move, a list per line."""
+    hits = _grams(sets, rare, k, lambda n: n - k, "_h1").join(_few(common), "gram", "left_semi")
     # versions of a line apart, repeated ones alike
-    nth = left.withColumn("nth", F.dense_rank().over(W.partitionBy("_id", "_pos", "_h1").orderBy("i"))).filter(F.col("nth") <= _quota(F.col("n"), k))
-    nth = materialize(nth, f"{path}/others")
-    whole = nth.filter(F.col("nth") == _quota(F.col("n"), k)).select(F.col("_id").alias("w_id"), F.col("_pos").alias("w_pos"), F.col("_h1").alias("w_h1"))
-    scant = sets.select("_id", "_pos", "_h1").join(_few(whole), F.col("_id").eqNullSafe(F.col("w_id")) & (F.col("_pos") == F.col("w_pos")) & (F.col("_h1") == F.col("w_h1")), "left_anti").select("_id", "_pos")
-    marks = nth.select("gram", F.col("_id").alias("id"), _at(F.col("_pos"), F.col("n"), F.col("i") + 1).alias("at"), "bits")
+    hits = hits.groupBy("_id", "_pos", "_h1").agg(F.collect_set("i").alias("o_out"))
+    hits = materialize(hits.select(F.col("_id").alias("o_id"), F.col("_pos").alias("o_pos"), F.col("_h1").alias("o_h1"), "o_out"), f"{path}/hits")
+    size = hits.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("o_out")), F.lit(0)).alias("places")).first()
+    hits = F.broadcast(hits) if size["rows"] <= MEMBERS and size["places"] <= WORDS else hits
+    each = sets.join(hits, F.col("_id").eqNullSafe(F.col("o_id")) & (F.col("_pos") == F.col("o_pos")) & (F.col("_h1") == F.col("o_h1")), "left")
+    n = F.size("_s")
+    each = each.select("_id", "_pos", n.alias("n"), rare(F.col("_s")).alias("o"), F.array_except(F.sequence(F.lit(0), n - k), F.coalesce("o_out", F.array().cast("array<int>"))).alias("left"))
+    each = each.select("_id", "_pos", "n", "o", _parity(F.col("o")).alias("bits"), F.slice("left", F.lit(1), _quota(F.col("n"), k)).alias("left"))
+    each = materialize(each, f"{path}/others")
+    scant = each.filter(F.size("left") < _quota(F.col("n"), k)).select("_id", "_pos")
+    each = each.select("_id", "_pos", "n", "o", "bits", F.explode("left").alias("i"))
+    marks = each.select(_gram(F.col("o"), F.col("i"), k).alias("gram"), F.col("_id").alias("id"), _at(F.col("_pos"), F.col("n"), F.col("i") + 1).alias("at"), "bits")
     return marks, materialize(scant, f"{path}/scant")
 
 

@@ -430,6 +430,27 @@ def test_pipeline_dedups_short_lines(spark):
     assert {r.doc_id: r.removed for r in linededup.line_marks(docs, min_words=5).collect() if r.removed} == brute_lines(texts, least=5)
 
 
+def test_line_dedup_moves_places_of_common_grams(spark, monkeypatch):
+    """Which of a line's grams are left is found within the line: a list of places per line moves, not a row per gram, and no window ranks them."""
+    own = random.Random(41)
+    base = [f"s{own.randrange(99)}x{i}" for i in range(40)]
+    texts = [" ".join(w for w in base if own.random() > 0.06) for _ in range(60)]
+    real, plans, rows = linededup.materialize, {}, {}
+
+    def noted(df, path, *a, **b):
+        name = path.rpartition("/")[2]
+        plans[name], out = df._jdf.queryExecution().executedPlan().toString(), real(df, path, *a, **b)
+        rows[name] = out.count() if name == "hits" else None
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", noted)
+    monkeypatch.setattr(linededup, "GROUP", 5)
+    for most in (linededup.WORDS, 0):  # lists sent to all, or joined by a shuffle
+        monkeypatch.setattr(linededup, "WORDS", most)
+        assert {r.doc_id: r.removed for r in linededup.line_marks(docs_of(spark, texts)).collect() if r.removed} == brute_lines(texts)
+        assert "Window" not in plans["others"] and 0 < rows["hits"] <= len(texts)
+
+
 def test_line_dedup_far_down_a_document(spark):
     """Similar lines whose positions take more than 21 bits."""
     at = 2**21 + 3
