@@ -2,16 +2,21 @@
 
 A line is a function of whether it begins within quotes: it ends outside or inside in either case. Most lines change nothing or end
 outside whatever was before, so the state before each line follows from the last line that settles it and the number of lines
-between that turn it over: running sums within blocks of lines, and over the blocks. Lines that begin within quotes join the record
-before them; others are records as they stand.
+between that turn it over. Runs of lines that follow each other in a task are surveyed for both beginnings, a row each; the driver composes
+these rows, and a second pass joins lines within quotes to the record before them as they are read. Only pieces of records that go over a run's end move.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,7 +26,7 @@ from .store import as_latin
 
 CHARSETS = {"utf-8": "UTF-8", "utf-16": "UTF-16LE", "latin-1": "ISO-8859-1", "iso-8859-1": "ISO-8859-1", "cp1252": "windows-1252"}
 BLOCK = 1 << 16
-#: Lists of lines within records are broadcast up to so many.
+#: Facts of records that go over a run's end are broadcast up to so many.
 FEW = 500_000
 
 
@@ -36,7 +41,7 @@ class Quoting:
     @property
     def _body(self) -> str:
         q, e = re.escape(self.quote), re.escape(self.escape or self.quote)
-        return f"(?:[^{q}]|{q}{q})*+" if e == q else f"(?:[^{q}{e}]|{e}(?s:.))*+"
+        return f"[^{q}]*+(?:{q}{q}[^{q}]*+)*+" if e == q else f"[^{q}{e}]*+(?:{e}(?s:.)[^{q}{e}]*+)*+"
 
     @property
     def _fields(self) -> str:
@@ -50,23 +55,33 @@ class Quoting:
         q, d = re.escape(self.quote), re.escape(self.delimiter)
         return rf"(?:{q}{self._body}{q}|(?!{q})[^{d}]*+)\r?\z"
 
-    def opens(self, line: Column) -> Column:
-        """From outside quotes: whether the line's last field is left open."""
-        return line.rlike(rf"\A{self._fields}{re.escape(self.quote)}{self._body}\z")
+    @property
+    def opening(self) -> str:
+        """From outside quotes: the line's last field is left open."""
+        return rf"\A{self._fields}{re.escape(self.quote)}{self._body}\z"
 
-    def whole(self, line: Column) -> Column:
-        """From outside quotes: whether all fields are as they should be."""
-        return line.rlike(rf"\A{self._fields}{self._rest}")
+    @property
+    def sound(self) -> str:
+        """From outside quotes: all fields are as they should be."""
+        return rf"\A{self._fields}{self._rest}"
 
-    def stays(self, line: Column) -> Column:
-        """From within quotes: whether the line ends within quotes."""
+    @property
+    def staying(self) -> str:
+        """From within quotes: the line ends within quotes."""
         q, d = re.escape(self.quote), re.escape(self.delimiter)
-        return line.rlike(rf"\A{self._body}\z") | line.rlike(rf"\A{self._body}{q}{d}{self._fields}{q}{self._body}\z")
+        return rf"\A{self._body}(?:\z|{q}{d}{self._fields}{q}{self._body}\z)"
 
-    def closes(self, line: Column) -> Column:
-        """From within quotes: whether the quoted field ends and what follows is as it should be."""
+    @property
+    def closing(self) -> str:
+        """From within quotes: the quoted field ends and what follows is as it should be."""
         q, d = re.escape(self.quote), re.escape(self.delimiter)
-        return line.rlike(rf"\A{self._body}{q}(?:\r?\z|{d}{self._fields}{self._rest})")
+        return rf"\A{self._body}{q}(?:\r?\z|{d}{self._fields}{self._rest})"
+
+    def opens(self, line: Column) -> Column:
+        return line.rlike(self.opening)
+
+    def whole(self, line: Column) -> Column:
+        return line.rlike(self.sound)
 
     def count(self, record: Column) -> Column:
         """How many fields: one more than delimiters outside quoted fields."""
@@ -130,41 +145,175 @@ def lines(spark: SparkSession, path: str | list[str], encoding: str, line_end: s
     return numbered.select("_line", "_place", raw.alias("_raw"), wrong.alias("_wrong"))
 
 
-def _after(start: Column, reset: Column, turns: Column) -> Column:
-    return F.coalesce(reset, start).bitwiseXOR(turns.bitwiseAND(F.lit(1)))
+def _matcher(pattern: str) -> Callable[[bytes], bool]:
+    """Of a line's bytes, as Spark's rlike has it."""
+    match = re.compile(pattern.replace(r"\z", r"\Z")).match
+    return lambda raw: match(raw.decode("utf-8", "replace")) is not None
 
 
-def joined_lines(body: DataFrame, q: Quoting) -> DataFrame:
-    """(_begin, _end, _bad) of the records that take several lines. An open quote that never closes has a null _end.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, pa.RecordBatch]]:
+    """(whether a run begins, numbers of lines, their batch): parts of batches whose lines follow each other."""
+    last = None
+    for b in batches:
+        line = b.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(line) != 1) + 1).tolist(), len(line)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if start < end:
+                yield last is None or line[start] != last + 1, line[start:end], b.slice(start, end - start)
+                last = int(line[end - 1])
 
-    Only numbers and states of lines with quotes move.
-    """
-    raw = F.col("_raw")
-    some = body.filter(F.contains(raw, F.lit(q.quote))).select("_line", q.opens(raw).cast("int").alias("a"), q.stays(raw).cast("int").alias("b"), (~q.closes(raw)).alias("bad"))
-    some = some.filter(~((F.col("a") == 0) & (F.col("b") == 1))).withColumn("block", F.floor(F.col("_line") / BLOCK))
-    # within a block, and with the block's end for the blocks after it
-    turn, settles = (F.col("a") != F.col("b")).cast("int"), F.col("a") == F.col("b")
-    upto = W.partitionBy("block").orderBy("_line").rowsBetween(W.unboundedPreceding, 0)
-    some = some.withColumn("turns", F.sum(turn).over(upto)).withColumns({"reset": F.last(F.when(settles, F.col("a")), True).over(upto), "at": F.last(F.when(settles, F.col("turns")), True).over(upto)})
-    some = some.withColumn("since", (F.col("turns") - F.coalesce("at", F.lit(0))).cast("int"))
-    ends = some.groupBy("block").agg(F.max_by("reset", "_line").alias("reset"), F.max_by("since", "_line").alias("since"))
-    over = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row for each BLOCK lines
-    ends = ends.withColumns({"sum": F.sum(F.when(F.col("reset").isNull(), F.col("since")).otherwise(0)).over(over)})
-    ends = ends.withColumns({"r": F.last(F.when(F.col("reset").isNotNull(), F.struct("reset", "since", F.col("sum").alias("upto"))), True).over(over)})
-    start = _after(F.lit(0), F.col("r.reset").bitwiseXOR(F.col("r.since").bitwiseAND(F.lit(1))), F.coalesce(F.col("sum") - F.coalesce("r.upto", F.lit(0)), F.lit(0)).cast("int"))
-    states = some.join(ends.select("block", start.alias("start")), "block").select("_line", "bad", _after(F.col("start"), F.col("reset"), F.col("since")).alias("after"), "block", "start")
-    before = F.lag("after").over(W.partitionBy("block").orderBy("_line"))
-    states = states.withColumn("before", F.coalesce(before, F.col("start")))
-    # openers and closers alternate, so a closer belongs to the opener before it
-    edges = states.filter("before <> after")
-    opened = edges.filter("after = 1").select(F.col("_line").alias("_begin"))
-    closed = edges.filter("after = 0").select(F.col("_line").alias("_end"), "bad")
-    both = opened.select(F.col("_begin").alias("line"), F.lit(True).alias("open"), F.lit(False).alias("bad")).union(closed.select("_end", F.lit(False), "bad"))
-    both = both.withColumn("block", F.floor(F.col("line") / BLOCK))
-    nth = _dense(both, "line", "nth")
-    left = nth.filter("open").select(F.col("line").alias("_begin"), "nth")
-    right = nth.filter("not open").select(F.col("line").alias("_end"), F.col("bad").alias("_bad"), (F.col("nth") - 1).alias("nth"))
-    return left.join(right, "nth", "left").select("_begin", "_end", F.coalesce("_bad", F.lit(True)).alias("_bad"))
+
+def _quoted(raw: pa.Array, quote: bytes) -> tuple[list[int], list[bytes]]:
+    """Places and bytes of lines with a quote."""
+    at = np.flatnonzero(pc.match_substring(raw, quote).to_numpy(zero_copy_only=False))
+    return at.tolist(), raw.take(pa.array(at)).to_pylist()
+
+
+#: Of a run that begins outside (0) or within quotes (1): how it ends, and where the record that is open then began, null if before the run; where
+#: a record from before the run ends, and whether badly.
+_SURVEY = "first long, last long, after0 boolean, begin0 long, after1 boolean, begin1 long, end1 long, bad1 boolean"
+
+
+def _survey(q: Quoting) -> Callable:
+    quote = q.quote.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opens, stays, closes = map(_matcher, (q.opening, q.staying, q.closing))
+        out = []
+        for fresh, line, b in _runs(batches):
+            if fresh:
+                out.append({"first": int(line[0]), "after0": False, "begin0": None, "after1": True, "begin1": None, "end1": None, "bad1": None})
+            r = out[-1]
+            r["last"] = int(line[-1])
+            for at, text in zip(*_quoted(b.column(1), quote), strict=True):
+                then = {s: (stays if s else opens)(text) for s in {r["after0"], r["after1"]}}
+                for h in "01":
+                    before, after = r["after" + h], then[r["after" + h]]
+                    if not before and after:
+                        r["begin" + h] = int(line[at])
+                    elif before and not after:
+                        if h == "1" and r["begin1"] is None and r["end1"] is None:
+                            r["end1"], r["bad1"] = int(line[at]), not closes(text)
+                        r["begin" + h] = None
+                    r["after" + h] = after
+        kinds = {"long": pa.int64(), "boolean": pa.bool_()}
+        yield pa.RecordBatch.from_pylist(out, pa.schema([(n, kinds[k]) for n, k in (x.split() for x in _SURVEY.split(", "))]))
+
+    return run
+
+
+@dataclass(frozen=True)
+class _Plan:
+    """What a second pass has to know: for each run, where the record that is open at its beginning began; of records over several runs, where
+    they end and whether badly; an open quote that never closes, and the last line."""
+
+    carried: dict[int, int | None]
+    ends: dict[int, tuple[int, bool]]
+    rest: int | None
+    last: int
+
+
+def _planned(found: list) -> _Plan:
+    carried, ends, begun = {}, {}, None
+    for r in sorted(found, key=lambda r: r["first"]):
+        carried[r["first"]] = begun
+        if begun is None:
+            begun = r["begin0"]
+        elif r["end1"] is not None:
+            ends[begun] = (r["end1"], r["bad1"])
+            begun = r["begin1"]
+    return _Plan(carried, ends, begun, max((r["last"] for r in found), default=0))
+
+
+_RECORDS = pa.schema([("_line", pa.int64()), ("_lines", pa.int64()), ("_text", pa.binary()), ("_wrong", pa.bool_()), ("_bad", pa.bool_()), ("_run", pa.int64()), ("_part", pa.int64())])
+
+
+def _tidied(text: pa.Array) -> pa.Array:
+    ends = pc.ends_with(text, b"\r")
+    return pc.if_else(ends, pc.binary_slice(text, 0, -1), text) if pc.any(ends).as_py() else text
+
+
+def _assembled(q: Quoting, plan: _Plan) -> Callable:
+    """Records of the lines of each run. Of a record over several runs, pieces with the run as _part; of one whose quotes do not fit its first line only,
+    as it may have swallowed any number."""
+    quote = q.quote.encode()
+
+    class Open:
+        """A record that is not at its end yet; of no use are lines of one that is known to end badly."""
+
+        def __init__(self, begin: int, first: bytes | None, wrong: bool) -> None:
+            self.begin, self.first, self.first_wrong, self.wrong, self.texts = begin, first, wrong, False, []
+            self.lost = begin == plan.rest or plan.ends.get(begin, (0, False))[1]
+
+        def add(self, raw: pa.Array, wrong: np.ndarray) -> None:
+            if not self.lost and len(raw):
+                self.texts.append(b"\n".join(raw.to_pylist()))
+                self.wrong |= bool(wrong.any())
+
+        def whole(self, end: int, bad: bool, run: int) -> dict:
+            text = self.first if bad else b"\n".join(self.texts)
+            return {"_line": self.begin, "_lines": end - self.begin + 1, "_text": text.removesuffix(b"\r"), "_wrong": self.first_wrong if bad else self.wrong, "_bad": bad, "_run": run, "_part": None}
+
+        def piece(self, run: int) -> list[dict]:
+            return [] if self.lost else [{"_line": self.begin, "_lines": 0, "_text": b"\n".join(self.texts), "_wrong": self.wrong, "_bad": False, "_run": run, "_part": run}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opens, stays, closes, sound = map(_matcher, (q.opening, q.staying, q.closing, q.sound))
+        now, first = None, 0
+        rows = lambda found: pa.RecordBatch.from_pylist(found, _RECORDS)
+        for fresh, line, b in _runs(batches):
+            if fresh:
+                if now:
+                    yield rows(now.piece(first))
+                first = int(line[0])
+                begun = plan.carried[first]
+                now = None if begun is None else Open(begun, None, False)
+            raw, wrong = b.column(1), b.column(2).to_numpy(zero_copy_only=False)
+            # a line that begins outside quotes begins a record
+            inside, turns, odd, at_end = now is not None, np.zeros(len(line) + 1, np.int8), [], False
+            for at, text in zip(*_quoted(raw, quote), strict=True):
+                after = (stays if inside else opens)(text)
+                turns[at + 1] = after != inside
+                if not after and not (closes if inside else sound)(text):
+                    odd.append(at)
+                inside = after
+            starts = np.flatnonzero((np.cumsum(turns[:-1]) + (now is not None)) % 2 == 0)
+            stop = int(starts[0]) if len(starts) else len(line)
+            if now:
+                now.add(raw.slice(0, stop), wrong[:stop])
+                if stop < len(line) or not inside:
+                    at_end = bool(odd) and odd[0] == stop - 1
+                    if plan.carried[first] == now.begin:
+                        yield rows(now.piece(first))
+                    else:
+                        yield rows([now.whole(int(line[stop - 1]), at_end, first)])
+                    now = None
+            if not len(starts):
+                continue
+            tail = int(starts[-1]) if inside else len(line)
+            starts = starts[:-1] if inside else starts
+            if len(starts):
+                bounds = np.append(starts, tail)
+                ends, lone = bounds[1:] - 1, np.diff(bounds) == 1
+                bad = np.isin(ends, odd)
+                firsts = raw.take(pa.array(starts))
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), raw), b"\n") if not lone.all() else firsts
+                any_wrong = np.logical_or.reduceat(wrong[:tail], starts)
+                cut = bad & ~lone
+                if cut.any():
+                    text, any_wrong = pc.if_else(pa.array(cut), firsts, text), np.where(cut, wrong[starts], any_wrong)
+                text, n = _tidied(text), len(starts)
+                got = pa.RecordBatch.from_arrays([pa.array(line[starts]), pa.array(line[ends] - line[starts] + 1), text, pa.array(any_wrong), pa.array(bad), pa.array(np.full(n, first)), pa.nulls(n, pa.int64())], schema=_RECORDS)
+                yield got.filter(pc.greater(pc.binary_length(text), 0))
+            if inside:
+                now = Open(int(line[tail]), raw[tail].as_py(), bool(wrong[tail]))
+                if now.lost:
+                    yield rows([now.whole(plan.last if now.begin == plan.rest else plan.ends[now.begin][0], True, first)])
+                now.add(raw.slice(tail), wrong[tail:])
+        if now:
+            yield rows(now.piece(first))
+
+    return run
 
 
 def _dense(df: DataFrame, by: str, name: str) -> DataFrame:
@@ -179,29 +328,33 @@ def _dense(df: DataFrame, by: str, name: str) -> DataFrame:
 def records(body: DataFrame, q: Quoting, held: list[DataFrame] | None = None) -> DataFrame:
     """(_line where it begins, _lines it takes, _text, _wrong, _bad): records of lines, blank ones left out. _bad: quotes that do not fit.
 
-    held gets what is kept in the cache for them, to be released when they have been read.
+    With quotes that go over lines also _run, which orders the records together with the places within it, and _over, whether it goes over a run's end. Runs are short if body's
+    lines are not in order. held gets what is kept on disk for them, to be released when they have been read.
     """
     raw = F.col("_raw")
     tidy = lambda c: F.when(F.endswith(c, F.lit("\r")), F.left(c, F.length(c) - 1)).otherwise(c)
-    alone = lambda df: df.select("_line", F.lit(1).cast("long").alias("_lines"), tidy(raw).alias("_text"), "_wrong", (F.lit(False) if not q.quote else F.contains(raw, F.lit(q.quote)) & ~q.whole(raw)).alias("_bad")).filter(F.col("_text") != "")
     if not q.quote or body.filter(F.contains(raw, F.lit(q.quote)) & q.opens(raw)).isEmpty():
-        return alone(body)
-    spans = joined_lines(body, q).persist()
+        bad = F.lit(False) if not q.quote else F.contains(raw, F.lit(q.quote)) & ~q.whole(raw)
+        return body.select("_line", F.lit(1).cast("long").alias("_lines"), tidy(raw).alias("_text"), "_wrong", bad.alias("_bad")).filter(F.col("_text") != "")
+    flat = body.select(F.col("_line").cast("long"), raw.cast("binary").alias("_raw"), "_wrong")
+    # a row for each run, a split of a file as a rule
+    plan = _planned(flat.mapInArrow(_survey(q), _SURVEY).collect())
+    made = flat.mapInArrow(_assembled(q, plan), "_line long, _lines long, _text binary, _wrong boolean, _bad boolean, _run long, _part long").withColumn("_text", F.col("_text").cast("string")).persist(StorageLevel.DISK_ONLY)
     if held is not None:
-        held.append(spans)
-    last = body.agg(F.max("_line")).first()[0]
-    closed = spans.filter("_end is not null")
-    within = closed.select("_begin", (F.col("_end") - F.col("_begin") + 1).alias("_lines"), F.col("_bad").alias("_span_bad"), F.explode(F.sequence("_begin", "_end")).alias("_in"))
-    few = within.count() <= FEW
-    rest = spans.filter("_end is null").agg(F.min("_begin")).first()[0]
-    body = body.filter(F.col("_line") <= rest) if rest is not None else body
-    # a span of any number of lines looks as small to the planner as its two ends, so that more than a few are never broadcast
-    marked = body.join(F.broadcast(within) if few else within.hint("merge"), F.col("_line") == F.col("_in"), "left")
-    single = alone(marked.filter(F.col("_in").isNull()).drop("_begin", "_lines"))
-    if rest is not None:  # what never closes: its first line stands for it
-        single = single.withColumns({"_lines": F.when(F.col("_line") == rest, F.lit(last - rest + 1)).otherwise(F.col("_lines")), "_bad": F.col("_bad") | (F.col("_line") == rest)})
-    # of a record whose quotes do not fit only the first line is kept, as it may have swallowed any number
-    many = marked.filter(F.col("_in").isNotNull() & (~F.col("_span_bad") | (F.col("_line") == F.col("_begin"))))
-    many = many.groupBy("_begin").agg(F.first("_lines").alias("_lines"), F.array_sort(F.collect_list(F.struct("_line", "_raw"))).alias("_all"), F.max("_wrong").alias("_wrong"), F.first("_span_bad").alias("_bad"))
-    many = many.select(F.col("_begin").alias("_line"), "_lines", tidy(F.array_join(F.transform("_all", lambda x: x["_raw"]), "\n")).alias("_text"), "_wrong", "_bad")
-    return single.unionByName(many)
+        held.append(made)
+    whole = made.filter("_part is null").drop("_part").withColumn("_over", F.lit(False))
+    over = body.sparkSession.createDataFrame([(begin, end - begin + 1) for begin, (end, bad) in plan.ends.items() if not bad], "_line long, _all long")
+    pieces = made.filter("_part is not null").select("_line", "_text", "_wrong", "_part").join(F.broadcast(over) if len(plan.ends) <= FEW else over.hint("merge"), "_line")
+    pieces = pieces.groupBy("_line").agg(F.first("_all").alias("_lines"), F.array_sort(F.collect_list(F.struct("_part", "_text"))).alias("_of"), F.max("_wrong").alias("_wrong"))
+    text = tidy(F.array_join(F.transform("_of", lambda x: x["_text"]), "\n"))
+    return whole.unionByName(pieces.select("_line", "_lines", text.alias("_text"), "_wrong", F.lit(False).alias("_bad"), F.col("_line").alias("_run"), F.lit(True).alias("_over")))
+
+
+def in_order(recs: DataFrame, name: str) -> DataFrame:
+    """Some of records() that have a _run, with dense numbers from 1. A row for each run and each record that goes over a run's end is counted; texts do not move."""
+    placed = recs.withColumn("_m", F.monotonically_increasing_id())
+    # a record that goes over a run's end is the last to begin in it
+    sizes = placed.groupBy("_run").agg(F.min("_m").alias("_low"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    out = placed.join(F.broadcast(sizes.select("_run", "_low", before.alias("_before"))), "_run")
+    return out.withColumn(name, F.col("_before") + 1 + F.when(F.col("_over"), 0).otherwise(F.col("_m") - F.col("_low"))).drop("_run", "_over", "_m", "_low", "_before")

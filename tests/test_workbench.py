@@ -583,3 +583,51 @@ def test_names_of_all_forms(spark):
     got = {r.name: r.snake for r in workbench_queries.names_snake_case(spark, "/root/testdata/sf0.001").collect()}
     assert {"claim.id", "PatientID", "HTTPServer", "a-b c", "..."} <= got.keys() and got["..."] == "col" and got["HTTPServer3"] == "http_server3"
     assert len(got) > spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").count()
+
+
+def _cut_lines(spark, text, sizes):
+    """The lines of a text, in tasks of these sizes, as a file's splits are."""
+    lines, at = list(enumerate(text.split("\n"), 1)), 0
+    parts = []
+    for n in sizes:
+        parts.append([(i, x, False) for i, x in lines[at : at + n]])
+        at += n
+    rdd = spark.sparkContext.parallelize(parts + [[(i, x, False) for i, x in lines[at:]]], len(parts) + 1).flatMap(lambda x: x)
+    return spark.createDataFrame(rdd, "_line long, _raw string, _wrong boolean")
+
+
+def test_records_over_splits(spark):
+    """Records of one split, of two and of many, wherever the splits end; an open quote that never closes; Arrow batches of few lines."""
+    import random
+
+    from tablelens.sources import records
+
+    own, q = random.Random(8), records.Quoting(",", '"')
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        for k in range(10):
+            text = "\n".join("".join(own.choices('ab",\r', weights=(4, 2, own.choice((1, 2)), 2, k % 3 == 0), k=own.randrange(0, 8))) for _ in range(60)) + ("" if k % 2 else '\nx,"')
+            body = _cut_lines(spark, text, own.choices((1, 2, 5, 9), k=8))
+            one = _cut_lines(spark, text, ())
+            got, whole = (sorted((r._line, r._lines, r._bad, r._text) for r in records.records(b, q).collect()) for b in (body, one))
+            assert got == whole, text
+            lines = text.split("\n")
+            plain = [(a, n, bad, lines[a - 1] if bad else "\n".join(lines[a - 1 : a - 1 + n])) for a, n, bad in parse_lines(text)] if "\r" not in text else None
+            assert plain is None or got == [x for x in plain if x[3]]
+            numbered = records.in_order(records.records(body, q), "n") if "_run" in records.records(body, q).columns else None
+            assert numbered is None or [(r._line, r.n) for r in numbered.orderBy("_line").collect()] == [(x[0], i) for i, x in enumerate(got, 1)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_texts_of_records_do_not_move(spark):
+    """Neither joining lines to records nor numbering them shuffles texts, but for pieces of records that go over splits."""
+    from tablelens.sources import records
+
+    text = "\n".join(f'{i},"first\nsecond, ""line"" of {i}\n"' for i in range(300))
+    body = _cut_lines(spark, text, (100, 200, 301, 0, 7))
+    got = records.records(body, records.Quoting(",", '"'))
+    assert [r._text for r in got.orderBy("_line").collect()] == [f'{i},"first\nsecond, ""line"" of {i}\n"' for i in range(300)]
+    assert [r.n for r in records.in_order(got, "n").orderBy("_line").collect()] == list(range(1, 301))
+    assert 0 < got.filter("_over").count() <= 5 and not got.filter("not _over")._jdf.queryExecution().executedPlan().toString().count("Exchange")
