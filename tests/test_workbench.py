@@ -631,3 +631,16 @@ def test_texts_of_records_do_not_move(spark):
     assert [r._text for r in got.orderBy("_line").collect()] == [f'{i},"first\nsecond, ""line"" of {i}\n"' for i in range(300)]
     assert [r.n for r in records.in_order(got, "n").orderBy("_line").collect()] == list(range(1, 301))
     assert 0 < got.filter("_over").count() <= 5 and not got.filter("not _over")._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_lines_of_a_long_last_value_are_no_footer(spark, tmp_path):
+    """The tail that layouts are told from lies within one value, whose last lines look like summary records; a footer behind values with breaks is one."""
+    last = "x" * 70000 + "".join(f"\nline {k} of it" for k in range(7))
+    text = "id|lang|text\n" + "".join(f"{i}|en|plain text {i}\n" for i in range(1, 400))
+    got = delimited.load(spark, str(put(tmp_path / "l.txt", text + f'400|en|"{last}"\n')), {"nullify_tokens": []})
+    assert got.facts["footer"] == 0 and got.facts["row_count"] == 400
+    assert rows(got.df)[-1] == (400, "400", "en", last)
+    got = delimited.load(spark, str(put(tmp_path / "f.txt", text + f'400|en|"{last}"\n' + "Total|400\n")), {"nullify_tokens": []})
+    assert got.facts["footer"] == 1 and rows(got.df)[-1] == (400, "400", "en", last)
+    got = delimited.load(spark, str(put(tmp_path / "g.txt", text + '400|en|"a\nb"\n401|en|c\n' + "Total|401\n")), {"nullify_tokens": []})
+    assert got.facts["footer"] == 1 and rows(got.df)[-1] == (401, "401", "en", "c")
